@@ -123,7 +123,25 @@ def fit_router(x: np.ndarray, parts: int, *, neighbours: int = 12, hidden: int =
     return router
 
 
-def _route(routers: dict[int, Router], visits: int):
+def visits_for(router: Router, held: np.ndarray, total: int, k: int, target: float) -> int:
+    """The fewest parts a query must visit so that the wanted share of its neighbours is met, judged on held-out vectors.
+
+    The k nearest of ``total`` rows lie about as near as the k * held / total nearest of the held-out ones.
+    """
+    near = min(len(held) - 1, max(1, round(k * len(held) / max(total, 1))))
+    if router.parts == 1 or near < 1:
+        return router.parts
+    logits = router.logits(held)
+    home = logits.argmax(axis=1)
+    order = np.argsort(-logits, axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(router.parts)[None, :].repeat(len(held), axis=0), axis=1)
+    met = place[np.arange(len(held))[:, None], home[_neighbours(held, near)]]
+    shares = np.cumsum(np.bincount(met.ravel(), minlength=router.parts)) / met.size
+    return int(np.searchsorted(shares, target) + 1)
+
+
+def _route(routers: dict[int, Router], visits: dict[int, int]):
     """Lines (g, vec_id, v) of the most probable parts of each vector. Lengths without a router have the one part 0."""
     starts, at = {}, 0
     for dim in sorted(routers):
@@ -141,7 +159,7 @@ def _route(routers: dict[int, Router], visits: int):
                     top = np.full((len(rows), 1), at)
                 else:
                     logits = router.logits(flat[(ends[rows] - dim)[:, None] + np.arange(dim)])
-                    top = starts[int(dim)] + np.argsort(-logits, axis=1, kind="stable")[:, :visits]
+                    top = starts[int(dim)] + np.argsort(-logits, axis=1, kind="stable")[:, : visits[int(dim)]]
                 take = pa.array(np.repeat(rows, top.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype("i4")), ids.take(take), vectors.take(take)], ["g", "vec_id", "v"])
 
@@ -149,15 +167,15 @@ def _route(routers: dict[int, Router], visits: int):
 
 
 def learned_partition_search(
-    embeddings: DataFrame, is_query, k: int = 20, *, rows_per_part: int = 1024, max_parts: int = 512, sample_rows: int = 8192,
-    visit_share: float = 0.25, min_visits: int = 8, id_col: str = "vec_id", vector_col: str = "embedding",
+    embeddings: DataFrame, is_query, k: int = 20, *, rows_per_part: int = 1024, max_parts: int = 256, sample_rows: int = 8192,
+    held_rows: int = 4096, target: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """For each row that satisfies ``is_query`` the k nearest rows found, by inner product in double precision.
 
-    The router is fitted on the driver from at most ``sample_rows`` vectors (those of smallest id hash); every row is
-    indexed. There are about rows / ``rows_per_part`` parts, ``max_parts`` and sample_rows / 16 at most, and a query visits
-    ``min_visits`` parts or that share of them, whichever is more. Parts of any size are searched tile by tile. Returns
-    (query_id, rank, vec_id, score).
+    The router is fitted on the driver from at most ``sample_rows`` vectors (those of smallest id hash); the next
+    ``held_rows`` tell how many parts a query must visit to meet the ``target`` share of its neighbours. Every row is
+    indexed. There are about rows / ``rows_per_part`` parts, ``max_parts`` and sample_rows / 16 at most. Parts of any size
+    are searched tile by tile. Returns (query_id, rank, vec_id, score).
 
     * null ids, null or empty vectors, null or non-finite components, zero vectors: the row takes no part;
     * vectors of different length never meet: each length with enough sampled rows has its own router;
@@ -167,16 +185,18 @@ def learned_partition_search(
     common.ship(embeddings.sparkSession)
     rows = tiles.usable(embeddings, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
     total = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()["v"]
-    routers: dict[int, Router] = {}
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows + held_rows).select("v").toPandas()["v"]
+    fitted: dict[int, tuple[Router, int]] = {}
     for dim in sorted({len(v) for v in sample}):
         x = np.array([v for v in sample if len(v) == dim], dtype=np.float64)
-        share = len(x) / max(1, len(sample))
         if len(x) >= 64:
-            routers[dim] = fit_router(x, min(max_parts, round(total * share / rows_per_part)))
-    parts = max([r.parts for r in routers.values()], default=1)
-    visits = max(min_visits, int(np.ceil(visit_share * parts)))
+            here = round(total * len(x) / len(sample))
+            cut = max(len(x) * sample_rows // (sample_rows + held_rows), 1)
+            router = fit_router(x[:cut], min(max_parts, round(here / rows_per_part)))
+            held = x[cut:] / np.maximum(np.linalg.norm(x[cut:], axis=1, keepdims=True), 1e-300)
+            fitted[dim] = router, visits_for(router, held, here, k, target)
+    routers = {dim: router for dim, (router, _) in fitted.items()}
     schema = "g int, vec_id long, v array<double>"
-    index = rows.mapInArrow(_route(routers, 1), schema)
-    asked = rows.where(is_query(F.col("vec_id"))).mapInArrow(_route(routers, visits), schema)
+    index = rows.mapInArrow(_route(routers, dict.fromkeys(routers, 1)), schema)
+    asked = rows.where(is_query(F.col("vec_id"))).mapInArrow(_route(routers, {dim: n for dim, (_, n) in fitted.items()}), schema)
     return tiles.tiled_top_k(index, asked, k)

@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, common, exact_search
+from tidemark.llm import ann, bpe, common, exact_search, simhash
 
 
 def op2_learned_partitions(spark, sf_dir):
     return ann.learned_partition_search(common.table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
 
 
+def op3_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op7_exact_top_k(spark, sf_dir):
     return exact_search.exact_top_k(common.table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, 5)
 
 
+def op9_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+
+
 QUERIES = {
     "op2_learned_partitions": op2_learned_partitions,
+    "op3_simhash": op3_simhash,
     "op7_exact_top_k": op7_exact_top_k,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL = {
