@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, common, exact_search, simhash
+from tidemark.llm import ann, bpe, common, exact_search, simhash, substrings
 
 
 def op2_learned_partitions(spark, sf_dir):
@@ -21,6 +21,12 @@ def op7_exact_top_k(spark, sf_dir):
     return exact_search.exact_top_k(common.table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, 5)
 
 
+def op8_repeated_passages(spark, sf_dir):
+    found = substrings.repeated_passages(common.table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(bpe.encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
@@ -30,6 +36,7 @@ QUERIES = {
     "op2_learned_partitions": op2_learned_partitions,
     "op3_simhash": op3_simhash,
     "op7_exact_top_k": op7_exact_top_k,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_bpe": op9_bpe,
 }
 
@@ -43,4 +50,17 @@ ORACLE_SQL = {
             FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_repeated_passages": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM t WHERE len(w) >= 50),
+        h AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS h FROM p),
+        f AS (SELECT h, min(doc_id) AS lo FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        g AS (SELECT h.doc_id, list(h.s) AS starts FROM h JOIN f USING (h) WHERE lo < h.doc_id GROUP BY h.doc_id),
+        c AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 50)))) AS gone FROM g),
+        k AS (
+            SELECT t.doc_id, len(w) AS n, coalesce(len(gone), 0) AS g,
+                   CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept
+            FROM t LEFT JOIN c USING (doc_id)
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
 }
