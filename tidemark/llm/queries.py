@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, common, exact_search, simhash, substrings
+from tidemark.llm import ann, bpe, common, exact_search, simhash, substrings, urls
 
 
 def op2_learned_partitions(spark, sf_dir):
@@ -17,6 +17,13 @@ def op3_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op5_host_reputation(spark, sf_dir):
+    # The labelled outcomes of pages: a bad one is of low quality or toxic.
+    labels = common.table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return urls.judge(common.table(spark, sf_dir, "pages"), outcomes)
+
+
 def op7_exact_top_k(spark, sf_dir):
     return exact_search.exact_top_k(common.table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, 5)
 
@@ -35,6 +42,7 @@ def op9_bpe(spark, sf_dir):
 QUERIES = {
     "op2_learned_partitions": op2_learned_partitions,
     "op3_simhash": op3_simhash,
+    "op5_host_reputation": op5_host_reputation,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_bpe": op9_bpe,
@@ -63,4 +71,58 @@ ORACLE_SQL = {
             FROM t LEFT JOIN c USING (doc_id)
         )
         SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    "op5_host_reputation": r"""
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+        p AS (
+            SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u
+        ),
+        o AS (
+            SELECT host, CAST(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END AS BIGINT) AS bad
+            FROM p JOIN labels ON page_id = doc_id WHERE host <> ''
+        ),
+        h0 AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS bare, count(bad) AS n, sum(bad) AS bad FROM o WHERE bad IS NOT NULL GROUP BY host),
+        h1 AS (SELECT *, string_split(bare, '.') AS l FROM h0),
+        h AS (
+            SELECT host, n, bad,
+                   CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in')
+                        THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+                   CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in')
+                        THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h1
+        ),
+        d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+        s AS (SELECT suffix, 0 AS top, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+        c AS (
+            SELECT 'top' AS level, CAST(top AS VARCHAR) AS parent, n, bad FROM s
+            UNION ALL SELECT 'suffix', suffix, n, bad FROM d UNION ALL SELECT 'domain', domain, n, bad FROM h
+        ),
+        m AS (
+            SELECT level, parent, CAST(sum(n) AS DOUBLE) AS sn, CAST(sum(bad) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS rate,
+                   CAST(count(*) AS DOUBLE) AS m, sum(CAST(bad AS DOUBLE) * bad / n) AS sq, CAST(sum(n * n) AS DOUBLE) AS nn FROM c GROUP BY ALL
+        ),
+        v AS (
+            SELECT level, parent, rate * (1 - rate) AS spread,
+                   CASE WHEN sn - nn / sn > 0 AND sq - sn * rate * rate - (m - 1) * rate * (1 - rate) > 0
+                        THEN (sq - sn * rate * rate - (m - 1) * rate * (1 - rate)) / (sn - nn / sn) END AS var FROM m
+        ),
+        k AS (SELECT level, parent, round(CASE WHEN var IS NULL OR spread <= 0 THEN 500.0 ELSE least(greatest(spread / var - 1, 2.0), 500.0) END, 3) AS k FROM v),
+        ms AS (
+            SELECT suffix, (bad + k * (SELECT sum(bad) / sum(n) FROM s)) / (n + k) AS mu FROM s JOIN k ON level = 'top'
+        ),
+        md AS (SELECT domain, (d.bad + k * mu) / (d.n + k) AS mu FROM d JOIN ms USING (suffix) JOIN k ON level = 'suffix' AND parent = d.suffix),
+        b AS (SELECT host, n, bad, bad + k * mu AS a, n - bad + k * (1 - mu) AS b FROM h JOIN md USING (domain) JOIN k ON level = 'domain' AND parent = h.domain),
+        r AS (SELECT *, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.35 AS blocked FROM b),
+        f AS (
+            SELECT p.*, n, bad, blocked, CASE
+                WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+            FROM p LEFT JOIN r USING (host)
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict,
+               CAST(coalesce(n, 0) AS BIGINT) AS n_labelled, CAST(coalesce(bad, 0) AS BIGINT) AS n_bad
+        FROM f""",
 }
