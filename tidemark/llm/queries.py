@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, common, exact_search, simhash, substrings, urls
+from tidemark.llm import ann, bpe, common, exact_search, quality, simhash, substrings, urls
 
 
 def op2_learned_partitions(spark, sf_dir):
@@ -39,6 +39,12 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
 
 
+def op10_line_field(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_learned_partitions": op2_learned_partitions,
     "op3_simhash": op3_simhash,
@@ -46,6 +52,7 @@ QUERIES = {
     "op7_exact_top_k": op7_exact_top_k,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_bpe": op9_bpe,
+    "op10_line_field": op10_line_field,
 }
 
 ORACLE_SQL = {
