@@ -29,21 +29,23 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints, which the driver and all executors see.
 
     Only a local session without ``spark.checkpoint.dir`` gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if named:
-            sc.setCheckpointDir(named)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-        else:
+        if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

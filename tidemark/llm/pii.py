@@ -143,6 +143,11 @@ def spans(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, accept: float
     return rows.join(met, same, "left").select("doc_id", "key", "base", F.coalesce("found", F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>")).alias("found"))
 
 
+def count_of(column: str, kind: int):
+    """How many of the spans are of a kind."""
+    return F.size(F.filter(column, lambda s: s["kind"] == kind)).cast("long")
+
+
 def as_text(column):
     """kind:start:end by start, then kind, comma-joined."""
     names = F.array(*[F.lit(k) for k in (*KINDS, FOUND)])

@@ -208,7 +208,7 @@ def _scored(field: LineField, with_lines: bool):
                 part = batch.slice(lo, 200)
                 own, length, counts = line_features(part.column(part.num_columns - 1).to_pylist())
                 quality, good = field.document_quality(own, length, counts)
-                columns = [*part.columns[:-1], pa.array(field.score(quality))]
+                columns = [*part.columns[:-1], pa.array(field.score(quality))]  # all but the text, and the score
                 names = [*part.schema.names[:-1], "score"]
                 if with_lines:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(good)))
@@ -228,3 +228,11 @@ def score(docs: DataFrame, field: LineField, *, with_lines: bool = False) -> Dat
     common.ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.string_or_empty("text").alias("text"))
     return texts.mapInArrow(_scored(field, with_lines), "doc_id long, score double" + ", line_good array<double>" * with_lines)
+
+
+def accepted(docs: DataFrame, field: LineField, keep_from: float) -> DataFrame:
+    """The rows, with all their columns, whose text scores ``keep_from`` or more."""
+    common.ship(docs.sparkSession)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.string_or_empty("text").alias("text"))
+    kind = packed.schema["row"].dataType.simpleString()
+    return packed.mapInArrow(_scored(field, False), f"row {kind}, score double").where(F.col("score") >= keep_from).select("row.*")

@@ -5,7 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, common, exact_search, quality, simhash, substrings, urls
+from tidemark.llm import ann, bpe, common, exact_search, html, mixing, pii, quality, simhash, substrings, urls
+
+
+def op1_pfair_mix(spark, sf_dir):
+    mix = mixing.mixed(common.table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mix.select("doc_id", "mix_source", "mix_block", "mix_slot", "mix_position")
 
 
 def op2_learned_partitions(spark, sf_dir):
@@ -17,6 +22,13 @@ def op3_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op4_contextual_pii(spark, sf_dir):
+    found = pii.spans(common.table(spark, sf_dir, "documents"))
+    counts = [pii.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    base = F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.as_text(F.concat("base", "found")).alias("spans"))
+
+
 def op5_host_reputation(spark, sf_dir):
     # The labelled outcomes of pages: a bad one is of low quality or toxic.
     labels = common.table(spark, sf_dir, "labels")
@@ -24,6 +36,10 @@ def op5_host_reputation(spark, sf_dir):
     return urls.judge(common.table(spark, sf_dir, "pages"), outcomes)
 
 
+def op6_main_text(spark, sf_dir):
+    return html.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op7_exact_top_k(spark, sf_dir):
     return exact_search.exact_top_k(common.table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, 5)
 
@@ -46,9 +62,12 @@ def op10_line_field(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pfair_mix": op1_pfair_mix,
     "op2_learned_partitions": op2_learned_partitions,
     "op3_simhash": op3_simhash,
+    "op4_contextual_pii": op4_contextual_pii,
     "op5_host_reputation": op5_host_reputation,
+    "op6_main_text": op6_main_text,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_bpe": op9_bpe,

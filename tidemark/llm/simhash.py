@@ -127,3 +127,13 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: i
 def hexadecimal(fp):
     """A fingerprint as 16 lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def first_of_group(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest doc_id, with all its columns.
+
+    Rows of a null doc_id stay, as does every row of the id kept. Only ids and fingerprints are shuffled before the join.
+    """
+    groups = near_duplicates(docs, radius=radius, width=width, seed=seed)
+    gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti")
