@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 _LOADED: dict[str, dict[bytes, int]] = {}
-_PIECES: dict[str, dict[str, tuple[int, ...]]] = {}
-#: Pieces a worker remembers at most before it starts anew.
-REMEMBERED = 400_000
+_PIECES: dict[str, tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]] = {}
+#: Pieces that a worker remembers at most, twice: the ones met lately, and those before them.
+REMEMBERED = 150_000
+NO_RANK = 1 << 60
 
 
 def _sent(spark: SparkSession, ranks_path: str) -> str:
@@ -44,18 +45,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     parts = [piece[i : i + 1] for i in range(len(piece))]
     if len(parts) > 256:
         return _merge_long(parts, ranks)
-    pairs = [ranks.get(parts[i] + parts[i + 1]) for i in range(len(parts) - 1)]
+    get = ranks.get
+    pairs = [get(a + b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
     while pairs:
-        least, at = min(((r, i) for i, r in enumerate(pairs) if r is not None), default=(None, 0))
-        if least is None:
+        least = min(pairs)
+        if least == NO_RANK:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        at = pairs.index(least)
+        parts[at] += parts.pop(at + 1)
         del pairs[at]
         if at < len(pairs):
-            pairs[at] = ranks.get(parts[at] + parts[at + 1])
+            pairs[at] = get(parts[at] + parts[at + 1], NO_RANK)
         if at:
-            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
-    return tuple(ranks[p] for p in parts)
+            pairs[at - 1] = get(parts[at - 1] + parts[at], NO_RANK)
+    return tuple([ranks[p] for p in parts])
 
 
 def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -83,18 +86,22 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 def _encoder(name: str):
     ranks = load_ranks(name)
-    known = _PIECES.setdefault(name, {})
+    lately, before = _PIECES.setdefault(name, ({}, {}))
 
     def encode(pieces: list[str]) -> list[int]:
+        nonlocal lately, before
         ids: list[int] = []
+        get = lately.get
         for p in pieces:
-            got = known.get(p)
+            got = get(p)
             if got is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                got = merge(p.encode("utf-8"), ranks)
+                got = before.get(p) or merge(p.encode("utf-8"), ranks)
                 if len(p) < 64:
-                    known[p] = got
+                    if len(lately) >= REMEMBERED:
+                        lately, before = {}, lately
+                        get = lately.get
+                        _PIECES[name] = lately, before
+                    lately[p] = got
             ids += got
         return ids
 
@@ -147,8 +154,8 @@ def _between(name: str, pattern: str, size: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 at, text, lo, hi = (batch.column(c)[i].as_py() for c in (3, 4, 5, 6))
-                upto = len(text) if hi is None else hi - at * size
-                pieces = [m.group() for m in compiled.finditer(text, lo - at * size) if m.end() <= upto]
+                # A pre-token ends where the next one starts, so the chunk may end there as well.
+                pieces = compiled.findall(text, lo - at * size, len(text) if hi is None else hi - at * size)
                 ids = pa.array([np.array(encode(pieces), "<i4").tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(4)), ids], ["doc_id", "row_key", "copy", "at", "ids"])
 
@@ -170,7 +177,7 @@ def stitched(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataF
     return places.select("doc_id", "row_key", "copy", "at", "text", "lo", "hi", "last", whole.alias("met"))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 16_384, overlap: int = 1_024) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
     """(doc_id, ids binary): the token ids of each text as little-endian 32-bit numbers.
 
     Texts longer than a chunk are cut into chunks that overlap. The chunks are pre-tokenised in parallel; the pieces of
