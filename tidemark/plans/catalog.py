@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from tidemark.plans import fundamental, technical
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _part in (technical, fundamental):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """The technical snapshot by part type, whose few tickers have long histories even in the smallest tables."""
+    return technical.snapshot(spark, sf_dir, "p_type")
