@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans import fundamental, technical
+from tidemark.plans import fundamental, portfolio, technical
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (technical, fundamental):
+for _part in (technical, fundamental, portfolio):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 
