@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans import fundamental, portfolio, technical
+from tidemark.plans import fundamental, markets, portfolio, technical
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (technical, fundamental, portfolio):
+for _part in (technical, fundamental, portfolio, markets):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 
