@@ -38,10 +38,11 @@ class Router:
 
 def _neighbours(x: np.ndarray, k: int) -> np.ndarray:
     found = []
-    for lo in range(0, len(x), 1024):
-        scores = x[lo : lo + 1024] @ x.T
+    x = x.astype(np.float32)
+    for lo in range(0, len(x), 128):
+        scores = x[lo : lo + 128] @ x.T
         scores[np.arange(len(scores)), np.arange(lo, lo + len(scores))] = -np.inf
-        found.append(np.argpartition(-scores, k - 1, axis=1)[:, :k])
+        found.append(np.argpartition(-scores, k - 1, axis=1)[:, :k].copy())
     return np.concatenate(found)
 
 
@@ -86,7 +87,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, *, slack: float
     return part
 
 
-def fit_router(x: np.ndarray, parts: int, *, neighbours: int = 12, hidden: int = 256, epochs: int = 40) -> Router:
+def fit_router(x: np.ndarray, parts: int, *, neighbours: int = 12, hidden: int = 128, epochs: int = 30) -> Router:
     """Learn the parts from sample vectors (one line each)."""
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     parts = max(1, min(parts, len(x) // 16))
@@ -172,7 +173,7 @@ def learned_partition_search(
 ) -> DataFrame:
     """For each row that satisfies ``is_query`` the k nearest rows found, by inner product in double precision.
 
-    The router is fitted on the driver from at most ``sample_rows`` vectors (those of smallest id hash); the next
+    The router is fitted on the driver from at most ``sample_rows`` vectors (by id hash); the next
     ``held_rows`` tell how many parts a query must visit to meet the ``target`` share of its neighbours. Every row is
     indexed. There are about rows / ``rows_per_part`` parts, ``max_parts`` and sample_rows / 16 at most. Parts of any size
     are searched tile by tile. Returns (query_id, rank, vec_id, score).
@@ -185,7 +186,11 @@ def learned_partition_search(
     common.ship(embeddings.sparkSession)
     rows = tiles.usable(embeddings, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
     total = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows + held_rows).select("v").toPandas()["v"]
+    # The hashes below a bound hold about a fifth more rows than are wanted; the limit is what bounds the sample.
+    wanted = sample_rows + held_rows
+    below = int(min(1.0, 1.2 * wanted / max(total, 1)) * 2**31)
+    near = rows.where(F.shiftrightunsigned(F.xxhash64("vec_id"), 33) <= below).select(F.col("v").cast("array<float>").alias("v"), F.xxhash64("vec_id").alias("h"), "vec_id")
+    sample = near.orderBy("h", "vec_id").limit(wanted).select("v").toPandas()["v"]
     fitted: dict[int, tuple[Router, int]] = {}
     for dim in sorted({len(v) for v in sample}):
         x = np.array([v for v in sample if len(v) == dim], dtype=np.float64)

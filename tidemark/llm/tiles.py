@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW_TILE, QUERY_TILE = 1024, 512
@@ -104,23 +104,76 @@ def whole_inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[min(max(sum(x * y for x, y in zip(p, q, strict=True)), -limit), limit) for q in exact[1]] for p in exact[0]], dtype=np.int64)
 
 
+#: Lines a task gathers before it cuts them to the best of each query.
+GATHER = 200_000
+
+
+def compact(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query from lists (queries, ids, scores), sorted by query and place; equal ids count once."""
+    queries, ids, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((-scores, ids, queries))
+    queries, ids, scores = queries[order], ids[order], scores[order]
+    first = np.ones(len(ids), bool)
+    first[1:] = (queries[1:] != queries[:-1]) | (ids[1:] != ids[:-1])
+    queries, ids, scores = queries[first], ids[first], scores[first]
+    order = np.lexsort((ids, -scores, queries))
+    queries, ids, scores = queries[order], ids[order], scores[order]
+    starts = np.flatnonzero(np.concatenate([[True], queries[1:] != queries[:-1]])) if len(queries) else np.zeros(0, int)
+    place = np.arange(len(queries)) - np.repeat(starts, np.diff([*starts, len(queries)]))
+    keep = place < k
+    return queries[keep], ids[keep], scores[keep]
+
+
+def _lists(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """One line per query: its list so far."""
+    queries, ids, scores = found
+    starts = np.flatnonzero(np.concatenate([[True], queries[1:] != queries[:-1]])) if len(queries) else np.zeros(0, int)
+    offsets = pa.array(np.append(starts, len(queries)), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(queries[starts]), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(scores))], ["query_id", "ids", "scores"]
+    )
+
+
 def _score(measure: Callable, k: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best of each tile, merged within the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
         for batch in batches:
             for i in range(batch.num_rows):
                 dim = batch.column(0)[i].as_py()
                 ids, queries = (np.frombuffer(batch.column(c)[i].as_buffer(), "i8") for c in (1, 3))
                 rows, asked = (np.frombuffer(batch.column(c)[i].as_buffer(), "f8").reshape(-1, dim) for c in (2, 4))
                 query_id, vec_id, score = best(measure(asked, rows), ids, queries, k)
-                score = score.astype("i8") if whole else score
-                yield pa.RecordBatch.from_arrays([pa.array(query_id), pa.array(vec_id), pa.array(score)], ["query_id", "vec_id", "score"])
+                held.append((query_id, vec_id, score.astype("i8") if whole else score))
+                if sum(len(x[0]) for x in held) > GATHER:
+                    held = [compact(held, k)]
+                    if len(held[0][0]) > GATHER // 2:
+                        yield _lists(held.pop())
+        if held:
+            yield _lists(compact(held, k))
 
     return run
 
 
-def _top(df: DataFrame, keys: list[str], k: int) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _merge(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The lists of a query, all of which are in this task, merged into lines (query_id, rank, vec_id, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            lengths = np.diff(batch.column(1).offsets.to_numpy())
+            flat = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+            held.append((np.repeat(batch.column(0).to_numpy(), lengths), *flat))
+            if sum(len(x[0]) for x in held) > GATHER:
+                held = [compact(held, k)]
+        if held:
+            queries, ids, scores = compact(held, k)
+            starts = np.searchsorted(queries, queries, side="left")
+            rank = (np.arange(len(queries)) - starts + 1).astype("i4")
+            yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(rank), pa.array(ids), pa.array(scores)], ["query_id", "rank", "vec_id", "score"])
+
+    return run
 
 
 def tiled_top_k(rows: DataFrame, queries: DataFrame, k: int, *, whole: bool = False) -> DataFrame:
@@ -143,7 +196,7 @@ def tiled_top_k(rows: DataFrame, queries: DataFrame, k: int, *, whole: bool = Fa
     left = tiles(rows, "rb", ROW_TILE).select("g", "dim", F.col("b").alias("rb"), every("qb").alias("qb"), "ids", "vectors")
     right = tiles(queries, "qb", QUERY_TILE).select("g", "dim", F.col("b").alias("qb"), every("rb").alias("rb"), F.col("ids").alias("asked"), F.col("vectors").alias("asked_vectors"))
     pairs = left.join(right, ["g", "dim", "rb", "qb"]).select("dim", "ids", "vectors", "asked", "asked_vectors")
-    found = pairs.mapInArrow(_score(whole_inner if whole else inner, k, whole), f"query_id long, vec_id long, score {'long' if whole else 'double'}")
-    # Merged as a tree: per tile above, per task by the limit that Spark puts before the shuffle, then per query.
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return _top(merged, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # Merged as a tree: the best of a tile, of a task, of all.
+    kind = "long" if whole else "double"
+    lists = pairs.mapInArrow(_score(whole_inner if whole else inner, k, whole), f"query_id long, ids array<long>, scores array<{kind}>")
+    return lists.repartition("query_id").mapInArrow(_merge(k), f"query_id long, rank int, vec_id long, score {kind}")
