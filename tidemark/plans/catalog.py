@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans import fundamental, markets, portfolio, technical
+from tidemark.plans import fundamental, markets, portfolio, scalars, technical
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (technical, fundamental, portfolio, markets):
+for _part in (technical, fundamental, portfolio, markets, scalars):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 
