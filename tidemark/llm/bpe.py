@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 _LOADED: dict[str, dict[bytes, int]] = {}
-_PIECES: dict[str, tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]] = {}
-#: Pieces that a worker remembers at most, twice: the ones met lately, and those before them.
-REMEMBERED = 150_000
+#: Pieces that a task remembers at most, twice: the ones met lately, and those before them.
+REMEMBERED = 100_000
 NO_RANK = 1 << 60
 
 
@@ -86,7 +85,8 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 def _encoder(name: str):
     ranks = load_ranks(name)
-    lately, before = _PIECES.setdefault(name, ({}, {}))
+    lately: dict[str, tuple[int, ...]] = {}
+    before: dict[str, tuple[int, ...]] = {}
 
     def encode(pieces: list[str]) -> list[int]:
         nonlocal lately, before
@@ -100,7 +100,6 @@ def _encoder(name: str):
                     if len(lately) >= REMEMBERED:
                         lately, before = {}, lately
                         get = lately.get
-                        _PIECES[name] = lately, before
                     lately[p] = got
             ids += got
         return ids
@@ -177,13 +176,20 @@ def stitched(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataF
     return places.select("doc_id", "row_key", "copy", "at", "text", "lo", "hi", "last", whole.alias("met"))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
+def _then(first: Callable, second: Callable | None) -> Callable:
+    """Both in one worker, batch by batch."""
+    return first if second is None else lambda batches: second(first(batches))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 32_768, overlap: int = 1_024, finish: tuple[Callable, str] | None = None) -> DataFrame:
     """(doc_id, ids binary): the token ids of each text as little-endian 32-bit numbers.
 
     Texts longer than a chunk are cut into chunks that overlap. The chunks are pre-tokenised in parallel; the pieces of
     one chunk end where a boundary of it is also one of the next, and from there the next one's pieces count, since what
     the pattern matches depends only on what follows. Where no boundary agrees in an overlap, the text is encoded whole.
 
+    ``finish`` may give a function of batches (doc_id, ids), applied where they are made, and the schema of its result.
+
     * a null text counts as empty and has no ids; doc_id may be null;
     * repeated rows stay repeated; an empty table gives an empty result; further columns are ignored.
     """
@@ -191,7 +197,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 32_76
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.string_or_empty("text").alias("text"))
     fits = F.length("text") <= chunk + overlap
     ids = "ids binary"
-    short = texts.where(fits).mapInArrow(_whole(name, pattern), f"doc_id long, {ids}")
+    last, schema = finish or (None, f"doc_id long, {ids}")
+    short = texts.where(fits).mapInArrow(_then(_whole(name, pattern), last), schema)
     cut = texts.where(~fits).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text", F.length("text").alias("n"))
     starts = F.sequence(F.lit(0), F.ceil((F.col("n") - overlap) / F.lit(chunk)).cast("int") - 1)
     chunks = cut.select("doc_id", "row_key", F.explode(starts).alias("at"), "n", "text").select(
@@ -204,7 +211,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 32_76
     rest = unmet.select("doc_id", F.array_join(F.transform("c", lambda c: F.when(c["last"], c["text"]).otherwise(F.substring(c["text"], 1, chunk))), "").alias("text"))
     joined = parts.groupBy("doc_id", "row_key", "copy").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("c"))
     joined = joined.select("doc_id", F.aggregate("c", F.lit(b"").cast("binary"), lambda a, c: F.concat(a, c["ids"])).alias("ids"))
-    return short.unionByName(joined).unionByName(rest.mapInArrow(_whole(name, pattern), f"doc_id long, {ids}"))
+    joined = joined.mapInArrow(last, schema) if last else joined
+    return short.unionByName(joined).unionByName(rest.mapInArrow(_then(_whole(name, pattern), last), schema))
 
 
 def _digests(name: str):
@@ -212,16 +220,13 @@ def _digests(name: str):
         tokens = decoder_table(load_ranks(name))
         decimals = [str(i) for i in range(len(tokens))]
         for batch in batches:
-            held = [np.frombuffer(x.as_buffer(), "<i4").tolist() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(ids) for ids in held], pa.int64()),
-                    pa.array([hashlib.sha256(",".join([decimals[i] for i in ids]).encode()).hexdigest() for ids in held]),
-                    pa.array([hashlib.sha256(b"".join([tokens[i] for i in ids])).hexdigest() for ids in held]),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            counts, encoded, decoded = [], [], []
+            for value in batch.column(1):  # one text's ids at a time, for they are many objects
+                ids = np.frombuffer(value.as_buffer(), "<i4").tolist()
+                counts.append(len(ids))
+                encoded.append(hashlib.sha256(",".join([decimals[i] for i in ids]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([tokens[i] for i in ids])).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -249,7 +254,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(_sent(encoded.sparkSession, ranks_path)), "doc_id long, decoded binary")
 
 
-def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows, decoded on the way."""
+def digests(docs: DataFrame, ranks_path: str, pattern: str, **cuts: int) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text: encoded, and decoded again, in the same worker."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encoded.select("doc_id", "ids").mapInArrow(_digests(_sent(encoded.sparkSession, ranks_path)), schema)
+    return encode(docs, ranks_path, pattern, finish=(_digests(_sent(docs.sparkSession, ranks_path)), schema), **cuts)

@@ -155,19 +155,20 @@ def as_text(column):
 
 
 def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for value, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            text = value.as_py()
-            marks = base_spans(text) if "@" in text or _DIGIT.search(text) else []
-            marks = sorted([*marks, *((s["start"], s["kind"], s["end"]) for s in found or ())])
-            parts, done = [], 0
-            for start, kind, end in marks:
-                if start >= done:
-                    parts += [text[done:start], f"<{(*KINDS, FOUND)[kind].upper()}>"]
-                done = max(done, end)
-            out.append("".join(parts) + text[done:] if marks else text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            batch, out = whole.slice(lo, 256), []
+            for value, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = value.as_py()
+                marks = base_spans(text) if "@" in text or _DIGIT.search(text) else []
+                marks = sorted([*marks, *((s["start"], s["kind"], s["end"]) for s in found or ())])
+                parts, done = [], 0
+                for start, kind, end in marks:
+                    if start >= done:
+                        parts += [text[done:start], f"<{(*KINDS, FOUND)[kind].upper()}>"]
+                    done = max(done, end)
+                out.append("".join(parts) + text[done:] if marks else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
 
 
 #: Lines of found spans that are sent to every executor at most; beyond it the texts are joined by shuffling.

@@ -52,7 +52,7 @@ def op8_repeated_passages(spark, sf_dir):
 
 def op9_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.digests(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op10_line_field(spark, sf_dir):
