@@ -159,13 +159,18 @@ def repeated_passages(docs: DataFrame, *, width: int = 50, run: int = 10) -> Dat
     runs = common.checkpointed(texts.mapInArrow(_runs(width, run), "m long, x long, d long"))
     shared = runs.groupBy("m", "x").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("m", "x", "lo")
     marks = runs.join(shared, ["m", "x"]).groupBy("d").agg(
-        F.collect_set(F.when(F.col("x") == 0, F.col("m"))).alias("ms"), F.max((F.col("x") != 0) & (F.col("lo") < F.col("d"))).alias("copy")
-    )
-    # A copy repeats a smaller document word for word: all of it goes, and what it repeats is known from the other.
-    asked = texts.join(marks.where("NOT copy").select("d", "ms").hint("shuffle_hash"), "d").select("d", "text", "ms")
-    windows = asked.mapInArrow(_windows(width, run), "m long, w long, d long")
-    first = windows.groupBy("m", "w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("m", "w", "lo")
-    repeats = windows.join(first, ["m", "w"]).where("lo < d").groupBy("d").agg(F.collect_set("w").alias("ws"))
+        F.collect_set(F.when(F.col("x") == 0, F.col("m"))).alias("ms"), F.collect_set(F.when((F.col("x") == 0) & (F.col("lo") < F.col("d")), F.col("m"))).alias("later"),
+        F.max((F.col("x") != 0) & (F.col("lo") < F.col("d"))).alias("copy"),
+    )
+
+    def windows(runs_of: str) -> DataFrame:
+        # A copy repeats a smaller document word for word: all of it goes, and what it repeats is known from the other.
+        wanted = marks.where(~F.col("copy") & (F.size(runs_of) > 0)).select("d", F.col(runs_of).alias("ms"))
+        return texts.join(wanted.hint("shuffle_hash"), "d").select("d", "text", "ms").mapInArrow(_windows(width, run), "m long, w long, d long")
+
+    first = windows("ms").groupBy("m", "w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("m", "w", "lo")
+    # A window whose run is in no smaller document is in none either: it counts above, but need not be asked for here.
+    repeats = windows("later").join(first, ["m", "w"]).where("lo < d").groupBy("d").agg(F.collect_set("w").alias("ws"))
     judged = marks.select("d", "copy").join(repeats, "d", "full")
     judged = texts.join(judged.hint("shuffle_hash"), "d", "left").select("d", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ws")
     found = judged.mapInArrow(_kept(width, run), "d long, n_words long, removed array<struct<start: bigint, end: bigint>>, kept string")
