@@ -178,3 +178,57 @@ def test_max_pain_equals_the_full_comparison(spark):
     pain = {s: sum(oi * (max(s - k, 0) if kind == "call" else max(k - s, 0)) for _, kind, k, oi in rows) for s in strikes}
     got = one(markets.max_pain(spark.createDataFrame(rows, "ticker string, kind string, strike double, oi long")))
     assert got["strike"] == min(strikes, key=lambda s: (pain[s], s)) and got["pain"] == pytest.approx(min(pain.values()))
+
+
+def test_json_sources(spark, tmp_path):
+    import json
+
+    n = 6
+    bars = {"ticker": "X", "timestamps": [86_400 * i for i in range(n)], "opens": [1.0] * n, "highs": [2.0] * n, "lows": [0.5] * n, "closes": [1.0, None, 1.2, 1.3, 1.4, 1.5], "volumes": [10.0] * n}
+    short = bars | {"ticker": "Y", "closes": [1.0, None, None, 1.3, 1.4, 1.5]}
+    for b in (bars, short):
+        (tmp_path / f"bars-{b['ticker']}.json").write_text(json.dumps(b))
+    got = files.json_bars(spark, str(tmp_path / "bars-*.json")).collect()
+    assert {r["ticker"] for r in got} == {"X"} and len(got) == 5
+    article = {"title": "T", "url": "u", "time_published": "20240102T030405", "summary": "s" * 400, "ticker_sentiment": [{"ticker": "X", "ticker_sentiment_score": "0.4", "ticker_sentiment_label": "Somewhat-Bullish"}]}
+    (tmp_path / "news.json").write_text(json.dumps(article) + "\n" + json.dumps(article | {"title": ""}))
+    r = one(files.news_json(spark, str(tmp_path / "news.json"), "X"))
+    assert (r["score"], r["sentiment"], len(r["summary"]), str(r["published"])) == (0.4, "bullish", 300, "2024-01-02 03:04:05")
+    (tmp_path / "senate.json").write_text(json.dumps([{"senator": "A", "ticker": "x", "type": "buy", "transaction_date": "01/15/2024"}]))
+    (tmp_path / "house.json").write_text(json.dumps([{"representative": "B", "ticker": "Y", "type": "sell", "transaction_date": "2024-01-16"}, {"representative": "C", "ticker": "Z", "type": "sell", "transaction_date": "soon"}]))
+    got = {r["person"]: (r["chamber"], r["ticker"], str(r["d"])) for r in files.disclosures(spark, str(tmp_path / "senate.json"), str(tmp_path / "house.json")).collect()}
+    assert got == {"A": ("senate", "X", "2024-01-15"), "B": ("house", "Y", "2024-01-16"), "C": ("house", "Z", "None")}
+    (tmp_path / "external.json").write_text(json.dumps({"holdings": {"AAA": {"quantity": 2, "cost_price": 3.5, "currency": "USD"}}}))
+    assert one(files.external_holdings(spark, str(tmp_path / "external.json"))).asDict() == {"ticker": "AAA", "quantity": 2.0, "cost_price": 3.5, "currency": "USD"}
+    (tmp_path / "series.csv").write_text("DATE,X\n2020-01-01,1.5\n2020-02-01,.\n2020-03-01,2.5\n")
+    assert [r["value"] for r in files.series_csv(spark, str(tmp_path / "series.csv"), 1).collect()] == [2.5]
+
+
+def test_report_sink(spark, tmp_path):
+    df = spark.createDataFrame([("X", 1)], "ticker string, score int")
+    for run in ("r1", "r2"):
+        files.write_report(df, str(tmp_path / "reports"), run)
+    assert {r["run_id"] for r in spark.read.json(str(tmp_path / "reports")).collect()} == {"r1", "r2"}
+
+
+def test_stream_into_table(spark, tmp_path):
+    from tidemark.streaming import events
+
+    query = events.into_table(events.read(spark, "/root/testdata/sf0.001"), str(tmp_path / "out"), str(tmp_path / "check"), "event_id")
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
+
+
+def test_minimum_variance_respects_the_cap(spark):
+    rng = random.Random(4)
+    rows = [(f"T{k}", i, rng.gauss(0, 0.01 * (k + 1))) for k in range(6) for i in range(1, 121)]
+    got = {r["ticker"]: r["weight"] for r in portfolio.minimum_variance(spark.createDataFrame(rows, "ticker string, rn_desc int, r double")).collect()}
+    assert sum(got.values()) == pytest.approx(1) and max(got.values()) <= 0.3 + 1e-9 and got["T0"] > got["T5"]
+    assert portfolio.minimum_variance(spark.createDataFrame(rows[:240], "ticker string, rn_desc int, r double")).count() == 0
+
+
+def test_clusters_are_greedy(spark):
+    book = spark.createDataFrame([(t, 0.2) for t in "ABCDE"], "ticker string, weight double")
+    corr = spark.createDataFrame([("A", "B", 0.9), ("A", "C", 0.85), ("A", "D", 0.8), ("D", "E", 0.9)], "a string, b string, corr double")
+    got = portfolio.clusters(book, corr).collect()
+    assert [(r["seed"], r["names"]) for r in got] == [("A", "A,B,C,D")] and got[0]["weight"] == pytest.approx(0.8)
