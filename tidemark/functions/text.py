@@ -57,3 +57,10 @@ def cache_key(*parts: Column) -> Column:
 def canonical_hash(struct: Column) -> Column:
     """SHA-256 of a struct as JSON; name its fields in order."""
     return F.sha2(F.to_json(struct), 256)
+
+
+def html_escaped(text: Column) -> Column:
+    """Text with the five characters that mean something in HTML as references."""
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(escaped))
+    return text

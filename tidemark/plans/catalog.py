@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans import fundamental, markets, portfolio, scalars, technical
+from tidemark.plans import feeds, fundamental, markets, portfolio, scalars, technical
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (technical, fundamental, portfolio, markets, scalars):
+for _part in (technical, fundamental, portfolio, markets, scalars, feeds):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 

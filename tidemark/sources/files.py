@@ -59,12 +59,17 @@ def portfolio_markdown(spark: SparkSession, path: str) -> DataFrame:
 
     A heading sets the currency of the rows after it, so the lines of one file are read in order, whole.
     """
-    files = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"), F.input_file_name().alias("file"))
+    files = spark.read.text(path, wholetext=True)
+    return holdings_in(files.select(F.posexplode(F.split("value", "\n")).alias("at", "line"), F.input_file_name().alias("file"))).drop("file")
+
+
+def holdings_in(lines: DataFrame) -> DataFrame:
+    """Holdings (file, company, ticker, quantity, cost_price, currency) of lines (file, at, line) of Markdown."""
     heading = F.regexp_extract("line", r"^#+ .*\b(USD|SGD|HKD|JPY|KRW|CNY|EUR|GBP)\b", 1)
     w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = files.withColumn("currency", F.coalesce(F.last(F.when(heading != "", heading), ignorenulls=True).over(w), F.lit("USD")))
+    rows = lines.withColumn("currency", F.coalesce(F.last(F.when(heading != "", heading), ignorenulls=True).over(w), F.lit("USD")))
     cell = lambda i: F.trim(F.replace(F.replace(F.get(F.split("line", r"\|"), F.lit(i)), F.lit("**"), F.lit("")), F.lit(","), F.lit("")))
-    out = rows.where(F.ltrim("line").startswith("|")).select(cell(1).alias("company"), cell(2).alias("ticker"), number(cell(3)).alias("quantity"), number(cell(4)).alias("cost_price"), "currency")
+    out = rows.where(F.ltrim("line").startswith("|")).select("file", cell(1).alias("company"), cell(2).alias("ticker"), number(cell(3)).alias("quantity"), number(cell(4)).alias("cost_price"), "currency")
     return out.where("quantity IS NOT NULL AND cost_price IS NOT NULL AND lower(company) NOT LIKE 'total%'")
 
 
