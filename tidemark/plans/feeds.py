@@ -183,7 +183,7 @@ def src26(spark, sf_dir):
     return rounded(T.positions(spark, sf_dir).groupBy("broker", "currency").agg(F.count_distinct("account").alias("accounts"), F.sum("paid").alias("paid")), 2)
 
 
-@register("src29_portfolio_markdown", "SELECT account, ticker, round(quantity, 4) AS quantity, round(cost_price, 4) AS cost_price, currency FROM t_holdings")
+@register("src29_portfolio_markdown", "SELECT account, ticker, round(quantity, 4) AS quantity, round(quantity * cost_price, 2) AS cost, currency FROM t_holdings")
 def src29(spark, sf_dir):
     """Markdown lines of every account are parsed again: the heading gives the currency of the rows below it."""
     rows = T.holdings(spark, sf_dir)
@@ -191,7 +191,7 @@ def src29(spark, sf_dir):
     head = rows.select("account", "currency").distinct().select("account", F.lit(0).alias("part"), F.lit("").alias("ticker"), F.concat(F.lit("## Held in "), "currency").alias("line"))
     titles = head.select("account", F.lit(1).alias("part"), "ticker", F.lit("| Company | Ticker | Quantity | Cost |").alias("line"))
     lines = head.unionByName(titles).unionByName(body).select(F.col("account").alias("file"), F.struct("part", "ticker").alias("at"), "line")
-    return rounded(files.holdings_in(lines).select(F.col("file").alias("account"), "ticker", "quantity", "cost_price", "currency"), 4)
+    return rounded(files.holdings_in(lines).select(F.col("file").alias("account"), "ticker", "quantity", (F.col("quantity") * F.col("cost_price")).alias("cost"), "currency"), 4, cost=2)
 
 
 @register("src30_external_holdings", "SELECT account, ticker, quantity, currency FROM t_holdings")
