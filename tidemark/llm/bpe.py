@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,23 +42,23 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     whole = ranks.get(piece)
     if whole is not None:
         return (whole,)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) > 256:
-        return _merge_long(parts, ranks)
+    n = len(piece)
+    if n > 256:
+        return _merge_long([piece[i : i + 1] for i in range(n)], ranks)
     get = ranks.get
-    pairs = [get(a + b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
+    starts = list(range(n + 1))
+    pairs = [get(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
     while pairs:
         least = min(pairs)
         if least == NO_RANK:
             break
         at = pairs.index(least)
-        parts[at] += parts.pop(at + 1)
-        del pairs[at]
+        del starts[at + 1], pairs[at]
         if at < len(pairs):
-            pairs[at] = get(parts[at] + parts[at + 1], NO_RANK)
+            pairs[at] = get(piece[starts[at] : starts[at + 2]], NO_RANK)
         if at:
-            pairs[at - 1] = get(parts[at - 1] + parts[at], NO_RANK)
-    return tuple([ranks[p] for p in parts])
+            pairs[at - 1] = get(piece[starts[at - 1] : starts[at + 1]], NO_RANK)
+    return tuple([ranks[piece[i:j]] for i, j in zip(starts, starts[1:], strict=False)])
 
 
 def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -84,25 +85,28 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 def _encoder(name: str):
+    """A function of pieces that gives their ids as little-endian 32-bit numbers; it remembers the pieces met lately."""
     ranks = load_ranks(name)
-    lately: dict[str, tuple[int, ...]] = {}
-    before: dict[str, tuple[int, ...]] = {}
+    lately: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
 
-    def encode(pieces: list[str]) -> list[int]:
+    def learn(p: str) -> bytes:
         nonlocal lately, before
-        ids: list[int] = []
-        get = lately.get
-        for p in pieces:
-            got = get(p)
-            if got is None:
-                got = before.get(p) or merge(p.encode("utf-8"), ranks)
-                if len(p) < 64:
-                    if len(lately) >= REMEMBERED:
-                        lately, before = {}, lately
-                        get = lately.get
-                    lately[p] = got
-            ids += got
-        return ids
+        got = lately.get(p) or before.get(p)
+        if got is None:
+            ids = merge(p.encode("utf-8"), ranks)
+            got = struct.pack(f"<{len(ids)}i", *ids)
+        if len(p) < 64:
+            if len(lately) >= REMEMBERED:
+                lately, before = {}, lately
+            lately[p] = got
+        return got
+
+    def encode(pieces: list[str]) -> bytes:
+        found = list(map(lately.get, pieces))
+        if None in found:
+            found = [learn(p) if x is None else x for p, x in zip(pieces, found, strict=True)]
+        return b"".join(found)
 
     return encode
 
@@ -115,7 +119,7 @@ def _whole(name: str, pattern: str):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [np.array(encode(split(t.as_py())), "<i4").tobytes() for t in part.column(1)]
+                ids = [encode(split(t.as_py())) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
@@ -155,7 +159,7 @@ def _between(name: str, pattern: str, size: int):
                 at, text, lo, hi = (batch.column(c)[i].as_py() for c in (3, 4, 5, 6))
                 # A pre-token ends where the next one starts, so the chunk may end there as well.
                 pieces = compiled.findall(text, lo - at * size, len(text) if hi is None else hi - at * size)
-                ids = pa.array([np.array(encode(pieces), "<i4").tobytes()], pa.binary())
+                ids = pa.array([encode(pieces)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(4)), ids], ["doc_id", "row_key", "copy", "at", "ids"])
 
     return run
