@@ -232,3 +232,8 @@ def test_clusters_are_greedy(spark):
     corr = spark.createDataFrame([("A", "B", 0.9), ("A", "C", 0.85), ("A", "D", 0.8), ("D", "E", 0.9)], "a string, b string, corr double")
     got = portfolio.clusters(book, corr).collect()
     assert [(r["seed"], r["names"]) for r in got] == [("A", "A,B,C,D")] and got[0]["weight"] == pytest.approx(0.8)
+
+
+def test_html_escape(spark):
+    rows = spark.createDataFrame([("a < b & \"c\" > 'd'",), ("",), (None,)], "t string").select(text.html_escaped(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ["a &lt; b &amp; &quot;c&quot; &gt; &#x27;d&#x27;", "", None]
