@@ -311,6 +311,16 @@ def test_repeated_passages_null_and_repeated_ids(spark):
     assert substrings.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shared", [None, 8])
+def test_a_copy_leaves_other_texts_of_its_id_alone(spark, shared):
+    p, q, tail = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqt")
+    texts = [p, p, q, "x " + p, "", tail] + ([q + " y"] if shared else [])
+    ids = [7, shared, shared, shared, shared, 3] + ([9] if shared else [])
+    got = substrings.repeated_passages(docs_of(spark, texts, ids)).collect()
+    wanted = [(7, p), (shared, ""), (shared, q), (shared, "x"), (shared, ""), (3, tail)] + ([(9, "y")] if shared else [])
+    assert sorted(map(repr, ((r["doc_id"], r["kept"]) for r in got))) == sorted(map(repr, wanted))
+
+
 # ------------------------------------------------------------------ 9
 
 def test_bpe_is_the_reference_encoding(spark):

@@ -68,29 +68,32 @@ def rolling(words: list[str], width: int, run: int) -> tuple[np.ndarray, np.ndar
 
 
 def _runs(width: int, run: int):
-    """Lines (m, x, d): the least runs of each document, and a line with x for its whole sequence of words."""
+    """Lines (m, x, d): the least runs of each row, and two hashes of its whole sequence of words.
+
+    ``x`` is the row's key, whose two lowest bits are free, with the line's kind in them: 0 a run, 1 and 2 the whole.
+    """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = re.compile(common.WORD).findall
         for batch in batches:
             m, x, d = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = split(text.as_py())
                 if len(words) < width:
                     continue
                 least = np.unique(rolling(words, width, run)[1])
                 joined = " ".join(words).encode("utf-8", "surrogatepass")
-                m += [least, np.array([xxhash.xxh64_intdigest(joined, 1)], np.uint64)]
-                x += [np.zeros(len(least), np.uint64), np.array([xxhash.xxh64_intdigest(joined, 2) | 1], np.uint64)]
-                d.append(np.full(len(least) + 1, doc, np.int64))
+                m += [least, np.array([xxhash.xxh64_intdigest(joined, 1), xxhash.xxh64_intdigest(joined, 2)], np.uint64)]
+                x += [np.full(len(least), key, np.int64), np.array([key | 1, key | 2], np.int64)]
+                d.append(np.full(len(least) + 2, doc, np.int64))
             if d:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(m).view("i8")), pa.array(np.concatenate(x).view("i8")), pa.array(np.concatenate(d))], ["m", "x", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(m).view("i8")), pa.array(np.concatenate(x)), pa.array(np.concatenate(d))], ["m", "x", "d"])
 
     return go
 
 
 def _windows(width: int, run: int):
-    """Lines (m, w, d): the distinct windows of a document whose least run is one of those given."""
+    """Lines (m, w, d, k): the distinct windows of a row whose least run is one of those given."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = re.compile(common.WORD).findall
@@ -104,8 +107,9 @@ def _windows(width: int, run: int):
                 at = np.isin(least, wanted)
                 windows, first = np.unique(windows[at], return_index=True)
                 if len(windows):
-                    columns = least[at][first].view("i8"), windows.view("i8"), np.full(len(windows), batch.column(0)[i].as_py(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["m", "w", "d"])
+                    row = (np.full(len(windows), batch.column(c)[i].as_py(), np.int64) for c in (0, 3))
+                    columns = least[at][first].view("i8"), windows.view("i8"), *row
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["m", "w", "d", "k"])
 
     return go
 
@@ -156,22 +160,26 @@ def repeated_passages(docs: DataFrame, *, width: int = 50, run: int = 10) -> Dat
     """
     common.ship(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), common.string_or_empty("text").alias("text"))
-    runs = common.checkpointed(texts.mapInArrow(_runs(width, run), "m long, x long, d long"))
-    shared = runs.groupBy("m", "x").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("m", "x", "lo")
-    marks = runs.join(shared, ["m", "x"]).groupBy("d").agg(
-        F.collect_set(F.when(F.col("x") == 0, F.col("m"))).alias("ms"), F.collect_set(F.when((F.col("x") == 0) & (F.col("lo") < F.col("d")), F.col("m"))).alias("later"),
-        F.max((F.col("x") != 0) & (F.col("lo") < F.col("d"))).alias("copy"),
+    # Rows may share an id, so what is found is kept by id and text.
+    texts = texts.withColumn("k", F.xxhash64("text").bitwiseAND(-4))
+    runs = common.checkpointed(texts.select("d", "text", "k").mapInArrow(_runs(width, run), "m long, x long, d long"))
+    kind = F.col("x").bitwiseAND(3)
+    shared = runs.groupBy("m", kind.alias("kind")).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select(F.col("m").alias("of_m"), F.col("kind").alias("of_kind"), "lo")
+    met = runs.join(shared, (F.col("m") == F.col("of_m")) & (kind == F.col("of_kind")))
+    marks = met.groupBy("d", F.col("x").bitwiseAND(-4).alias("k")).agg(
+        F.collect_set(F.when(kind == 0, F.col("m"))).alias("ms"), F.collect_set(F.when((kind == 0) & (F.col("lo") < F.col("d")), F.col("m"))).alias("later"),
+        (F.max((kind == 1) & (F.col("lo") < F.col("d"))) & F.max((kind == 2) & (F.col("lo") < F.col("d")))).alias("copy"),
     )
 
     def windows(runs_of: str) -> DataFrame:
         # A copy repeats a smaller document word for word: all of it goes, and what it repeats is known from the other.
-        wanted = marks.where(~F.col("copy") & (F.size(runs_of) > 0)).select("d", F.col(runs_of).alias("ms"))
-        return texts.join(wanted.hint("shuffle_hash"), "d").select("d", "text", "ms").mapInArrow(_windows(width, run), "m long, w long, d long")
+        wanted = marks.where(~F.col("copy") & (F.size(runs_of) > 0)).select("d", "k", F.col(runs_of).alias("ms"))
+        return texts.join(wanted.hint("shuffle_hash"), ["d", "k"]).select("d", "text", "ms", "k").mapInArrow(_windows(width, run), "m long, w long, d long, k long")
 
     first = windows("ms").groupBy("m", "w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("m", "w", "lo")
     # A window whose run is in no smaller document is in none either: it counts above, but need not be asked for here.
-    repeats = windows("later").join(first, ["m", "w"]).where("lo < d").groupBy("d").agg(F.collect_set("w").alias("ws"))
-    judged = marks.select("d", "copy").join(repeats, "d", "full")
-    judged = texts.join(judged.hint("shuffle_hash"), "d", "left").select("d", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ws")
+    repeats = windows("later").join(first, ["m", "w"]).where("lo < d").groupBy("d", "k").agg(F.collect_set("w").alias("ws"))
+    judged = marks.select("d", "k", "copy").join(repeats, ["d", "k"], "full")
+    judged = texts.join(judged.hint("shuffle_hash"), ["d", "k"], "left").select("d", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ws")
     found = judged.mapInArrow(_kept(width, run), "d long, n_words long, removed array<struct<start: bigint, end: bigint>>, kept string")
     return found.select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), "n_words", "removed", "kept")
