@@ -231,6 +231,17 @@ def test_contexts_find_what_the_patterns_do_not(spark):
     assert pii.spans(docs_of(spark, [])).count() == 0 and pii.masked(docs_of(spark, [])).count() == 0
 
 
+def test_candidates_without_digits_and_of_any_length(spark):
+    seeds = [f"please write to user{i}@mail{i}.example.com now" for i in range(12)]
+    key = "k7" * 40
+    texts = [*seeds, "please write to bob@intranet now", f"please write to {key} now", "ask bob@intranet", "no such token"]
+    rows = {r["doc_id"]: r for r in pii.spans(docs_of(spark, texts)).collect()}
+    found = {i: [texts[i][s["start"] : s["end"]] for s in rows[i]["found"]] for i in range(12, 16)}
+    assert found == {12: ["bob@intranet"], 13: [key], 14: ["bob@intranet"], 15: []}
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(docs_of(spark, texts)).collect()}
+    assert masked[12] == masked[13] == "please write to <CONTEXT> now" and masked[14] == "ask <CONTEXT>"
+
+
 # ------------------------------------------------------------------ 5
 
 def test_url_rules_and_reputation(spark):

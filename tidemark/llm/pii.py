@@ -79,9 +79,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seen = [], []
         for value in batch.column(2):
             text = value.as_py()
-            spans = base_spans(text) if "@" in text or _DIGIT.search(text) else []
+            marked = "@" in text or _DIGIT.search(text)
+            spans = base_spans(text) if marked else []
             candidates = [(a, b, True) for a, _, b in spans]
-            if spans or _DIGIT.search(text):
+            if marked:
                 taken = iter([*candidates, (len(text) + 1, len(text) + 1, True)])
                 a, b, _ = next(taken)
                 for m in _TOKEN.finditer(text):
@@ -89,7 +90,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hi = m.end() - (len(m.group()) - len(m.group().rstrip(_EDGES)))
                     while b <= lo:
                         a, b, _ = next(taken)
-                    if hi <= a and 4 <= hi - lo <= 64 and (len(_DIGIT.findall(text, lo, hi)) >= 4 or "@" in text[lo:hi]):
+                    if hi <= a and hi - lo >= 4 and (len(_DIGIT.findall(text, lo, hi)) >= 4 or "@" in text[lo:hi]):
                         candidates.append((lo, hi, False))
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
             seen.append([
