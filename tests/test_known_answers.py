@@ -219,6 +219,31 @@ def test_stream_into_table(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
 
 
+def test_streams_read_a_folder_of_part_files_in_batches(spark, tmp_path):
+    import datetime
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidemark.plans import catalog
+
+    (tmp_path / "events.parquet").mkdir()
+    kind = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("event_type", pa.string()), ("value", pa.float64()), ("props", pa.string())])
+    for i in range(25):
+        # Four batches, ten days apart. User 1 is in the first and in the last one only, when its state is long gone.
+        ts = datetime.datetime(2024, 1, 1) + datetime.timedelta(days=10 * (i // 8))
+        rows = [{"event_id": 2 * i + j, "ts": ts, "user_id": u, "event_type": "view", "value": 1.5, "props": "{}"} for j, u in enumerate([2, 1] if i in (0, 1, 24) else [2])]
+        pq.write_table(pa.Table.from_pylist(rows, kind), tmp_path / "events.parquet" / f"part-{i:05d}.parquet")
+        os.utime(tmp_path / "events.parquet" / f"part-{i:05d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    collected = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert collected("stm01_state_with_ttl") == [(1, 3, 4.5), (2, 25, 37.5)]
+    assert collected("stm_deduplication") == [("view", 28)]
+    assert collected("stm_session_windows") == [(1, 2, 3), (2, 4, 25)]
+    assert [r[1:] for r in collected("stm_tumbling_windows")] == [("view", 10, 15.0), ("view", 8, 12.0), ("view", 8, 12.0), ("view", 2, 3.0)]
+    assert sorted(r[1] for r in collected("stm_sliding_windows")) == [2, 2, 8, 8, 8, 8, 10, 10]
+
+
 def test_minimum_variance_respects_the_cap(spark):
     rng = random.Random(4)
     rows = [(f"T{k}", i, rng.gauss(0, 0.01 * (k + 1))) for k in range(6) for i in range(1, 121)]

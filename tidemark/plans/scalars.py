@@ -279,21 +279,23 @@ def stm_sliding(spark, sf_dir):
     SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS n FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
         SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL) GROUP BY user_id""")
 def stm_sessions(spark, sf_dir):
-    done = S.drain(spark, S.sessions(S.read(spark, sf_dir)))
-    return done.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+    per_user = lambda batch: batch.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+    return S.drain(spark, S.sessions(S.read(spark, sf_dir)), fold=per_user)
 
 
 @register("stm_deduplication", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stm_dedup(spark, sf_dir):
     e = S.read(spark, sf_dir)
-    done = S.drain(spark, S.deduplicated(e).select("event_id", "event_type"), "append")
-    return done.groupBy("event_type").agg(F.count("*").alias("n"))
+    counted = lambda batch: batch.groupBy("event_type").agg(F.count("*").alias("n"))
+    done = S.drain(spark, S.deduplicated(e).select("event_id", "event_type"), "append", counted)
+    return done.groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
 @register("stm01_state_with_ttl", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stm01(spark, sf_dir):
     done = S.drain(spark, S.running_totals(S.read(spark, sf_dir)), "update")
-    return rounded(done.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total")), 4)
+    epochs = done.groupBy("user_id", "epoch").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+    return rounded(epochs.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), 4)
 
 
 @register("stm02_rate_limit", "SELECT user_id, count(*) FILTER (r <= 2) AS passed, count(*) FILTER (r > 2) AS held FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS r FROM events) GROUP BY user_id")

@@ -1,12 +1,12 @@
 """Streams over the events: windows with watermarks, sessions, deduplication, and the state of the ledger.
 
 Each function takes a streaming (or a static) DataFrame of events and returns one; ``drain`` runs a stream over what is
-there and returns the result as a table.
+there and returns the result as a table of files in the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pandas as pd
@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.llm import common
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The events of a folder as a stream of new files."""
-    return spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(folder)
+    """The events of a folder as a stream of new files: events.parquet is a file or a folder of them."""
+    # By its plain name only a folder can be streamed from, by a pattern both.
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 8).parquet(f"{folder}/events.parque[t]")
 
 
 def tumbling(events: DataFrame, size: str = "1 day", late: str = "2 hours") -> DataFrame:
@@ -42,30 +45,47 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def running_totals(events: DataFrame, ttl_ms: int = 86_400_000, late: str = "1 day") -> DataFrame:
-    """Per user the number and sum of events so far, kept in state that is dropped ``ttl_ms`` of event time after the last."""
+    """Per user the number and sum of events so far, kept in state that is dropped ``ttl_ms`` of event time after the last.
+
+    ``epoch`` is the watermark at which the state began: after a drop the user's next events are counted from zero in a
+    later one, so a user's total is the sum over the epochs of the last line of each.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        n, total = state.get if state.exists else (0, 0.0)
+        n, total, epoch = state.get if state.exists else (0, 0.0, state.getCurrentWatermarkMs())
         newest = 0
         for frame in frames:
             n, total, newest = n + len(frame), total + float(frame.value.sum()), max(newest, int(frame.ts.max().timestamp() * 1000))
-        state.update((n, total))
+        state.update((n, total, epoch))
         state.setTimeoutTimestamp(max(newest + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+        yield pd.DataFrame({"user_id": [key[0]], "epoch": [epoch], "n": [n], "total": [total]})
 
     kept = events.withWatermark("ts", late).groupBy("user_id")
-    return kept.applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.EventTimeTimeout)
+    return kept.applyInPandasWithState(step, "user_id long, epoch long, n long, total double", "n long, total double, epoch long", "update", GroupStateTimeout.EventTimeTimeout)
+
 
+def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete", fold: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+    """Run the stream over all files that are there; the result from Parquet in the shared folder, of any size.
+
+    ``fold`` is applied to each batch before it is written. A complete result is that of the last batch; else those of all
+    batches are there one below the other.
+    """
+    folder, written = f"{common.shared_folder(spark)}/stream-{uuid4().hex}", {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        out = fold(batch)
+        out.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        written[number] = out.schema
 
-def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run the stream over all files that are there; the result from a table in memory, for small results only."""
-    name = f"drained_{uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not written:
+        return fold(spark.createDataFrame([], stream.schema))
+    numbers = [max(written)] if mode == "complete" else sorted(written)
+    return spark.read.schema(written[numbers[0]]).parquet(*(f"{folder}/batch-{n}" for n in numbers))
 
 
 def into_table(stream: DataFrame, path: str, checkpoint: str, key: str):
