@@ -260,6 +260,16 @@ def test_url_rules_and_reputation(spark):
     assert urls.judge(pages, outcomes.limit(0)).where("verdict = 'block'").count() == 3
 
 
+def test_hosts_without_outcomes_are_judged_by_the_levels_above(spark):
+    given = [f"http://h{i}.spam.net/a" for i in range(40)] + [f"http://h{i}.fine.net/a" for i in range(40)] + [f"http://d{i}.zip/a" for i in range(40)]
+    new = ["http://new.spam.net/x", "http://new.fine.net/x", "http://new.zip/x", "http://new.other/x", None]
+    pages = spark.createDataFrame(list(enumerate(given + new)), "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(not 40 <= i < 80)) for i in range(120)], "page_id long, bad int")
+    got = {r["page_id"]: r for r in urls.judge(pages, outcomes).collect()}
+    assert [got[i]["verdict"] for i in range(120, 125)] == ["block", "allow", "block", "allow", "allow"]
+    assert all((got[i]["n_labelled"], got[i]["n_bad"]) == (0, 0) for i in range(120, 125))
+
+
 # ------------------------------------------------------------------ 6
 
 CASES = {

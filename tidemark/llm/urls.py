@@ -65,12 +65,13 @@ def _strength(groups: DataFrame, parent: str, least: float, most: float) -> Data
     return usable.select(F.col(parent).alias(f"{parent}_key"), F.round(k, 3).alias("k"))
 
 
-def reputation(outcomes: DataFrame, *, least: float = 2.0, most: float = 500.0) -> DataFrame:
-    """The beta posterior of the bad rate of each host from labelled outcomes (host, bad 0/1).
+def reputation(outcomes: DataFrame, *, least: float = 2.0, most: float = 500.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The beta posterior of the bad rate of each host from labelled outcomes (host, bad 0/1), and the priors above it.
 
     Counts are shrunk along global rate, suffix, registered domain and host: each level's rate is a beta-binomial prior of
     the next, worth as many outcomes as the spread of its children's rates says, between ``least`` and ``most``. Returns
-    (host, n, bad, alpha, beta). Hosts without labelled outcomes are not in it.
+    (host, n, bad, alpha, beta), (domain, mu, k) and (suffix, mu, k). Hosts without labelled outcomes
+    are not in the first; their prior is that of the nearest level that is there.
     """
     counted = F.sum("n").alias("n"), F.sum("bad").alias("bad")
     hosts = with_domains(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))).where("n > 0")
@@ -78,26 +79,26 @@ def reputation(outcomes: DataFrame, *, least: float = 2.0, most: float = 500.0)
     suffixes = domains.groupBy("suffix").agg(*counted).withColumn("top", F.lit(0))
     total = suffixes.groupBy("top").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
 
+    def prior(rates: DataFrame, children: DataFrame, name: str) -> DataFrame:
+        return rates.join(_strength(children, name, least, most), F.col(name) == F.col(f"{name}_key")).select(name, "mu", "k")
+
     def shrunk(level: DataFrame, parent: str, up: DataFrame, name: str) -> DataFrame:
-        k = _strength(level, parent, least, most)
-        return (
-            level.join(up, parent).join(k, F.col(parent) == F.col(f"{parent}_key"))
-            .withColumn(name, (F.col("bad") + F.col("k") * F.col("mu")) / (F.col("n") + F.col("k"))).drop("k", f"{parent}_key")
-        )
+        return level.join(up, parent).select(name, ((F.col("bad") + F.col("k") * F.col("mu")) / (F.col("n") + F.col("k"))).alias("mu"))
 
-    root = total.select("top", (F.col("all_bad") / F.col("all_n")).alias("mu"))
-    by_suffix = shrunk(suffixes, "top", root, "mu_suffix").select("suffix", F.col("mu_suffix").alias("mu"))
-    by_domain = shrunk(domains, "suffix", by_suffix, "mu_domain").select("domain", F.col("mu_domain").alias("mu"))
-    k = _strength(hosts, "domain", least, most)
-    found = hosts.join(by_domain, "domain").join(k, F.col("domain") == F.col("domain_key"))
-    return found.select("host", "n", "bad", (F.col("bad") + F.col("k") * F.col("mu")).alias("alpha"), (F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("mu"))).alias("beta"))
+    root = prior(total.select("top", (F.col("all_bad") / F.col("all_n")).alias("mu")), suffixes, "top")
+    by_suffix = prior(shrunk(suffixes, "top", root, "suffix"), domains, "suffix")
+    by_domain = prior(shrunk(domains, "suffix", by_suffix, "domain"), hosts, "domain")
+    found = hosts.join(by_domain, "domain")
+    found = found.select("host", "n", "bad", (F.col("bad") + F.col("k") * F.col("mu")).alias("alpha"), (F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("mu"))).alias("beta"))
+    return found, by_domain, by_suffix
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, *, rules=RULES, block_above: float = 0.35, z: float = 1.645) -> DataFrame:
     """Every page with (host, path, rule, verdict, n_labelled, n_bad): the rule's verdict, else the reputation's.
 
     ``outcomes`` has (page_id, bad 0/1) for some pages. A host is blocked where the lower posterior bound of its bad rate
-    (mean less z standard deviations) is above ``block_above``; hosts without outcomes and empty hosts are allowed.
+    (mean less z standard deviations) is above ``block_above``. A host without outcomes is judged by the prior of its
+    registered domain, else of its suffix; hosts of suffixes without outcomes and empty hosts are allowed.
 
     * a null url, or one without "://", has an empty host and path, no rule and is allowed;
     * null outcomes and outcomes of null or unknown pages do not count; several outcomes of a page count each;
@@ -110,7 +111,13 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, rules=RULES, block_above: fl
     total = F.col("alpha") + F.col("beta")
     mean = F.col("alpha") / total
     bound = mean - z * F.sqrt(mean * (1 - mean) / (total + 1))
-    hosts = reputation(known).select(F.col("host").alias("known_host"), "n", "bad", (bound > block_above).alias("blocked"))
+    found, *priors = reputation(known)
+    hosts = with_domains(parts.where("host <> ''").select("host").distinct()).join(found, "host", "left")
+    for level, prior in zip(("domain", "suffix"), priors, strict=True):
+        hosts = hosts.join(prior.select(level, F.col("mu").alias(f"{level}_mu"), F.col("k").alias(f"{level}_k")), level, "left")
+    mu, k = (F.coalesce(f"domain_{x}", f"suffix_{x}") for x in ("mu", "k"))
+    hosts = hosts.withColumns({"alpha": F.coalesce("alpha", k * mu), "beta": F.coalesce("beta", k * (1 - mu))})
+    hosts = hosts.select(F.col("host").alias("known_host"), "n", "bad", (bound > block_above).alias("blocked"))
     rule, verdict = rule_of(rules)
     judged = parts.join(hosts, F.col("host") == F.col("known_host"), "left")
     return judged.select(
