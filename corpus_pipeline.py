@@ -5,7 +5,7 @@ from __future__ import annotations
 from uuid import uuid4
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, common, mixing, pii, quality, simhash
@@ -36,9 +36,22 @@ def in_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mix_order(mixing.mixed(docs))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """The documents of files in the order of the mix, with mix_position: the rows of earlier files, and those before it."""
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # One row for each file of the mixing stage.
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("_file").count().select("_file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(files), "_file").withColumn("mix_position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, checked by decoding."""
-    return bpe.digests(docs, RANKS, public_tokenizers.PATTERN)
+    """Token ids of each document, checked by decoding, and its place in the mix."""
+    docs = placed(docs)
+    # Places are unique, ids need not be.
+    digests = bpe.digests(docs.select(F.col("mix_position").alias("doc_id"), "text"), RANKS, public_tokenizers.PATTERN)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "mix_position")
+    return digests.withColumnRenamed("doc_id", "mix_position").join(ids, "mix_position").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "mix_position")
 
 
 STAGES = [

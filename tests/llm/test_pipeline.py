@@ -5,7 +5,7 @@ import hashlib
 import corpus_pipeline
 from test_operators import plain_fingerprint, plain_groups, plain_spans
 
-from tidemark.llm import common, quality
+from tidemark.llm import common, mixing, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,16 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, df, SF)
         assert out.columns == df.columns
         assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_the_result_says_the_place_in_the_mix(spark):
+    sources = {r["doc_id"]: r["source"] or "" for r in common.table(spark, SF, "documents").collect()}
+    got = sorted((r["mix_position"], sources[r["doc_id"]]) for r in corpus_pipeline.run(spark, SF).collect())
+    assert [p for p, _ in got] == list(range(len(got)))
+    order = [s for _, s in got]
+    weights = mixing.even_weights({s: order.count(s) for s in set(order)})
+    until = min(len(order) - order[::-1].index(s) for s in weights)
+    for n in range(1, until + 1):
+        for s, w in weights.items():
+            # Less than a block of eight off in whole blocks, and the block that is being placed.
+            assert abs(order[:n].count(s) - w / sum(weights.values()) * n) < 16
