@@ -1,8 +1,13 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
-Words score by what stands around them, tags cost; both weights come from labelled pages. One scan finds the contiguous
-stretch of the page with the largest sum; the blocks in it whose words score below zero (an advert between paragraphs) are
-left out.
+A page is a sequence of tags and blocks of words. Words score by what stands around them, tags cost; both weights come from
+labelled pages. One linear scan finds the contiguous stretch of the page with the largest sum, without any bound on what a
+block or a tag may add or take away.
+
+Two things are named steps of their own, before the scan. *Asides* are the elements that are no part of an article by their
+tag, or by a class, id or role that names one: menus, headers, footers, sidebars, notices, adverts, forms, comments. And the
+*marked* part of a page is what it calls its article or main content, if it does. Adverts, notices and forms, and any
+asides within the marked part, are cut out: they neither score nor come into the text. All others score as their words do.
 """
 
 from __future__ import annotations
@@ -10,102 +15,181 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
-from tidemark.llm.html_labelled import PAGES
+from tidemark.llm import common, html_labelled
 
 #: Fixed values of HTML: elements without an end tag, elements inside a line, elements whose content is no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("script style template noscript svg canvas iframe object select textarea head title math audio video".split())
-SIDE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
-MAIN_TAGS = frozenset("article main".split())
+RAW = frozenset("script style textarea title".split())
+#: Elements that stand beside an article whatever their class, those that may be asides by their class, and those whose end tag may be left out.
+SIDE_TAGS = frozenset("nav footer aside menu dialog".split())
+CUT_TAGS = frozenset("form button fieldset".split())
+CONTAINERS = frozenset("div section article aside nav header footer ul ol dl table tbody tr td form fieldset figure details center".split())
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd td".split())
-#: Words in class, id and role that name what stands beside the article, or the article.
-SIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar rail widget "
-    "menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc header masthead topbar footer copyright legal comment comments commentlist reply replies respond discussion disqus "
-    "share sharing social related recommended recommendations trending popular newsletter subscribe subscription signup login search searchbox form tags byline meta skip hidden complementary contentinfo".split()
+OPTIONAL_END = frozenset("p li dt dd tr td th option".split())
+STOPS = frozenset("ul ol table div section dl".split())
+#: Words that name what stands beside an article, what is said about it, what interrupts it, and the article.
+SIDE_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead topbar footer colophon copyright sidebar rail complementary contentinfo search searchbox".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
+CUT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal dialog overlay share sharing social "
+    "related recommended recommendations trending popular newsletter subscribe subscription signup login form skip".split()
 )
 MAIN_WORDS = frozenset("article articlebody post postbody story storybody entry content contents maincontent prose body text main".split())
-FEATURES = ("side_tag", "side_word", "main_tag", "main_word", "prose", "link", "list", "page_header", "long", "constant")
+#: Words that say nothing of the kind of an element, and words before a name that make it a state of the page.
+NEUTRAL = frozenset("box area left right inner outer wrapper wrap container list block section bar group item top bottom content contents body text main title link links s id js".split())
+STATES = frozenset("has have with no without is hide show not".split())
+FEATURES = ("side_tag", "side_word", "main_tag", "main_word", "beyond", "prose", "link", "long", "constant")
+NO, SIDE, COMMENT, CUT, MAIN = range(5)
+
+_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
+_ATTRIBUTES = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+>""")
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|(role))\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+@lru_cache(maxsize=20_000)
+def token_kind(token: str) -> int:
+    """What a class, an id or a role says, by the last of its words that says anything: site-footer, comments-area,
+    sidebarRight, entry-content. has-sidebar, social-science and tag-news say nothing."""
+    words = [w.lower() for w in _PIECES.findall(token)]
+    if not words or words[0] in STATES:
+        return NO
+    told = [w for w in words if w not in NEUTRAL]
+    last = told[-1] if told else words[-1]
+    for kind, known in ((COMMENT, COMMENT_WORDS), (CUT, CUT_WORDS), (SIDE, SIDE_WORDS)):
+        if last in known:
+            return kind
+    if last in MAIN_WORDS or any(w in MAIN_WORDS for w in words[-1:]):
+        return CUT if words[0] in CUT_WORDS else NO if any(w in SIDE_WORDS or w in COMMENT_WORDS for w in words) else MAIN
+    return NO
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?\]\]>|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|[!?][^>]*>)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+
+@lru_cache(maxsize=20_000)
+def element_kind(tag: str, attributes: str) -> int:
+    """NO, SIDE, COMMENT, CUT or MAIN from an element's tag, classes, id and role. A token that names the article
+    outweighs others; only containers can be asides by a token, and paragraphs by one of an advert or a notice."""
+    named = {token_kind(t) for m in _NAMES.finditer(attributes) for t in (m[2] or m[3] or m[4] or "").split()} if "=" in attributes else set()
+    if tag in ("html", "body", "main"):
+        return MAIN if tag == "main" else NO
+    if tag == "article":
+        return COMMENT if COMMENT in named and MAIN not in named else MAIN
+    if tag in SIDE_TAGS or tag in CUT_TAGS:
+        return SIDE if tag in SIDE_TAGS else CUT
+    if tag not in CONTAINERS:
+        return CUT if named == {CUT} else NO
+    if MAIN in named:
+        return MAIN
+    if tag == "header":
+        return SIDE
+    return next((kind for kind in (COMMENT, CUT, SIDE) if kind in named), NO)
 
 
 @dataclass
 class Block:
-    """A run of text between block-level tags, its features, and the tags since the last one."""
+    """A run of text between block-level tags, the element it stands in, and the tags since the last one."""
 
     text: str
-    features: tuple[float, ...]
+    words: int
+    element: int
+    linked: bool
     block_tags: int
     inline_tags: int
+    features: tuple[float, ...] = ()
+    cut: bool = False
 
-    @property
-    def words(self) -> int:
-        return len(self.text.split())
 
+@dataclass
+class Page:
+    """The blocks of a page in order, and its block-level elements: tag, parent, kind. The first stands for the page."""
 
-def _kind(name: str, attributes: str) -> tuple[bool, bool]:
-    if "=" not in attributes:
-        return False, False
-    words: set[str] = set()
-    for m in _NAMES.finditer(attributes):
-        words.update(_WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
-    return bool(words & SIDE_WORDS), bool(words & MAIN_WORDS)
+    blocks: list[Block] = field(default_factory=list)
+    tags: list[str] = field(default_factory=lambda: [""])
+    parents: list[int] = field(default_factory=lambda: [0])
+    kinds: list[int] = field(default_factory=lambda: [NO])
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order. White space in a block is one space, character references are decoded."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
-    text: list[str] = []
-    block_tags = inline_tags = linked = 0
-    skip = ""
+def parse(page: str) -> Page:
+    """One pass over the page. White space in a block is one space, character references are decoded."""
+    out = Page()
+    stack, depths, text = [0], [0], []
+    opened: dict[str, int] = {}
+    block_tags = inline_tags = linked = links = 0
+    skip, at, size = "", 0, len(page)
 
     def close() -> None:
         nonlocal block_tags, inline_tags, linked
-        joined = " ".join("".join(text).split())
-        text.clear()
-        if joined:
-            names = {n for n, _, _ in stack}
-            inside = bool(names & MAIN_TAGS)
-            features = (
-                bool(names & SIDE_TAGS), any(s for _, s, _ in stack), inside, any(m for _, _, m in stack), bool(names & PROSE_TAGS),
-                2 * linked > len(joined), "li" in names, "header" in names and not inside, len(joined.split()) >= 12, 1,
-            )
-            out.append(Block(joined, tuple(map(float, features)), block_tags, inline_tags))
-            block_tags = inline_tags = 0
+        if text:
+            words = "".join(text).split()
+            text.clear()
+            if words:
+                joined = " ".join(words)
+                out.blocks.append(Block(joined, len(words), stack[-1], 2 * linked > len(joined), block_tags, inline_tags))
+                block_tags = inline_tags = 0
         linked = 0
 
     def heard(raw: str) -> None:
         nonlocal linked
-        if raw:
-            decoded = entities.unescape(raw)
-            text.append(decoded)
-            if any(n == "a" for n, _, _ in stack):
-                linked += len(decoded.strip())
-
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() < at:
+        decoded = entities.unescape(raw) if "&" in raw else raw
+        text.append(decoded)
+        if links:
+            linked += len(decoded.strip())
+
+    def leave(name: str, stops: frozenset) -> None:
+        """Close the innermost open element of a name and all in it, unless one that it cannot end stands before."""
+        nonlocal links
+        for i in range(len(stack) - 1, 0, -1):
+            tag = out.tags[stack[i]]
+            if tag == name:
+                for e in stack[i:]:
+                    opened[out.tags[e]] -= 1
+                links = depths[i]
+                del stack[i:], depths[i:]
+                return
+            if tag in stops:
+                return
+
+    while at < size:
+        lt = page.find("<", at)
+        if not skip and (lt < 0 or lt > at):
+            heard(page[at : lt if lt >= 0 else size])
+        if lt < 0:
+            break
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            at = end + 3 if end >= 0 else size
+            continue
+        named = _NAME.match(page, lt + 1)
+        if not named and page[lt + 1 : lt + 2] not in ("!", "?", "/"):
+            if not skip:
+                text.append("<")
+            at = lt + 1
             continue
-        if not skip:
-            heard(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        near = page.find(">", lt)
+        if near < 0:  # no tag ends here or later
+            if not skip:
+                heard(page[lt:])
+            break
+        if not named:
+            at = near + 1
             continue
-        ending, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        name = named[1].lower()
+        if "=" in page[named.end() : near] and (whole := _ATTRIBUTES.match(page, named.end())):
+            near = whole.end() - 1
+        attributes, at, ending = page[named.end() : near], near + 1, page[lt + 1] == "/"
         if skip:
             skip = "" if ending and name == skip else skip
             continue
@@ -114,34 +198,89 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in INLINE:
             inline_tags += 1
-        else:
-            close()
-            block_tags += 1
+            if name == "a":
+                links = max(depths[-1], links - 1) if ending else links + 1
+            continue
+        close()
+        block_tags += 1
         if ending:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened.get(name):
+                leave(name, frozenset())
         elif name in HIDDEN:
-            if name in ("script", "style", "textarea", "title"):  # nothing in them is markup
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if name in RAW:  # nothing in them is markup
+                end = re.compile(rf"</{name}\s*+>", re.I).search(page, at)
+                at = end.end() if end else size
             elif not attributes.endswith("/"):
                 skip = name
         elif name not in VOID and not attributes.endswith("/"):
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        if not {n for n, _, _ in stack[i + 1 :]} & {"ul", "ol", "table", "div", "section", "dl"}:
-                            del stack[i:]
-                        break
-            stack.append((name, *_kind(name, attributes)))
-    if not skip:
-        heard(page[at:])
+            if name in OPTIONAL_END and opened.get(name):
+                leave(name, STOPS)
+            opened[name] = opened.get(name, 0) + 1
+            out.tags.append(name)
+            out.parents.append(stack[-1])
+            out.kinds.append(element_kind(name, attributes))
+            stack.append(len(out.tags) - 1)
+            depths.append(links)
     close()
+    _judge(out)
     return out
 
 
+def _judge(page: Page) -> None:
+    """Gives each block its features, and whether it is cut out.
+
+    An aside by class, a form or a page header that holds the article or main element is a wrapper and no aside. So is one
+    with most of the page's words (a form: with over half) if nothing outside of it is marked as the article. Comments are
+    never wrappers.
+    """
+    n = len(page.tags)
+    kinds, parents = page.kinds, page.parents
+    words, holds = [0] * n, [False] * n
+    for b in page.blocks:
+        words[b.element] += b.words
+    for e in range(n - 1, 0, -1):
+        words[parents[e]] += words[e]
+        holds[parents[e]] |= holds[e] or (kinds[e] == MAIN and page.tags[e] in ("article", "main"))
+    marks = [0] * n  # elements marked as the article in and below an element
+    for e in range(n - 1, 0, -1):
+        marks[e] += kinds[e] == MAIN
+        marks[parents[e]] += marks[e]
+    level, tag_marked, word_marked, prose = [NO] * n, [False] * n, [False] * n, [False] * n
+    tagged, worded = holds[0], False
+    for e in range(1, n):
+        up, kind, tag = parents[e], kinds[e], page.tags[e]
+        large = words[e] > words[0] * (0.5 if tag == "form" else 0.9) and marks[0] == marks[e]
+        wrapper = kind in (SIDE, CUT) and tag not in SIDE_TAGS and (holds[e] or large)
+        own = NO if wrapper or kind == MAIN else kind
+        # The header of an article is part of it.
+        if tag == "header" and own == SIDE and (tag_marked[up] or word_marked[up]):
+            own = NO
+        prose[e] = tag in PROSE_TAGS or (tag not in CONTAINERS and prose[up])
+        level[e] = level[up] or own
+        tag_marked[e] = tag_marked[up] or (kind == MAIN and tag in ("article", "main") and not level[e])
+        word_marked[e] = word_marked[up] or (kind == MAIN and not level[e])
+        worded = worded or word_marked[e]
+    inner = any(tag_marked[e] and page.tags[e] == "article" for e in range(n))
+    if inner:  # of main and article the article is meant
+        tag_marked = [False] * n
+        for e in range(1, n):
+            tag_marked[e] = tag_marked[parents[e]] or (kinds[e] == MAIN and page.tags[e] == "article" and not level[e])
+    tagged = tagged and any(tag_marked)
+    for b in page.blocks:
+        e = b.element
+        inside = tag_marked[e] if tagged else word_marked[e]
+        b.cut = level[e] == CUT or (inside and level[e] != NO)
+        b.features = tuple(map(float, (
+            level[e] == SIDE or level[e] == CUT, level[e] == COMMENT, inside and tagged, inside and not tagged, (tagged or worded) and not inside,
+            prose[e], b.linked, b.words >= 12, 1,
+        )))
+
+
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page in order, with their features."""
+    return parse(page).blocks
+
+
 @dataclass
 class Weights:
     """What a word of each feature, a block-level tag and an inline tag add to the sum."""
@@ -151,45 +290,58 @@ class Weights:
     inline_tag: float
 
 
-def learn(pages=PAGES, *, ridge: float = 0.5, rounds: int = 50) -> Weights:
+def learn(pages=None, *, ridge: float = 0.5, rounds: int = 50) -> Weights:
     """Weights from labelled pages, each a list of (is it content, html). Words by logistic regression on their features,
-    tags by their log odds in content, below zero always."""
-    x, y, n, tags = [], [], [], np.ones((2, 2))
-    for page in pages:
+    tags by the log odds of a tag against a word in content and elsewhere, below zero always."""
+    x, y, n, tokens = [], [], [], np.ones((2, 3))
+    for page in html_labelled.pages() if pages is None else pages:
         wanted = {b.text for kept, part in page if kept for b in blocks(part)}
         for b in blocks("".join(part for _, part in page)):
+            if b.cut:
+                continue
             kept = b.text in wanted
             x.append(b.features)
             y.append(float(kept))
             n.append(b.words)
-            tags[int(kept)] += (b.block_tags, b.inline_tags)
+            tokens[int(kept)] += (b.block_tags, b.inline_tags, b.words)
     x, y, n = np.array(x), np.array(y), np.sqrt(np.array(n, float))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ w))
         w += np.linalg.solve((x * (n * p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
-    odds = np.log(tags[1] / tags[0])
+    shares = tokens / tokens.sum(axis=1, keepdims=True)
+    odds = np.log(shares[1] / shares[0])
     return Weights(tuple(float(v) for v in w), float(min(odds[0], -0.25)), float(min(odds[1], -0.05)))
 
 
-def main_text(page: str, weights: Weights) -> str:
-    """The blocks of the best stretch, joined by an empty line. What a block and the tags before it may take away is
-    bounded, so that neither a long aside nor deep markup parts an article."""
-    found = blocks(page)
-    word = np.array(weights.word)
+def scores(found: list[Block], weights: Weights) -> np.ndarray:
+    """What the tags before each block and its words add: tags and words by turns. What is cut out adds nothing."""
+    if not found:
+        return np.zeros(0)
+    words = np.array([b.features for b in found]) @ np.array(weights.word) * [b.words for b in found]
+    tags = np.array([(b.block_tags, b.inline_tags) for b in found]) @ np.array([weights.block_tag, weights.inline_tag])
+    return (np.stack([tags, words], axis=1) * np.array([[not b.cut] for b in found])).ravel()
+
+
+def best_stretch(values) -> tuple[int, int]:
+    """The contiguous stretch of the largest sum above zero, as (begin, end), in one scan: of equal ones that which ends
+    first. (0, 0) where no sum is above zero."""
     best = total = 0.0
     begin, stretch = 0, (0, 0)
-    values = [float(np.clip(np.dot(word, b.features), -3, 3)) for b in found]
-    for i, (b, v) in enumerate(zip(found, values, strict=True)):
-        cost = weights.block_tag * min(b.block_tags, 3) + weights.inline_tag * min(b.inline_tags, 3)
-        if total + cost <= 0:
-            begin, total, cost = i, 0.0, 0.0
-        total += cost + max(v * b.words, -12.0)
+    for i, v in enumerate(values):
         if total <= 0:
-            begin, total = i + 1, 0.0
-        elif total > best:
+            begin, total = i, 0.0
+        total += v
+        if total > best:
             best, stretch = total, (begin, i + 1)
-    return "\n\n".join(b.text for b, v in zip(found[slice(*stretch)], values[slice(*stretch)], strict=True) if v > 0)
+    return stretch
+
+
+def main_text(page: str, weights: Weights) -> str:
+    """The blocks of the best stretch that are not cut out, joined by an empty line."""
+    found = blocks(page)
+    begin, end = best_stretch(scores(found, weights).tolist())
+    return "\n\n".join(b.text for b in found[begin // 2 : (end + 1) // 2] if not b.cut)
 
 
 def _extracted(weights: Weights):
@@ -206,6 +358,7 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
 
     * a null html counts as empty; null ids and urls are kept; repeated rows stay repeated;
     * broken markup: end tags without a start are ignored, open elements end with the page, unknown tags are blocks;
+    * pages of any length take time in proportion to it; of stretches of equal sum the first counts;
     * an empty table gives an empty result; further columns are ignored.
     """
     common.ship(pages.sparkSession)

@@ -1,27 +1,84 @@
-"""Small labelled pages, written for this library: each is a list of (is it content, html)."""
-
-_HEAD = "<!DOCTYPE html><html><head><title>Page</title><style>p{}</style></head><body>"
-_P = "<p>The committee met on Tuesday to <b>discuss</b> the plans for the <a href='/bridge'>new bridge</a>,<br>which had been delayed twice before.</p>"
-_Q = "<p>Residents asked how the work would be paid for, and <em>the mayor</em> answered that the <b>costs</b> were lower than expected.</p>"
-_SHORT = "<p><b>Nobody</b> objected.</p>"
-_NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/about">About us</a></li></ul></nav>'
-_AD = '<div class="ad">Buy two pairs of shoes today and get the third one free, only this week.</div>'
-_FOOT = "<footer>&copy; 2020 The Daily Page. All rights reserved. Made in the valley by friendly people.</footer></body></html>"
-_COMMENTS = '<section id="comments"><h3>Comments</h3><div class="comment"><p>I do not agree with this at all, it is far too long for such a small town.</p></div><div class="comment"><p>Great news, finally!</p></div></section>'
-_FORM = '<form action="/join"><label>Your e-mail</label><input name="e"><p>Sign up for our letters and get the news every morning.</p><button>Join</button></form>'
-_ASIDE = '<aside><h3>Related</h3><ul><li><a href="/1">Ten bridges you should see before you are forty</a></li><li><a href="/2">Why rivers bend</a></li></ul></aside>'
-_COOKIE = '<div class="cookie-notice"><p>We use cookies to make this site better for you. Accept or read more about them.</p><button>OK</button></div>'
-_HEADER = '<header><div class="logo">The Daily Page</div><p>News of the valley since 1901</p></header>'
-_SIDEBAR = '<div class="sidebar"><h4>Most read</h4><p>The best soups for cold days, chosen by our readers in a long vote.</p></div>'
-_LIST = "<ul><li>The old pillars stay where they are.</li><li>Traffic is led over the northern road.</li></ul>"
-
-PAGES = [
-    [(False, _HEAD + _NAV + _AD + "<article>"), (True, "<h1>The new bridge</h1>" + _P + _Q + _SHORT), (False, "</article>" + _FOOT)],
-    [(False, _HEAD + _HEADER + _NAV + _COOKIE + '<main><div class="content">'), (True, "<h1>A bridge for all</h1>" + _P + _Q + _LIST), (False, "</div></main>" + _SIDEBAR + _FOOT)],
-    [(False, _HEAD + _HEADER + '<div id="main"><article class="post">'), (True, "<h2>On bridges</h2>" + _P), (False, _AD), (True, _Q + _SHORT), (False, "</article>" + _COMMENTS + "</div>" + _FORM + _FOOT)],
-    [(False, _HEAD + _NAV + '<div class="entry-content">'), (True, "<h1>Bridge notes</h1>" + _P + "<blockquote>We shall build it in a year.</blockquote>" + _Q), (False, "</div>" + _ASIDE + _COMMENTS + _FOOT)],
-    [(False, _HEAD + _COOKIE + _HEADER + "<div><div>"), (True, "<h1>Plain page</h1>" + _P + _Q + _P.replace("Tuesday", "Friday")), (False, "</div></div>" + _SIDEBAR + _FORM + _FOOT)],
-    [(False, _HEAD + _NAV + _ASIDE + _AD + "<article>"), (True, "<h1>Short</h1><p>It rained.</p>"), (False, "</article>" + _COMMENTS + _FOOT)],
-    [(False, _HEAD + _NAV), (True, "<h1>Bare words</h1>" + _P + _Q), (False, _FOOT)],
-    [(False, _HEAD + _FORM + _NAV + "<article>"), (True, "<h1>Lists</h1>" + _LIST + _P + _LIST), (False, _AD.replace("ad", "sponsored") + "</article>" + _ASIDE + _FOOT)],
-]
+"""Labelled pages, made by rule for this library: each is a list of (is it content, html).
+
+Every page is put together from the parts of a layout: how the article is marked (or not at all), what stands before and
+after it, and what interrupts it. Words are invented from syllables, so that only the layout tells content from the rest.
+"""
+
+from __future__ import annotations
+
+import random
+
+_SYLLABLES = ("ba", "ri", "to", "len", "mu", "sa", "ke", "vor", "ni", "pal", "dro", "shi", "em", "ulo", "cha", "wi")
+#: How an article may be marked: before it, after it. The last ones are not marked at all.
+_FRAMES = (
+    ("<article>", "</article>"), ('<article class="post tag-river tags">', "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), ('<div role="main">', "</div>"),
+    ('<div class="content">', "</div>"), ('<div id="main"><div class="entry-content">', "</div></div>"), ('<div class="post-tags entry">', "</div>"), ('<form id="pageForm"><div><article>', "</article></div></form>"),
+    ("<div><div>", "</div></div>"), ("<div>", "</div>"), ("<section>", "</section>"), ("<table><tr><td>", "</td></tr></table>"), ("", ""),
+)
+#: So many of them are marked.
+_MARKED = 9
+
+
+def _words(rng: random.Random, least: int, most: int) -> str:
+    out = ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(least, most))]
+    out[0] = out[0].capitalize()
+    return " ".join(out)
+
+
+def _prose(rng: random.Random, plain: bool) -> str:
+    """A paragraph of an article, a heading, a quotation or a list; without paragraphs of its own if ``plain``."""
+    text = _words(rng, 12, 60) + "."
+    if rng.random() < 0.4:
+        at = text.index(" ")
+        text = text[:at] + rng.choice((" <b>{}</b>", " <a href='/x'>{}</a>", " <em>{}</em>,<br>")).format(_words(rng, 1, 2)) + text[at:]
+    if plain:
+        return f"<div>{text}</div>"
+    kind = rng.random()
+    if kind < 0.1:
+        return f"<h2>{_words(rng, 2, 6)}</h2>"
+    if kind < 0.2:
+        return "<ul>" + "".join(f"<li>{_words(rng, 3, 12)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>"
+    if kind < 0.25:
+        return f"<blockquote>{text}</blockquote>"
+    return f"<p>{_words(rng, 1, 4)}.</p>" if kind < 0.35 else f"<p>{text}</p>"
+
+
+def _aside(rng: random.Random, kind: str) -> str:
+    """What does not belong to an article."""
+    links = "".join(f'<li><a href="/{i}">{_words(rng, 1, 5)}</a></li>' for i in range(rng.randint(2, 6)))
+    said, much = f"<p>{_words(rng, 4, 25)}.</p>", "".join(f"<p>{_words(rng, 8, 40)}.</p>" for _ in range(rng.randint(1, 4)))
+    return {
+        "menu": rng.choice((f"<nav><ul>{links}</ul></nav>", f'<div class="menu"><ul>{links}</ul></div>', f'<div role="navigation"><ul>{links}</ul></div>')),
+        "header": rng.choice((f"<header><div>{_words(rng, 1, 3)}</div>{said}</header>", f'<div id="header"><h1>{_words(rng, 1, 3)}</h1>{said}</div>')),
+        "footer": rng.choice((f"<footer>{_words(rng, 4, 20)}</footer>", f'<div class="site-footer"><p>{_words(rng, 4, 20)}</p></div>')),
+        "sidebar": rng.choice((f"<aside><h3>{_words(rng, 1, 3)}</h3>{much}</aside>", f'<div class="sidebar">{much}<ul>{links}</ul></div>', f'<div class="related"><ul>{links}</ul></div>')),
+        "notice": rng.choice((f'<div class="cookie-notice">{said}<button>OK</button></div>', f'<div role="alert">{said}</div>')),
+        "advert": rng.choice((f'<div class="ad">{_words(rng, 4, 25)}</div>', f'<div class="advert-box">{said}</div>', f'<div class="sponsored">{much}</div>')),
+        "form": f'<form action="/join"><label>{_words(rng, 1, 3)}</label><input name="e">{said}<button>{_words(rng, 1, 1)}</button></form>',
+        "unmarked": rng.choice((much, f"<div>{much}</div>", f"<div>{_words(rng, 2, 12)}</div>")),
+        "comments": rng.choice((f'<section id="comments"><h3>{_words(rng, 1, 2)}</h3><div class="comment">{much}</div></section>', f'<div class="comments-area"><article class="comment-body">{much}</article></div>')),
+    }[kind]
+
+
+def _page(rng: random.Random, frame: int) -> list[tuple[bool, str]]:
+    opening, closing = _FRAMES[frame]
+    body = rng.choice(("<body>", '<body class="has-sidebar">', '<body class="page social-science">'))
+    before = "".join(_aside(rng, k) for k in ("notice", "header", "menu", "sidebar", "advert") if rng.random() < 0.5)
+    after = "".join(_aside(rng, k) for k in ("comments", "sidebar", "form", "footer") if rng.random() < 0.6)
+    if frame < _MARKED and rng.random() < 0.5:
+        before, after = rng.choice(((_aside(rng, "unmarked") + before, after), (before, _aside(rng, "unmarked") + after), (before, after + _aside(rng, "unmarked"))))
+    parts = [(False, f"<!DOCTYPE html><html><head><title>{_words(rng, 1, 4)}</title><style>p{{}}</style></head>{body}{before}{opening}")]
+    plain = frame >= _MARKED and rng.random() < 0.5
+    if not plain and rng.random() < 0.8:
+        parts.append((True, f"<h1>{_words(rng, 1, 8)}</h1>"))
+    for _ in range(rng.randint(1, 8)):
+        parts.append((True, _prose(rng, plain)))
+        if rng.random() < 0.12:
+            parts.append((False, _aside(rng, rng.choice(("advert", "form", "advert")))))
+    return [*parts, (False, closing + after + "</body></html>")]
+
+
+def pages(seed: int = 17, per_frame: int = 8) -> list[list[tuple[bool, str]]]:
+    """``per_frame`` pages of each way to mark an article, the same for every seed."""
+    rng = random.Random(seed)
+    return [_page(rng, frame) for frame in range(len(_FRAMES)) for _ in range(per_frame)]
