@@ -1,7 +1,9 @@
 """Personal data: fixed patterns, and bootstrapped contexts that find identifiers the patterns do not know.
 
-Matches of the fixed patterns are seeds. The words around seeds and around other identifier-like tokens make a graph of
-contexts and instances; Spark scores it in rounds, and instances met in contexts of high confidence are added.
+Matches of the fixed patterns are seeds, and so, with less belief, are long tokens that change often between letters and
+digits, as keys do. What stands around seeds and around other identifier-like tokens makes a graph of lexical patterns and
+instances. Spark scores it in rounds, and the instances met in patterns of high confidence are added: a key that no pattern
+confirms is not, and any token that stands where identifiers stand is, whatever its shape.
 """
 
 from __future__ import annotations
@@ -19,14 +21,22 @@ from tidemark.llm import common
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that only their context gives away.
 FOUND = "context"
+#: The belief in a token that looks like a key, before its contexts are known.
+KEY_BELIEF = 0.9
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+# A match starts where a run of digits starts, and takes whole runs: so each digit is looked at once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
-_EDGES = ".,;:!?()[]{}<>\"'|"
+_MARK = re.compile(r"[0-9@]")
+#: What tokens are made of, and what is no part of them at their ends.
+_RUN = re.compile(r"[A-Za-z0-9_.@%+:/~-]+")
+_IN_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.@%+:/~-")
+_EDGES = "_.%+:/~-"
+_NAMED = re.compile(r"[A-Za-z]+:")
+_SWITCH = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -63,40 +73,109 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def _contexts(text: str, start: int, end: int) -> list[str]:
-    """The two words before, and the words on either side. Line ends count as words."""
-    left = text[max(0, start - 80) : start].replace("\n", " ^ ").lower().split()
-    right = text[end : end + 40].replace("\n", " $ ").lower().split()
-    before, after = (["^", "^", *left])[-2:], (right or ["$"])[0]
-    return [f"L {before[0]} {before[1]}", f"B {before[1]} _ {after}"]
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens with at least four digits, or with an "@" between other characters, of any length. A name and a colon before
+    a token are no part of it. Every character is looked at a bounded number of times."""
+    at = 0
+    while mark := _MARK.search(text, at):
+        lo = mark.start()
+        while lo > at and text[lo - 1] in _IN_RUN:
+            lo -= 1
+        hi = at = _RUN.match(text, mark.start()).end()
+        if named := _NAMED.match(text, lo, hi):
+            lo = named.end()
+        token = text[lo:hi]
+        lo += len(token) - len(token.lstrip(_EDGES))
+        hi -= len(token) - len(token.rstrip(_EDGES))
+        if len(_DIGIT.findall(text, lo, hi)) >= 4 or "@" in text[lo + 1 : hi - 1]:
+            yield lo, hi
+
+
+def key_like(token: str) -> bool:
+    """At least 32 letters and digits that change from one to the other six times or more."""
+    return len(token) >= 32 and token.replace("-", "").replace("_", "").isalnum() and len(_SWITCH.findall(token)) >= 6
+
+
+def _before(text: str, at: int, n: int) -> list[str]:
+    """The n units before a place, the nearest first: words, numbers as 9, marks, line ends as ^."""
+    units: list[str] = []
+    while len(units) < n:
+        while at and text[at - 1].isspace() and text[at - 1] != "\n":
+            at -= 1
+        end = at
+        at -= at > 0
+        if end and text[at].isalpha():
+            while at and text[at - 1].isalpha():
+                at -= 1
+            units.append(text[at:end].lower())
+        elif end and text[at].isdigit():
+            while at and text[at - 1].isdigit():
+                at -= 1
+            units.append("9")
+        else:
+            units.append("^" if not end or text[at] == "\n" else text[at])
+    return units
+
+
+def _after(text: str, at: int) -> str:
+    """The unit after a place: the word, a number as 9, the mark, or $ for the end of the line."""
+    size = len(text)
+    while at < size and text[at].isspace() and text[at] != "\n":
+        at += 1
+    if at == size or text[at] == "\n":
+        return "$"
+    end = at
+    if text[at].isalpha():
+        while end < size and text[end].isalpha():
+            end += 1
+        return text[at:end].lower()
+    return "9" if text[at].isdigit() else text[at]
+
+
+def shape(token: str) -> str:
+    """Which of letters, digits and marks a token has, and the number of binary digits of its length."""
+    classes = (any(map(str.isalpha, token)), any(map(str.isdigit, token)), "@" in token, not token.isalnum())
+    return "".join(c for c, there in zip("a9@-", classes, strict=True) if there) + str(len(token).bit_length())
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The three units before; the two before and the shape; the units on either side and the shape."""
+    one, two, three = _before(text, start, 3)
+    kind = shape(text[start:end])
+    return [f"L {three} {two} {one}", f"S {two} {one} {kind}", f"B {one} _ {_after(text, end)} {kind}"]
+
+
+def _number(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def met(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
+    """The base spans of a text, and (start, end, belief) of these and of all other candidates."""
+    if not _MARK.search(text):
+        return [], []
+    spans = base_spans(text)
+    found = [(a, b, 1.0) for a, _, b in spans]
+    taken = iter([*found, (len(text) + 1, len(text) + 1, 1.0)])
+    a, b, _ = next(taken)
+    for lo, hi in candidates(text):
+        while b <= lo:
+            a, b, _ = next(taken)
+        if hi <= a:
+            found.append((lo, hi, KEY_BELIEF if key_like(text[lo:hi]) else 0.0))
+    return spans, found
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines (doc_id, key, base, seen): the base spans, and (start, end, instance, seed, contexts) of all candidates."""
+    """Lines (doc_id, key, base, seen): the base spans, and (start, end, instance, belief, contexts) of all candidates."""
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    seen_kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("contexts", pa.list_(pa.string()))])
+    seen_kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("belief", pa.float64()), ("contexts", pa.list_(pa.int64()))])
     for batch in batches:
         base, seen = [], []
         for value in batch.column(2):
             text = value.as_py()
-            marked = "@" in text or _DIGIT.search(text)
-            spans = base_spans(text) if marked else []
-            candidates = [(a, b, True) for a, _, b in spans]
-            if marked:
-                taken = iter([*candidates, (len(text) + 1, len(text) + 1, True)])
-                a, b, _ = next(taken)
-                for m in _TOKEN.finditer(text):
-                    lo = m.start() + len(m.group()) - len(m.group().lstrip(_EDGES))
-                    hi = m.end() - (len(m.group()) - len(m.group().rstrip(_EDGES)))
-                    while b <= lo:
-                        a, b, _ = next(taken)
-                    if hi <= a and hi - lo >= 4 and (len(_DIGIT.findall(text, lo, hi)) >= 4 or "@" in text[lo:hi]):
-                        candidates.append((lo, hi, False))
+            spans, found = met(text)
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            seen.append([
-                {"start": a, "end": b, "instance": xxhash.xxh64_intdigest(text[a:b].lower().encode("utf-8", "surrogatepass")) - (1 << 63), "seed": s, "contexts": _contexts(text, a, b)}
-                for a, b, s in candidates
-            ])
+            seen.append([{"start": a, "end": b, "instance": _number(text[a:b].lower()), "belief": s, "contexts": list(map(_number, patterns(text, a, b)))} for a, b, s in found])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(span)), pa.array(seen, pa.list_(seen_kind))], ["doc_id", "key", "base", "seen"])
 
 
@@ -106,38 +185,40 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def confident(edges: DataFrame, *, rounds: int = 3, trust: float = 0.8, prior: float = 1.0) -> DataFrame:
-    """Scores of instances (instance, score) from the graph (context, instance, seed).
+    """(instance, score) of the instances that are no base spans, from the graph (context, instance, belief).
 
-    A context is worth the summed score of its distinct instances over their number and a prior; an instance that is no
-    seed has the chance that one of its contexts worth ``trust`` at least is right. Seeds stay at one.
+    A context is worth the summed standing of its distinct instances over their number and a prior. An instance scores the
+    chance that one of its contexts worth ``trust`` at least is right; it stands at that or at its belief, whichever is
+    more. Belief 1 is a base span and stays. The graph has each pair once, so a common instance or context is one line for
+    each of its different partners; sums are taken before the shuffle, and Spark splits what is still skewed.
     """
-    graph = common.checkpointed(edges.groupBy("context", "instance").agg(F.max("seed").alias("seed")))
-    scores = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
+    graph = common.checkpointed(edges.groupBy("context", "instance").agg(F.max("belief").alias("belief")))
+    scores = graph.groupBy("instance").agg(F.max("belief").alias("belief")).withColumns({"score": F.lit(0.0), "standing": F.col("belief")})
     for _ in range(rounds):
-        worth = graph.select("context", "instance").join(scores.select("instance", "score"), "instance")
-        worth = worth.groupBy("context").agg((F.sum("score") / (F.count("*") + prior)).alias("worth")).where(F.col("worth") >= trust)
-        doubt = graph.where("NOT seed").join(worth, "context").groupBy("instance").agg(F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999))))).alias("doubt"))
-        scores = scores.select("instance", "seed").join(doubt, "instance", "left")
-        scores = scores.select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(1 - F.coalesce("doubt", F.lit(1.0))).alias("score"))
-        scores = common.checkpointed(scores)
-    return scores.where("NOT seed")
+        worth = graph.select("context", "instance").join(scores.select("instance", "standing"), "instance")
+        worth = worth.groupBy("context").agg((F.sum("standing") / (F.count("*") + prior)).alias("worth")).where(F.col("worth") >= trust)
+        doubt = graph.where("belief < 1").join(worth, "context").groupBy("instance").agg(F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999))))).alias("doubt"))
+        scores = scores.select("instance", "belief").join(doubt, "instance", "left").select("instance", "belief", (1 - F.coalesce("doubt", F.lit(1.0))).alias("score"))
+        scores = common.checkpointed(scores.withColumn("standing", F.greatest("belief", "score")))
+    return scores.where("belief < 1").select("instance", "score")
 
 
 def spans(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, accept: float = 0.8) -> DataFrame:
     """(doc_id, key, base, found) for each row: spans array<struct<start, kind, end>> of code points, end exclusive.
 
-    ``base`` are the matches of the fixed patterns, ``kind`` numbers KINDS; ``found`` are other tokens with four digits or
-    an "@" whose score reaches ``accept``. They never overlap base spans. ``key`` is the hash of the text.
+    ``base`` are the matches of the fixed patterns, ``kind`` numbers KINDS; ``found`` are other candidates whose score
+    reaches ``accept``. They never overlap base spans. ``key`` is the hash of the text.
 
     * a null text counts as empty; a null doc_id is kept; repeated rows stay repeated and have the same spans;
-    * an empty table gives an empty result; further columns are ignored.
+    * texts and tokens of any length are searched whole, in time in proportion to their length;
+    * equal scores are treated alike; an empty table gives an empty result; further columns are ignored.
     """
     common.ship(docs.sparkSession)
-    schema = "doc_id long, key long, base array<struct<start: bigint, kind: int, end: bigint>>, seen array<struct<start: bigint, end: bigint, instance: bigint, seed: boolean, contexts: array<string>>>"
+    schema = "doc_id long, key long, base array<struct<start: bigint, kind: int, end: bigint>>, seen array<struct<start: bigint, end: bigint, instance: bigint, belief: double, contexts: array<bigint>>>"
     rows = common.checkpointed(_keyed(docs).mapInArrow(_extract, schema))
     seen = rows.select("doc_id", "key", F.explode("seen").alias("s")).select("doc_id", "key", "s.*")
-    scores = confident(seen.select(F.explode("contexts").alias("context"), "instance", "seed"), rounds=rounds, trust=trust).where(F.col("score") >= accept)
-    met = seen.where("NOT seed").join(scores.select("instance"), "instance")
+    scores = confident(seen.select(F.explode("contexts").alias("context"), "instance", "belief"), rounds=rounds, trust=trust).where(F.col("score") >= accept)
+    met = seen.where("belief < 1").join(scores.select("instance"), "instance")
     met = met.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("found"))
     met = met.select(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key"), "found")
     same = rows.doc_id.eqNullSafe(met.of_doc) & (rows.key == met.of_key)
@@ -161,7 +242,7 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch, out = whole.slice(lo, 256), []
             for value, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = value.as_py()
-                marks = base_spans(text) if "@" in text or _DIGIT.search(text) else []
+                marks = base_spans(text) if _MARK.search(text) else []
                 marks = sorted([*marks, *((s["start"], s["kind"], s["end"]) for s in found or ())])
                 parts, done = [], 0
                 for start, kind, end in marks:
@@ -172,25 +253,24 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
 
 
-#: Lines of found spans that are sent to every executor at most; beyond it the texts are joined by shuffling.
-SENT_ROWS = 20_000
+#: Found spans that are sent to every executor at most; beyond it the texts are joined by shuffling.
+SENT_SPANS = 100_000
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets, and n_chars (if there) counted anew.
 
-    All columns and rows stay. Spans that overlap are replaced once, by the kind of the first.
+    All columns and rows stay, whatever their names. Spans that overlap are replaced once, by the kind of the first.
     """
-    found = common.checkpointed(spans(docs).where(F.size("found") > 0).select("doc_id", "key", "found").distinct())
-    found = found.select(F.col("doc_id").alias("_of_doc"), F.col("key").alias("_of_key"), F.col("found").alias("_found"))
-    if found.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
-        found = F.broadcast(found)
-    text = common.string_or_empty("text")
-    joined = docs.join(found, docs.doc_id.cast("long").eqNullSafe(F.col("_of_doc")) & (F.xxhash64(text) == F.col("_of_key")), "left")
     rest = [c for c in docs.columns if c != "text"]
-    packed = joined.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), text.alias("text"), "_found")
-    kind = packed.schema["row"].dataType.simpleString()
-    done = packed.mapInArrow(_masked, f"row {kind}, text string")
+    text = common.string_or_empty("text")
+    # The columns of the documents are packed, so that their names cannot clash with those used here.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"))
+    found = common.checkpointed(spans(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key"), "found").distinct())
+    if (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= SENT_SPANS:
+        found = F.broadcast(found)
+    joined = packed.join(found, F.col("id").eqNullSafe(F.col("of_doc")) & (F.col("key") == F.col("of_key")), "left").select("row", "text", "found")
+    done = joined.mapInArrow(_masked, joined.drop("found").schema)
     out = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.col("text")}
     if "n_chars" in out:
         out["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])

@@ -234,5 +234,5 @@ def accepted(docs: DataFrame, field: LineField, keep_from: float) -> DataFrame:
     """The rows, with all their columns, whose text scores ``keep_from`` or more."""
     common.ship(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.string_or_empty("text").alias("text"))
-    kind = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(_scored(field, False), f"row {kind}, score double").where(F.col("score") >= keep_from).select("row.*")
+    kind = packed.select("row", F.lit(0.0).alias("score")).schema
+    return packed.mapInArrow(_scored(field, False), kind).where(F.col("score") >= keep_from).select("row.*")
