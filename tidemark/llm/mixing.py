@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Sources and their summed integer weights are bounded, so that a schedule is small whatever the input.
-MOST_SOURCES, MOST_WEIGHT = 1_000, 100_000
+#: Sources, their summed integer weights and the numbers of a whole schedule are bounded, so that it is small whatever the
+#: input: each source that runs out begins a phase with a period of its own.
+MOST_SOURCES, MOST_WEIGHT, MOST_NUMBERS = 1_000, 100_000, 2_000_000
+#: Rows of which there are more than one in so many of all are dealt out by their partition as well.
+HOT_SHARE = 10_000
 
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:
@@ -93,55 +96,74 @@ def even_weights(counts: dict[str, int], *, power: float = 0.5, total: int = 1_0
     return {s: max(1, round(total * x / whole)) for s, x in scaled.items()}
 
 
+def _hashable(kind: str) -> bool:
+    return "map<" not in kind and "variant" not in kind
+
+
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, *, block: int = 8, power: float = 0.5) -> DataFrame:
     """The documents with mix_source, mix_block, mix_slot and mix_position: every row once, at its place in the mix.
 
     ``weights`` are positive integers for each source; without them (or for sources they lack) they follow the sources'
-    sizes to ``power``. Within a source the order is that of a hash of the id. While all sources last, a source has had its
-    share of the blocks placed so far to within less than one block; when one runs out, the same holds among the rest.
-
-    * a null source is the source of empty name; null ids and repeated rows are placed like others;
-    * a source of any size is ranked in buckets of bounded size, none in one task;
-    * an empty table gives an empty result; all columns of the documents are kept, names that clash with mix_* are replaced;
-    * more than MOST_SOURCES sources, or weights summing to more than MOST_WEIGHT, are refused.
+    sizes to ``power``. Within a source the order is that of a hash of the whole row. While all sources last, a source has
+    had its share of the blocks placed so far to within less than one block; when one runs out, the same holds among the
+    rest.
+
+    * a null source is the source of empty name; null ids, repeated ids and repeated rows are placed like others;
+    * rows that tie are equal in all columns that have a hash (maps have none), so their order does not matter, and a lost
+      partition that is computed again places each row once;
+    * a source of any size is ranked in buckets of bounded size, none in one task; of a row that is repeated very often the
+      copies of each input partition fall into one bucket;
+    * an empty table gives an empty result; texts of any length are only hashed and moved; all columns of the documents are
+      kept, whatever their names; those that clash with mix_* are replaced;
+    * more than MOST_SOURCES sources, weights summing to more than MOST_WEIGHT, or more than MOST_NUMBERS as the product of
+      both are refused.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    ours = {"mix_source", "mix_block", "mix_slot", "mix_position"}
-    docs = docs.drop(*ours)
-    named = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    sizes = named.groupBy("mix_source").count().limit(MOST_SOURCES + 1).collect()
+    docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    # The columns of the documents are packed, so that their names cannot clash with those used here.
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("mix_source"), F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if _hashable(kind)]).alias("h")
+    )
+    sizes = packed.groupBy("mix_source").count().limit(MOST_SOURCES + 1).collect()
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     counts = {r["mix_source"]: r["count"] for r in sizes}
     weights = even_weights(counts, power=power) | {s: int(w) for s, w in (weights or {}).items() if s in counts}
-    if any(w < 1 for w in weights.values()) or sum(weights.values()) > MOST_WEIGHT:
-        raise ValueError(f"weights must be positive integers and sum to {MOST_WEIGHT} at most")
+    total = sum(weights.values())
+    if any(w < 1 for w in weights.values()) or total > MOST_WEIGHT or total * len(weights) > MOST_NUMBERS:
+        raise ValueError(f"weights must be positive integers, sum to {MOST_WEIGHT} at most, and to {MOST_NUMBERS} at most times the number of sources")
+    rows = sum(counts.values())
     # Ranks within a source: its rows fall into buckets by hash, a bucket's first rank is the size of those before it.
-    per_bucket = max(256, sum(counts.values()) // 65_536)
+    per_bucket = max(256, rows // 65_536)
     buckets = spark.createDataFrame([(s, max(1, n // per_bucket)) for s, n in counts.items()], "bucket_source string, buckets int")
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *(F.col(c) for c in docs.columns if c in ("doc_id", "n_chars", "lang")))
-    hashed = named.withColumn("_h", order).join(F.broadcast(buckets), F.col("mix_source") == F.col("bucket_source"))
-    hashed = hashed.withColumn("_b", F.floor(F.shiftrightunsigned("_h", 33) * F.col("buckets") / F.lit(2**31)).cast("int")).drop("bucket_source", "buckets")
-    filled = hashed.groupBy("mix_source", "_b").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("mix_source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = filled.select(F.col("mix_source").alias("_s"), F.col("_b").alias("_o"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("mix_source", "_b").orderBy("_h", "doc_id")
-    ranked = hashed.withColumn("_r", F.row_number().over(within) - 1)
-    ranked = ranked.join(offsets, (F.col("mix_source") == F.col("_s")) & (F.col("_b") == F.col("_o"))).withColumn("_rank", F.col("_before") + F.col("_r"))
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block).cast("long"))
+    # Fewer than HOT_SHARE lines by construction.
+    hot = packed.groupBy("h").count().where(F.col("count") > max(per_bucket, rows // HOT_SHARE)).select(F.col("h").alias("hot"))
+    hashed = packed.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")
+    hashed = hashed.withColumn("h", F.when(F.col("hot").isNotNull(), F.xxhash64("h", F.spark_partition_id())).otherwise(F.col("h"))).drop("hot")
+    hashed = hashed.join(F.broadcast(buckets), F.col("mix_source") == F.col("bucket_source"))
+    hashed = hashed.withColumn("b", F.floor(F.shiftrightunsigned("h", 33) * F.col("buckets") / F.lit(2**31)).cast("int")).drop("bucket_source", "buckets")
+    filled = hashed.groupBy("mix_source", "b").agg(F.count("*").alias("n"))
+    earlier_buckets = Window.partitionBy("mix_source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = filled.select(F.col("mix_source").alias("of_source"), F.col("b").alias("of_b"), F.coalesce(F.sum("n").over(earlier_buckets), F.lit(0)).alias("before"))
+    within = Window.partitionBy("mix_source", "b").orderBy("h")
+    ranked = hashed.withColumn("r", F.row_number().over(within) - 1)
+    ranked = ranked.join(offsets, (F.col("mix_source") == F.col("of_source")) & (F.col("b") == F.col("of_b"))).withColumn("rank", F.col("before") + F.col("r"))
+    ranked = ranked.withColumn("mix_block", F.floor(F.col("rank") / block).cast("long"))
+    # At most MOST_NUMBERS numbers.
     plan = _plan(spark, weights, counts, block)
     placed = ranked.join(F.broadcast(plan), F.col("mix_source") == F.col("source_key"))
-    placed = placed.withColumn("_p", F.size(F.filter("firsts", lambda f: f <= F.col("mix_block"))))
-    at = lambda c: F.element_at(c, F.col("_p"))
-    placed = placed.withColumn("_k", F.col("mix_block") - at("firsts"))
+    placed = placed.withColumn("p", F.size(F.filter("firsts", lambda f: f <= F.col("mix_block"))))
+    at = lambda c: F.element_at(c, F.col("p"))
+    placed = placed.withColumn("k", F.col("mix_block") - at("firsts"))
     width = F.size(at("slots"))
-    slot = at("starts") + F.floor(F.col("_k") / width).cast("long") * at("periods") + F.element_at(at("slots"), (F.col("_k") % width).cast("int") + 1)
+    slot = at("starts") + F.floor(F.col("k") / width).cast("long") * at("periods") + F.element_at(at("slots"), (F.col("k") % width).cast("int") + 1)
     placed = placed.withColumn("mix_slot", slot)
     earlier = F.filter("gaps", lambda g: g["slot"] < F.col("mix_slot"))
     lacking = F.coalesce(F.array_max(F.transform(earlier, lambda g: g["lacking"])), F.lit(0).cast("long"))
-    position = F.col("mix_slot") * block + (F.col("_rank") - F.col("mix_block") * block) - lacking
-    return placed.withColumn("mix_position", position).select(*docs.columns, "mix_source", "mix_block", "mix_slot", "mix_position")
+    position = F.col("mix_slot") * block + (F.col("rank") - F.col("mix_block") * block) - lacking
+    return placed.withColumn("mix_position", position).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "mix_source", "mix_block", "mix_slot", "mix_position")
 
 
 def in_mix_order(mix: DataFrame) -> DataFrame:
