@@ -108,15 +108,14 @@ ORACLE_SQL = {
             SELECT host, CAST(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END AS BIGINT) AS bad
             FROM p JOIN labels ON page_id = doc_id WHERE host <> ''
         ),
-        h0 AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS bare, count(bad) AS n, sum(bad) AS bad FROM o WHERE bad IS NOT NULL GROUP BY host),
-        h1 AS (SELECT *, string_split(bare, '.') AS l FROM h0),
-        h AS (
-            SELECT host, n, bad,
-                   CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in')
-                        THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
-                   CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in')
-                        THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h1
+        hd0 AS (SELECT DISTINCT host, regexp_replace(host, ':[0-9]*$', '') AS bare FROM p WHERE host <> ''),
+        hd1 AS (SELECT *, string_split(bare, '.') AS l, regexp_matches(bare, '^[0-9]{1,3}(\.[0-9]{1,3}){3}$') AS address FROM hd0),
+        hd2 AS (SELECT *, regexp_matches(l[-1], '^[a-z]{2}$') AND list_contains(['ac', 'co', 'com', 'edu', 'go', 'gov', 'mil', 'ne', 'net', 'or', 'org', 'sch'], coalesce(l[-2], l[-1])) AS long FROM hd1),
+        hd AS (
+            SELECT host, CASE WHEN address THEN bare WHEN long THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+                   CASE WHEN address THEN 'ip' WHEN long THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM hd2
         ),
+        h AS (SELECT host, domain, suffix, count(bad) AS n, sum(bad) AS bad FROM o JOIN hd USING (host) WHERE bad IS NOT NULL GROUP BY ALL),
         d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
         s AS (SELECT suffix, 0 AS top, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
         c AS (
@@ -137,7 +136,14 @@ ORACLE_SQL = {
             SELECT suffix, (bad + k * (SELECT sum(bad) / sum(n) FROM s)) / (n + k) AS mu FROM s JOIN k ON level = 'top'
         ),
         md AS (SELECT domain, (d.bad + k * mu) / (d.n + k) AS mu FROM d JOIN ms USING (suffix) JOIN k ON level = 'suffix' AND parent = d.suffix),
-        b AS (SELECT host, n, bad, bad + k * mu AS a, n - bad + k * (1 - mu) AS b FROM h JOIN md USING (domain) JOIN k ON level = 'domain' AND parent = h.domain),
+        pd AS (SELECT domain, mu, k FROM md JOIN k ON level = 'domain' AND parent = domain),
+        ps AS (SELECT suffix, mu, k FROM ms JOIN k ON level = 'suffix' AND parent = suffix),
+        pt AS (SELECT (SELECT sum(bad) / sum(n) FROM s) AS mu, CASE WHEN (SELECT count(*) FROM s) < 2 THEN 2.0 ELSE k END AS k FROM k WHERE level = 'top'),
+        b AS (
+            SELECT hd.host, n, bad, coalesce(bad, 0) + coalesce(pd.k, ps.k, pt.k) * coalesce(pd.mu, ps.mu, pt.mu) AS a,
+                   coalesce(n, 0) - coalesce(bad, 0) + coalesce(pd.k, ps.k, pt.k) * (1 - coalesce(pd.mu, ps.mu, pt.mu)) AS b
+            FROM hd LEFT JOIN h USING (host) LEFT JOIN pd ON pd.domain = hd.domain LEFT JOIN ps ON ps.suffix = hd.suffix LEFT JOIN pt ON true
+        ),
         r AS (SELECT *, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.35 AS blocked FROM b),
         f AS (
             SELECT p.*, n, bad, blocked, CASE

@@ -16,8 +16,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Suffixes of two labels under which names are registered; any other suffix is the last label.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+#: Labels under which names are registered below a country's two letters; any other suffix is the last label.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "go", "gov", "mil", "ne", "net", "or", "org", "sch")
+ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -41,11 +42,12 @@ def rule_of(rules=RULES):
 
 
 def with_domains(hosts: DataFrame) -> DataFrame:
-    """Adds the registered domain and the suffix of a host without its port."""
+    """Adds the registered domain and the suffix of a host without its port. Addresses have no domain above them."""
     bare = F.regexp_replace("host", r":[0-9]*$", "")
-    two = F.substring_index(bare, ".", -2)
-    suffix = F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
-    domain = F.when(two.isin(*LONG_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
+    two, last = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -1)
+    address, long = bare.rlike(ADDRESS), last.rlike("^[a-z]{2}$") & F.substring_index(two, ".", 1).isin(*SECOND_LEVELS)
+    suffix = F.when(address, "ip").when(long, two).otherwise(last)
+    domain = F.when(address, bare).when(long, F.substring_index(bare, ".", -3)).otherwise(two)
     return hosts.withColumns({"domain": domain, "suffix": suffix})
 
 
@@ -65,13 +67,14 @@ def _strength(groups: DataFrame, parent: str, least: float, most: float) -> Data
     return usable.select(F.col(parent).alias(f"{parent}_key"), F.round(k, 3).alias("k"))
 
 
-def reputation(outcomes: DataFrame, *, least: float = 2.0, most: float = 500.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def reputation(outcomes: DataFrame, *, least: float = 2.0, most: float = 500.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The beta posterior of the bad rate of each host from labelled outcomes (host, bad 0/1), and the priors above it.
 
     Counts are shrunk along global rate, suffix, registered domain and host: each level's rate is a beta-binomial prior of
     the next, worth as many outcomes as the spread of its children's rates says, between ``least`` and ``most``. Returns
-    (host, n, bad, alpha, beta), (domain, mu, k) and (suffix, mu, k). Hosts without labelled outcomes
-    are not in the first; their prior is that of the nearest level that is there.
+    (host, n, bad, alpha, beta), (domain, mu, k), (suffix, mu, k) and the one line (mu, k) for suffixes not met. Hosts
+    without labelled outcomes are not in the first; their prior is that of the nearest level that is there. What a single
+    suffix says of others is worth ``least`` only.
     """
     counted = F.sum("n").alias("n"), F.sum("bad").alias("bad")
     hosts = with_domains(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))).where("n > 0")
@@ -90,20 +93,25 @@ def reputation(outcomes: DataFrame, *, least: float = 2.0, most: float = 500.0)
     by_domain = prior(shrunk(domains, "suffix", by_suffix, "domain"), hosts, "domain")
     found = hosts.join(by_domain, "domain")
     found = found.select("host", "n", "bad", (F.col("bad") + F.col("k") * F.col("mu")).alias("alpha"), (F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("mu"))).alias("beta"))
-    return found, by_domain, by_suffix
+    lone = suffixes.agg(F.count("*").alias("m"))
+    anywhere = root.join(F.broadcast(lone)).select("mu", F.when(F.col("m") < 2, F.lit(least)).otherwise(F.col("k")).alias("k"))  # one line
+    return found, by_domain, by_suffix, anywhere
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, *, rules=RULES, block_above: float = 0.35, z: float = 1.645) -> DataFrame:
     """Every page with (host, path, rule, verdict, n_labelled, n_bad): the rule's verdict, else the reputation's.
 
     ``outcomes`` has (page_id, bad 0/1) for some pages. A host is blocked where the lower posterior bound of its bad rate
-    (mean less z standard deviations) is above ``block_above``. A host without outcomes is judged by the prior of its
-    registered domain, else of its suffix; hosts of suffixes without outcomes and empty hosts are allowed.
+    is above ``block_above``: its mean less z standard deviations, which stands for the lower quantile of the beta
+    distribution and is close to it where the posterior is worth ten outcomes or more. A host without outcomes is judged by
+    the prior of its registered domain, else of its suffix, else by the global one. Empty hosts, and all hosts where there
+    are no outcomes at all, are allowed.
 
     * a null url, or one without "://", has an empty host and path, no rule and is allowed;
     * null outcomes and outcomes of null or unknown pages do not count; several outcomes of a page count each;
     * repeated pages stay repeated and count each; an empty table gives an empty result; further columns of pages are
-      ignored.
+      ignored; a bound that equals ``block_above`` does not block; urls of any length are read whole.
+    * ports are no part of the domain; a host of four numbers is its own domain, of the suffix "ip".
     """
     parts = with_parts(pages.select("page_id", "url"))
     labelled = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").select(F.col("page_id").alias("labelled_id"), "bad")
@@ -111,11 +119,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, rules=RULES, block_above: fl
     total = F.col("alpha") + F.col("beta")
     mean = F.col("alpha") / total
     bound = mean - z * F.sqrt(mean * (1 - mean) / (total + 1))
-    found, *priors = reputation(known)
+    found, by_domain, by_suffix, anywhere = reputation(known)
     hosts = with_domains(parts.where("host <> ''").select("host").distinct()).join(found, "host", "left")
-    for level, prior in zip(("domain", "suffix"), priors, strict=True):
+    for level, prior in (("domain", by_domain), ("suffix", by_suffix)):
         hosts = hosts.join(prior.select(level, F.col("mu").alias(f"{level}_mu"), F.col("k").alias(f"{level}_k")), level, "left")
-    mu, k = (F.coalesce(f"domain_{x}", f"suffix_{x}") for x in ("mu", "k"))
+    hosts = hosts.join(F.broadcast(anywhere.select(F.col("mu").alias("any_mu"), F.col("k").alias("any_k"))), how="left")  # one line
+    mu, k = (F.coalesce(f"domain_{x}", f"suffix_{x}", f"any_{x}") for x in ("mu", "k"))
     hosts = hosts.withColumns({"alpha": F.coalesce("alpha", k * mu), "beta": F.coalesce("beta", k * (1 - mu))})
     hosts = hosts.select(F.col("host").alias("known_host"), "n", "bad", (bound > block_above).alias("blocked"))
     rule, verdict = rule_of(rules)
