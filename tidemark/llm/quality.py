@@ -172,9 +172,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             own, length, _ = line_features([batch.column(1)[i].as_py()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, 1), pa.array([own.astype("<f4").tobytes()], pa.binary()), pa.array([length.tobytes()], pa.binary())], ["label", "own", "length"]
-            )
+            features = pa.array([own.astype("<f4").tobytes()], pa.binary()), pa.array([length.tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in (0, 2, 3)), *features], ["label", "of_id", "of_text", "own", "length"])
 
 
 def held_out(doc_id="doc_id"):
@@ -184,7 +183,8 @@ def held_out(doc_id="doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, most_lines: int = 300) -> LineField:
     """Fit on the driver from a bounded sample: at most ``sample_rows`` labelled documents that are not held out (those of
-    smallest id hash) with at most ``most_lines`` lines."""
+    smallest id hash) with at most ``most_lines`` lines. Where ids repeat, at most twice as many rows by the hashes of id and
+    text: the same rows whatever their order, so that the same input gives the same model."""
     common.ship(docs.sparkSession)
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out())
     chosen = usable.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col("quality").cast("int").alias("label"))
@@ -192,8 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, most_l
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.string_or_empty("text").alias("text"))
     texts = texts.where(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < most_lines)
     # Of bounded size: sample_rows lines of two numbers.
-    joined = texts.join(F.broadcast(chosen), texts.doc_id == chosen.labelled_id).select("label", "text")
-    rows = joined.mapInArrow(_featured, "label int, own binary, length binary").limit(2 * sample_rows).collect()
+    joined = texts.join(F.broadcast(chosen), texts.doc_id == chosen.labelled_id).select("label", "text", F.xxhash64("doc_id").alias("of_id"), F.xxhash64("text").alias("of_text"))
+    rows = joined.mapInArrow(_featured, "label int, of_id long, of_text long, own binary, length binary").orderBy("of_id", "of_text", "label").limit(2 * sample_rows).collect()
     own = [np.frombuffer(r["own"], "<f4").reshape(-1, len(FEATURES)) for r in rows]
     if not rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))

@@ -83,15 +83,16 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return found.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that is reachable, for every node of the undirected edges (a, b).
 
     Labels fall to the least label among the neighbours and then to the label of that label, round by round, until none
-    changes. Sums and minima are taken before the shuffle; each round is cut by a checkpoint.
+    changes: each round lowers a label, so the rounds end. Minima are taken before the shuffle; each round is cut by a
+    checkpoint.
     """
     both = common.checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = common.checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(near, labels.node == near.a, "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("hop"))
         jump = labels.select(F.col("node").alias("at"), F.col("root").alias("jump"))
@@ -101,7 +102,6 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         labels = after.select("node", F.col("new").alias("root"))
         if not moved:
             return labels
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
@@ -113,7 +113,8 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: i
 
     * null and empty texts have fingerprint zero and are linked like any other;
     * a null doc_id stays null and never is a component's id unless all ids of the component are null;
-    * repeated rows stay repeated; an empty table gives an empty result; further columns are ignored.
+    * texts of any length are fingerprinted whole; repeated rows stay repeated; of ties in component_id there are none, as it
+      is the smallest of the ids; an empty table gives an empty result; further columns are ignored.
     """
     prints = common.checkpointed(fingerprints(docs, width=width, seed=seed))
     classes = common.checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
