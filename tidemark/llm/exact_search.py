@@ -22,4 +22,6 @@ def exact_top_k(embeddings: DataFrame, is_query, k: int = 5, *, scale: float = 2
     common.ship(embeddings.sparkSession)
     rows = tiles.usable(embeddings, id_col, vector_col)
     rows = rows.select(F.lit(0).alias("g"), "vec_id", F.transform("v", lambda x: F.rint(F.floor(x * scale).cast("double"))).alias("v"))
-    return tiles.tiled_top_k(rows, rows.where(is_query(F.col("vec_id"))), k, whole=True)
+    asked = F.coalesce(is_query(F.col("vec_id")), F.lit(False))
+    total, components = rows.agg(F.count("*"), F.sum(F.when(asked, F.size("v")))).first()
+    return tiles.tiled_top_k(rows, rows.where(asked), k, {0: total}, 8.0 * (components or 0), whole=True)

@@ -1,8 +1,8 @@
 """Exact top-k by tiles: query blocks against row blocks, selection per tile, merged in a tree.
 
 Rows and queries carry a group number. Every query meets every row of its group. Rows of a group are dealt to buckets by
-a hash of their id and packed into tiles of bounded size; a query tile visits each bucket of its group once. So one task
-never holds a whole group, however large the group is.
+a hash of their id and packed into tiles of bounded size. Row tiles stay where they are and the query tiles of their group
+come to them. So one task never holds a whole group, however large the group is.
 """
 
 from __future__ import annotations
@@ -94,14 +94,42 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+#: Bits of the pieces into which large whole numbers are cut.
+PIECE = 20
+
+
+def _pieces(x: np.ndarray) -> list[np.ndarray]:
+    """Whole numbers as sums of PIECE-bit pieces, the lowest first."""
+    out, base = [], float(1 << PIECE)
+    while not out or x.any():
+        low = np.fmod(x, base)
+        out.append(low)
+        x = (x - low) / base
+    return out
+
+
 def whole_inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers held as doubles: exact, saturated at the range of a 64-bit integer."""
-    top = max(np.abs(a).max(initial=0), 1) * max(np.abs(b).max(initial=0), 1) * a.shape[1]
-    if top < 2**53:
+    """Inner products of whole numbers held as doubles: exact, saturated at the range of a 64-bit integer.
+
+    Only lines and columns with a product that doubles cannot hold go through pieces, whose matrix products they can.
+    """
+    top_a, top_b = np.abs(a).max(axis=1, initial=0), np.abs(b).max(axis=1, initial=0)
+    unsafe = np.maximum(top_a, 1)[:, None] > 2.0**53 / a.shape[1] / np.maximum(top_b, 1)[None, :]
+    if not unsafe.any():
         return a @ b.T
-    exact = [[int(x) for x in row] for row in a], [[int(x) for x in row] for row in b]
+    lines, columns = np.flatnonzero(unsafe.any(axis=1)), np.flatnonzero(unsafe.any(axis=0))
+    safe_a, safe_b = np.where(np.abs(a) < 2.0**53, a, 0), np.where(np.abs(b) < 2.0**53, b, 0)
+    plain = np.where(unsafe, 0.0, safe_a @ safe_b.T).astype(np.int64)
+    exact = np.zeros((len(lines), len(columns)), dtype=object)
+    step = max(1, (1 << (53 - 2 * PIECE)) - 1)
+    for lo in range(0, a.shape[1], step):  # so many products of pieces fit
+        left, right = _pieces(a[lines, lo : lo + step]), _pieces(b[columns, lo : lo + step])
+        for i, p in enumerate(left):
+            for j, q in enumerate(right):
+                exact += (p @ q.T).astype(np.int64).astype(object) * (1 << PIECE * (i + j))
     limit = 2**63 - 1
-    return np.array([[min(max(sum(x * y for x, y in zip(p, q, strict=True)), -limit), limit) for q in exact[1]] for p in exact[0]], dtype=np.int64)
+    plain[np.ix_(lines, columns)] = np.clip(exact, -limit, limit).astype(np.int64)
+    return plain
 
 
 #: Lines a task gathers before it cuts them to the best of each query.
@@ -176,26 +204,43 @@ def _merge(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return run
 
 
-def tiled_top_k(rows: DataFrame, queries: DataFrame, k: int, *, whole: bool = False) -> DataFrame:
+#: Bytes of query vectors that are sent to every executor at most; beyond it they are shuffled to the rows' buckets.
+SENT_BYTES = 32 << 20
+
+
+def tiled_top_k(rows: DataFrame, queries: DataFrame, k: int, sizes: dict[int, float], asked_bytes: float, *, whole: bool = False) -> DataFrame:
     """The k rows of largest inner product for each query within its group.
 
-    Both frames have (g int, vec_id long, v array<double>); vectors of different length never meet. Returns (query_id,
-    rank, vec_id, score). Repeated rows of one id and score count once. With ``whole`` the components are whole numbers
-    and the scores exact 64-bit integers.
+    Both frames have (g int, vec_id long, v array<double>); vectors of different dimension never meet. ``sizes`` says about
+    how many rows a group has: it decides the number of buckets only, and groups it lacks have one. ``asked_bytes`` is the
+    size of the query vectors: up to SENT_BYTES they are sent to all executors, and the rows are shuffled once, into tiles.
+    Beyond it each query tile is shuffled to every bucket of its group, and the row tiles are shuffled once more, however
+    many queries there are. Returns (query_id, rank, vec_id, score). Repeated rows of one id and score count once. With
+    ``whole`` the components are whole numbers and the scores exact 64-bit integers.
     """
-    size = lambda df, tile, name: df.groupBy("g").agg(F.ceil(F.count("*") / F.lit(2 * tile)).cast("int").alias(name))
-    # One line per group; groups are bounded by the caller, and Spark checks the size before it broadcasts.
-    grid = size(rows, ROW_TILE, "rb").join(size(queries, QUERY_TILE, "qb"), "g")
-    dealt = lambda df, n: df.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")).withColumn("dim", F.size("v"))
-
-    def tiles(df: DataFrame, n: str, most: int) -> DataFrame:
-        cells = dealt(df.join(grid, "g"), n).select("g", "b", "dim", "vec_id", "v").repartition("g", "b")
-        return cells.mapInArrow(_pack(most), "g int, b int, dim int, ids binary, vectors binary").join(grid, "g")
-
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = tiles(rows, "rb", ROW_TILE).select("g", "dim", F.col("b").alias("rb"), every("qb").alias("qb"), "ids", "vectors")
-    right = tiles(queries, "qb", QUERY_TILE).select("g", "dim", F.col("b").alias("qb"), every("rb").alias("rb"), F.col("ids").alias("asked"), F.col("vectors").alias("asked_vectors"))
-    pairs = left.join(right, ["g", "dim", "rb", "qb"]).select("dim", "ids", "vectors", "asked", "asked_vectors")
+    spark = rows.sparkSession
+    # One line per group; groups are bounded by the caller.
+    lines = [(int(g), max(1, -(-int(n) // (2 * ROW_TILE)))) for g, n in sizes.items()]
+    grid = F.broadcast(spark.createDataFrame(lines, "of int, rb int"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        known = df.join(grid, F.col("g") == F.col("of"), "left").withColumn("rb", F.coalesce("rb", F.lit(1)))
+        return known.select("g", F.pmod(F.xxhash64("vec_id"), F.col("rb")).cast("int").alias("b"), F.size("v").alias("dim"), "vec_id", "v", "rb")
+
+    cell = "g int, b int, dim int, ids binary, vectors binary"
+    left = dealt(rows).drop("rb").repartition("g", "b").mapInArrow(_pack(ROW_TILE), cell)
+    right = queries.select("g", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int").alias("b"), F.size("v").alias("dim"), "vec_id", "v")
+    few = asked_bytes <= SENT_BYTES
+    # Queries that are sent are few: those of a group are packed into full tiles.
+    packed = (right.withColumn("b", F.lit(0)) if few else right).repartition("g", "b").mapInArrow(_pack(QUERY_TILE), cell)
+    if few:
+        asked = F.broadcast(packed.select("g", "dim", F.col("ids").alias("asked"), F.col("vectors").alias("asked_vectors")))
+        pairs = left.join(asked, ["g", "dim"])
+    else:
+        spread = packed.join(grid, F.col("g") == F.col("of"), "left").withColumn("rb", F.coalesce("rb", F.lit(1)))
+        asked = spread.select("g", "dim", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("b"), F.col("ids").alias("asked"), F.col("vectors").alias("asked_vectors"))
+        pairs = left.join(asked, ["g", "dim", "b"])
+    pairs = pairs.select("dim", "ids", "vectors", "asked", "asked_vectors")
     # Merged as a tree: the best of a tile, of a task, of all.
     kind = "long" if whole else "double"
     lists = pairs.mapInArrow(_score(whole_inner if whole else inner, k, whole), f"query_id long, ids array<long>, scores array<{kind}>")
