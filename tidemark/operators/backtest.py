@@ -27,15 +27,23 @@ def first_touch(frame: DataFrame) -> DataFrame:
 
 
 def events(rolled: DataFrame) -> DataFrame:
-    """Events with fwd20, fwd60, mech_score and resolution. Only history goes into the levels, only later bars into outcomes."""
-    day = Window.partitionBy("ticker").orderBy("d")
-    after = day.rowsBetween(1, WINDOW)
-    out = rolled.withColumns({
-        "fwd20": F.lead("c", 20).over(day) / F.col("c") - 1, "fwd60": F.lead("c", 60).over(day) / F.col("c") - 1, "lows": F.collect_list("l").over(after), "highs": F.collect_list("h").over(after),
+    """Events with fwd20, fwd60, mech_score and resolution. Only history goes into the levels, only later bars into outcomes.
+
+    The bars of a ticker are one array; only the sampled ones are given the stretch of bars after them.
+    """
+    kept = [c for c in ("d", "bar", "n", "c", "h", "l", "atr14", "sma50", "sma200") if c in rolled.columns]
+    arrays = rolled.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("bar", *[c for c in kept if c != "bar"]))).alias("a"))
+    size = F.size("a")
+    at = F.when(size >= HISTORY + WINDOW, F.sequence(F.lit(HISTORY), size - WINDOW, F.lit(STEP)))
+    close = lambda i, k: F.element_at("a", i + k)["c"]
+    found = F.transform(at, lambda i: F.struct(F.element_at("a", i).alias("e"), F.slice("a", i + 1, WINDOW).alias("after"), close(i, 20).alias("c20"), close(i, 60).alias("c60")))
+    out = arrays.select("ticker", F.explode(found).alias("x")).select("ticker", "x.e.*", "x.after", "x.c20", "x.c60").where("atr14 IS NOT NULL")
+    out = out.withColumns({
+        "fwd20": F.col("c20") / F.col("c") - 1, "fwd60": F.col("c60") / F.col("c") - 1, "lows": F.transform("after", lambda x: x["l"]), "highs": F.transform("after", lambda x: x["h"]),
+        "stop": F.col("c") - 2 * F.col("atr14"), "target": F.col("c") + 1.5 * F.col("atr14"),
     })
-    picked = sampled(out, "bar").where("atr14 IS NOT NULL").withColumns({"stop": F.col("c") - 2 * F.col("atr14"), "target": F.col("c") + 1.5 * F.col("atr14")})
     side = lambda a, b: F.when(F.col(a) > F.col(b), 10).otherwise(-10)
-    return first_touch(picked).withColumn("mech_score", side("c", "sma50") + side("c", "sma200") + side("sma50", "sma200"))
+    return first_touch(out.drop("after", "c20", "c60")).withColumn("mech_score", side("c", "sma50") + side("c", "sma200") + side("sma50", "sma200"))
 
 
 def edges(found: DataFrame, least: int = 30) -> DataFrame:

@@ -45,6 +45,44 @@ def rsi(closes: Column, n: int = 14) -> Column:
     return F.when(size > n, F.aggregate(rest, F.struct(mean(1.0).alias("g"), mean(-1.0).alias("l")), step, done))
 
 
+#: Bars of a block of ``wilder``: what came before the block before last weighs less than a double can tell.
+BLOCK = 512
+
+
+def wilder(frame: DataFrame, columns: dict[str, str], n: int = 14) -> DataFrame:
+    """Adds Wilder's average of each column (given as name: column) for every bar, over all of the ticker's bars so far.
+
+    ``frame`` has ticker, d and bar (from 1); bar 1 has no move, the mean of the moves of bars 2 to n + 1 is the first
+    value. A running average is a sum with weights that fall by the bar. It is taken from the start of a block of bars, so
+    that no weight overflows, and what the blocks before leave is added: window sums only, no arrays.
+    """
+    decay = 1 - 1 / n
+    day = Window.partitionBy("ticker").orderBy("d")
+    at = (F.col("bar") - 1).cast("long")
+    place = F.pmod(at, F.lit(BLOCK))
+    within = Window.partitionBy("ticker", "_block").orderBy("d")
+    earlier = day.rowsBetween(Window.unboundedPreceding, -1)
+    out = frame.withColumns({"_block": F.floor(at / BLOCK), "_place": place.cast("double"), "_ends": place == BLOCK - 1})
+    for name, column in columns.items():
+        first = F.avg(column).over(day.rowsBetween(1 - n, 0))
+        moved = F.when(F.col("bar") == n + 1, first).when(F.col("bar") > n + 1, F.col(column) / n).otherwise(0.0)
+        out = out.withColumn("_x", moved)
+        out = out.withColumn("_own", F.sum(F.col("_x") * F.pow(F.lit(1 / decay), "_place")).over(within) * F.pow(F.lit(decay), "_place"))
+        out = out.withColumn("_last", F.coalesce(F.last(F.when(F.col("_ends"), F.col("_own")), ignorenulls=True).over(earlier), F.lit(0.0)))
+        out = out.withColumn("_left", F.coalesce(F.last(F.when(F.col("_ends"), F.col("_own") + F.col("_last") * decay**BLOCK), ignorenulls=True).over(earlier), F.lit(0.0)))
+        out = out.withColumn(name, F.when(F.col("bar") > n, F.col("_own") + F.col("_left") * F.pow(F.lit(decay), F.col("_place") + 1)))
+    return out.drop("_block", "_place", "_ends", "_x", "_own", "_last", "_left")
+
+
+def rsi_series(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Adds rsi14 for every bar from the n-th change on, over all of the ticker's bars so far; 100 without losses."""
+    day = Window.partitionBy("ticker").orderBy("d")
+    move = F.coalesce(F.col("c") - F.lag("c").over(day), F.lit(0.0))
+    moves = bars.withColumns({"bar": F.row_number().over(day), "_up": F.greatest(move, F.lit(0.0)), "_down": F.greatest(-move, F.lit(0.0))})
+    out = wilder(moves, {"_g": "_up", "_l": "_down"}, n)
+    return out.withColumn("rsi14", F.when(F.col("_l") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_g") / F.col("_l")))).drop("_up", "_down", "_g", "_l")
+
+
 def macd(closes: Column) -> Column:
     """struct(macd, signal, hist) of the last bar in one fold; null for fewer than 35 closes."""
     zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("fast"), F.lit(0.0).alias("slow"), F.lit(0.0).alias("sig"))
@@ -61,11 +99,6 @@ def macd(closes: Column) -> Column:
     return F.when(F.size(closes) >= 35, F.aggregate(closes, zero, step, done))
 
 
-def closes_array(lookback: int = 260) -> Column:
-    """The closes of the last bars up to this one, oldest first."""
-    return F.collect_list("c").over(Window.partitionBy("ticker").orderBy("d").rowsBetween(1 - lookback, 0))
-
-
 def recursive(frame: DataFrame, closes: str = "closes") -> DataFrame:
     """Adds ema20, rsi14, macd, macd_signal and macd_hist from an array of closes."""
     c = F.col(closes)
@@ -81,6 +114,13 @@ def trend_of(higher: Column) -> Column:
     return F.when(n < 10, "Data unavailable").when(ten > thirty, "Uptrend").when(ten < thirty, "Downtrend").otherwise("Flat")
 
 
+def week_ends(bars: Column) -> Column:
+    """The closes of the last bar of each calendar week, the last 30 of them, from an array of structs (d, c) by day."""
+    week = lambda x: F.date_trunc("week", x["d"])
+    ends = F.filter(bars, lambda x, i: (i == F.size(bars) - 1) | (week(F.get(bars, i + 1)) != week(x)))
+    return F.transform(F.slice(ends, F.greatest(F.size(ends) - 29, F.lit(1)), 30), lambda x: x["c"])
+
+
 def weekly_trend(bars: DataFrame) -> DataFrame:
     """(ticker, trend) from the last closes of calendar weeks."""
     weeks = bars.groupBy("ticker", F.date_trunc("week", "d").alias("wk")).agg(F.max_by("c", "d").alias("wc"))

@@ -336,7 +336,7 @@ def jon18(spark, sf_dir):
 
 
 define("t_led", """
-    SELECT ticker || '@' || CAST(rn AS VARCHAR) AS id, ticker, d, c AS rec_price, lead(c, 30) OVER w AS price, c * 1.2 AS target, c * 0.9 AS stop, lead(d, 30) OVER w - d AS age, CASE WHEN rn % 4 = 0 THEN 'sell' ELSE 'buy' END AS action, ['low', 'medium', 'high'][rn % 3 + 1] AS conviction, rn
+    SELECT ticker || '@' || CAST(rn AS VARCHAR) AS id, ticker, d, c AS rec_price, lead(c, 30) OVER w AS price, c * 1.2 AS target, c * 0.9 AS stop, lead(d, 30) OVER w - d AS age, CASE WHEN rn // 20 % 4 = 0 THEN 'sell' ELSE 'buy' END AS action, ['low', 'medium', 'high'][rn % 3 + 1] AS conviction, rn
     FROM t_num WINDOW w AS (PARTITION BY ticker ORDER BY d)""")
 define("t_entries", "SELECT *, CASE WHEN action = 'buy' AND price >= target THEN 'target' WHEN action = 'buy' AND price <= stop THEN 'stopped' WHEN age > 40 THEN 'expired' ELSE 'open' END AS status FROM t_led WHERE rn % 20 = 0 AND price IS NOT NULL")
 
@@ -346,7 +346,7 @@ def entries(spark, sf_dir):
     b = T.numbered(T.bars(spark, sf_dir))
     rows = b.withColumns({
         "id": F.concat("ticker", F.lit("@"), F.col("rn").cast("string")), "rec_price": F.col("c"), "price": F.lead("c", 30).over(day), "target": F.col("c") * 1.2, "stop": F.col("c") * 0.9, "age": F.datediff(F.lead("d", 30).over(day), "d"),
-        "action": F.when(F.col("rn") % 4 == 0, "sell").otherwise("buy"), "conviction": F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("rn") % 3 + 1),
+        "action": F.when(F.floor(F.col("rn") / 20) % 4 == 0, "sell").otherwise("buy"), "conviction": F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("rn") % 3 + 1),
     })
     return O.score_ledger(rows.where("rn % 20 = 0 AND price IS NOT NULL"), 40)
 

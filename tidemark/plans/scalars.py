@@ -83,9 +83,9 @@ def dat03(spark, sf_dir):
     return T.read(spark, sf_dir, "events").select("event_id", text.age_text(F.col("event_id") * 97 % 900_000).alias("age"))
 
 
-@register("dat05_compact_parse", "SELECT event_id, date_trunc('second', ts) AS t FROM events WHERE event_id % 5 = 0")
+@register("dat05_compact_parse", "SELECT event_id, date_trunc('second', ts) AS t FROM events")
 def dat05(spark, sf_dir):
-    e = T.read(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = T.read(spark, sf_dir, "events")
     return e.select("event_id", text.compact_date(F.date_format("ts", "yyyyMMdd'T'HHmmss")).cast("timestamp_ntz").alias("t"))
 
 
@@ -196,9 +196,9 @@ def src27(spark, sf_dir):
     return T.read(spark, sf_dir, "events").where(~F.col("event_type").isin("click", "view") & (F.col("value") > 1)).select("event_id", "value")
 
 
-@register("src28_open_positions", "SELECT account, broker, ticker, quantity FROM t_positions WHERE quantity <> 0 AND account % 7 = 0")
+@register("src28_open_positions", "SELECT account, broker, ticker, quantity FROM t_positions WHERE quantity <> 0")
 def src28(spark, sf_dir):
-    return T.positions(spark, sf_dir).where("quantity <> 0 AND account % 7 = 0").select("account", "broker", "ticker", "quantity")
+    return T.positions(spark, sf_dir).where("quantity <> 0").select("account", "broker", "ticker", "quantity")
 
 
 @register("src19_html_links", "SELECT page_id, CAST(len(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)) AS INTEGER) AS n, regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)[1] AS first FROM pages")
@@ -219,9 +219,9 @@ def flt29(spark, sf_dir):
     return T.tickers(spark, sf_dir).select("ticker", F.to_json(F.struct("sector", "market")).alias("payload"))
 
 
-@register("flt17_position_guidance", "SELECT account, ticker, round((price / nullif(cost_price, 0) - 1) * 100, 6) AS pnl_pct FROM t_holdings LEFT JOIN t_quotes USING (ticker) WHERE account % 9 = 0")
+@register("flt17_position_guidance", "SELECT account, ticker, round((price / nullif(cost_price, 0) - 1) * 100, 6) AS pnl_pct FROM t_holdings LEFT JOIN t_quotes USING (ticker)")
 def flt17(spark, sf_dir):
-    h = T.holdings(spark, sf_dir).where("account % 9 = 0").join(T.quotes(spark, sf_dir), "ticker", "left")
+    h = T.holdings(spark, sf_dir).join(T.quotes(spark, sf_dir), "ticker", "left")
     return rounded(h.select("account", "ticker", ((F.try_divide("price", "cost_price") - 1) * 100).alias("pnl_pct")))
 
 

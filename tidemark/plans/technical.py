@@ -33,12 +33,13 @@ def last_bars(spark, sf_dir, ticker="p_brand"):
 
 def snapshot(spark, sf_dir, ticker="p_brand"):
     """One line per ticker with every indicator, the candles of the last bar and the mechanical signal."""
-    bars = T.bars(spark, sf_dir, ticker)
-    arrays = T.numbered(bars).where("rn_desc <= 260").groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "c"))), lambda s: s["c"]).alias("closes"))
-    recursive = indicators.recursive(arrays).drop("closes")
-    rolled = candles.patterns(indicators.rolling(bars)).where("bar = n")
-    joined = rolled.join(recursive, "ticker").join(indicators.weekly_trend(bars), "ticker")
-    return signals.mechanical_score(joined)
+    rolled = candles.patterns(indicators.rolling(T.bars(spark, sf_dir, ticker)))
+    # The bars stay where the windows have put them: the last one and the closes before it are one aggregation.
+    kept = [c for c in rolled.columns if c != "ticker"]
+    recent = F.array_sort(F.collect_list(F.when(F.col("bar") > F.col("n") - 260, F.struct("d", "c"))))
+    last = rolled.groupBy("ticker").agg(F.max_by(F.struct(*kept), "bar").alias("last"), recent.alias("recent"))
+    wide = last.select("ticker", "last.*", F.transform("recent", lambda x: x["c"]).alias("closes"), indicators.trend_of(indicators.week_ends(F.col("recent"))).alias("trend"))
+    return signals.mechanical_score(indicators.recursive(wide).drop("closes"))
 
 
 @register("src01_bars", "SELECT ticker, d, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, v FROM t_bars")
@@ -61,18 +62,34 @@ def win02(spark, sf_dir):
     return rounded(snapshot(spark, sf_dir).select("ticker", "ema20"))
 
 
+# Wilder's average written out: the mean of the first 14 moves, and each later move over 14, weighted by its age.
 RSI_ALL = """
-    SELECT ticker, d, round(CASE WHEN rs.l = 0 THEN 100 ELSE 100 - 100 / (1 + rs.g / rs.l) END, 5) AS rsi14 FROM (
-        SELECT ticker, d, list_reduce(list_transform(list_zip(a[16:], a[15:-2]), lambda z: {'g': greatest(z[1] - z[2], 0), 'l': greatest(z[2] - z[1], 0)}), lambda p, q: {'g': (p.g * 13 + q.g) / 14, 'l': (p.l * 13 + q.l) / 14},
-            {'g': list_sum(list_transform(list_zip(a[2:15], a[1:14]), lambda z: greatest(z[1] - z[2], 0))) / 14, 'l': list_sum(list_transform(list_zip(a[2:15], a[1:14]), lambda z: greatest(z[2] - z[1], 0))) / 14}) AS rs
-        FROM (SELECT ticker, d, rn, list(c) OVER (PARTITION BY ticker ORDER BY d ROWS 99 PRECEDING) AS a FROM t_num) WHERE rn > 14)"""
+    SELECT ticker, d, round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 5) AS rsi14 FROM (
+        SELECT ticker, d, rn, sum(CASE WHEN rn = 15 THEN up14 WHEN rn > 15 THEN up / 14 ELSE 0 END * pow(14.0 / 13, rn)) OVER w * pow(13.0 / 14, rn) AS g,
+               sum(CASE WHEN rn = 15 THEN down14 WHEN rn > 15 THEN down / 14 ELSE 0 END * pow(14.0 / 13, rn)) OVER w * pow(13.0 / 14, rn) AS l FROM (
+            SELECT ticker, d, rn, up, down, avg(up) OVER w14 AS up14, avg(down) OVER w14 AS down14 FROM (
+                SELECT ticker, d, rn, greatest(c - lag(c) OVER w, 0) AS up, greatest(lag(c) OVER w - c, 0) AS down FROM t_num WINDOW w AS (PARTITION BY ticker ORDER BY d))
+            WINDOW w14 AS (PARTITION BY ticker ORDER BY d ROWS 13 PRECEDING)) WINDOW w AS (PARTITION BY ticker ORDER BY d)) WHERE rn > 14"""
 
 
 @register("win03_rsi", RSI_ALL)
 def win03(spark, sf_dir):
-    """For every bar over its last 100 bars."""
-    arrays = T.bars(spark, sf_dir).withColumn("closes", indicators.closes_array(100)).where(F.size("closes") > 14)
-    return arrays.select("ticker", "d", F.round(indicators.rsi(F.col("closes")), 5).alias("rsi14"))
+    """For every bar, over all bars of its ticker so far."""
+    return indicators.rsi_series(T.bars(spark, sf_dir)).where("bar > 14").select("ticker", "d", F.round("rsi14", 5).alias("rsi14"))
+
+
+@register("flt03_rsi_reversion_history", f"SELECT ticker, d, CASE WHEN rsi14 < 30 THEN 35 ELSE -35 END AS score FROM ({RSI_ALL}) WHERE rsi14 < 30 OR rsi14 > 70")
+def flt03_history(spark, sf_dir):
+    """The bars on which the average of gains and losses says to turn."""
+    r = win03(spark, sf_dir)
+    return r.where("rsi14 < 30 OR rsi14 > 70").select("ticker", "d", F.when(F.col("rsi14") < 30, 35).otherwise(-35).alias("score"))
+
+
+@register("flt06_bollinger_history", "SELECT ticker, d, CASE WHEN c > sma20 + 2 * sd20 THEN 30 ELSE -30 END AS score FROM t_roll WHERE c > sma20 + 2 * sd20 OR c < sma20 - 2 * sd20")
+def flt06_history(spark, sf_dir):
+    """The bars that close outside their bands."""
+    r = indicators.rolling(T.bars(spark, sf_dir)).where("c > bb_upper OR c < bb_lower")
+    return r.select("ticker", "d", F.when(F.col("c") > F.col("bb_upper"), 30).otherwise(-30).alias("score"))
 
 
 @register("win04_macd", "SELECT ticker, round(macd, 6) AS macd, round(macd_signal, 6) AS macd_signal, round(macd_hist, 6) AS macd_hist FROM t_rec")

@@ -5,6 +5,8 @@ Every function takes (spark, dir) and returns a lazy DataFrame; Spark prunes col
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +28,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str, ticker: str = "p_brand") -> DataFrame:
-    """Line items as trades: (ticker, d, px, v, key). The key orders the trades of a day."""
+    """Line items as trades: (ticker, d, px, v, key). The key orders the trades of a day: order, line, part and supplier
+    (its last six digits) in one number, so that aggregates over it need no sort."""
     part = read(spark, sf_dir, "part").select("p_partkey", F.col(ticker).alias("ticker"))
-    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(19,0)") * F.lit(Decimal(10**18))
+    key = line + F.col("l_partkey").cast("decimal(12,0)") * F.lit(Decimal(10**6)) + F.pmod("l_suppkey", F.lit(10**6)).cast("decimal(6,0)")
     lines = read(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.to_date("l_shipdate").alias("d"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.col("l_quantity").alias("v"), key.alias("key")
+        "l_partkey", F.to_date("l_shipdate").alias("d"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.col("l_quantity").alias("v"), key.cast("decimal(38,0)").alias("key")
     )
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("ticker", "d", "px", "v", "key")
 
@@ -41,13 +45,16 @@ def bars(spark: SparkSession, sf_dir: str, ticker: str = "p_brand", least: int =
         F.min_by("px", "key").alias("o"), F.max("px").alias("h"), F.min("px").alias("l"), F.max_by("px", "key").alias("c"), F.sum("v").alias("v")
     )
     daily = daily.dropna(subset=["o", "h", "l", "c", "v"])
-    return daily.withColumn("n_bars", F.count("*").over(Window.partitionBy("ticker"))).where(F.col("n_bars") >= least).drop("n_bars")
+    # In the order of days, as what follows needs it too.
+    whole = Window.partitionBy("ticker").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return daily.withColumn("n_bars", F.count("*").over(whole)).where(F.col("n_bars") >= least).drop("n_bars")
 
 
 def numbered(frame: DataFrame) -> DataFrame:
     """Adds rn (from 1, oldest first), rn_desc (from 1, newest first) and n."""
-    w = Window.partitionBy("ticker")
-    return frame.withColumn("rn", F.row_number().over(w.orderBy("d"))).withColumn("n", F.count("*").over(w)).withColumn("rn_desc", F.col("n") - F.col("rn") + 1)
+    w = Window.partitionBy("ticker").orderBy("d")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return frame.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(whole)}).withColumn("rn_desc", F.col("n") - F.col("rn") + 1)
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

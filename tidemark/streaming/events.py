@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.llm import common
+from tidemark.sources.shared import shared_folder
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -73,7 +73,7 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete", fold:
     ``fold`` is applied to each batch before it is written. A complete result is that of the last batch; else those of all
     batches are there one below the other.
     """
-    folder, written = f"{common.shared_folder(spark)}/stream-{uuid4().hex}", {}
+    folder, written = f"{shared_folder(spark)}/stream-{uuid4().hex}", {}
 
     def write(batch: DataFrame, number: int) -> None:
         out = fold(batch)
