@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared folder, shipping this package to executors, text helpers."""
+"""What the corpus operators share: shipping this package to executors, the shared folder, text helpers."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import checkpointed, removed, shared_folder  # noqa: F401
+
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,26 +31,6 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints, which the driver and all executors see.
-
-    Only a local session without ``spark.checkpoint.dir`` gets a temporary folder of its own.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def string_or_empty(name: str):
     """The text column with null as the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
