@@ -37,12 +37,14 @@ def in_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """The documents of files in the order of the mix, with mix_position: the rows of earlier files, and those before it."""
-    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    # One row for each file of the mixing stage.
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("_file").count().select("_file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(files), "_file").withColumn("mix_position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+    """(doc_id, text, mix_position) of the documents of files in the order of the mix: a document's place is the number of
+    rows of the files before its own, by the number in their names, and of those before it in its file."""
+    number = F.regexp_extract("_metadata.file_name", r"part-([0-9]+)", 1).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), number.alias("file"), F.col("_metadata.row_index").alias("row"))
+    # One line for each file of the mixing stage.
+    before = Window.orderBy("of_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy(F.col("file").alias("of_file")).count().select("of_file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(files), F.col("file") == F.col("of_file")).select("doc_id", "text", (F.col("before") + F.col("row")).alias("mix_position"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = placed(docs)
     # Places are unique, ids need not be.
     digests = bpe.digests(docs.select(F.col("mix_position").alias("doc_id"), "text"), RANKS, public_tokenizers.PATTERN)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "mix_position")
+    ids = docs.select("doc_id", "mix_position")
     return digests.withColumnRenamed("doc_id", "mix_position").join(ids, "mix_position").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "mix_position")
 
 
@@ -64,12 +66,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents. What lies between them is written to the shared folder of checkpoints."""
+    """All stages over the whole documents. What lies between them is written to the shared folder of checkpoints, and
+    deleted as soon as the stage after it is written; the mix, from which the result is read, stays."""
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            common.removed(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
