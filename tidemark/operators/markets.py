@@ -3,26 +3,50 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import checkpointed
+
 #: How many names of a region a scan of all regions takes.
 REGION_CAPS = {"US": 6, "SG": 5, "HK": 5, "JP": 2, "KR": 2}
 
 
+def capped(articles: DataFrame, per_ticker: int = 5) -> DataFrame:
+    """The first articles of each ticker as its feed gives them, the newest first."""
+    w = Window.partitionBy("ticker").orderBy(F.desc("epoch"), "doc_id")
+    return articles.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_ticker).drop("k")
+
+
 def digest(articles: DataFrame, per_ticker: int = 5, limit: int = 20) -> DataFrame:
-    """The newest articles of each ticker, one per url and per title, those with a sentiment first, then the newest."""
-    capped = articles.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("epoch"), "doc_id"))).where(F.col("k") <= per_ticker)
-    return first_of(first_of(capped.withColumn("tk", F.lower("title")), "url"), "tk").orderBy((F.col("sentiment") == "neutral").cast("int"), F.desc("epoch"), "doc_id").limit(limit)
+    """The capped articles without repeats, those with a sentiment first, then the newest."""
+    return without_repeats(capped(articles, per_ticker)).orderBy((F.col("sentiment") == "neutral").cast("int"), F.desc("epoch"), "doc_id").limit(limit)
 
 
-def first_of(articles: DataFrame, key: str) -> DataFrame:
-    """The newest article of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc("epoch"), "doc_id")
-    return articles.withColumn("_f", F.row_number().over(w)).where("_f = 1").drop("_f")
+def without_repeats(articles: DataFrame, title_chars: int = 80) -> DataFrame:
+    """Articles whose url and title no earlier article that is *kept* has: ticker by ticker, each one's newest first.
+
+    An article counts as seen only if it is kept, so this is a fold in order, done here in rounds: those that come first
+    both for their url and for their title are kept, those that share one with them go, and the rest are asked again. Each
+    round settles the first of the rest at least; in most tables there are a few. Blank urls are never kept; titles are
+    compared by their first ``title_chars`` characters in lower case, a null one as empty.
+    """
+    key = F.lower(F.substring(F.coalesce("title", F.lit("")), 1, title_chars))
+    rows = articles.where("url <> ''").select(F.struct(*articles.columns).alias("row"), "url", F.xxhash64("url").alias("u"), F.xxhash64(key).alias("t"), F.struct("ticker", (-F.col("epoch")).alias("age"), "doc_id").alias("at"))
+    rest, kept = checkpointed(rows.drop("url")), []
+    while True:
+        first_u = rest.groupBy("u").agg(F.min("at").alias("first_u"))
+        first_t = rest.groupBy("t").agg(F.min("at").alias("first_t"))
+        asked = checkpointed(rest.join(first_u, "u").join(first_t, "t"))
+        taken = asked.where("at = first_u AND at = first_t")
+        kept.append(taken.select("row"))
+        gone = lambda c: taken.select(F.col(c).alias(f"of_{c}"))
+        left = asked.where("NOT (at = first_u AND at = first_t)").drop("first_u", "first_t")
+        rest = checkpointed(left.join(gone("u"), F.col("u") == F.col("of_u"), "left_anti").join(gone("t"), F.col("t") == F.col("of_t"), "left_anti"))
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, kept).select("row.*")
 
 
 def sentiment(articles: DataFrame) -> DataFrame:
@@ -70,29 +94,37 @@ def max_pain(options: DataFrame) -> DataFrame:
     return pained.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy("pain", "strike"))).where("k = 1").select("ticker", "strike", "pain")
 
 
+#: The coefficients of Hart's rational approximation of the normal distribution in double precision.
+NORMAL_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+NORMAL_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def normal(x: Column) -> Column:
+    """The standard normal distribution function, right to about 1e-14."""
+    size = F.abs(x)
+    ratio = lambda numbers: reduce(lambda sum_, c: sum_ * size + c, numbers[1:], F.lit(numbers[0]))
+    bell = F.exp(-size * size / 2)
+    far = reduce(lambda below, k: size + F.lit(float(k)) / below, (4, 3, 2, 1), size + 0.65)
+    tail = F.when(size > 37, 0.0).when(size < 7.07106781186547, bell * ratio(NORMAL_TOP) / ratio(NORMAL_BOTTOM)).otherwise(bell / far / 2.506628274631)
+    return F.when(x > 0, 1 - tail).otherwise(tail)
+
+
 def black_scholes(rows: DataFrame) -> DataFrame:
     """Adds price, delta, gamma, vega, theta and rho from s, k, t, r, sigma and kind; without time, volatility or prices the
-    price is what exercise pays and the rest zero. Spark has no error function, so batches go through Arrow."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cdf = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
-        for frame in frames:
-            out = []
-            for s, k, t, r, v, kind in zip(frame.s, frame.k, frame.t, frame.r, frame.sigma, frame.kind, strict=True):
-                sign = 1.0 if kind == "call" else -1.0
-                if not (t > 0 and v > 0 and s > 0 and k > 0):
-                    out.append((max(sign * (s - k), 0.0), 0.0, 0.0, 0.0, 0.0, 0.0))
-                    continue
-                root = v * math.sqrt(t)
-                d1 = (math.log(s / k) + (r + v * v / 2) * t) / root
-                d2, disc, pdf = d1 - root, math.exp(-r * t), math.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi)
-                price = sign * (s * cdf(sign * d1) - k * disc * cdf(sign * d2))
-                theta = -s * pdf * v / (2 * math.sqrt(t)) - sign * r * k * disc * cdf(sign * d2)
-                out.append((price, sign * cdf(sign * d1), pdf / (s * root), s * pdf * math.sqrt(t), theta, sign * k * t * disc * cdf(sign * d2)))
-            yield pd.concat([frame, pd.DataFrame(out, columns=["price", "delta", "gamma", "vega", "theta", "rho"], index=frame.index)], axis=1)
-
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", price double, delta double, gamma double, vega double, theta double, rho double"
-    return rows.mapInPandas(run, schema)
+    price is what exercise pays and the rest zero."""
+    s, k, t, r, v = (F.col(c) for c in ("s", "k", "t", "r", "sigma"))
+    sign = F.when(F.col("kind") == "call", 1.0).otherwise(-1.0)
+    usable = (t > 0) & (v > 0) & (s > 0) & (k > 0)
+    out = rows.withColumn("_root", F.when(usable, v * F.sqrt(t)))
+    out = out.withColumn("_d1", (F.log(s / k) + (r + v * v / 2) * t) / F.col("_root"))
+    out = out.withColumns({"_n1": normal(sign * F.col("_d1")), "_n2": normal(sign * (F.col("_d1") - F.col("_root"))), "_disc": F.exp(-r * t), "_pdf": F.exp(-F.col("_d1") * F.col("_d1") / 2) / math.sqrt(2 * math.pi)})
+    n1, n2, disc, pdf = (F.col(c) for c in ("_n1", "_n2", "_disc", "_pdf"))
+    of = lambda x, other=0.0: F.when(F.col("_root").isNotNull(), x).otherwise(other)
+    greeks = {
+        "price": of(sign * (s * n1 - k * disc * n2), F.greatest(sign * (s - k), F.lit(0.0))), "delta": of(sign * n1), "gamma": of(pdf / (s * F.col("_root"))), "vega": of(s * pdf * F.sqrt(t)),
+        "theta": of(-s * pdf * v / (2 * F.sqrt(t)) - sign * r * k * disc * n2), "rho": of(sign * k * t * disc * n2),
+    }
+    return out.withColumns(greeks).drop("_root", "_d1", "_n1", "_n2", "_disc", "_pdf")
 
 
 def depth(levels: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from tidemark.functions.numeric import band_score, cap_score
 
 #: Scenario, shock of the market, shock of the other currencies.
 SCENARIOS = (("market -20%", -0.20, 0.0), ("USD +5%", 0.0, -0.05), ("risk-off", -0.10, -0.03))
+#: What a book is held against.
+BETA_TARGET, MAX_UNCLASSIFIED, MIN_DEFENSIVE = (0.70, 1.05), 0.25, 0.15
+SLEEVES = {"core": (0.45, 0.75), "ballast": (0.10, 0.35), "tactical": (0.00, 0.25), "speculative": (0.00, 0.10)}
+DEFENSIVE = ("Consumer Defensive", "Healthcare", "Utilities", "Cash & Equivalents")
 MAX_NAME, MAX_SECTOR, MAX_TOP5, MIN_EFFECTIVE, MAX_CLUSTER, CLUSTER_CORR = 0.20, 0.30, 0.60, 8.0, 0.35, 0.70
 
 
@@ -75,6 +79,12 @@ def correlations(returns: DataFrame, least: int = 60) -> DataFrame:
     return pairs.where(F.col("n") >= least)
 
 
+def in_close_pairs(corr: DataFrame, above: float = 0.8) -> DataFrame:
+    """(ticker, paired) of the names in a pair that moves together more closely."""
+    both = corr.where(F.col("corr") > above).select(F.explode(F.array("a", "b")).alias("ticker"))
+    return both.distinct().withColumn("paired", F.lit(True))
+
+
 def drawdown(series: DataFrame, by: str, order: str) -> DataFrame:
     """Adds equity (compounded), peak and drawdown; the first equity is the first peak."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -136,49 +146,76 @@ def xirr(flows: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def clusters(book: DataFrame, corr: DataFrame, threshold: float = CLUSTER_CORR) -> DataFrame:
-    """Greedy groups of names that move with a seed, seeds in order of the names: (seed, names, weight).
+    """Greedy groups of names that move with a seed, seeds in order of the names: (seed, names, weight), largest groups by
+    weight; with a column ``book`` (an account, say) for each book apart, and that column first.
 
-    The order matters, so one task goes through the names of one book: its size is that of a book, not of the data.
+    The order matters, so the names of one book are one group: its size is that of a book, not of the data.
     """
-    pairs = corr.where(F.col("corr") >= threshold).select("a", "b").unionByName(corr.where(F.col("corr") >= threshold).select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rows = book.join(pairs.groupBy(F.col("a").alias("ticker")).agg(F.collect_set("b").alias("near")), "ticker", "left").select(F.lit(0).alias("of"), "ticker", "weight", "near")
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
+    many = "book" in book.columns
+    held = book.select(F.col("book") if many else F.lit(0).alias("book"), "ticker", "weight")
+    close = corr.where(F.col("corr") >= threshold)
+    pairs = close.select("a", "b").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = pairs.groupBy(F.col("a").alias("ticker")).agg(F.collect_set("b").alias("near"))
+    rows = held.join(near, "ticker", "left")
+
+    def greedy(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ticker")
         weight, seen, out = dict(zip(frame.ticker, frame.weight, strict=True)), set(), []
         for seed, near in zip(frame.ticker, frame.near, strict=True):
             if seed in seen or near is None:
                 continue
-            group = [seed, *sorted(set(near) - seen - {seed})]
+            group = [seed, *sorted((set(near) & weight.keys()) - seen - {seed})]
             if len(group) > 1:
                 seen.update(group)
-                out.append((seed, ",".join(group), float(sum(weight.get(g, 0.0) for g in group))))
-        return pd.DataFrame(out, columns=["seed", "names", "weight"])
+                out.append((key[0], seed, ",".join(group), float(sum(weight[g] for g in group))))
+        return pd.DataFrame(out, columns=["book", "seed", "names", "weight"])
 
-    return rows.groupBy("of").applyInPandas(greedy, "seed string, names string, weight double")
+    found = rows.groupBy("book").applyInPandas(greedy, f"book {held.schema['book'].dataType.simpleString()}, seed string, names string, weight double")
+    return found if many else found.drop("book")
 
 
-def minimum_variance(returns: DataFrame, cap: float = 0.3, least: int = 60) -> DataFrame:
-    """(ticker, weight): long-only weights of least variance under a cap, from a covariance shrunk to a scaled identity.
+def shrunk_covariance(returns: DataFrame, least: int = 60) -> DataFrame:
+    """(book, a, b, cov): the covariance of the names of each book, shrunk to a scaled identity as far as its noise says.
 
-    For three names at least with enough bars; the names of one book go through one task.
+    ``returns`` has book, ticker, rn_desc and r. Names of fewer than ``least`` returns go; the others are taken to the
+    shortest. Means, products and the noise are sums over the places of the series, by joins on the place; what is left per
+    book are as many lines as it has pairs of names.
     """
+    counted = returns.groupBy("book", "ticker").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    shortest = counted.groupBy("book").agg(F.min("n").alias("t"), F.count("*").alias("names")).where("names >= 3")
+    used = returns.join(counted.select("book", "ticker"), ["book", "ticker"]).join(shortest, "book").where("rn_desc <= t")
+    means = used.groupBy("book", "ticker").agg(F.avg("r").alias("m"))
+    x = used.join(means, ["book", "ticker"]).select("book", "ticker", "rn_desc", "t", "names", (F.col("r") - F.col("m")).alias("x"))
+    right = x.select("book", "rn_desc", F.col("ticker").alias("b"), F.col("x").alias("y"))
+    raw = x.withColumnRenamed("ticker", "a").join(right, ["book", "rn_desc"]).groupBy("book", "a", "b").agg((F.sum(F.col("x") * F.col("y")) / F.max("t")).alias("s"))
+    size = x.groupBy("book", "rn_desc").agg(F.sum(F.col("x") * F.col("x")).alias("q"), F.max("t").alias("t"), F.max("names").alias("names"))
+    size = size.groupBy("book").agg((F.sum(F.col("q") * F.col("q")) / F.max("t")).alias("fourth"), F.max("t").alias("t"), F.max("names").alias("names"))
+    whole = raw.groupBy("book").agg(F.sum(F.col("s") * F.col("s")).alias("squares"), F.sum(F.when(F.col("a") == F.col("b"), F.col("s")).otherwise(0.0)).alias("trace"))
+    mu = F.col("trace") / F.col("names")
+    spread = F.col("squares") - F.col("names") * mu * mu
+    noise = F.least((F.col("fourth") - F.col("squares")) / F.col("t"), spread)
+    amount = size.join(whole, "book").select("book", F.when(spread > 0, noise / spread).otherwise(1.0).alias("shrink"), mu.alias("mu"))
+    own = F.when(F.col("a") == F.col("b"), F.col("shrink") * F.col("mu")).otherwise(0.0)
+    return raw.join(amount, "book").select("book", "a", "b", ((1 - F.col("shrink")) * F.col("s") + own).alias("cov"))
+
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot_table(index="rn_desc", columns="ticker", values="r").dropna()
-        names, x = list(wide.columns), wide.to_numpy()
-        empty = pd.DataFrame({"ticker": pd.Series(dtype=str), "weight": pd.Series(dtype=float)})
-        if len(names) < 3 or len(x) < least or cap * len(names) < 1:
-            return empty
-        t, n = x.shape
-        x = x - x.mean(axis=0)
-        s = x.T @ x / t
-        mu = np.trace(s) / n
-        spread = ((s - mu * np.eye(n)) ** 2).sum()
-        noise = sum(((np.outer(row, row) - s) ** 2).sum() for row in x) / t**2
-        shrink = min(1.0, noise / spread) if spread > 0 else 1.0
-        w = np.linalg.pinv((1 - shrink) * s + shrink * mu * np.eye(n)) @ np.ones(n)
-        w = np.maximum(w, 0)
+def minimum_variance(returns: DataFrame, cap: float = 0.3, least: int = 60) -> DataFrame:
+    """(ticker, weight): long-only weights of least variance under a cap, from the shrunk covariance; with a column ``book``
+    for each book apart, and that column first. For three names at least with enough bars and room under the cap.
+
+    Weights above the cap are set to it and stay there, the others are scaled to the rest. Only the matrix of a book's names
+    goes to one task.
+    """
+    many = "book" in returns.columns
+    rows = returns.select(F.col("book") if many else F.lit(0).alias("book"), "ticker", "rn_desc", "r")
+    cov = shrunk_covariance(rows, least)
+
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        wide = frame.pivot(index="a", columns="b", values="cov").sort_index(axis=0).sort_index(axis=1)
+        names, n = list(wide.columns), len(wide)
+        w = np.maximum(np.linalg.pinv(wide.to_numpy()) @ np.ones(n), 0)
+        if w.sum() <= 0 or cap * n < 1:
+            return pd.DataFrame({"book": [], "ticker": [], "weight": []})
         w = w / w.sum()
         for _ in range(n):
             over = w > cap + 1e-12
@@ -188,9 +225,10 @@ def minimum_variance(returns: DataFrame, cap: float = 0.3, least: int = 60) -> D
             w[over] = cap
             room = w < cap - 1e-12
             w[room] += extra * (w[room] / w[room].sum() if w[room].sum() > 0 else 1 / room.sum())
-        return pd.DataFrame({"ticker": names, "weight": w})
+        return pd.DataFrame({"book": key[0], "ticker": names, "weight": w})
 
-    return returns.select(F.lit(0).alias("of"), "ticker", "rn_desc", "r").groupBy("of").applyInPandas(solve, "ticker string, weight double")
+    found = cov.groupBy("book").applyInPandas(solve, f"book {rows.schema['book'].dataType.simpleString()}, ticker string, weight double")
+    return found if many else found.drop("book")
 
 
 def health_scores(conc: DataFrame) -> DataFrame:
@@ -201,3 +239,75 @@ def health_scores(conc: DataFrame) -> DataFrame:
 
 def grade(score: Column) -> Column:
     return F.when(score >= 85, "A").when(score >= 70, "B").when(score >= 55, "C").when(score >= 40, "D").when(score.isNotNull(), "F")
+
+
+def health_inputs(positions: DataFrame, beta: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """One line per book with what its health is judged by, from positions (book, ticker, weight, sector, sleeve,
+    fund_score), beta (book, beta) and clusters (book, names, weight); what is not known is null."""
+    by = Window.partitionBy("book").orderBy(F.desc("weight"), "ticker")
+    ranked = positions.withColumn("k", F.row_number().over(by))
+    w, known = F.col("weight"), F.col("fund_score").isNotNull()
+    sleeve = [F.sum(F.when(F.col("sleeve") == name, w).otherwise(0.0)).alias(f"sleeve_{name}") for name in SLEEVES]
+    base = ranked.groupBy("book").agg(
+        F.max(F.when(F.col("k") == 1, F.col("ticker"))).alias("top_name"), F.max("weight").alias("top"), F.sum(F.when(F.col("k") <= 5, w)).alias("top5"), F.try_divide(F.lit(1.0), F.sum(w * w)).alias("effective_n"),
+        F.count("sleeve").alias("sleeved"), *sleeve, F.try_divide(F.sum(F.when(known, w * F.col("fund_score"))), F.sum(F.when(known, w))).alias("quality"),
+        F.sum(F.when(F.col("sector").isNull(), w).otherwise(0.0)).alias("unclassified"),
+    )
+    sectors = positions.where("sector IS NOT NULL").groupBy("book", "sector").agg(F.sum("weight").alias("w"))
+    largest = F.max_by(F.col("sector"), F.struct(F.col("w"), F.col("sector")))
+    light = [F.sum(F.when(F.col("sector") == name, F.col("w")).otherwise(0.0)) for name in DEFENSIVE]
+    sectors = sectors.groupBy("book").agg(largest.alias("sector"), F.max("w").alias("sector_weight"), F.array(*light).alias("defensives"))
+    out = base.join(sectors, "book", "left").join(beta.select("book", "beta"), "book", "left")
+    out = out.withColumn("defensive", F.coalesce(F.aggregate("defensives", F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    if groups is None:
+        return out.withColumns({"worst": F.lit(None).cast("double"), "worst_names": F.lit(None).cast("string")})
+    worst = groups.groupBy("book").agg(F.max("weight").alias("worst"), F.max_by("names", F.struct(F.col("weight"), F.col("names"))).alias("worst_names"))
+    return out.join(worst, "book", "left").withColumn("worst", F.coalesce("worst", F.lit(0.0)))
+
+
+def health_dimensions(inputs: DataFrame) -> DataFrame:
+    """(book, dimension, score, grade): the six dimensions, those that cannot be scored without a score, and the mean of the
+    others with its grade."""
+    least = lambda *parts: F.least(*parts)
+    sleeves = sum((band_score(F.col(f"sleeve_{n}"), lo, hi, 0.20) for n, (lo, hi) in SLEEVES.items()), F.lit(0.0)) / len(SLEEVES)
+    scores = {
+        "concentration": least(cap_score(F.col("top"), MAX_NAME, 0.20), cap_score(F.col("top5"), MAX_TOP5, 0.25), band_score(F.col("effective_n"), MIN_EFFECTIVE, 100, MIN_EFFECTIVE)),
+        "sector_balance": least(cap_score(F.coalesce("sector_weight", F.lit(0.0)), MAX_SECTOR, 0.30), cap_score(F.col("unclassified"), MAX_UNCLASSIFIED, 0.40)),
+        "sleeve_discipline": F.when(F.col("sleeved") > 0, sleeves), "risk_posture": band_score(F.col("beta"), *BETA_TARGET, 0.50), "quality": F.col("quality"), "correlation": cap_score(F.col("worst"), MAX_CLUSTER, 0.35),
+    }
+    rows = F.array(*[F.struct(F.lit(name).alias("dimension"), F.bround(score, 1).alias("score")) for name, score in scores.items()])
+    there = F.filter(F.transform("rows", lambda r: r["score"]), lambda x: x.isNotNull())
+    mean = F.bround(F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, x: a + x), F.size(there)), 1)
+    whole = inputs.select("book", rows.alias("rows")).withColumn("mean", mean)
+    composite = F.struct(F.lit("composite").alias("dimension"), F.col("mean").alias("score"))
+    lines = whole.select("book", F.explode(F.concat("rows", F.array(composite))).alias("r")).select("book", "r.*")
+    return lines.withColumn("grade", F.when(F.col("dimension") == "composite", grade(F.col("score"))))
+
+
+def health_recommendations(inputs: DataFrame, positions: DataFrame) -> DataFrame:
+    """(book, priority, action, target, from, to): what breaks a limit, high before medium before low."""
+    def advice(test, priority, action, target, at, to) -> Column:
+        line = F.struct((F.lit(priority) if isinstance(priority, str) else priority).alias("priority"), F.lit(action).alias("action"), target.cast("string").alias("target"), at.cast("double").alias("from"), F.lit(to).cast("double").alias("to"))
+        return F.when(test, line)
+
+    c, none = F.col, F.lit(None)
+    gap = MIN_DEFENSIVE - c("defensive")
+    held = F.coalesce("defensives", F.array(*[F.lit(0.0)] * len(DEFENSIVE)))
+    pairs = F.arrays_zip(F.transform(held, lambda x: x).alias("w"), F.sequence(F.lit(0), F.lit(len(DEFENSIVE) - 1)).alias("i"))
+    names = F.array(*[F.lit(n) for n in DEFENSIVE])
+    named = lambda of: F.array_join(F.transform(of, lambda p: F.element_at(names, p["i"] + 1)), ",")
+    absent, lightest = F.filter(pairs, lambda p: p["w"] < 0.02), F.slice(F.array_sort(pairs), 1, 2)
+    rows = [
+        advice(c("top") > MAX_NAME, "high", "trim", c("top_name"), c("top"), MAX_NAME), advice(c("effective_n") < MIN_EFFECTIVE, "medium", "diversify", none, none, None),
+        advice(c("sector_weight") > MAX_SECTOR, "high", "reduce_sector", c("sector"), c("sector_weight"), MAX_SECTOR),
+        advice(c("defensive") < MIN_DEFENSIVE, F.when(gap > 0.05, "medium").otherwise("low"), "add_defensive", F.when(F.size(absent) > 0, named(absent)).otherwise(named(lightest)), c("defensive"), MIN_DEFENSIVE),
+        advice(c("unclassified") > MAX_UNCLASSIFIED, "low", "classify", none, c("unclassified"), None), advice(c("beta") > BETA_TARGET[1], "medium", "reduce_beta", none, c("beta"), BETA_TARGET[1]),
+        advice(c("worst") > MAX_CLUSTER, "high", "break_cluster", c("worst_names"), c("worst"), MAX_CLUSTER),
+    ]
+    for name, (lo, hi) in SLEEVES.items():
+        weight = c(f"sleeve_{name}")
+        rows.append(advice((c("sleeved") > 0) & (weight > hi), "high" if name == "speculative" else "medium", "reduce_sleeve", F.lit(name), weight, hi))
+        rows.append(advice((c("sleeved") > 0) & (weight < lo), "medium", "increase_sleeve", F.lit(name), weight, lo))
+    limits = inputs.select("book", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("book", "r.*")
+    weak = positions.where("fund_score < 40 AND weight >= 0.05").select("book", F.lit("high").alias("priority"), F.lit("review_holding").alias("action"), F.col("ticker").alias("target"), F.col("weight").alias("from"), F.lit(None).cast("double").alias("to"))
+    return limits.unionByName(weak)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import fundamentals as O
 from tidemark.operators import signals
+from tidemark.operators.portfolio import in_close_pairs
+from tidemark.plans.portfolio import correlations
 from tidemark.plans.sql import define, twin
 from tidemark.plans.technical import rounded, snapshot
 from tidemark.sources import tables as T
@@ -122,7 +124,7 @@ def flt12(spark, sf_dir):
 
 
 define("t_comp0", """
-    SELECT b.ticker, s.score AS technical, f.fundamental, CASE WHEN n.s IS NOT NULL THEN greatest(-100, least(100, trunc(round(n.s * 200, 9)))) END AS news, CASE WHEN b.weight > 0.2 THEN -50 WHEN b.weight > 0.1 THEN -20 ELSE 0 END AS risk, b.weight
+    SELECT b.ticker, s.score AS technical, f.fundamental, CASE WHEN n.s IS NOT NULL THEN greatest(-100, least(100, trunc(round(n.s * 200, 9)))) END AS news, CASE WHEN b.weight > 0.2 THEN -50 WHEN b.weight > 0.1 THEN -20 ELSE 0 END - CASE WHEN b.ticker IN (SELECT unnest([a, b]) FROM t_corr WHERE corr > 0.8) THEN 15 ELSE 0 END AS risk, b.weight
     FROM t_book b LEFT JOIN t_snap s USING (ticker) LEFT JOIN t_fund f USING (ticker) JOIN t_tickers k USING (ticker) LEFT JOIN t_news1 n ON n.num = k.num""")
 define("t_comp1", """
     SELECT *, (coalesce(technical * 0.45, 0) + coalesce(fundamental * 0.25, 0) + coalesce(news * 0.15, 0) + coalesce(risk * 0.15, 0)) / nullif(cov, 0) AS composite, cov AS coverage FROM (
@@ -138,7 +140,8 @@ def composites(spark, sf_dir):
     fundamental = fund_scored(spark, sf_dir).select("ticker", "fundamental", "target_mean", "fcf", "net_margin", "debt_to_equity", "rev_yoy", "short_pct")
     news = news_average(spark, sf_dir).select("num", signals.news_score(F.round("s", 9)).alias("news"))
     joined = book.join(technical, "ticker", "left").join(fundamental, "ticker", "left").join(news, "num", "left")
-    return signals.composite(joined.withColumn("risk", signals.risk_score(F.col("weight"), F.lit(False))))
+    joined = joined.join(in_close_pairs(correlations(spark, sf_dir)), "ticker", "left")
+    return signals.composite(joined.withColumn("risk", signals.risk_score(F.col("weight"), F.col("paired").isNotNull())))
 
 
 @register("agg23_composite", "SELECT ticker, CAST(technical AS INTEGER) AS technical, CAST(fundamental AS INTEGER) AS fundamental, CAST(news AS INTEGER) AS news, CAST(risk AS INTEGER) AS risk, round(composite, 6) AS composite, round(coverage, 6) AS coverage, conviction FROM t_comp")

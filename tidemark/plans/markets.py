@@ -24,26 +24,45 @@ def register(name, sql=None):
     return keep
 
 
-define("t_cap", "SELECT *, lower(title) AS tk FROM t_articles QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY epoch DESC, doc_id) <= 5")
-define("t_urls", "SELECT * FROM t_cap QUALIFY row_number() OVER (PARTITION BY url ORDER BY epoch DESC, doc_id) = 1")
-define("t_dedup", "SELECT * FROM t_urls QUALIFY row_number() OVER (PARTITION BY tk ORDER BY epoch DESC, doc_id) = 1")
-
-
-@register("top03_news_digest", "SELECT doc_id, ticker, title, sentiment FROM t_dedup ORDER BY CASE WHEN sentiment = 'neutral' THEN 1 ELSE 0 END, epoch DESC, doc_id LIMIT 20")
+define("t_cap", "SELECT * FROM t_articles QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY epoch DESC, doc_id) <= 5")
+# The fold in order, article by article: what is kept is seen.
+_FOLD = """
+    , ordered AS MATERIALIZED (SELECT *, lower(substr(coalesce(title, ''), 1, 80)) AS tk, row_number() OVER (ORDER BY ticker, epoch DESC, doc_id) AS i FROM {} WHERE url <> ''),
+    fold AS (
+        SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS urls, CAST([] AS VARCHAR[]) AS titles, false AS keep
+        UNION ALL
+        SELECT o.i, CASE WHEN new THEN list_append(urls, url) ELSE urls END, CASE WHEN new THEN list_append(titles, tk) ELSE titles END, new
+        FROM (SELECT o.i, o.url, o.tk, f.urls, f.titles, NOT list_contains(f.urls, o.url) AND NOT list_contains(f.titles, o.tk) AS new FROM fold f JOIN ordered o ON o.i = f.i + 1) o),
+    kept AS (SELECT o.* FROM ordered o JOIN fold USING (i) WHERE keep)
+    """
+
+
+def folded(table: str, body: str) -> str:
+    """A twin over the articles of a common table that the fold keeps."""
+    head, tail = twin(f"SELECT 1 FROM {table} --split").rsplit(f"SELECT 1 FROM {table} --split", 1)
+    return head.rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + _FOLD.format(table) + body + tail
+
+
+@register("top03_news_digest")
 def top03(spark, sf_dir):
     return O.digest(T.articles(spark, sf_dir)).select("doc_id", "ticker", "title", "sentiment")
 
 
+ORACLE_SQL["top03_news_digest"] = folded("t_cap", "SELECT doc_id, ticker, title, sentiment FROM kept ORDER BY CASE WHEN sentiment = 'neutral' THEN 1 ELSE 0 END, epoch DESC, doc_id LIMIT 20")
+
+
 @register("top04_article_cap", "SELECT ticker, count(*) AS n, min(epoch) AS oldest FROM t_cap GROUP BY ticker")
 def top04(spark, sf_dir):
-    a = T.articles(spark, sf_dir)
-    capped = a.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("epoch"), "doc_id"))).where("k <= 5")
-    return capped.groupBy("ticker").agg(F.count("*").alias("n"), F.min("epoch").alias("oldest"))
+    return O.capped(T.articles(spark, sf_dir)).groupBy("ticker").agg(F.count("*").alias("n"), F.min("epoch").alias("oldest"))
 
 
-@register("set06_two_key_dedupe", "SELECT doc_id, url FROM (SELECT *, lower(title) AS tk FROM t_articles QUALIFY row_number() OVER (PARTITION BY url ORDER BY epoch DESC, doc_id) = 1) QUALIFY row_number() OVER (PARTITION BY tk ORDER BY epoch DESC, doc_id) = 1")
+@register("set06_two_key_dedupe")
 def set06(spark, sf_dir):
-    return O.first_of(O.first_of(T.articles(spark, sf_dir).withColumn("tk", F.lower("title")), "url"), "tk").select("doc_id", "url")
+    """All articles, without the cap per ticker."""
+    return O.without_repeats(T.articles(spark, sf_dir)).select("doc_id", "url")
+
+
+ORACLE_SQL["set06_two_key_dedupe"] = folded("t_articles", "SELECT doc_id, url FROM kept")
 
 
 @register("agg14_sentiment", "SELECT ticker, count(*) AS n, round(avg(score), 8) AS avg_score, count(*) FILTER (sentiment = 'bullish') AS bullish, count(*) FILTER (sentiment = 'bearish') AS bearish FROM t_articles GROUP BY ticker")
@@ -129,13 +148,25 @@ def agg19(spark, sf_dir):
 QUERIES["jon16_strikes_by_options"], ORACLE_SQL["jon16_strikes_by_options"] = agg19, ORACLE_SQL["agg19_max_pain"]
 
 
-@register("mth04_black_scholes")
+def _normal(x: str) -> str:
+    """The same approximation of the normal distribution as SQL text."""
+    ratio = lambda numbers: "(" * (len(numbers) - 1) + f"{numbers[0]!r}::DOUBLE" + "".join(f" * abs({x}) + {c!r})" for c in numbers[1:])
+    return f"(CASE WHEN {x} > 0 THEN 1 - exp(-({x}) * ({x}) / 2) * {ratio(O.NORMAL_TOP)} / {ratio(O.NORMAL_BOTTOM)} ELSE exp(-({x}) * ({x}) / 2) * {ratio(O.NORMAL_TOP)} / {ratio(O.NORMAL_BOTTOM)} END)"
+
+
+@register("mth04_black_scholes", f"""
+    SELECT ord, kind, s, k, t, r, sigma, round(CASE WHEN sigma > 0 THEN sg * (s * n1 - k * disc * n2) ELSE greatest(sg * (s - k), 0) END, 6) AS price, round(CASE WHEN sigma > 0 THEN sg * n1 ELSE 0 END, 6) AS delta, round(CASE WHEN sigma > 0 THEN pdf / (s * root) ELSE 0 END, 6) AS gamma,
+           round(CASE WHEN sigma > 0 THEN s * pdf * sqrt(t) ELSE 0 END, 6) AS vega, round(CASE WHEN sigma > 0 THEN -s * pdf * sigma / (2 * sqrt(t)) - sg * r * k * disc * n2 ELSE 0 END, 6) AS theta, round(CASE WHEN sigma > 0 THEN sg * k * t * disc * n2 ELSE 0 END, 6) AS rho FROM (
+        SELECT *, {_normal("x1")} AS n1, {_normal("x2")} AS n2, exp(-r * t) AS disc, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS pdf FROM (
+            SELECT *, sg * d1 AS x1, sg * (d1 - root) AS x2 FROM (SELECT *, (ln(s / k) + (r + sigma * sigma / 2) * t) / root AS d1 FROM (
+                SELECT *, CASE WHEN kind = 'call' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg, nullif(sigma * sqrt(t), 0) AS root FROM (
+                    SELECT ord, kind, 950.0::DOUBLE AS s, strike AS k, 0.25::DOUBLE AS t, 0.05::DOUBLE AS r, iv AS sigma FROM t_options)))))""")
 def mth04(spark, sf_dir):
     rows = T.options(spark, sf_dir).select("ord", "kind", F.lit(950.0).alias("s"), F.col("strike").alias("k"), F.lit(0.25).alias("t"), F.lit(0.05).alias("r"), F.col("iv").alias("sigma"))
     return rounded(O.black_scholes(rows))
 
 
-QUERIES["udf02_black_scholes"] = mth04
+QUERIES["udf02_black_scholes"], ORACLE_SQL["udf02_black_scholes"] = mth04, ORACLE_SQL["mth04_black_scholes"]
 
 
 @register("agg20_order_book", """

@@ -108,7 +108,6 @@ def agg30(spark, sf_dir):
 
 # ------------------------------------------------------------------ risk of the whole book
 
-define("t_year", "SELECT * FROM t_ret WHERE rn_desc <= 252")
 define("t_bret", """
     SELECT row_number() OVER (ORDER BY d DESC) AS rn_desc, b FROM (SELECT d, c / lag(c) OVER (ORDER BY d) - 1 AS b FROM t_bench) WHERE b IS NOT NULL""")
 define("t_cov", "SELECT ticker, weight, sector, market, value, len FROM t_book JOIN (SELECT ticker, max(rn_desc) AS len FROM t_year GROUP BY ticker) USING (ticker)")
@@ -181,7 +180,6 @@ def agg09(spark, sf_dir):
     return rounded(O.beta(names, index, 40).select("ticker", "beta"), 4)
 
 
-define("t_corr", "SELECT a.ticker AS a, b.ticker AS b, corr(a.r, b.r) AS corr, count(*) AS n FROM t_year a JOIN t_year b ON a.rn_desc = b.rn_desc AND a.ticker < b.ticker GROUP BY 1, 2 HAVING count(*) >= 60")
 
 
 def correlations(spark, sf_dir):
@@ -273,6 +271,20 @@ def jon14(spark, sf_dir):
     return rounded(T.tickers(spark, sf_dir).select("symbol", "ticker", root.alias("root")).join(held, "root").select("symbol", "ticker", "weight"))
 
 
+# The groups in order of the names: each seed takes the names near it that no group has yet.
+_GREEDY = """
+    , named AS MATERIALIZED (SELECT k.ticker, k.weight, row_number() OVER (ORDER BY k.ticker) AS i, near FROM t_book k LEFT JOIN (
+        SELECT a, list(b ORDER BY b) AS near FROM (SELECT a, b FROM t_corr WHERE corr >= 0.1 UNION ALL SELECT b, a FROM t_corr WHERE corr >= 0.1) p WHERE b IN (SELECT ticker FROM t_book) GROUP BY a) n ON n.a = k.ticker),
+    fold AS (
+        SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR) AS seed, CAST([] AS VARCHAR[]) AS taken
+        UNION ALL
+        SELECT g.i, CASE WHEN len(g.taken) > 1 THEN list_concat(g.seen, g.taken) ELSE g.seen END, g.ticker, g.taken FROM (
+            SELECT n.i, n.ticker, f.seen, CASE WHEN list_contains(f.seen, n.ticker) THEN [] ELSE list_concat([n.ticker], list_filter(coalesce(n.near, []), lambda x: NOT list_contains(f.seen, x))) END AS taken FROM fold f JOIN named n ON n.i = f.i + 1) g),
+    groups AS (SELECT seed, array_to_string(taken, ',') AS names, round((SELECT sum(weight) FROM named WHERE list_contains(taken, ticker)), 6) AS weight FROM fold WHERE len(taken) > 1)
+    """
+_GREEDY = twin("SELECT 1 FROM t_book, t_corr").rsplit("SELECT 1 FROM t_book, t_corr", 1)[0].rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + _GREEDY
+
+
 @register("agg31_correlated_clusters")
 def agg31(spark, sf_dir):
     return rounded(O.clusters(T.book(spark, sf_dir).select("ticker", "weight"), correlations(spark, sf_dir), 0.1))
@@ -280,6 +292,13 @@ def agg31(spark, sf_dir):
 
 QUERIES["uda03_greedy_clusters"] = agg31
 QUERIES["top07_largest_clusters"] = lambda spark, sf_dir: agg31(spark, sf_dir).orderBy(F.desc("weight"), "seed").limit(3)
+ORACLE_SQL["agg31_correlated_clusters"] = ORACLE_SQL["uda03_greedy_clusters"] = _GREEDY + "SELECT seed, names, weight FROM groups"
+ORACLE_SQL["top07_largest_clusters"] = _GREEDY + "SELECT seed, names, weight FROM groups ORDER BY weight DESC, seed LIMIT 3"
+
+
+define("t_cov_n", "SELECT ticker, count(*) AS n FROM t_year GROUP BY ticker HAVING count(*) >= 60")
+define("t_cov_x", "SELECT ticker, rn_desc, r - avg(r) OVER (PARTITION BY ticker) AS x FROM (SELECT * FROM t_year WHERE ticker IN (SELECT ticker FROM t_cov_n) AND rn_desc <= (SELECT min(n) FROM t_cov_n) AND (SELECT count(*) FROM t_cov_n) >= 3)")
+define("t_cov_raw", "SELECT a.ticker AS a, b.ticker AS b, sum(a.x * b.x) / count(*) AS s FROM t_cov_x a JOIN t_cov_x b USING (rn_desc) GROUP BY 1, 2")
 
 
 @register("agg36_minimum_variance")
@@ -287,7 +306,22 @@ def agg36(spark, sf_dir):
     return rounded(O.minimum_variance(year_returns(spark, sf_dir)))
 
 
-QUERIES["uda02_ledoit_wolf"] = agg36
+@register("uda02_ledoit_wolf", """
+    SELECT a, b, round(((1 - shrink) * s + CASE WHEN a = b THEN shrink * mu ELSE 0 END) * 1000000, 4) AS cov FROM t_cov_raw, (
+        SELECT mu, CASE WHEN spread > 0 THEN least(noise, spread) / spread ELSE 1 END AS shrink FROM (
+            SELECT trace / names AS mu, squares - trace * trace / names AS spread, (fourth - squares) / t AS noise FROM
+                (SELECT sum(s * s) AS squares, sum(s) FILTER (a = b) AS trace, count(DISTINCT a) AS names FROM t_cov_raw), (SELECT sum(q * q) / count(*) AS fourth, count(*) AS t FROM (SELECT rn_desc, sum(x * x) AS q FROM t_cov_x GROUP BY rn_desc))))""")
+def uda02(spark, sf_dir):
+    """The covariance of the year's returns, in millionths, shrunk as its noise says."""
+    cov = O.shrunk_covariance(year_returns(spark, sf_dir).select(F.lit(0).alias("book"), "ticker", "rn_desc", "r"))
+    return cov.select("a", "b", F.round(F.col("cov") * 1_000_000, 4).alias("cov"))
+
+
+@register("agg31_clusters_by_account")
+def agg31_accounts(spark, sf_dir):
+    """The greedy groups within each account."""
+    held = lines(spark, sf_dir).select(F.col("account").alias("book"), "ticker", (F.col("value") / F.sum("value").over(Window.partitionBy("account"))).alias("weight"))
+    return rounded(O.clusters(held, correlations(spark, sf_dir), 0.1).withColumnRenamed("book", "account"))
 
 
 @register("agg32_quality", """
@@ -315,6 +349,66 @@ def agg30r(spark, sf_dir):
     return rounded(sectors.unionByName(posture).unionByName(conc), 4)
 
 
+define("t_health", """
+    SELECT ticker, weight, CASE WHEN num % 10 <> 3 THEN sector END AS sector, ['core', 'ballast', 'tactical', 'speculative'][num % 4 + 1] AS sleeve, CASE WHEN num % 6 <> 0 THEN num * 17 % 100 END AS fund_score FROM t_book b JOIN (SELECT ticker, num FROM t_tickers) USING (ticker)""")
+define("t_sleeves", "SELECT s AS sleeve, lo, hi, coalesce((SELECT sum(weight) FROM t_health h WHERE h.sleeve = s), 0) AS w FROM (VALUES ('core', 0.45::DOUBLE, 0.75::DOUBLE), ('ballast', 0.1, 0.35), ('tactical', 0.0, 0.25), ('speculative', 0.0, 0.1)) v(s, lo, hi)")
+define("t_sectors", "SELECT sector, sum(weight) AS w FROM t_health WHERE sector IS NOT NULL GROUP BY sector")
+define("t_health_in", """
+    SELECT (SELECT arg_max(ticker, weight) FROM t_health) AS top_name, (SELECT max(weight) FROM t_health) AS top, (SELECT sum(weight) FROM (SELECT weight FROM t_health ORDER BY weight DESC, ticker LIMIT 5)) AS top5, (SELECT 1 / sum(weight * weight) FROM t_health) AS e,
+           (SELECT arg_max(sector, w) FROM t_sectors) AS sector, (SELECT max(w) FROM t_sectors) AS sw, (SELECT coalesce(sum(weight), 0) FROM t_health WHERE sector IS NULL) AS unclassified,
+           (SELECT coalesce(sum(w), 0) FROM t_sectors WHERE sector IN ('Consumer Defensive', 'Healthcare', 'Utilities', 'Cash & Equivalents')) AS defensive, (SELECT sum(weight * beta) / sum(weight) FROM t_book JOIN t_beta USING (ticker)) AS beta,
+           (SELECT sum(weight * fund_score) / sum(weight) FROM t_health WHERE fund_score IS NOT NULL) AS quality""")
+define("t_defensive", "SELECT n, o, coalesce((SELECT w FROM t_sectors WHERE sector = n), 0) AS w FROM (VALUES ('Consumer Defensive', 0), ('Healthcare', 1), ('Utilities', 2), ('Cash & Equivalents', 3)) v(n, o)")
+define("t_dims", """
+    SELECT 'concentration' AS dimension, least(greatest(0, 100 * (1 - greatest(top - 0.2, 0) / 0.2)), greatest(0, 100 * (1 - greatest(top5 - 0.6, 0) / 0.25)), greatest(0, 100 * (1 - greatest(8 - e, e - 100, 0) / 8))) AS score FROM t_health_in
+    UNION ALL SELECT 'sector_balance', least(greatest(0, 100 * (1 - greatest(coalesce(sw, 0) - 0.3, 0) / 0.3)), greatest(0, 100 * (1 - greatest(unclassified - 0.25, 0) / 0.4))) FROM t_health_in
+    UNION ALL SELECT 'sleeve_discipline', avg(greatest(0, 100 * (1 - greatest(lo - w, w - hi, 0) / 0.2))) FROM t_sleeves
+    UNION ALL SELECT 'risk_posture', greatest(0, 100 * (1 - greatest(0.7 - beta, beta - 1.05, 0) / 0.5)) FROM t_health_in
+    UNION ALL SELECT 'quality', quality FROM t_health_in""")
+
+
+def health(spark, sf_dir):
+    """The positions of the book with sectors (some unknown), sleeves and scores, and what its health is judged by."""
+    num = F.col("num")
+    known = T.tickers(spark, sf_dir).select("ticker", "num")
+    sleeve = F.element_at(F.array(*[F.lit(n) for n in O.SLEEVES]), num % 4 + 1)
+    held = T.book(spark, sf_dir).join(known, "ticker").select(F.lit("all").alias("book"), "ticker", "weight", F.when(num % 10 != 3, F.col("sector")).alias("sector"), sleeve.alias("sleeve"), F.when(num % 6 != 0, num * 17 % 100).alias("fund_score"))
+    beta = held.join(betas(spark, sf_dir), "ticker").groupBy("book").agg((F.sum(F.col("weight") * F.col("beta")) / F.sum("weight")).alias("beta"))
+    return held, beta
+
+
+@register("agg30_health_dimensions", """
+    SELECT dimension, round_even(score, 1) AS score, CAST(NULL AS VARCHAR) AS grade FROM t_dims
+    UNION ALL SELECT 'correlation', NULL, NULL
+    UNION ALL SELECT 'composite', s, CASE WHEN s >= 85 THEN 'A' WHEN s >= 70 THEN 'B' WHEN s >= 55 THEN 'C' WHEN s >= 40 THEN 'D' ELSE 'F' END FROM (SELECT round_even(avg(round_even(score, 1)), 1) AS s FROM t_dims)""")
+def agg30_dimensions(spark, sf_dir):
+    """Without correlations that dimension has no score, and drops out of the mean."""
+    held, beta = health(spark, sf_dir)
+    return O.health_dimensions(O.health_inputs(held, beta, None)).select("dimension", "score", "grade")
+
+
+@register("agg30_health_with_clusters")
+def agg30_clusters(spark, sf_dir):
+    """With the groups that move together: all six dimensions."""
+    held, beta = health(spark, sf_dir)
+    groups = O.clusters(held.select("book", "ticker", "weight"), correlations(spark, sf_dir), 0.1)
+    return O.health_dimensions(O.health_inputs(held, beta, groups)).select("dimension", "score", "grade")
+
+
+@register("agg30_health_recommendations", """
+    SELECT priority, action, target, round("from", 6) AS "from", "to" FROM (
+        SELECT 'high' AS priority, 'trim' AS action, top_name AS target, top AS "from", 0.2::DOUBLE AS "to" FROM t_health_in WHERE top > 0.2
+        UNION ALL SELECT 'medium', 'diversify', NULL, NULL, NULL FROM t_health_in WHERE e < 8 UNION ALL SELECT 'high', 'reduce_sector', sector, sw, 0.3 FROM t_health_in WHERE sw > 0.3
+        UNION ALL SELECT CASE WHEN 0.15 - defensive > 0.05 THEN 'medium' ELSE 'low' END, 'add_defensive', coalesce(
+            (SELECT string_agg(n, ',' ORDER BY o) FROM t_defensive WHERE w < 0.02), (SELECT string_agg(n, ',' ORDER BY w, o) FROM (SELECT * FROM t_defensive ORDER BY w, o LIMIT 2))), defensive, 0.15 FROM t_health_in WHERE defensive < 0.15
+        UNION ALL SELECT 'low', 'classify', NULL, unclassified, NULL FROM t_health_in WHERE unclassified > 0.25 UNION ALL SELECT 'medium', 'reduce_beta', NULL, beta, 1.05 FROM t_health_in WHERE beta > 1.05
+        UNION ALL SELECT CASE WHEN sleeve = 'speculative' THEN 'high' ELSE 'medium' END, 'reduce_sleeve', sleeve, w, hi FROM t_sleeves WHERE w > hi UNION ALL SELECT 'medium', 'increase_sleeve', sleeve, w, lo FROM t_sleeves WHERE w < lo
+        UNION ALL SELECT 'high', 'review_holding', ticker, weight, NULL FROM t_health WHERE fund_score < 40 AND weight >= 0.05)""")
+def agg30_recommendations(spark, sf_dir):
+    held, beta = health(spark, sf_dir)
+    return rounded(O.health_recommendations(O.health_inputs(held, beta, None), held).drop("book"))
+
+
 @register("top10_lightest_sectors", "SELECT sector, round(sum(weight), 6) AS weight FROM t_book GROUP BY sector ORDER BY sum(weight), sector LIMIT 2")
 def top10(spark, sf_dir):
     return rounded(T.book(spark, sf_dir).groupBy("sector").agg(F.sum("weight").alias("weight")).orderBy("weight", "sector").limit(2))

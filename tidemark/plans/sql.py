@@ -19,7 +19,7 @@ def twin(body: str) -> str:
     for name in reversed(TABLES):
         if re.search(rf"\b{name}\b", text):
             wanted.append(name)
-            text += TABLES[name]
+            text += "\n" + TABLES[name]
     if not wanted:
         return body.strip()
     return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in reversed(wanted)) + "\n" + body.strip()
@@ -36,6 +36,8 @@ define("t_bench", "SELECT d, arg_max(px, key) AS c FROM t_trades GROUP BY d")
 define("t_ret", """
     SELECT ticker, d, r, row_number() OVER (PARTITION BY ticker ORDER BY d DESC) AS rn_desc FROM (
         SELECT ticker, d, c / p - 1 AS r FROM (SELECT *, lag(c) OVER (PARTITION BY ticker ORDER BY d) AS p FROM t_num WHERE n > 20) WHERE p <> 0)""")
+define("t_year", "SELECT * FROM t_ret WHERE rn_desc <= 252")
+define("t_corr", "SELECT a.ticker AS a, b.ticker AS b, corr(a.r, b.r) AS corr, count(*) AS n FROM t_year a JOIN t_year b ON a.rn_desc = b.rn_desc AND a.ticker < b.ticker GROUP BY 1, 2 HAVING count(*) >= 60")
 define("t_roll0", """
     SELECT *, CASE WHEN lag(c) OVER w IS NOT NULL THEN greatest(h - l, abs(h - lag(c) OVER w), abs(l - lag(c) OVER w)) END AS tr,
            c / nullif(lag(c) OVER w, 0) - 1 AS ret FROM t_num WINDOW w AS (PARTITION BY ticker ORDER BY d)""")
@@ -110,7 +112,7 @@ define("t_stmt", """
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 define("t_macro", "SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS d, sum(o_totalprice) AS value FROM orders GROUP BY ALL")
 define("t_articles", """
-    SELECT d.doc_id, source AS ticker, substr(text, 1, 80) AS title, 'https://' || source || '.example/' || CAST(d.doc_id % 900 AS VARCHAR) AS url, 1700000000 + (d.doc_id * 7919) % 864000 AS epoch,
+    SELECT d.doc_id, source AS ticker, split_part(text, chr(10), 1) AS title, 'https://' || source || '.example/' || CAST(d.doc_id % 900 AS VARCHAR) AS url, 1700000000 + (d.doc_id * 7919) % 864000 AS epoch,
            CASE WHEN toxic = 1 THEN -0.6::DOUBLE WHEN quality = 1 THEN 0.4 WHEN quality = 0 THEN 0.0 END AS score,
            CASE WHEN toxic = 1 THEN 'bearish' WHEN quality = 1 THEN 'bullish' ELSE 'neutral' END AS sentiment
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")

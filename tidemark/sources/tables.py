@@ -138,9 +138,10 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles (doc_id, ticker, title, url, epoch, sentiment, score): titles are the first 80 characters."""
+    """Documents as articles (doc_id, ticker, title, url, epoch, sentiment, score): a title is the first line of the
+    text."""
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"), "quality", "toxic")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 80).alias("title"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     score = F.when(F.col("toxic") == 1, -0.6).when(F.col("quality") == 1, 0.4).when(F.col("quality") == 0, 0.0)
     joined = docs.join(labels, F.col("doc_id") == F.col("of"), "left")
     return joined.select(
