@@ -1,44 +1,157 @@
-"""Boosted trees over samples, by time."""
+"""Boosted trees over samples in the order of time: validation, importances, artifacts and predictions."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import json
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Shallow trees and slow steps, as many as still help on rows set aside. Trees of Spark have no ridge; small leaves are refused instead.
+DEPTH, STEP, MOST_TREES, SET_ASIDE, LEAST_GAIN, LEAST_LEAF = 4, 0.03, 600, 0.15, 5e-4, 20
+#: Rows of a bucket within which a feature is shuffled.
+SHUFFLED = 20_000
+
 
-def pipeline(features: list[str]) -> Pipeline:
-    """Missing features are imputed and flagged, since the trees know no missing values."""
+def pipeline(features: list[str], most_trees: int = MOST_TREES) -> Pipeline:
+    """Missing features are imputed and flagged, since the trees know no missing values. Growing stops when the rows set
+    aside gain too little."""
     filled = [f"{f}_filled" for f in features]
-    trees = GBTClassifier(labelCol="label", featuresCol="x", maxDepth=3, maxIter=10, stepSize=0.2, seed=7)
+    trees = GBTClassifier(labelCol="label", featuresCol="x", maxDepth=DEPTH, stepSize=STEP, maxIter=most_trees, minInstancesPerNode=LEAST_LEAF, validationIndicatorCol="aside", validationTol=LEAST_GAIN, seed=7)
     return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=[*filled, *[f"{f}_missing" for f in features]], outputCol="x"), trees])
 
 
 def flagged(samples: DataFrame, features: list[str]) -> DataFrame:
-    return samples.withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in features}).withColumn("label", (F.col("rel") > 0).cast("double"))
+    """Adds flags of missing features, the label, and by a hash of ticker and day the rows set aside."""
+    aside = F.pmod(F.xxhash64("ticker", "d"), F.lit(1000)) < int(SET_ASIDE * 1000)
+    return samples.withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in features} | {"label": (F.col("rel") > 0).cast("double"), "aside": aside})
 
 
 def by_time(samples: DataFrame, parts: int = 6) -> DataFrame:
+    """Adds part, from 1 for the oldest days."""
     days = samples.select("d").distinct().withColumn("one", F.lit(1)).withColumn("part", F.ntile(parts).over(Window.partitionBy("one").orderBy("d"))).select("d", "part")
     return samples.join(F.broadcast(days), "d")  # one row per day
 
 
-def evaluate(samples: DataFrame, features: list[str]) -> DataFrame:
-    """(n_train, n_test, accuracy, auc) of a model trained before the last part of the days."""
-    rows = by_time(flagged(samples, features)).cache()
-    train, test = rows.where("part < 6"), rows.where("part = 6")
-    scored = pipeline(features).fit(train).transform(test).cache()
-    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored)
-    counts = train.agg(F.count("*").alias("n_train"))
-    return scored.agg(F.count("*").alias("n_test"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.lit(float(auc)).alias("auc")).join(F.broadcast(counts))
+def usable(samples: DataFrame, features: Iterable[str], folds: int = 5) -> list[str]:
+    """The features that have two different values at least in the oldest part already, which every fold trains on."""
+    counts = by_time(samples, folds + 1).where("part = 1").agg(*[F.countDistinct(f).alias(f) for f in features]).first()
+    return [f for f in features if counts[f] >= 2]
+
+
+def probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Adds p, the probability of the label 1."""
+    return model.transform(rows).withColumn("p", vector_to_array("probability")[1])
+
+
+def validate(samples: DataFrame, features: list[str], folds: int = 5, most_trees: int = MOST_TREES) -> DataFrame:
+    """(fold, n_train, n_test, accuracy, auc): each fold is trained on the days before its part; fold 0 has the means.
+
+    The area under the curve is null where only one label is there.
+    """
+    rows = by_time(flagged(samples, features), folds + 1).persist()
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+
+    def fold(k: int) -> tuple:
+        model = pipeline(features, most_trees).fit(rows.where(F.col("part") < k))
+        scored = probability(model, rows.where(F.col("part") == k)).select("p", "label", "rawPrediction").persist()
+        right = F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double"))
+        n_test, accuracy, labels = scored.agg(F.count("*"), right, F.countDistinct("label")).first()
+        auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored) if labels > 1 else None
+        scored.unpersist()
+        return k - 1, sum(n for part, n in sizes.items() if part < k), n_test, accuracy, auc
+
+    # The folds know nothing of each other: their jobs run side by side.
+    with ThreadPoolExecutor(folds) as pool:
+        lines = list(pool.map(fold, range(2, folds + 2)))
+    rows.unpersist()
+    known = [x[4] for x in lines if x[4] is not None]
+    mean = (0, sum(x[1] for x in lines), sum(x[2] for x in lines), float(np.mean([x[3] for x in lines])), float(np.mean(known)) if known else None)
+    return samples.sparkSession.createDataFrame([mean, *lines], "fold int, n_train long, n_test long, accuracy double, auc double")
+
+
+def importances(samples: DataFrame, features: list[str], most_trees: int = MOST_TREES) -> dict[str, float]:
+    """How much accuracy the newest fifth of days loses when a feature is shuffled, for a model of the days before.
+
+    Values are shuffled within buckets of rows, so no task holds a whole column.
+    """
+    rows = by_time(flagged(samples, features), 5)
+    model = pipeline(features, most_trees).fit(rows.where("part < 5"))
+    test = rows.where("part = 5").select("ticker", "d", "label", *features, *[f"{f}_missing" for f in features]).persist()
+    buckets = max(1, test.count() // SHUFFLED)
+
+    def accuracy(frame: DataFrame) -> float:
+        return probability(model, frame).agg(F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double"))).first()[0] or 0.0
+
+    def shuffled(feature: str):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["ticker", "d"]).reset_index(drop=True)
+            order = np.random.default_rng(len(frame)).permutation(len(frame))
+            for c in (feature, f"{feature}_missing"):
+                frame[c] = frame[c].to_numpy()[order]
+            return frame
+
+        return run
+
+    base, found = accuracy(test), {}
+    for f in features:
+        mixed = test.groupBy(F.pmod(F.xxhash64("ticker", "d"), F.lit(buckets))).applyInPandas(shuffled(f), test.schema)
+        found[f] = round(base - accuracy(mixed), 5)
+    test.unpersist()
+    return found
+
+
+@dataclass
+class Artifact:
+    """A fitted model with what belongs to it."""
+
+    model: PipelineModel
+    features: list[str]
+    metrics: dict[str, float | None] = field(default_factory=dict)
+    importances: dict[str, float] = field(default_factory=dict)
+    label: str = ""
+
+
+def train(samples: DataFrame, features: list[str], *, label: str = "", report: bool = True, most_trees: int = MOST_TREES) -> Artifact:
+    """A model of all samples, with the means of its folds and its importances if they are asked for."""
+    features = usable(samples, features)
+    metrics, weights = {}, {}
+    if report:
+        mean = validate(samples, features, most_trees=most_trees).where("fold = 0").first()
+        metrics, weights = {"accuracy": mean["accuracy"], "auc": mean["auc"]}, importances(samples, features, most_trees)
+    return Artifact(pipeline(features, most_trees).fit(flagged(samples, features)), features, metrics, weights, label)
+
+
+def save(artifact: Artifact, folder: str) -> None:
+    """The model, and one line of JSON with the rest."""
+    artifact.model.write().overwrite().save(f"{folder}/model")
+    spark = SparkSession.active()
+    line = json.dumps({"features": artifact.features, "metrics": artifact.metrics, "importances": artifact.importances, "label": artifact.label})
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
+
+
+def load(spark: SparkSession, folder: str, known: Iterable[str]) -> Artifact | None:
+    """What ``save`` wrote; None where there is none, or where it wants a feature that is not known."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/about")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    about = json.loads(spark.read.text(f"{folder}/about").first()[0])
+    if not about["features"] or not set(about["features"]) <= set(known):
+        return None
+    return Artifact(PipelineModel.load(f"{folder}/model"), about["features"], about["metrics"], about["importances"], about["label"])
 
 
-def predict_last(samples: DataFrame, features: list[str]) -> DataFrame:
-    """(ticker, d, up): the model of all samples on each ticker's newest sample."""
-    rows = flagged(samples, features)
-    model = pipeline(features).fit(rows.where(F.abs("rel") >= 0.02))
-    last = rows.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("d")))).where("k = 1")
-    return model.transform(last).select("ticker", "d", (F.col("prediction") == 1).alias("up"))
+def predict(artifact: Artifact, rows: DataFrame) -> DataFrame:
+    """(ticker, d, prediction, probability) of each row: outperform from a half on."""
+    scored = probability(artifact.model, flagged(rows.withColumn("rel", F.lit(None).cast("double")), artifact.features))
+    return scored.select("ticker", "d", F.when(F.col("p") >= 0.5, "outperform").otherwise("underperform").alias("prediction"), F.round("p", 4).alias("probability"))

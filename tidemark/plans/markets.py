@@ -470,19 +470,91 @@ def win28(spark, sf_dir):
     return days.withColumn("fold", F.ntile(6).over(Window.partitionBy("one").orderBy("d"))).groupBy("fold").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.max("d").alias("last"))
 
 
+_FEATURES = ["r20", "r60", "from_high", "vol20", "volume_ratio"]
+
+
+def labelled(spark, sf_dir):
+    return samples(spark, sf_dir).where(F.abs("rel") >= 0.02)
+
+
 @register("mlp01_boosted_trees")
 def mlp01(spark, sf_dir):
-    """Boosted trees on the samples before the last sixth of days; accuracy and area under the curve after it."""
+    """What each feature is worth to boosted trees, trained on the days before the newest fifth and asked on these."""
+    from tidemark.operators import ml
+
+    rows = labelled(spark, sf_dir)
+    found = ml.importances(rows, ml.usable(rows, _FEATURES))
+    return spark.createDataFrame(list(found.items()), "feature string, importance double")
+
+
+@register("agg38_validation_metrics")
+def agg38(spark, sf_dir):
+    """Accuracy and area under the curve of five folds, each trained on the days before it, and their means as fold 0."""
+    from tidemark.operators import ml
+
+    rows = labelled(spark, sf_dir)
+    return rounded(ml.validate(rows, ml.usable(rows, _FEATURES)), 4)
+
+
+_ARTIFACTS: dict[tuple[str, str], str] = {}
+
+
+def artifact_folder(spark, sf_dir):
+    """Where this application has written its model of the tables, trained when it is first asked for."""
+    from uuid import uuid4
+
+    from tidemark.operators import ml
+    from tidemark.sources.shared import shared_folder
+
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _ARTIFACTS:
+        folder = f"{shared_folder(spark)}/model-{uuid4().hex}"
+        ml.save(ml.train(labelled(spark, sf_dir), _FEATURES, label="beats the mean of its day over 60 bars", report=False), folder)
+        _ARTIFACTS[key] = folder
+    return _ARTIFACTS[key]
+
+
+@register("snk11_model_artifact")
+def snk11(spark, sf_dir):
+    """What is written beside a model, read back: one line for each of its features."""
+    about = spark.read.text(f"{artifact_folder(spark, sf_dir)}/about")
+    fields = F.from_json("value", "features array<string>, label string")
+    return about.select(fields.alias("a")).select(F.explode("a.features").alias("feature"), "a.label")
+
+
+@register("src33_model_load")
+def src33(spark, sf_dir):
+    """The model that was written, and that one with a feature nobody knows is refused."""
     from tidemark.operators import ml
 
-    return rounded(ml.evaluate(samples(spark, sf_dir).where(F.abs("rel") >= 0.02), ["r20", "r60", "from_high", "vol20", "volume_ratio"]), 4)
+    folder = artifact_folder(spark, sf_dir)
+    usable, foreign = ml.load(spark, folder, _FEATURES), ml.load(spark, folder, _FEATURES[:1])
+    return spark.createDataFrame([(len(usable.features), foreign is None)], "features int, refused boolean")
 
 
-QUERIES["agg38_validation_metrics"] = mlp01
+def newest(spark, sf_dir):
+    """The newest bar of each ticker with the features of the samples, whose outcome is not known yet."""
+    day = Window.partitionBy("ticker").orderBy("d")
+    r = indicators.rolling(T.bars(spark, sf_dir))
+    rows = r.select(
+        "ticker", "d", "bar", "n", (F.try_divide("c", F.lag("c", 20).over(day)) - 1).alias("r20"), (F.try_divide("c", F.lag("c", 60).over(day)) - 1).alias("r60"), (F.try_divide("c", "high_252") - 1).alias("from_high"), "vol20",
+        F.try_divide("v", "avg_volume_20").alias("volume_ratio"),
+    )
+    return rows.where("bar = n AND bar >= 252").drop("bar", "n")
 
 
 @register("mlp03_predictions")
 def mlp03(spark, sf_dir):
+    """The saved model on each ticker's newest bar."""
+    from tidemark.operators import ml
+
+    return ml.predict(ml.load(spark, artifact_folder(spark, sf_dir), _FEATURES), newest(spark, sf_dir))
+
+
+@register("udf03_model_predict")
+def udf03(spark, sf_dir):
+    """The saved model on all samples: how many of each prediction there are."""
     from tidemark.operators import ml
 
-    return ml.predict_last(samples(spark, sf_dir), ["r20", "r60", "from_high", "vol20", "volume_ratio"])
+    told = ml.predict(ml.load(spark, artifact_folder(spark, sf_dir), _FEATURES), samples(spark, sf_dir))
+    return told.groupBy("prediction").agg(F.count("*").alias("n"))
