@@ -5,15 +5,20 @@ The lines are made from the star schema here, so that parsing runs on whole tabl
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric, text
+from tidemark.operators import backtest
 from tidemark.plans import scalars, technical
 from tidemark.plans.sql import define, twin
 from tidemark.plans.technical import rounded
 from tidemark.sources import files
 from tidemark.sources import tables as T
+from tidemark.sources.shared import shared_folder
+from tidemark.streaming import events as S
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -214,11 +219,23 @@ def src31(spark, sf_dir):
     return rounded(fresh.join(cached, "user_id", "left").select("user_id", F.when(hit, "cache").otherwise("fetch").alias("origin"), F.when(hit, F.col("cached")).otherwise(F.col("fresh")).alias("value")), 4)
 
 
-@register("src34_candidate_lists", "SELECT market, ticker FROM t_tickers")
+#: The curated candidates of each region.
+CANDIDATES = {
+    "US": "RBLX DKNG ETSY CELH FIVE WING AXON MOD SMAR PCTY CROX FND RUN ONON DUOL ENPH SFM CAKE ALGM PLNT ELF SKX TOST CAVA BROS HIMS TMDX GTLB MNDY IOT GLBE RKLB WRBY OSCR",
+    "SG": "D05.SI O39.SI U11.SI C6L.SI Z74.SI C38U.SI A17U.SI S68.SI BN4.SI F34.SI",
+    "HK": "0700.HK 9988.HK 3690.HK 9618.HK 9999.HK 1024.HK 9961.HK 1810.HK 0981.HK 2382.HK 0005.HK 1299.HK 2318.HK 3968.HK 0388.HK 2628.HK 1211.HK 0175.HK 2015.HK 9868.HK "
+    "2020.HK 2331.HK 0291.HK 9633.HK 0288.HK 1093.HK 1177.HK 2269.HK 0016.HK 1109.HK 0006.HK 0883.HK 0941.HK 0669.HK 0968.HK",
+    "JP": "7203.T 6758.T 9984.T 8035.T 6920.T 4063.T 9433.T 6098.T 8306.T 4519.T",
+    "KR": "005930.KS 000660.KS 035420.KS 035720.KS 051910.KS 006400.KS 207940.KS 323410.KS 012330.KS 068270.KS",
+}
+
+
+@register("src34_candidate_lists", f"SELECT region, CAST(ord AS INTEGER) AS ord, string_split(names, ' ')[ord] AS symbol FROM (SELECT *, unnest(range(1, len(string_split(names, ' ')) + 1)) AS ord FROM (VALUES {', '.join(f'({r!r}, {n!r})' for r, n in CANDIDATES.items())}) c(region, names))")
 def src34(spark, sf_dir):
-    """Curated lists, one array per market, as rows."""
-    lists = T.tickers(spark, sf_dir).groupBy("market").agg(F.collect_list("ticker").alias("names"))
-    return lists.select("market", F.explode("names").alias("ticker"))
+    """The curated lists as a dimension: region, place in the list, symbol."""
+    lists = spark.createDataFrame(list(CANDIDATES.items()), "region string, names string")
+    placed = lists.select("region", F.posexplode(F.split("names", " ")).alias("at", "symbol"))
+    return placed.select("region", (F.col("at") + 1).alias("ord"), "symbol")
 
 
 # ------------------------------------------------------------------ sinks
@@ -255,10 +272,40 @@ def snk06(spark, sf_dir):
 
 @register("snk07_cost_log", "SELECT conv_id, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM t_calls GROUP BY conv_id")
 def snk07(spark, sf_dir):
-    """Rows appended per call, batch after batch."""
+    """A log that each batch of calls is appended to, read again."""
+    log = scratch(spark, "cost-log")
     calls = scalars.calls(spark, sf_dir).select("conv_id", "turn", "tokens")
-    log = calls.where("turn % 2 = 0").unionByName(calls.where("turn % 2 <> 0 OR turn IS NULL"))
-    return log.groupBy("conv_id").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+    for batch in (calls.where("turn % 2 = 0"), calls.where("turn % 2 <> 0 OR turn IS NULL")):
+        batch.write.mode("append").parquet(log)
+    return spark.read.parquet(log).groupBy("conv_id").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+
+
+def scratch(spark, name):
+    """A new folder among those that the driver and the executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+@register("snk01_report_store", """
+    SELECT run_id, CAST(place AS INTEGER) AS place, ticker, price FROM (
+        SELECT 'run-1' AS run_id, 2 AS place, ticker, prev AS price FROM t_quotes UNION ALL SELECT 'run-2', 1, ticker, price FROM t_quotes)""")
+def snk01(spark, sf_dir):
+    """Two runs of a report written to the store and read back, each with its place in the index, the newest first."""
+    store = scratch(spark, "reports")
+    quotes = T.quotes(spark, sf_dir)
+    for run, price in (("run-1", "prev"), ("run-2", "price")):
+        files.write_report(quotes.select("ticker", F.col(price).alias("price")), store, run)
+    lines = files.reports(spark, store, "ticker string, price double")
+    return lines.join(files.report_index(lines).select("run_id", "place"), "run_id").select("run_id", "place", "ticker", "price")
+
+
+@register("snk10_backtest_results", technical.BACKTEST_JSON)
+def snk10(spark, sf_dir):
+    """The outcome of the backtest with what it was run on, written as JSON and read back."""
+    results = scratch(spark, "backtest")
+    edges = technical.agg24(spark, sf_dir)
+    universe = T.bars(spark, sf_dir).agg(F.countDistinct("ticker").alias("universe_size"))
+    edges.join(F.broadcast(universe)).withColumn("step_days", F.lit(backtest.STEP)).write.json(results)
+    return spark.read.schema("stance string, n long, edge60_pct double, win_rate double, universe_size long, step_days int").json(results)
 
 
 @register("snk08_watchlist_store", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer WHERE c_custkey % 7 <> 0")
@@ -327,3 +374,11 @@ def udf05(spark, sf_dir):
 def udt01(spark, sf_dir):
     """One ticker becomes many rows: every fifth bar from the twentieth on."""
     return T.numbered(T.bars(spark, sf_dir)).where("rn >= 20 AND rn % 5 = 0").select("ticker", "d", F.col("rn").cast("long").alias("rn"))
+
+
+@register("stm08_order_book_stream", """
+    SELECT ticker, round(max(price) FILTER (side = 'bid'), 4) AS best_bid, round(min(price) FILTER (side = 'ask'), 4) AS best_ask, CAST(coalesce(sum(volume) FILTER (side = 'bid'), 0) AS BIGINT) AS bid_depth, CAST(coalesce(sum(volume) FILTER (side = 'ask'), 0) AS BIGINT) AS ask_depth FROM (
+        SELECT user_id % 20 AS ticker, CASE event_type WHEN 'view' THEN 'bid' ELSE 'ask' END AS side, CASE event_type WHEN 'view' THEN 100 - value / 100 ELSE 100.5 + value / 100 END AS price, event_id % 97 + 1 AS volume FROM events WHERE event_type IN ('view', 'click')) GROUP BY ticker""")
+def stm08(spark, sf_dir):
+    """The book of each ticker as the stream of its quotes goes on: best prices and depth of both sides."""
+    return rounded(S.drain(spark, S.books(S.read(spark, sf_dir))), 4)

@@ -273,6 +273,13 @@ def agg24(spark, sf_dir):
     return rounded(backtest.edges(events(spark, sf_dir).withColumn("stance", F.when(F.col("sma50") > F.col("sma200"), "bullish").otherwise("bearish"))))
 
 
+BACKTEST_JSON = """
+    SELECT *, (SELECT count(DISTINCT ticker) FROM t_bars) AS universe_size, 5 AS step_days FROM (
+        SELECT stance, n, round((mean60 - base60) * 100, 6) AS edge60_pct, round(win, 6) AS win_rate FROM (
+            SELECT CASE WHEN sma50 > sma200 THEN 'bullish' ELSE 'bearish' END AS stance, count(*) AS n, avg(fwd60) AS mean60, avg(CASE WHEN fwd60 > 0 THEN 1.0 ELSE 0.0 END) AS win FROM t_events GROUP BY 1 HAVING count(*) >= 30),
+            (SELECT avg(fwd60) AS base60 FROM t_events))"""
+
+
 @register("agg24_score_quintiles", """
     SELECT q, count(*) AS n, round(avg(fwd60) * 100, 6) AS fwd60_pct FROM (
         SELECT fwd60, CASE WHEN mech_score <= e1 THEN 1 WHEN mech_score <= e2 THEN 2 WHEN mech_score <= e3 THEN 3 WHEN mech_score <= e4 THEN 4 ELSE 5 END AS q FROM t_events,

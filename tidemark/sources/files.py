@@ -86,6 +86,18 @@ def write_report(report: DataFrame, folder: str, run_id: str) -> None:
     report.withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id").mode("append").json(folder)
 
 
+def reports(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of all reports of a store, with run_id."""
+    return spark.read.schema(f"{schema}, run_id string").json(folder)
+
+
+def report_index(lines: DataFrame) -> DataFrame:
+    """(run_id, rows, place): one line for each run, the newest first."""
+    runs = lines.groupBy("run_id").agg(F.count("*").alias("rows"))
+    # One line for each run.
+    return runs.withColumn("place", F.row_number().over(Window.orderBy(F.desc("run_id"))))
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """The incoming rows, and the existing ones whose key is not among them; of equal incoming keys the last by ``seq`` stays."""
     newest = incoming.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq")))).where("_k = 1").drop("_k")

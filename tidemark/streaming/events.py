@@ -40,6 +40,17 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
     return grouped.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def books(events: DataFrame) -> DataFrame:
+    """Best bid and ask and the depth of both sides per ticker, over the quotes so far: views bid, clicks ask."""
+    bid = F.col("event_type") == "view"
+    quotes = events.where("event_type IN ('view', 'click')").select(
+        (F.col("user_id") % 20).alias("ticker"), bid.alias("bid"), F.when(bid, 100 - F.col("value") / 100).otherwise(100.5 + F.col("value") / 100).alias("price"), (F.col("event_id") % 97 + 1).alias("volume")
+    )
+    side = lambda is_bid, c: F.when(F.col("bid") if is_bid else ~F.col("bid"), F.col(c))
+    depth = lambda is_bid: F.coalesce(F.sum(side(is_bid, "volume")), F.lit(0))
+    return quotes.groupBy("ticker").agg(F.max(side(True, "price")).alias("best_bid"), F.min(side(False, "price")).alias("best_ask"), depth(True).alias("bid_depth"), depth(False).alias("ask_depth"))
+
+
 def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
