@@ -131,6 +131,23 @@ def _ends(pattern: str, text: str, last: bool) -> list[int]:
     return ends if last else ends[:-2]
 
 
+def _cut(size: int, overlap: int):
+    """Lines (doc_id, row_key, at, last, text) of the overlapping chunks of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(2)[i].as_py()
+                chunks = -(-(len(text) - overlap) // size)
+                doc, key = (pa.repeat(batch.column(c)[i], chunks) for c in (0, 1))
+                parts = pa.array([text[at * size : (at + 1) * size + overlap] for at in range(chunks)], pa.string())
+                last = pa.array([at == chunks - 1 for at in range(chunks)])
+                whole = pa.RecordBatch.from_arrays([doc, key, pa.array(range(chunks), pa.int32()), last, parts], ["doc_id", "row_key", "at", "last", "text"])
+                yield from (whole.slice(lo, 64) for lo in range(0, chunks, 64))
+
+    return run
+
+
 def _edges(pattern: str, size: int, overlap: int):
     """Adds to each chunk the boundaries near its head and those near its tail, as places in the document."""
 
@@ -203,11 +220,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 32_76
     ids = "ids binary"
     last, schema = finish or (None, f"doc_id long, {ids}")
     short = texts.where(fits).mapInArrow(_then(_whole(name, pattern), last), schema)
-    cut = texts.where(~fits).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text", F.length("text").alias("n"))
-    starts = F.sequence(F.lit(0), F.ceil((F.col("n") - overlap) / F.lit(chunk)).cast("int") - 1)
-    chunks = cut.select("doc_id", "row_key", F.explode(starts).alias("at"), "n", "text").select(
-        "doc_id", "row_key", "at", ((F.col("at") + 1) * chunk + overlap >= F.col("n")).alias("last"), F.substring("text", F.col("at") * chunk + 1, F.lit(chunk + overlap)).alias("text")
-    )
+    long = texts.where(~fits).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    # Cut in one pass over each text.
+    chunks = long.mapInArrow(_cut(chunk, overlap), "doc_id long, row_key long, at int, last boolean, text string")
     places = stitched(chunks, pattern, chunk, overlap)
     met = places.where("met").select("doc_id", "row_key", "copy", "at", "text", "lo", "hi")
     parts = met.mapInArrow(_between(name, pattern, chunk), f"doc_id long, row_key long, copy int, at int, {ids}")

@@ -221,7 +221,8 @@ def _scored(field: LineField, with_lines: bool):
 def score(docs: DataFrame, field: LineField, *, with_lines: bool = False) -> DataFrame:
     """(doc_id, score) of each row, and with ``with_lines`` P(good) of each of its lines.
 
-    * a null text counts as empty; an empty text is one empty line and is scored like any other;
+    * a null text counts as empty; an empty text is one empty line and is scored like any other; texts of any length are
+      scored whole, line by line; equal texts have equal scores;
     * repeated rows stay repeated; a null doc_id stays null; an empty table gives an empty result;
     * further columns are ignored: only the text is an input.
     """

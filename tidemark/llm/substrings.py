@@ -154,7 +154,8 @@ def repeated_passages(docs: DataFrame, *, width: int = 50, run: int = 10) -> Dat
     smaller doc_id. ``removed`` holds the maximal intervals of word numbers, end exclusive; ``kept`` the other words,
     joined by one space.
 
-    * a null text has no words; texts shorter than a window stay as they are;
+    * a null text has no words; texts shorter than a window stay as they are; texts of any length are read whole;
+    * of documents that tie in a window the smallest doc_id keeps it;
     * a null doc_id counts as one id after all others; rows of one id never remove each other's words;
     * repeats within one document stay; an empty table gives an empty result; further columns are ignored.
     """
