@@ -80,18 +80,23 @@ def chain_summary(options: DataFrame, spots: DataFrame) -> DataFrame:
     )
 
 
-def max_pain(options: DataFrame) -> DataFrame:
-    """(ticker, strike, pain): the strike at which the holders of all options of the ticker get least, the lowest of ties.
+def pains(options: DataFrame) -> DataFrame:
+    """(ticker, strike, pain): what the holders of all options of a ticker get if it ends at each of its strikes.
 
-    Running sums over the sorted strikes give what all holders get at each strike; no strike meets every option.
+    Running sums over the sorted strikes say it; no strike meets every option.
     """
     per = options.groupBy("ticker", "strike").agg(F.sum(F.when(F.col("kind") == "call", F.col("oi")).otherwise(0)).alias("co"), F.sum(F.when(F.col("kind") == "put", F.col("oi")).otherwise(0)).alias("po"))
     below = Window.partitionBy("ticker").orderBy("strike").rowsBetween(Window.unboundedPreceding, 0)
     above = Window.partitionBy("ticker").orderBy("strike").rowsBetween(0, Window.unboundedFollowing)
     calls = F.col("strike") * F.sum("co").over(below) - F.sum(F.col("co") * F.col("strike")).over(below)
     puts = F.sum(F.col("po") * F.col("strike")).over(above) - F.col("strike") * F.sum("po").over(above)
-    pained = per.withColumn("pain", F.round(calls + puts, 4))
-    return pained.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy("pain", "strike"))).where("k = 1").select("ticker", "strike", "pain")
+    return per.select("ticker", "strike", F.round(calls + puts, 4).alias("pain"))
+
+
+def max_pain(options: DataFrame) -> DataFrame:
+    """(ticker, strike, pain): the strike at which the holders get least, the lowest of ties."""
+    ranked = pains(options).withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy("pain", "strike")))
+    return ranked.where("k = 1").select("ticker", "strike", "pain")
 
 
 #: The coefficients of Hart's rational approximation of the normal distribution in double precision.

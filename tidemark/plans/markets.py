@@ -145,7 +145,12 @@ def agg19(spark, sf_dir):
     return rounded(O.max_pain(chain(spark, sf_dir)), 2)
 
 
-QUERIES["jon16_strikes_by_options"], ORACLE_SQL["jon16_strikes_by_options"] = agg19, ORACLE_SQL["agg19_max_pain"]
+@register("jon16_strikes_by_options", """
+    SELECT s.ticker, s.strike, round(sum(oi * CASE WHEN kind = 'call' THEN greatest(s.strike - o.strike, 0) ELSE greatest(o.strike - s.strike, 0) END), 2) AS pain
+    FROM (SELECT DISTINCT ticker, strike FROM t_options) s JOIN t_options o USING (ticker) GROUP BY 1, 2""")
+def jon16(spark, sf_dir):
+    """What every strike costs the holders of every option of its ticker."""
+    return rounded(O.pains(chain(spark, sf_dir)), 2)
 
 
 def _normal(x: str) -> str:
