@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 _LOADED: dict[str, dict[bytes, int]] = {}
-#: Pieces that a task remembers at most, twice: the ones met lately, and those before them.
-REMEMBERED = 100_000
+#: Pieces that a worker remembers at most for a vocabulary, twice: the ones met lately, and those before them. Tasks that
+#: follow each other in a worker find them there; some 100 MB at most.
+REMEMBERED = 250_000
+_REMEMBERED: dict[str, list[dict[str, bytes]]] = {}
 NO_RANK = 1 << 60
 
 
@@ -87,23 +89,22 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
 def _encoder(name: str):
     """A function of pieces that gives their ids as little-endian 32-bit numbers; it remembers the pieces met lately."""
     ranks = load_ranks(name)
-    lately: dict[str, bytes] = {}
-    before: dict[str, bytes] = {}
+    memory = _REMEMBERED.setdefault(name, [{}, {}])
 
     def learn(p: str) -> bytes:
-        nonlocal lately, before
+        lately, before = memory
         got = lately.get(p) or before.get(p)
         if got is None:
             ids = merge(p.encode("utf-8"), ranks)
             got = struct.pack(f"<{len(ids)}i", *ids)
         if len(p) < 64:
             if len(lately) >= REMEMBERED:
-                lately, before = {}, lately
-            lately[p] = got
+                memory[:] = {}, lately
+            memory[0][p] = got
         return got
 
     def encode(pieces: list[str]) -> bytes:
-        found = list(map(lately.get, pieces))
+        found = list(map(memory[0].get, pieces))
         if None in found:
             found = [learn(p) if x is None else x for p, x in zip(pieces, found, strict=True)]
         return b"".join(found)
