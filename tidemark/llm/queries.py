@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, common, exact_search, html, mixing, pii, quality, simhash, substrings, urls
+from tidemark.llm import ann, bpe, common, exact_search, html, importance, mixing, pii, quality, simhash, substrings, urls
 
 
 def op1_pfair_mix(spark, sf_dir):
@@ -62,6 +62,10 @@ def op10_line_field(spark, sf_dir):
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return importance.resampled(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pfair_mix": op1_pfair_mix,
     "op2_learned_partitions": op2_learned_partitions,
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_bpe": op9_bpe,
     "op10_line_field": op10_line_field,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLE_SQL = {
@@ -158,4 +163,36 @@ ORACLE_SQL = {
                CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict,
                CAST(coalesce(n, 0) AS BIGINT) AS n_labelled, CAST(coalesce(bad, 0) AS BIGINT) AS n_bad
         FROM f""",
+    "op11_importance_resampling": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        df AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+        bf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+        k AS (SELECT list(c ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(range(8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) r(i)
+        )),
+        h AS MATERIALIZED (
+            SELECT f, xor(list_reduce(
+                list_transform(range(CAST(octet_length(encode(f)) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+                lambda c, x: xor(t[CAST(xor(c % 256, x) AS BIGINT) + 1], c // 256), 4294967295), 4294967295) % 10000 AS bucket
+            FROM (SELECT f FROM df UNION SELECT f FROM bf), k
+        ),
+        x AS MATERIALIZED (SELECT doc_id, bucket, count(*) AS n FROM df JOIN h USING (f) GROUP BY ALL),
+        s AS (SELECT bucket, sum(n) AS s FROM x GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS t FROM bf JOIN h USING (f) GROUP BY bucket),
+        g AS (
+            SELECT bucket, CAST(floor(1000 * ln(
+                CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM s) + 10000 AS DOUBLE)
+                / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM bf) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+            FROM s FULL JOIN t USING (bucket)
+        ),
+        m AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM x JOIN g USING (bucket) GROUP BY doc_id),
+        e AS (
+            SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, CASE WHEN n_features > 0 THEN CAST((total - ((total % n_features) + n_features) % n_features) // n_features AS BIGINT) ELSE 0 END AS weight,
+                   CAST('0x' || substr(sha256('7:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS u
+            FROM d LEFT JOIN m USING (doc_id)
+        ),
+        r AS (SELECT doc_id, words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
+        o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM r WHERE words >= 20)
+        SELECT r.doc_id, n_features, weight, score, CASE WHEN k <= 25 * n // 100 THEN CAST(k AS BIGINT) END AS rank FROM r LEFT JOIN o USING (doc_id)""",
 }
