@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, common, exact_search, html, importance, mixing, pii, quality, simhash, substrings, urls
+from tidemark.llm import ann, bpe, codes, common, exact_search, html, importance, mixing, pii, quality, simhash, substrings, urls
 
 
 def op1_pfair_mix(spark, sf_dir):
@@ -66,6 +66,35 @@ def op11_importance_resampling(spark, sf_dir):
     return importance.resampled(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op12_ball_tree_codes(spark, sf_dir):
+    return codes.product_codes(common.table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """Each round's assignment and next codebook by comparing every part with every entry."""
+    assigned = """
+        a{k} AS MATERIALIZED (
+            SELECT rid, p, min({{'d': CAST(xx - 2 * list_inner_product(x, y) + yy AS BIGINT), 'e': e}}) AS m
+            FROM q JOIN (SELECT *, list_inner_product(y, y) AS yy FROM b{k}) USING (p) GROUP BY rid, p
+        )"""
+    next_book = """
+        u{n} AS (SELECT p, m.e AS e, unnest(range(len(x))) AS i, unnest(x) AS c FROM a{k} JOIN q USING (rid, p)),
+        f{n} AS (SELECT p, e, i, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM u{n} GROUP BY ALL),
+        g{n} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS z FROM f{n} GROUP BY p, e),
+        b{n} AS MATERIALIZED (SELECT p, e, coalesce(z, y) AS y FROM b{k} LEFT JOIN g{n} USING (p, e))"""
+    rounds = ",".join(assigned.format(k=k) + "," + next_book.format(k=k, n=k + 1) for k in range(4))
+    return f"""
+        WITH v AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        q AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS xx FROM (SELECT rid, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM v, range(4) r(p))),
+        b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS y FROM q WHERE rid <= 256),{rounds},{assigned.format(k=4)},
+        h AS (SELECT sha256(string_agg(t, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(list_transform(y, lambda c: CAST(c AS BIGINT)), ',') AS t FROM b4)),
+        o AS (SELECT rid, string_agg(format('{{:02x}}', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY rid)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN o USING (rid), h"""
+
+
 QUERIES = {
     "op1_pfair_mix": op1_pfair_mix,
     "op2_learned_partitions": op2_learned_partitions,
@@ -78,6 +107,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_line_field": op10_line_field,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_ball_tree_codes": op12_ball_tree_codes,
 }
 
 ORACLE_SQL = {
@@ -195,4 +225,5 @@ ORACLE_SQL = {
         r AS (SELECT doc_id, words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
         o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM r WHERE words >= 20)
         SELECT r.doc_id, n_features, weight, score, CASE WHEN k <= 25 * n // 100 THEN CAST(k AS BIGINT) END AS rank FROM r LEFT JOIN o USING (doc_id)""",
+    "op12_ball_tree_codes": _codes_sql(),
 }
