@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, codes, common, exact_search, html, importance, mixing, pii, quality, simhash, substrings, urls
+from tidemark.llm import ann, bpe, codes, common, exact_dedup, exact_search, html, importance, mixing, pii, quality, simhash, substrings, urls
 
 
 def op1_pfair_mix(spark, sf_dir):
@@ -70,6 +70,10 @@ def op12_ball_tree_codes(spark, sf_dir):
     return codes.product_codes(common.table(spark, sf_dir, "embeddings"))
 
 
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
 def _codes_sql() -> str:
     """Each round's assignment and next codebook by comparing every part with every entry."""
     assigned = """
@@ -108,6 +112,7 @@ QUERIES = {
     "op10_line_field": op10_line_field,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_ball_tree_codes": op12_ball_tree_codes,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL = {
@@ -226,4 +231,7 @@ ORACLE_SQL = {
         o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM r WHERE words >= 20)
         SELECT r.doc_id, n_features, weight, score, CASE WHEN k <= 25 * n // 100 THEN CAST(k AS BIGINT) END AS rank FROM r LEFT JOIN o USING (doc_id)""",
     "op12_ball_tree_codes": _codes_sql(),
+    "op13_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
