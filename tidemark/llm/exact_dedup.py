@@ -1,10 +1,9 @@
 """Exact duplicates by a stateful stream: of equal texts one row stays.
 
-The files of a table go through a stream in batches. Each task first brings the equal texts of an Arrow batch together,
-comparing whole texts, so that a text that is everywhere comes to its state in few lines. The state, in RocksDB, without
-expiry, holds for each digest the identifier that stays, the place of the content first seen (file and row) and how many
-rows there were. Lines that hit a digest that is there already are checked afterwards against the content at its place,
-byte by byte; digests that stand for several texts are then settled by the texts themselves.
+The files of a table go through a stream in batches. Its state, in RocksDB, without expiry, holds for each digest the
+identifier that stays, the place of a content (the least file and row) and how many rows there were; it is the state of a
+streaming aggregation, so what comes to it is summed within the tasks first. Texts whose digest was hit are then checked
+against the content at its place, byte by byte; digests that stand for several texts are settled by the texts themselves.
 """
 
 from __future__ import annotations
@@ -13,86 +12,36 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from uuid import uuid4
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from tidemark.llm import common
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Lines of one digest that are compared with one copy of the content.
-CHUNK = 256
+#: The store of the state, on the executors' disks and in the shared folder, with a bound on its memory.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 #: A group is joined by broadcast if it holds over one in so many rows: there are fewer such groups than this.
 HOT_SHARE = 2000
 #: Bits of the map of repeated digests that keeps other texts out of the check.
 MAP_BITS = 24
 
-#: known and id: the identifier, nulls as not known; file, row: its place; n: rows; own_file, own_row: a place of the text.
-LINE = "digest string, known boolean, id long, file string, row long, n long, own_file string, own_row long"
-STATE = "known boolean, id long, file string, row long, n long, kept_file string, kept_row long, lines long"
-CLAIM = "digest string, known boolean, id long, file string, row long, n long, own_file string, own_row long, kept_file string, kept_row long, line long"
-
-
-def _line(of: str) -> list[str]:
-    return [field.split()[0] for field in of.split(", ")]
-
-
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One line for each text of an Arrow batch (digest, known, id, file, row, text)."""
-    for batch in batches:
-        texts, digests = batch.column(5), batch.column(0).to_pylist()
-        groups: dict[str, list[list]] = {}
-        for i, (digest, *place) in enumerate(zip(digests, *(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
-            same = groups.setdefault(digest, [])
-            group = next((g for g in same if texts[g[0]].as_py() == texts[i].as_py()), None) if same else None
-            if group is None:
-                same.append([i, place, 1, place[2:]])
-            else:
-                group[1], group[2] = max(group[1], place), group[2] + 1
-        lines = [(digest, *place, n, *own) for digest, same in groups.items() for _, place, n, own in same]
-        columns = list(zip(*lines, strict=True)) or [[]] * 8
-        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _line(LINE))
-
-
-class Keeper(StatefulProcessor):
-    """Per digest the state named above; each line comes out with the state after it and the place of the content kept."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.kept.get() if self.kept.exists() else None
-        best, n, content, lines = ((state[0], state[1], state[2], state[3]), state[4], (state[5], state[6]), state[7]) if state else (None, 0, None, 0)
-        for frame in rows:
-            out = []
-            for line in frame[_line(LINE)[1:]].itertuples(index=False):
-                known, i, file, row, count, *own = line
-                place = (bool(known), int(i), file, int(row))
-                best, n, own = max(best or place, place), n + int(count), (own[0], int(own[1]))
-                content = content or own
-                out.append((key[0], *best, n, *own, *content, lines))
-                lines += 1
-            yield pd.DataFrame(out, columns=_line(CLAIM))
-        if best:
-            self.kept.update((*best, n, *content, lines))
-
-    def close(self) -> None:
-        pass
-
 
 @contextmanager
-def _on_disk(spark: SparkSession):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
+def _state_on_disk(spark: SparkSession):
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def _placed(docs: DataFrame, normal: Callable[[Column], Column], digest: Callable[[Column], Column]) -> DataFrame:
@@ -103,34 +52,50 @@ def _placed(docs: DataFrame, normal: Callable[[Column], Column], digest: Callabl
     return places.select(digest(F.col("text")).alias("digest"), "known", "id", "file", "row", "text")
 
 
-def _claims(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """What the stream says of each line, from files."""
-    lines = docs.mapInArrow(_together, LINE).groupBy("digest")
-    kept = lines.transformWithStateInPandas(Keeper(), CLAIM, "update", "none")
-    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/claims/batch={number}")
-    with _on_disk(spark):
-        query = kept.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
+def _kept(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """(digest, best, content, n) of the state at the stream's end: the identifier that stays with its place, the place of
+    the content, the number of rows."""
+    state = rows.groupBy("digest").agg(F.max(F.struct("known", "id", "file", "row")).alias("best"), F.min(F.struct("file", "row")).alias("content"), F.count("*").alias("n"))
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/kept/batch={number}")
+    with _state_on_disk(spark):
+        query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
         query.awaitTermination()
-    spark.createDataFrame([], CLAIM).write.mode("append").parquet(f"{folder}/claims/batch=-1")  # so that there is a file
-    return spark.read.schema(CLAIM).parquet(f"{folder}/claims")
+    spark.createDataFrame([], state.schema).write.parquet(f"{folder}/kept/batch=-1")  # so that there is a file
+    seen = spark.read.schema(state.schema).parquet(f"{folder}/kept")
+    # A digest comes out of every batch that has it, the last time with all its rows.
+    return seen.groupBy("digest").agg(F.max_by(F.struct("best", "content"), "n").alias("last"), F.max("n").alias("n")).select("digest", "last.best", "last.content", "n")
 
 
-def _colliding(placed: DataFrame, claims: DataFrame) -> DataFrame:
-    """(digest) of those that stand for more than one text: whole texts of hits are compared with the content kept."""
-    chunk = F.floor(F.col("line") / CHUNK)
-    hits = claims.where((F.col("own_file") != F.col("kept_file")) | (F.col("own_row") != F.col("kept_row")))
-    hits = hits.select("digest", "kept_file", "kept_row", chunk.alias("chunk"), F.col("own_file").alias("f"), F.col("own_row").alias("r"))
-    contents = hits.select("digest", "kept_file", "kept_row", "chunk", F.col("kept_file").alias("f"), F.col("kept_row").alias("r")).distinct()
-    # A map of 2^24 bits, in at most 2^18 rows, of the digests that were hit.
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, file, row, text) of one row of each text of an Arrow batch, that of the least place; whole texts count."""
+    for batch in batches:
+        digests, files, numbers = (batch.column(c).to_pylist() for c in range(3))
+        texts, least = batch.column(3), {}
+        for i, digest in enumerate(digests):
+            same = least.setdefault(digest, [])
+            at = next((k for k, j in enumerate(same) if texts[j].as_py() == texts[i].as_py()), None) if same else None
+            if at is None:
+                same.append(i)
+            elif (files[i], numbers[i]) < (files[same[at]], numbers[same[at]]):
+                same[at] = i
+        yield batch.take(pa.array([i for same in least.values() for i in same], pa.int64()))
+
+
+def _colliding(placed: DataFrame, kept: DataFrame) -> DataFrame:
+    """(digest) of those that stand for more than one text: texts of hits are compared with the content at its place."""
+    hit = kept.where("n > 1")
+    # A map of 2^24 bits, in at most 2^18 rows, of the digests that were hit: other texts need not move.
     bit = F.pmod(F.xxhash64("digest"), F.lit(1 << MAP_BITS))
-    word, at = F.floor(bit / 64).cast("long"), (bit % 64).cast("int")
-    one = F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(digest), {1 << MAP_BITS}), 64) as int))")
-    repeated = hits.groupBy(word.alias("of_word")).agg(F.bit_or(one).alias("bits"))
-    some = placed.withColumn("word", word).withColumn("at", at).join(F.broadcast(repeated), F.col("word") == F.col("of_word"))
-    some = some.where(F.expr("(shiftright(bits, at) & 1L) = 1L")).select("file", "row", "text")
-    texts = hits.unionByName(contents).join(some, (F.col("f") == F.col("file")) & (F.col("r") == F.col("row")))
-    compared = texts.groupBy("digest", "kept_file", "kept_row", "chunk").agg(F.min("text").alias("a"), F.max("text").alias("b"))
-    return compared.where("a <> b").select("digest").distinct()
+    word, one = F.floor(bit / 64).cast("long"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(digest), {1 << MAP_BITS}), 64) as int))")
+    repeated = hit.groupBy(word.alias("of_word")).agg(F.bit_or(one).alias("bits"))
+    some = placed.withColumn("word", word).withColumn("bit", one).join(F.broadcast(repeated), F.col("word") == F.col("of_word"))
+    some = some.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("digest", "file", "row", "text")
+    texts = some.mapInArrow(_together, "digest string, file string, row long, text string")
+    # Joined by the digest alone, so that the texts move once; the place is compared as a range for that.
+    at = hit.select(F.col("digest").alias("d"), F.col("content.file").alias("f"), F.col("content.row").alias("r"))
+    here = (F.col("file") >= F.col("f")) & (F.col("file") <= F.col("f")) & (F.col("row") >= F.col("r")) & (F.col("row") <= F.col("r"))
+    contents = texts.join(at, (F.col("digest") == F.col("d")) & here).select("d", F.col("text").alias("content"))
+    return texts.join(contents, (F.col("digest") == F.col("d")) & (F.col("text") != F.col("content"))).select("digest").distinct()
 
 
 def exact_duplicates(
@@ -146,7 +111,7 @@ def exact_duplicates(
     * null doc_id: below all others; a group without any other keeps null;
     * ties, as when equal texts repeat a doc_id: the row of the larger (file, row) stays, so exactly one is kept;
     * one doc_id with several texts: each row is in the group of its own text;
-    * very long texts are compared two at a time and cross to Python in Arrow batches; an empty table gives an empty result;
+    * very long texts are compared two at a time; an empty table gives an empty result;
     * further columns, of whatever names, are not read.
     """
     common.ship(spark)
@@ -155,13 +120,13 @@ def exact_duplicates(
     stream = spark.readStream.schema(schema)
     stream = stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream.option("maxBytesPerTrigger", str(bytes_per_batch))
     # By its plain name only a folder can be streamed from, by a pattern both.
-    claims = _claims(spark, _placed(stream.parquet(f"{path[:-1]}[{path[-1]}]"), normal, digest), folder)
-    placed = _placed(spark.read.schema(schema).parquet(path), normal, digest)
-    colliding = common.checkpointed(_colliding(placed, claims))
-    newest = F.max_by(F.struct("known", "id", "file", "row"), "n").alias("best")
-    groups = claims.groupBy("digest").agg(newest, F.max("n").alias("size")).select(F.col("digest").alias("of_digest"), F.when(F.col("best.known"), F.col("best.id")).alias("keep_id"), F.col("best.file").alias("keep_file"), F.col("best.row").alias("keep_row"), "size")
-    groups = common.checkpointed(groups)
+    kept = _kept(spark, _placed(stream.parquet(f"{path[:-1]}[{path[-1]}]"), normal, digest).drop("text"), folder)
+    kept = common.checkpointed(kept)
     common.removed(spark, folder)
+    placed = _placed(spark.read.schema(schema).parquet(path), normal, digest)
+    colliding = common.checkpointed(_colliding(placed, kept))
+    best = F.when(F.col("best.known"), F.col("best.id")).alias("keep_id")
+    groups = kept.select(F.col("digest").alias("of_digest"), best, F.col("best.file").alias("keep_file"), F.col("best.row").alias("keep_row"), F.col("n").alias("size"))
 
     rows = placed.select("digest", F.when(F.col("known"), F.col("id")).alias("doc_id"), "file", "row", F.sha2("text", 256).alias("text_sha256"), "text")
     sure, unsure = rows.drop("text"), None
