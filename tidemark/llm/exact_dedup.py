@@ -25,6 +25,8 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Without it every store sets some megabytes of disk aside, one store a partition.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: A group is joined by broadcast if it holds over one in so many rows: there are fewer such groups than this.
 HOT_SHARE = 2000
