@@ -262,3 +262,8 @@ def test_clusters_are_greedy(spark):
 def test_html_escape(spark):
     rows = spark.createDataFrame([("a < b & \"c\" > 'd'",), ("",), (None,)], "t string").select(text.html_escaped(F.col("t"))).collect()
     assert [r[0] for r in rows] == ["a &lt; b &amp; &quot;c&quot; &gt; &#x27;d&#x27;", "", None]
+
+
+def test_xirr_beyond_a_thousandfold(spark):
+    df = spark.createDataFrame([("b", date(2020, 1, 1), -100.0), ("b", date(2020, 1, 22), 160.0)], "book string, d date, amount double")
+    assert one(portfolio.xirr(df))["rate"] == pytest.approx(1.6 ** (365 / 21) - 1, rel=1e-6)

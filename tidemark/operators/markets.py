@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import asof
 from tidemark.sources.shared import checkpointed
 
 #: How many names of a region a scan of all regions takes.
@@ -67,16 +68,19 @@ def insiders(filings: DataFrame, days: int = 20) -> DataFrame:
 def chain_summary(options: DataFrame, spots: DataFrame) -> DataFrame:
     """Per ticker: implied volatility and straddle at the nearest strikes, strikes of most open interest, put over call."""
     rows = options.join(spots, "ticker").withColumn("dist", F.abs(F.col("strike") - F.col("spot")))
-    near = F.row_number().over(Window.partitionBy("ticker", "kind").orderBy("dist", "ord"))
-    most = F.row_number().over(Window.partitionBy("ticker", "kind").orderBy(F.desc("oi"), "ord"))
-    ranked = rows.withColumns({"near": near, "most": most})
-    at = lambda kind, c, rank="near": F.max(F.when((F.col("kind") == kind) & (F.col(rank) == 1), F.col(c)))
-    price = lambda kind: F.coalesce(F.when(at(kind, "last") != 0, at(kind, "last")), (at(kind, "bid") + at(kind, "ask")) / 2)
-    civ, piv = at("call", "iv"), at("put", "iv")
+    near, most = F.struct("dist", "ord"), F.struct(-F.col("oi"), "ord")
+    pick = lambda kind, by, known: F.min_by(F.struct("strike", "iv", "last", "bid", "ask"), F.when((F.col("kind") == kind) & known, by))
     total = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("oi")))
-    return ranked.groupBy("ticker").agg(
-        F.max("spot").alias("spot"), F.when((civ != 0) & (piv != 0), (civ + piv) / 2).otherwise(F.greatest(civ, piv)).alias("atm_iv"), ((price("call") + price("put")) / F.max("spot") * 100).alias("move_pct"),
-        at("call", "strike", "most").alias("max_oi_call"), at("put", "strike", "most").alias("max_oi_put"), F.try_divide(total("put"), total("call")).alias("put_call"),
+    known, open_ = F.col("dist").isNotNull(), F.col("oi").isNotNull()
+    # Sums and smallest rows only, so all of it is done before the shuffle too and nothing is sorted.
+    best = rows.groupBy("ticker").agg(
+        F.max("spot").alias("spot"), pick("call", near, known).alias("c"), pick("put", near, known).alias("p"), pick("call", most, open_).alias("co"), pick("put", most, open_).alias("po"), total("put").alias("puts"), total("call").alias("calls")
+    )
+    price = lambda s: F.coalesce(F.when(F.col(f"{s}.last") != 0, F.col(f"{s}.last")), (F.col(f"{s}.bid") + F.col(f"{s}.ask")) / 2)
+    civ, piv = F.col("c.iv"), F.col("p.iv")
+    return best.select(
+        "ticker", "spot", F.when((civ != 0) & (piv != 0), (civ + piv) / 2).otherwise(F.greatest(civ, piv)).alias("atm_iv"), ((price("c") + price("p")) / F.col("spot") * 100).alias("move_pct"),
+        F.col("co.strike").alias("max_oi_call"), F.col("po.strike").alias("max_oi_put"), F.try_divide("puts", "calls").alias("put_call"),
     )
 
 
@@ -158,12 +162,10 @@ def year_on_year(series: DataFrame, back: int = 12) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, lag_days: int = 0) -> DataFrame:
-    """Adds the newest ``value`` of the right that was known at the left's time: one shuffle by key, no range join."""
-    facts = right.select(F.col(key), F.date_add(F.col(right_time), lag_days).alias("_t"), F.lit(0).alias("_src"), F.col(value).alias("_v"))
-    asks = left.withColumns({"_t": F.col(left_time), "_src": F.lit(1)})
-    w = Window.partitionBy(key).orderBy("_t", "_src").rowsBetween(Window.unboundedPreceding, 0)
-    both = asks.unionByName(facts, allowMissingColumns=True)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_src = 1").drop("_t", "_src", "_v")
+    """Adds the newest ``value`` of the right that was known ``lag_days`` after its date at the left's date."""
+    facts = right.select(key, F.date_add(F.col(right_time), lag_days).alias("_known"), value)
+    found = asof.as_of(left, facts, [key], left_time, "_known", value, "_found", asof.month)
+    return found.select(*left.columns, F.col("_found.v").alias(value))
 
 
 def score_ledger(entries: DataFrame, max_age: int = 90) -> DataFrame:

@@ -133,7 +133,7 @@ def xirr(flows: DataFrame, rounds: int = 60) -> DataFrame:
     dated = packed.withColumn("f", F.transform("f", lambda x: F.struct((F.datediff(x["d"], F.col("f")[0]["d"]) / 365.0).alias("t"), x["amount"].alias("a"))))
     usable = dated.where((F.size("f") >= 2) & F.exists("f", lambda x: x["a"] < 0) & F.exists("f", lambda x: x["a"] > 0) & (F.element_at("f", -1)["t"] > 0))
     worth = lambda r: F.aggregate("f", F.lit(0.0), lambda s, x: s + x["a"] / F.pow(1.0 + r, x["t"]))
-    low, high = F.lit(-0.9999), F.lit(1e3)
+    low, high = F.lit(-0.9999999), F.lit(1e6)  # fixed values: the bracket of rates
     usable = usable.withColumns({"lo_sign": F.signum(worth(low)), "hi_sign": F.signum(worth(high))}).where("lo_sign * hi_sign < 0")
 
     def halve(s, _):

@@ -5,19 +5,18 @@ The lines are made from the star schema here, so that parsing runs on whole tabl
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric, text
 from tidemark.operators import backtest
+from tidemark.operators import requests as R
 from tidemark.plans import scalars, technical
 from tidemark.plans.sql import define, twin
 from tidemark.plans.technical import rounded
 from tidemark.sources import files
 from tidemark.sources import tables as T
-from tidemark.sources.shared import shared_folder
+from tidemark.sources.shared import checkpointed, removed, scratch
 from tidemark.streaming import events as S
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -208,34 +207,29 @@ def src30(spark, sf_dir):
 
 
 @register("src31_cache_read_through", """
-    SELECT user_id, CASE WHEN cached IS NOT NULL AND age <= 300 THEN 'cache' ELSE 'fetch' END AS origin, round(CASE WHEN cached IS NOT NULL AND age <= 300 THEN cached ELSE fresh END, 4) AS value FROM (
-        SELECT user_id, arg_max(value, event_id) AS fresh, arg_min(CASE WHEN user_id % 5 <> 0 THEN value END, event_id) FILTER (user_id % 5 <> 0) AS cached, user_id * 37 % 600 AS age FROM events GROUP BY user_id)""")
+    WITH RECURSIVE e AS MATERIALIZED (
+        SELECT event_id, user_id, epoch_us(ts) AS t, CASE WHEN event_type <> 'error' THEN value END AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+    ),
+    r AS (
+        SELECT user_id, i, event_id, true AS missed, payload AS value, CASE WHEN payload IS NOT NULL THEN t END AS since, payload AS stored FROM e WHERE i = 1
+        UNION ALL
+        SELECT user_id, i, event_id, missed, CASE WHEN missed THEN payload ELSE stored END, CASE WHEN missed AND payload IS NOT NULL THEN t ELSE since END, CASE WHEN missed AND payload IS NOT NULL THEN payload ELSE stored END FROM (
+            SELECT e.*, r.since, r.stored, r.since IS NULL OR e.t - r.since > 43200000000 AS missed FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+    )
+    SELECT event_id, user_id, CASE WHEN missed THEN 'fetch' ELSE 'cache' END AS origin, round(value, 4) AS value FROM r""")
 def src31(spark, sf_dir):
-    """What is cached and young enough is taken, anything else is fetched; nulls are never cached."""
-    e = T.read(spark, sf_dir, "events")
-    fresh = e.groupBy("user_id").agg(F.max_by("value", "event_id").alias("fresh"))
-    cached = e.where("user_id % 5 <> 0").groupBy("user_id").agg(F.min_by("value", "event_id").alias("cached")).withColumn("age", F.col("user_id") * 37 % 600)
-    hit = F.col("cached").isNotNull() & (F.col("age") <= 300)
-    return rounded(fresh.join(cached, "user_id", "left").select("user_id", F.when(hit, "cache").otherwise("fetch").alias("origin"), F.when(hit, F.col("cached")).otherwise(F.col("fresh")).alias("value")), 4)
-
-
-#: The curated candidates of each region.
-CANDIDATES = {
-    "US": "RBLX DKNG ETSY CELH FIVE WING AXON MOD SMAR PCTY CROX FND RUN ONON DUOL ENPH SFM CAKE ALGM PLNT ELF SKX TOST CAVA BROS HIMS TMDX GTLB MNDY IOT GLBE RKLB WRBY OSCR",
-    "SG": "D05.SI O39.SI U11.SI C6L.SI Z74.SI C38U.SI A17U.SI S68.SI BN4.SI F34.SI",
-    "HK": "0700.HK 9988.HK 3690.HK 9618.HK 9999.HK 1024.HK 9961.HK 1810.HK 0981.HK 2382.HK 0005.HK 1299.HK 2318.HK 3968.HK 0388.HK 2628.HK 1211.HK 0175.HK 2015.HK 9868.HK "
-    "2020.HK 2331.HK 0291.HK 9633.HK 0288.HK 1093.HK 1177.HK 2269.HK 0016.HK 1109.HK 0006.HK 0883.HK 0941.HK 0669.HK 0968.HK",
-    "JP": "7203.T 6758.T 9984.T 8035.T 6920.T 4063.T 9433.T 6098.T 8306.T 4519.T",
-    "KR": "005930.KS 000660.KS 035420.KS 035720.KS 051910.KS 006400.KS 207940.KS 323410.KS 012330.KS 068270.KS",
-}
-
-
-@register("src34_candidate_lists", f"SELECT region, CAST(ord AS INTEGER) AS ord, string_split(names, ' ')[ord] AS symbol FROM (SELECT *, unnest(range(1, len(string_split(names, ' ')) + 1)) AS ord FROM (VALUES {', '.join(f'({r!r}, {n!r})' for r, n in CANDIDATES.items())}) c(region, names))")
+    """A log of requests through a cache of half a day: what is stored and young enough is taken, anything else fetched; the
+    answer to an error is null and is not stored."""
+    payload = F.when(F.col("event_type") != "error", F.col("value")).alias("payload")
+    log = T.read(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), payload)
+    return rounded(R.read_through(log, ["user_id"], "t", "event_id", "payload", 43_200_000_000).select("event_id", "user_id", "origin", "value"), 4)
+
+
+@register("src34_candidate_lists", "SELECT market, CAST(row_number() OVER (PARTITION BY market ORDER BY num DESC, ticker) AS INTEGER) AS ord, ticker FROM t_tickers")
 def src34(spark, sf_dir):
-    """The curated lists as a dimension: region, place in the list, symbol."""
-    lists = spark.createDataFrame(list(CANDIDATES.items()), "region string, names string")
-    placed = lists.select("region", F.posexplode(F.split("names", " ")).alias("at", "symbol"))
-    return placed.select("region", (F.col("at") + 1).alias("ord"), "symbol")
+    """The candidates of each market as a dimension: market, place in the list, ticker."""
+    w = Window.partitionBy("market").orderBy(F.desc("num"), "ticker")
+    return T.tickers(spark, sf_dir).select("market", F.row_number().over(w).alias("ord"), "ticker")
 
 
 # ------------------------------------------------------------------ sinks
@@ -270,6 +264,13 @@ def snk06(spark, sf_dir):
     return rounded(books.select("user_id", F.explode(F.from_json("j", "map<string, double>")).alias("event_type", "value")), 4)
 
 
+def settled(spark, result, folder):
+    """The result as a checkpoint; the folder that it was read from goes."""
+    out = checkpointed(result)
+    removed(spark, folder)
+    return out
+
+
 @register("snk07_cost_log", "SELECT conv_id, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM t_calls GROUP BY conv_id")
 def snk07(spark, sf_dir):
     """A log that each batch of calls is appended to, read again."""
@@ -277,12 +278,7 @@ def snk07(spark, sf_dir):
     calls = scalars.calls(spark, sf_dir).select("conv_id", "turn", "tokens")
     for batch in (calls.where("turn % 2 = 0"), calls.where("turn % 2 <> 0 OR turn IS NULL")):
         batch.write.mode("append").parquet(log)
-    return spark.read.parquet(log).groupBy("conv_id").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
-
-
-def scratch(spark, name):
-    """A new folder among those that the driver and the executors share."""
-    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    return settled(spark, spark.read.parquet(log).groupBy("conv_id").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens")), log)
 
 
 @register("snk01_report_store", """
@@ -295,7 +291,7 @@ def snk01(spark, sf_dir):
     for run, price in (("run-1", "prev"), ("run-2", "price")):
         files.write_report(quotes.select("ticker", F.col(price).alias("price")), store, run)
     lines = files.reports(spark, store, "ticker string, price double")
-    return lines.join(files.report_index(lines).select("run_id", "place"), "run_id").select("run_id", "place", "ticker", "price")
+    return settled(spark, lines.join(files.report_index(lines).select("run_id", "place"), "run_id").select("run_id", "place", "ticker", "price"), store)
 
 
 @register("snk10_backtest_results", technical.BACKTEST_JSON)
@@ -305,7 +301,7 @@ def snk10(spark, sf_dir):
     edges = technical.agg24(spark, sf_dir)
     universe = T.bars(spark, sf_dir).agg(F.countDistinct("ticker").alias("universe_size"))
     edges.join(F.broadcast(universe)).withColumn("step_days", F.lit(backtest.STEP)).write.json(results)
-    return spark.read.schema("stance string, n long, edge60_pct double, win_rate double, universe_size long, step_days int").json(results)
+    return settled(spark, spark.read.schema("stance string, n long, edge60_pct double, win_rate double, universe_size long, step_days int").json(results), results)
 
 
 @register("snk08_watchlist_store", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer WHERE c_custkey % 7 <> 0")
@@ -347,15 +343,24 @@ def stm03(spark, sf_dir):
 
 
 @register("stm07_connect_cooldown", """
-    SELECT user_id, count(*) FILTER (held) AS held, count(*) FILTER (NOT held) AS tried FROM (
-        SELECT user_id, coalesce(epoch(ts)::BIGINT - max(CASE WHEN event_type = 'error' THEN epoch(ts)::BIGINT END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 43200, false) AS held FROM events) GROUP BY user_id""")
+    WITH RECURSIVE e AS MATERIALIZED (
+        SELECT event_id, user_id, event_type, event_id % 7 AS topic, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+    ),
+    r AS (
+        SELECT user_id, i, event_id, 'tried' AS outcome, CASE WHEN event_type = 'error' THEN t END AS failure, CASE WHEN event_type = 'signup' THEN [topic] ELSE [] END AS refused FROM e WHERE i = 1
+        UNION ALL
+        SELECT user_id, i, event_id, outcome, CASE WHEN outcome = 'tried' AND event_type = 'error' THEN t ELSE failure END, CASE WHEN outcome = 'tried' AND event_type = 'signup' THEN list_append(refused, topic) ELSE refused END FROM (
+            SELECT e.*, r.failure, r.refused, CASE WHEN list_contains(r.refused, e.topic) THEN 'denied' WHEN e.t - r.failure < 43200000000 THEN 'held' ELSE 'tried' END AS outcome
+            FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+    )
+    SELECT event_id, outcome FROM r""")
 def stm07(spark, sf_dir):
-    """Attempts within half a day of a failure are held back."""
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    failed = F.max(F.when(F.col("event_type") == "error", at)).over(w)
-    e = T.read(spark, sf_dir, "events").select("user_id", F.coalesce(at - failed < 43_200, F.lit(False)).alias("held"))
-    return e.groupBy("user_id").agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("tried"))
+    """Attempts within half a day of the last one that was made and failed are held; a topic refused once is not asked for
+    again. Errors are failures, signups refusals."""
+    e = T.read(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.col("event_id") % 7).alias("topic"), (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "signup").alias("refused")
+    )
+    return R.attempts(e, "user_id", "t", "event_id", "topic", "failed", "refused", 43_200_000_000)
 
 
 #: Named sets of what to compute.

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import asof as A
 from tidemark.operators import indicators
 from tidemark.operators import markets as O
 from tidemark.plans.sql import define, twin
 from tidemark.plans.technical import momentum, rounded, snapshot
 from tidemark.sources import tables as T
+from tidemark.sources.shared import removed, scratch
+from tidemark.streaming import events as S
+from tidemark.streaming import state as K
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -347,23 +351,29 @@ def flt24(spark, sf_dir):
 
 
 @register("jon09_as_of_backward", """
-    SELECT ticker, a.d, round(m.value, 2) AS value FROM (SELECT ticker, d FROM t_bars) a ASOF LEFT JOIN (SELECT d + 45 AS known, value FROM t_macro WHERE series_id = '2-HIGH') m ON a.d >= m.known""")
+    SELECT ticker, a.d, a.series_id, round(m.value, 2) AS value FROM (SELECT ticker, d, series_id FROM t_bars, (SELECT DISTINCT series_id FROM t_macro)) a
+    ASOF JOIN (SELECT series_id, d + 45 AS known, value FROM t_macro) m ON a.series_id = m.series_id AND a.d >= m.known""")
 def jon09(spark, sf_dir):
-    """What was known of a monthly series 45 days after its date."""
-    left = T.bars(spark, sf_dir).select("ticker", "d")
-    facts = T.macro(spark, sf_dir).where("series_id = '2-HIGH'").select("d", "value")
-    keyed = left.select("ticker").distinct().join(F.broadcast(facts.agg(F.collect_list(F.struct("d", "value")).alias("f"))))
-    right = keyed.select("ticker", F.explode("f").alias("f")).select("ticker", F.col("f.d").alias("known"), F.col("f.value").alias("value"))
-    return rounded(O.as_of(left, right, "ticker", "d", "known", "value", 45).select("ticker", "d", "value"), 2)
+    """What was known of each monthly series, 45 days after its date, on every day of every ticker."""
+    facts = T.macro(spark, sf_dir).select("series_id", F.date_add("d", 45).alias("known"), "value")
+    return rounded(A.valid_at(T.bars(spark, sf_dir).select("ticker", "d"), facts, "series_id", "d", "known", "value"), 2)
+
+
+@register("jon09_latest_price", "SELECT id, a.d, round(b.c, 8) AS c FROM (SELECT l_orderkey * 8 + l_linenumber AS id, p_brand AS ticker, CAST(l_shipdate AS DATE) - 7 AS d FROM lineitem JOIN part ON l_partkey = p_partkey) a ASOF LEFT JOIN t_bars b ON a.ticker = b.ticker AND a.d >= b.d")
+def jon09_latest_price(spark, sf_dir):
+    """The newest close of its ticker a week before each line item ships: few keys, many rows each."""
+    part = T.read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+    lines = T.read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "ticker", F.date_sub(F.to_date("l_shipdate"), 7).alias("d"))
+    found = A.as_of(lines, T.bars(spark, sf_dir).select("ticker", F.col("d").alias("day"), "c"), ["ticker"], "d", "day", "c", "bar", A.month)
+    return rounded(found.select("id", "d", F.col("bar.v").alias("c")), 8)
 
 
 @register("jon10_as_of_forward", "SELECT series_id, m.d, b.d AS next FROM t_macro m ASOF LEFT JOIN (SELECT d FROM t_bench) b ON b.d >= m.d")
 def jon10(spark, sf_dir):
-    """The first day of the index on or after each date: a window from the end."""
-    asks = T.macro(spark, sf_dir).select(F.lit(0).alias("one"), "series_id", "d", F.lit(1).alias("src"))
-    days = T.benchmark(spark, sf_dir).select(F.lit(0).alias("one"), F.lit(None).cast("string").alias("series_id"), "d", F.lit(0).alias("src"))
-    w = Window.partitionBy("one").orderBy(F.desc("d"), "src").rowsBetween(Window.unboundedPreceding, 0)
-    return asks.unionByName(days).withColumn("next", F.last(F.when(F.col("src") == 0, F.col("d")), ignorenulls=True).over(w)).where("src = 1").select("series_id", "d", "next")
+    """The first day of the index on or after each date."""
+    days = T.benchmark(spark, sf_dir).select(F.col("d").alias("day"), F.col("d").alias("of"))
+    found = A.as_of(T.macro(spark, sf_dir).select("series_id", "d"), days, [], "d", "day", "of", "next", A.month, forward=True)
+    return found.select("series_id", "d", F.col("next.at").alias("next"))
 
 
 @register("jon18_date_range", "SELECT ticker, count(*) AS n, round(sum(v), 2) AS v FROM t_bars WHERE d BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY ticker")
@@ -387,9 +397,24 @@ def entries(spark, sf_dir):
     return O.score_ledger(rows.where("rn % 20 = 0 AND price IS NOT NULL"), 40)
 
 
-@register("stm04_ledger_states", "SELECT id, action, status FROM t_entries")
+@register("stm04_ledger_states", """
+    SELECT e.id, action, coalesce(min(x), {'d': NULL, 's': 'open', 'c': NULL}).s AS status, min(x).d AS resolved, round((coalesce(min(x).c, arg_max(c, p.d)) / rec_price - 1) * 100, 6) AS return_pct FROM
+        (SELECT * FROM t_led WHERE rn % 20 = 0) e LEFT JOIN (SELECT ticker, d, c FROM t_num) p ON p.ticker = e.ticker AND p.d > e.d,
+        LATERAL (SELECT CASE WHEN action = 'buy' AND c >= target THEN 'target' WHEN action = 'buy' AND c <= stop THEN 'stopped' WHEN p.d - e.d > 90 THEN 'expired' END AS s) o,
+        LATERAL (SELECT CASE WHEN s IS NOT NULL THEN {'d': p.d, 's': s, 'c': c} END AS x) y
+    GROUP BY e.id, action, rec_price""")
 def stm04(spark, sf_dir):
-    return entries(spark, sf_dir).select("id", "action", "status")
+    """Every twentieth bar is a recommendation; the stream of the following closes resolves it."""
+    folder = scratch(spark, "ledger")
+    b = T.numbered(T.bars(spark, sf_dir)).withColumn("t", F.unix_date("d").cast("long") * 86_400_000_000)
+    led = {"id": F.concat("ticker", F.lit("@"), F.col("rn").cast("string")), "rec_price": F.col("c"), "target": F.col("c") * 1.2, "stop": F.col("c") * 0.9, "action": F.when(F.floor(F.col("rn") / 20) % 4 == 0, "sell").otherwise("buy")}
+    b.where("rn % 20 = 0").withColumns(led).select("ticker", "t", *led).write.parquet(f"{folder}/entries")
+    b.select("ticker", "t", F.col("c").alias("value")).repartitionByRange("t").write.parquet(f"{folder}/prices")
+    read = lambda name: spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/{name}")
+    last = K.newest(S.drain(spark, K.ledger(read("entries"), read("prices")), "update"), "id")
+    removed(spark, folder)
+    day = F.date_from_unix_date((F.col("resolved") / 86_400_000_000).cast("int")).alias("resolved")
+    return rounded(last.select("id", "action", "status", day, "return_pct"), 6)
 
 
 @register("agg25_calibration", """

@@ -464,9 +464,9 @@ QUERIES["flt30_materiality"], ORACLE_SQL["flt30_materiality"] = win24, ORACLE_SQ
 _XIRR = """
     SELECT book, round(rate, 6) AS rate FROM (
         SELECT book, (s.lo + s.hi) / 2 AS rate FROM (
-            SELECT book, list_reduce(list_transform(range(61), lambda i: {'lo': -0.9999::DOUBLE, 'hi': 1000.0::DOUBLE}), lambda p, q:
+            SELECT book, list_reduce(list_transform(range(61), lambda i: {'lo': -0.9999999::DOUBLE, 'hi': 1000000.0::DOUBLE}), lambda p, q:
                 CASE WHEN sign(list_sum(list_transform(f, lambda x: x.a / pow(1 + (p.lo + p.hi) / 2, x.t)))) = sl THEN {'lo': (p.lo + p.hi) / 2, 'hi': p.hi} ELSE {'lo': p.lo, 'hi': (p.lo + p.hi) / 2} END) AS s
-            FROM (SELECT *, sign(list_sum(list_transform(f, lambda x: x.a / pow(0.0001, x.t)))) AS sl, sign(list_sum(list_transform(f, lambda x: x.a / pow(1001.0, x.t)))) AS sh FROM (
+            FROM (SELECT *, sign(list_sum(list_transform(f, lambda x: x.a / pow(1e-7, x.t)))) AS sl, sign(list_sum(list_transform(f, lambda x: x.a / pow(1000001.0, x.t)))) AS sh FROM (
                 SELECT book, list({'t': (d - d0) / 365, 'a': amount} ORDER BY d, amount) AS f FROM t_flows JOIN (SELECT book, min(d) AS d0 FROM t_flows GROUP BY book) USING (book) WHERE amount <> 0 GROUP BY book))
             WHERE sl * sh < 0 AND len(f) >= 2))"""
 

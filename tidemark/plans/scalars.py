@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric, text
+from tidemark.operators import requests as R
 from tidemark.plans.sql import define, twin
 from tidemark.plans.technical import rounded
 from tidemark.sources import tables as T
 from tidemark.streaming import events as S
+from tidemark.streaming import state as K
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -293,14 +295,55 @@ def stm_dedup(spark, sf_dir):
 
 @register("stm01_state_with_ttl", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stm01(spark, sf_dir):
-    done = S.drain(spark, S.running_totals(S.read(spark, sf_dir)), "update")
+    done = S.drain(spark, K.running_totals(S.read(spark, sf_dir)), "update")
     epochs = done.groupBy("user_id", "epoch").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
     return rounded(epochs.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), 4)
 
 
-@register("stm02_rate_limit", "SELECT user_id, count(*) FILTER (r <= 2) AS passed, count(*) FILTER (r > 2) AS held FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS r FROM events) GROUP BY user_id")
+@register("stm01_cache_log", """
+    WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS t, event_type <> 'error' AS storable, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r AS (
+        SELECT user_id, i, event_id, true AS fetched, CASE WHEN storable THEN t END AS since FROM e WHERE i = 1
+        UNION ALL
+        SELECT user_id, i, event_id, fetched, CASE WHEN fetched AND storable THEN t ELSE since END FROM (
+            SELECT e.*, r.since, r.since IS NULL OR e.t - r.since > 21600000000 AS fetched FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+    )
+    SELECT event_id, fetched FROM r""")
+def stm01_cache(spark, sf_dir):
+    """A stream of requests through a cache of six hours; answers to errors are not stored."""
+    log = S.read(spark, sf_dir).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.col("event_type") != "error").alias("storable"))
+    return K.newest(S.drain(spark, K.cache_log(log, "user_id", 21_600_000_000), "update"), "event_id")
+
+
+def limiter_twin(key: str, most: int, per: int) -> str:
+    """Call by call: stamps within the window are kept, and if there are enough of them the oldest must leave it first."""
+    return f"""
+        WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, {key} AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events),
+        r AS (
+            SELECT event_id, k, i, t, t AS out, [t] AS stamps FROM e WHERE i = 1
+            UNION ALL
+            SELECT event_id, k, i, t, out, list_append(list_filter(stamps, lambda s: s > out - {per}), out) FROM (
+                SELECT event_id, k, i, t, stamps, CASE WHEN len(young) >= {most} THEN greatest(now, young[1] + {per}) ELSE now END AS out FROM (
+                    SELECT *, list_filter(stamps, lambda s: s > now - {per}) AS young FROM (SELECT e.*, r.stamps, greatest(e.t, r.out) AS now FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1)))
+        )
+        SELECT event_id, out - t AS waited_us FROM r"""
+
+
+def limited(spark, sf_dir, key, most, per):
+    calls = T.read(spark, sf_dir, "events").select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return R.released(calls, [key], "t", "event_id", most, per).select("event_id", (F.col("released") - F.col("t")).alias("waited_us"))
+
+
+HOUR_US = 3_600_000_000
+
+
+@register("stm02_rate_limit", limiter_twin("user_id", 2, 24 * HOUR_US))
 def stm02(spark, sf_dir):
-    """How many calls fall over a limit of two within a sliding hour."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-3600, 0)
-    e = T.read(spark, sf_dir, "events").withColumn("r", F.count("*").over(w))
-    return e.groupBy("user_id").agg(F.count_if(F.col("r") <= 2).alias("passed"), F.count_if(F.col("r") > 2).alias("held"))
+    """How long each call waits if a user may make two a day."""
+    return limited(spark, sf_dir, "user_id", 2, 24 * HOUR_US)
+
+
+@register("stm02_rate_limit_by_type", limiter_twin("event_type", 3, HOUR_US))
+def stm02_by_type(spark, sf_dir):
+    """Few keys with many calls each: three an hour."""
+    return limited(spark, sf_dir, "event_type", 3, HOUR_US)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +34,19 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder that is not needed any more, wherever it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder among those that the driver and the executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = tempfile.mkdtemp(prefix="tidemark-ship-")
+    sc.addPyFile(shutil.make_archive(f"{target}/tidemark_package", "zip", package.parent, package.name))
+    sc._tidemark_shipped = True

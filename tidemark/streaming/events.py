@@ -1,4 +1,4 @@
-"""Streams over the events: windows with watermarks, sessions, deduplication, and the state of the ledger.
+"""Streams over the events: windows with watermarks, sessions, deduplication, order books.
 
 Each function takes a streaming (or a static) DataFrame of events and returns one; ``drain`` runs a stream over what is
 there and returns the result as a table of files in the shared folder.
@@ -6,23 +6,22 @@ there and returns the result as a table of files in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from uuid import uuid4
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.sources.shared import shared_folder
+from tidemark.sources.shared import checkpointed, removed, shared_folder
+from tidemark.streaming.state import on_disk
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, files: int = 8) -> DataFrame:
     """The events of a folder as a stream of new files: events.parquet is a file or a folder of them."""
     # By its plain name only a folder can be streamed from, by a pattern both.
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 8).parquet(f"{folder}/events.parque[t]")
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(f"{folder}/events.parque[t]")
 
 
 def tumbling(events: DataFrame, size: str = "1 day", late: str = "2 hours") -> DataFrame:
@@ -51,59 +50,53 @@ def books(events: DataFrame) -> DataFrame:
     return quotes.groupBy("ticker").agg(F.max(side(True, "price")).alias("best_bid"), F.min(side(False, "price")).alias("best_ask"), depth(True).alias("bid_depth"), depth(False).alias("ask_depth"))
 
 
-def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
+def deduplicated(events: DataFrame, late: str | None = None) -> DataFrame:
+    """The first of the events of an id, whenever the others come: ids stay in the state. With ``late`` ids that watermark
+    has left behind by so much go from it, and events that come later than that are dropped."""
+    if late is None:
+        return events.dropDuplicates(["event_id"])
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def running_totals(events: DataFrame, ttl_ms: int = 86_400_000, late: str = "1 day") -> DataFrame:
-    """Per user the number and sum of events so far, kept in state that is dropped ``ttl_ms`` of event time after the last.
-
-    ``epoch`` is the watermark at which the state began: after a drop the user's next events are counted from zero in a
-    later one, so a user's total is the sum over the epochs of the last line of each.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, total, epoch = state.get if state.exists else (0, 0.0, state.getCurrentWatermarkMs())
-        newest = 0
-        for frame in frames:
-            n, total, newest = n + len(frame), total + float(frame.value.sum()), max(newest, int(frame.ts.max().timestamp() * 1000))
-        state.update((n, total, epoch))
-        state.setTimeoutTimestamp(max(newest + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]], "epoch": [epoch], "n": [n], "total": [total]})
-
-    kept = events.withWatermark("ts", late).groupBy("user_id")
-    return kept.applyInPandasWithState(step, "user_id long, epoch long, n long, total double", "n long, total double, epoch long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete", fold: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
-    """Run the stream over all files that are there; the result from Parquet in the shared folder, of any size.
+    """Run the stream over all files that are there; the result is a checkpoint in the shared folder, of any size, and what
+    the stream has written goes.
 
     ``fold`` is applied to each batch before it is written. A complete result is that of the last batch; else those of all
     batches are there one below the other.
     """
-    folder, written = f"{shared_folder(spark)}/stream-{uuid4().hex}", {}
+    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    written = run(stream, folder, mode, fold)
+    out = checkpointed(written if written is not None else fold(spark.createDataFrame([], stream.schema)))
+    removed(spark, folder)
+    return out
+
+
+def run(stream: DataFrame, folder: str, mode: str, fold: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame | None:
+    """Go on with the stream of ``folder`` over the files that are new, and the batches that this run has written there. A
+    batch that is run again overwrites itself."""
+    spark, written = stream.sparkSession, {}
 
     def write(batch: DataFrame, number: int) -> None:
         out = fold(batch)
         out.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
         written[number] = out.schema
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with on_disk(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
     if not written:
-        return fold(spark.createDataFrame([], stream.schema))
+        return None
     numbers = [max(written)] if mode == "complete" else sorted(written)
     return spark.read.schema(written[numbers[0]]).parquet(*(f"{folder}/batch-{n}" for n in numbers))
 
 
-def into_table(stream: DataFrame, path: str, checkpoint: str, key: str):
+def into_table(stream: DataFrame, path: str, checkpoint: str, key: str, order: str | None = None):
     """Batches of a stream written as Parquet by batch number, so that a batch run again overwrites itself: of equal keys in
-    a batch the last stays."""
+    a batch the last by ``order`` stays, without it any."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order or key).alias("last")).select("last.*")
+        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
