@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import band_score, cap_score
+from tidemark.operators.moments import pair_moments
 
 #: Scenario, shock of the market, shock of the other currencies.
 SCENARIOS = (("market -20%", -0.20, 0.0), ("USD +5%", 0.0, -0.05), ("risk-off", -0.10, -0.03))
@@ -70,13 +71,18 @@ def weekly(returns: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def correlations(returns: DataFrame, least: int = 60) -> DataFrame:
-    """(a, b, corr, n) of all pairs of names with enough common places, a before b.
+    """(a, b, corr, n) of all pairs of names with enough common places, a before b; null where one of the two does not move.
 
-    The pairs are part of the result; the join is on the place from the end, so each place meets itself only.
+    The sums are those of matrix products, over returns less their name's mean so that nothing cancels.
     """
-    left, right = returns.select(F.col("ticker").alias("a"), "rn_desc", F.col("r").alias("ra")), returns.select(F.col("ticker").alias("b"), "rn_desc", F.col("r").alias("rb"))
-    pairs = left.join(right, "rn_desc").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("n"))
-    return pairs.where(F.col("n") >= least)
+    mean = F.avg("r").over(Window.partitionBy("ticker"))
+    centred = returns.select(F.lit(0).alias("book"), "ticker", F.col("rn_desc").alias("place"), (F.col("r") - mean).alias("x"))
+    n = F.col("n")
+    spread = lambda c: n * F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}")
+    moves = (spread("x") > 1e-24 * n * n) & (spread("y") > 1e-24 * n * n)
+    corr = F.when(moves, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread("x") * spread("y")))
+    pairs = pair_moments(centred).where((F.col("a") != F.col("b")) & (n >= least))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), corr.alias("corr"), n.cast("long").alias("n"))
 
 
 def in_close_pairs(corr: DataFrame, above: float = 0.8) -> DataFrame:
@@ -178,16 +184,15 @@ def shrunk_covariance(returns: DataFrame, least: int = 60) -> DataFrame:
     """(book, a, b, cov): the covariance of the names of each book, shrunk to a scaled identity as far as its noise says.
 
     ``returns`` has book, ticker, rn_desc and r. Names of fewer than ``least`` returns go; the others are taken to the
-    shortest. Means, products and the noise are sums over the places of the series, by joins on the place; what is left per
-    book are as many lines as it has pairs of names.
+    shortest. Products are those of blocks of the matrix; what is left per book are as many lines as it has pairs of names.
     """
     counted = returns.groupBy("book", "ticker").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     shortest = counted.groupBy("book").agg(F.min("n").alias("t"), F.count("*").alias("names")).where("names >= 3")
     used = returns.join(counted.select("book", "ticker"), ["book", "ticker"]).join(shortest, "book").where("rn_desc <= t")
     means = used.groupBy("book", "ticker").agg(F.avg("r").alias("m"))
     x = used.join(means, ["book", "ticker"]).select("book", "ticker", "rn_desc", "t", "names", (F.col("r") - F.col("m")).alias("x"))
-    right = x.select("book", "rn_desc", F.col("ticker").alias("b"), F.col("x").alias("y"))
-    raw = x.withColumnRenamed("ticker", "a").join(right, ["book", "rn_desc"]).groupBy("book", "a", "b").agg((F.sum(F.col("x") * F.col("y")) / F.max("t")).alias("s"))
+    half = pair_moments(x.select("book", "ticker", F.col("rn_desc").alias("place"), "x")).select("book", "a", "b", (F.col("sxy") / F.col("n")).alias("s"))
+    raw = half.unionByName(half.where("a <> b").select("book", F.col("b").alias("a"), F.col("a").alias("b"), "s"))
     size = x.groupBy("book", "rn_desc").agg(F.sum(F.col("x") * F.col("x")).alias("q"), F.max("t").alias("t"), F.max("names").alias("names"))
     size = size.groupBy("book").agg((F.sum(F.col("q") * F.col("q")) / F.max("t")).alias("fourth"), F.max("t").alias("t"), F.max("names").alias("names"))
     whole = raw.groupBy("book").agg(F.sum(F.col("s") * F.col("s")).alias("squares"), F.sum(F.when(F.col("a") == F.col("b"), F.col("s")).otherwise(0.0)).alias("trace"))

@@ -17,6 +17,7 @@ from tidemark.plans.technical import rounded
 from tidemark.sources import files
 from tidemark.sources import tables as T
 from tidemark.sources.shared import checkpointed, removed, scratch
+from tidemark.sources.store import KeyedStore
 from tidemark.streaming import events as S
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -285,13 +286,14 @@ def snk07(spark, sf_dir):
     SELECT run_id, CAST(place AS INTEGER) AS place, ticker, price FROM (
         SELECT 'run-1' AS run_id, 2 AS place, ticker, prev AS price FROM t_quotes UNION ALL SELECT 'run-2', 1, ticker, price FROM t_quotes)""")
 def snk01(spark, sf_dir):
-    """Two runs of a report written to the store and read back, each with its place in the index, the newest first."""
-    store = scratch(spark, "reports")
+    """Two runs of a report written to the store, the first one twice, and read back, each with its place in the index, the
+    newest first."""
+    store = KeyedStore(spark, scratch(spark, "reports"), "run_id string, ticker string, price double", ["run_id", "ticker"])
     quotes = T.quotes(spark, sf_dir)
-    for run, price in (("run-1", "prev"), ("run-2", "price")):
-        files.write_report(quotes.select("ticker", F.col(price).alias("price")), store, run)
-    lines = files.reports(spark, store, "ticker string, price double")
-    return settled(spark, lines.join(files.report_index(lines).select("run_id", "place"), "run_id").select("run_id", "place", "ticker", "price"), store)
+    for run, price in (("run-1", "prev"), ("run-1", "prev"), ("run-2", "price")):
+        store.upsert(quotes.select(F.lit(run).alias("run_id"), "ticker", F.col(price).alias("price")), "ticker")
+    lines = store.read()
+    return settled(spark, lines.join(files.report_index(lines).select("run_id", "place"), "run_id").select("run_id", "place", "ticker", "price"), store.folder)
 
 
 @register("snk10_backtest_results", technical.BACKTEST_JSON)
@@ -307,10 +309,12 @@ def snk10(spark, sf_dir):
 @register("snk08_watchlist_store", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer WHERE c_custkey % 7 <> 0")
 def snk08(spark, sf_dir):
     """Updates by id win over what is stored, deleted ids go."""
-    stored = T.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit(0).alias("seq"))
-    updates = stored.where("c_custkey % 3 = 0").select("c_custkey", F.upper("name").alias("name"), F.lit(1).alias("seq"))
-    deleted = stored.where("c_custkey % 7 = 0").select("c_custkey")
-    return files.upsert(stored, updates, "c_custkey").join(deleted, "c_custkey", "left_anti").select("c_custkey", "name")
+    stored = T.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    store = KeyedStore(spark, scratch(spark, "watchlist"), "c_custkey long, name string", ["c_custkey"])
+    store.upsert(stored, "c_custkey")
+    store.upsert(stored.where("c_custkey % 3 = 0").select("c_custkey", F.upper("name").alias("name")), "c_custkey", deleted=stored.where("c_custkey % 7 = 0 AND c_custkey % 3 <> 0").select("c_custkey"))
+    store.upsert(stored.limit(0), "c_custkey", deleted=stored.where("c_custkey % 21 = 0").select("c_custkey"))
+    return settled(spark, store.read(), store.folder)
 
 
 @register("snk09_settings_merge", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'USD' END AS base, '5' AS depth FROM nation")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import html_tables as H
 from tidemark.functions import numeric, text
 from tidemark.operators import requests as R
 from tidemark.plans.sql import define, twin
 from tidemark.plans.technical import rounded
 from tidemark.sources import tables as T
+from tidemark.sources.shared import checkpointed, removed, scratch
 from tidemark.streaming import events as S
 from tidemark.streaming import state as K
 
@@ -210,6 +212,34 @@ def src19(spark, sf_dir):
     return T.read(spark, sf_dir, "pages").select("page_id", F.size(cells).alias("n"), F.get(cells, F.lit(0)).alias("first"))
 
 
+@register("src19_constituents", """
+    SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY c_custkey) - 1 AS INTEGER) AS ord, lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(4, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') || '.HK' AS symbol
+    FROM (SELECT c_custkey, c_custkey // 200 AS page, count(*) OVER (PARTITION BY c_custkey // 200) AS n FROM customer) WHERE n >= 10 AND length(CAST(c_custkey AS VARCHAR)) <= 5""")
+def src19_constituents(spark, sf_dir):
+    """Customers written as pages of HTML tables, a table of too few codes first, and their symbols read back."""
+    c = T.read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 200).alias("page"), "c_custkey", "c_name", "c_nationkey")
+    line = F.concat(F.lit("<tr><td>"), text.html_escaped(F.col("c_name")), F.lit("<td> SEHK:&nbsp;"), F.col("c_custkey"), F.lit("<td>"), F.col("c_nationkey"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda x: x["line"]), "\n")
+    few = F.lit("<h1>Index</h1><table><tr><th>Code<th>Change<tr><td>12<td>added<tr><td>13<td>gone</table>")
+    head = F.lit("<table class=wide><thead><tr><th rowspan=2>Company<th colspan=2>Listing<tr><th>Ticker symbol<th>Nation</thead><tbody>")
+    pages = c.groupBy("page").agg(F.concat(few, head, body, F.lit("</tbody></table>")).alias("html"))
+    digits = F.regexp_replace("cell", r"[^0-9]", "")
+    symbol = F.when(F.length(digits).between(1, 5), F.concat(F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")), F.lit(".HK")))
+    return H.constituents(H.cells(pages), ["page"], ("symbol", "code"), symbol)
+
+
+@register("udt01_html_tables", """
+    SELECT page_id, CAST(k - 1 AS INTEGER) AS row, 'Link' AS header, trim(regexp_replace(a[k], '\\s+', ' ', 'g')) AS cell
+    FROM (SELECT page_id, a, unnest(range(1, len(a) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS a FROM pages))""")
+def udt01_tables(spark, sf_dir):
+    """The lists of all pages as tables without end tags, by lateral join to the rows of their tables."""
+    html = F.col("html")
+    for old, new in (("<ul>", "<table><tr><th>Link"), ("<li>", "<tr><td>"), ("</li>", ""), ("</ul>", "</table>")):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    found = H.cells(T.read(spark, sf_dir, "pages").select("page_id", html.alias("html")))
+    return found.select("page_id", "row", "header", "cell")
+
+
 @register("flt28_lens_gating", "SELECT n_nationkey, n_regionkey IN (0, 1) OR n_nationkey % 5 = 0 AS enabled FROM nation")
 def flt28(spark, sf_dir):
     feeds = F.array(F.col("n_regionkey") == 0, F.col("n_regionkey") == 1, F.col("n_nationkey") % 5 == 0)
@@ -249,12 +279,22 @@ def jon20(spark, sf_dir):
     return t.select("ticker").join(curated, "ticker", "left").select("ticker", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
-@register("snk03_snapshot_upsert", "SELECT user_id, event_id, round(value, 4) AS value FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+@register("snk03_snapshot_upsert", "SELECT user_id, CAST(ts AS DATE) AS day, max(event_id) AS event_id, round(arg_max(value, event_id), 4) AS value FROM events GROUP BY ALL")
 def snk03(spark, sf_dir):
-    from tidemark.sources import files
-
-    e = T.read(spark, sf_dir, "events").select("user_id", "event_id", "value", F.col("event_id").alias("seq"))
-    return rounded(files.upsert(e.where("event_id < 0"), e, "user_id").select("user_id", "event_id", "value"), 4)
+    """A snapshot for each user and day in a store that three runs write one after the other, the second one twice."""
+    from tidemark.sources.store import KeyedStore
+
+    e = T.read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "value")
+    bounds = e.agg(F.min("event_id"), F.max("event_id")).first()
+    store = KeyedStore(spark, scratch(spark, "snapshots"), "user_id long, day date, event_id long, value double", ["user_id", "day"])
+    if bounds[0] is None:
+        return store.read()
+    width = (bounds[1] - bounds[0]) // 3 + 1
+    for run in (0, 1, 1, 2):
+        store.upsert(e.where(F.floor((F.col("event_id") - bounds[0]) / width) == run), "event_id")
+    out = checkpointed(store.read())
+    removed(spark, store.folder)
+    return rounded(out, 4)
 
 
 @register("snk05_portfolio_subtotals", "SELECT currency, CAST(CASE WHEN ticker IS NULL THEN 1 ELSE 0 END AS INTEGER) AS ord, coalesce(ticker, 'total') || ' | ' || format('{:,.2f}', q) || ' | ' || format('{:,.2f}', cost) AS line FROM (SELECT currency, ticker, sum(quantity) AS q, round(sum(quantity * cost_price), 2) AS cost FROM t_holdings GROUP BY GROUPING SETS ((currency, ticker), (currency)))")
