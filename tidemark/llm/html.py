@@ -2,7 +2,8 @@
 
 A page is a sequence of tags and blocks of words. Words score by what stands around them, tags cost; both weights come from
 labelled pages. One linear scan finds the contiguous stretch of the page with the largest sum, without any bound on what a
-block or a tag may add or take away.
+block or a tag may add or take away. Whether a block is a menu or a footer that nothing marks is learned from the share of
+links in it and in the list or container around it, from runs of short blocks and from lines about rights.
 
 Two things are named steps of their own, before the scan. *Asides* are the elements that are no part of an article by their
 tag, or by a class, id or role that names one: menus, headers, footers, sidebars, notices, adverts, forms, comments. And the
@@ -25,14 +26,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common, html_labelled
 
-#: Fixed values of HTML: elements without an end tag, elements inside a line, elements whose content is no text.
+#: Fixed values of HTML: elements without an end tag, elements that begin and end a line (all others stand within one),
+#: elements whose content is no text, and those of them in which nothing is markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = frozenset("script style template noscript svg canvas iframe object select textarea head title math audio video".split())
+BLOCK_TAGS = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav "
+    "ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
+)
+HIDDEN = frozenset("script style template noscript svg canvas iframe object select textarea head title audio video annotation annotation-xml datalist".split())
 RAW = frozenset("script style textarea title".split())
 #: Elements that stand beside an article whatever their class, those that may be asides by their class, and those whose end tag may be left out.
 SIDE_TAGS = frozenset("nav footer aside menu dialog".split())
-CUT_TAGS = frozenset("form button fieldset".split())
+CUT_TAGS = frozenset("form fieldset".split())
 CONTAINERS = frozenset("div section article aside nav header footer ul ol dl table tbody tr td form fieldset figure details center".split())
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd td".split())
 OPTIONAL_END = frozenset("p li dt dd tr td th option".split())
@@ -45,11 +50,18 @@ CUT_WORDS = frozenset(
     "related recommended recommendations trending popular newsletter subscribe subscription signup login form skip".split()
 )
 MAIN_WORDS = frozenset("article articlebody post postbody story storybody entry content contents maincontent prose body text main".split())
+#: Those words that name an advert, and how a line about rights begins.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+RIGHTS = re.compile(r"(?:©|\(c\) *\d{4}|copyright\b)|.*\ball rights reserved\b", re.I)
 #: Words that say nothing of the kind of an element, and words before a name that make it a state of the page.
 NEUTRAL = frozenset("box area left right inner outer wrapper wrap container list block section bar group item top bottom content contents body text main title link links s id js".split())
 STATES = frozenset("has have with no without is hide show not".split())
-FEATURES = ("side_tag", "side_word", "main_tag", "main_word", "beyond", "prose", "link", "long", "constant")
-NO, SIDE, COMMENT, CUT, MAIN = range(5)
+FEATURES = ("side_tag", "side_word", "main_tag", "main_word", "beyond", "prose", "link", "long", "links_around", "short_run", "rights", "constant")
+#: A block of so many words is long; of at most so many it is short; so many short ones in a row are a list of names.
+LONG, SHORT, RUN = 12, 5, 3
+#: An article with a link that has less than this share of the words of the page's longest is a teaser.
+TEASER = 0.25
+NO, SIDE, COMMENT, CUT, MAIN, ADVERT = range(6)
 
 _NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
 _ATTRIBUTES = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+>""")
@@ -77,7 +89,7 @@ def token_kind(token: str) -> int:
 @lru_cache(maxsize=20_000)
 def element_kind(tag: str, attributes: str) -> int:
     """NO, SIDE, COMMENT, CUT or MAIN from an element's tag, classes, id and role. A token that names the article
-    outweighs others; only containers can be asides by a token, and paragraphs by one of an advert or a notice."""
+    outweighs others; only containers can be asides by a token, and paragraphs by one of an advert (ADVERT) or a notice."""
     named = {token_kind(t) for m in _NAMES.finditer(attributes) for t in (m[2] or m[3] or m[4] or "").split()} if "=" in attributes else set()
     if tag in ("html", "body", "main"):
         return MAIN if tag == "main" else NO
@@ -86,7 +98,8 @@ def element_kind(tag: str, attributes: str) -> int:
     if tag in SIDE_TAGS or tag in CUT_TAGS:
         return SIDE if tag in SIDE_TAGS else CUT
     if tag not in CONTAINERS:
-        return CUT if named == {CUT} else NO
+        advert = any(w.lower() in ADVERT_WORDS for m in _NAMES.finditer(attributes) for w in _PIECES.findall(m[2] or m[3] or m[4] or "")) if named == {CUT} else False
+        return ADVERT if advert else CUT if named == {CUT} else NO
     if MAIN in named:
         return MAIN
     if tag == "header":
@@ -102,6 +115,7 @@ class Block:
     words: int
     element: int
     linked: bool
+    link_chars: int
     block_tags: int
     inline_tags: int
     features: tuple[float, ...] = ()
@@ -124,7 +138,14 @@ def parse(page: str) -> Page:
     stack, depths, text = [0], [0], []
     opened: dict[str, int] = {}
     block_tags = inline_tags = linked = links = 0
-    skip, at, size = "", 0, len(page)
+    skip, nested, muted, at, size = "", 0, False, 0, len(page)
+    last_end: dict[str, int] = {}
+
+    def ends_later(name: str) -> bool:
+        """Whether an end tag of the name is still to come; without one an element hides nothing."""
+        if name not in last_end:
+            last_end[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}(?![a-z0-9-])", page, re.I)), default=-1)
+        return last_end[name] >= at
 
     def close() -> None:
         nonlocal block_tags, inline_tags, linked
@@ -133,12 +154,14 @@ def parse(page: str) -> Page:
             text.clear()
             if words:
                 joined = " ".join(words)
-                out.blocks.append(Block(joined, len(words), stack[-1], 2 * linked > len(joined), block_tags, inline_tags))
+                out.blocks.append(Block(joined, len(words), stack[-1], 2 * linked > len(joined), linked, block_tags, inline_tags))
                 block_tags = inline_tags = 0
         linked = 0
 
     def heard(raw: str) -> None:
         nonlocal linked
+        if muted:
+            return
         decoded = entities.unescape(raw) if "&" in raw else raw
         text.append(decoded)
         if links:
@@ -191,27 +214,36 @@ def parse(page: str) -> Page:
             near = whole.end() - 1
         attributes, at, ending = page[named.end() : near], near + 1, page[lt + 1] == "/"
         if skip:
-            skip = "" if ending and name == skip else skip
+            if name == skip and not (attributes.endswith("/") and not ending):
+                nested += -1 if ending else 1
+                skip = skip if nested else ""
             continue
         if name == "br":
             text.append(" ")
             continue
-        if name in INLINE:
+        if name in HIDDEN and not ending:
+            if name in BLOCK_TAGS:
+                close()
+                block_tags += 1
+            if name in RAW:  # nothing in them is markup
+                end = re.compile(rf"</{name}\s*+>", re.I).search(page, at)
+                at = end.end() if end else size if name != "textarea" else at
+            elif not attributes.endswith("/") and ends_later(name):
+                skip, nested = name, 1
+            continue
+        if name not in BLOCK_TAGS:
             inline_tags += 1
             if name == "a":
                 links = max(depths[-1], links - 1) if ending else links + 1
+            elif name == "button":  # what is on it is part of a form
+                muted = not ending
             continue
         close()
+        muted = False
         block_tags += 1
         if ending:
             if opened.get(name):
                 leave(name, frozenset())
-        elif name in HIDDEN:
-            if name in RAW:  # nothing in them is markup
-                end = re.compile(rf"</{name}\s*+>", re.I).search(page, at)
-                at = end.end() if end else size
-            elif not attributes.endswith("/"):
-                skip = name
         elif name not in VOID and not attributes.endswith("/"):
             if name in OPTIONAL_END and opened.get(name):
                 leave(name, STOPS)
@@ -236,46 +268,71 @@ def _judge(page: Page) -> None:
     n = len(page.tags)
     kinds, parents = page.kinds, page.parents
     words, holds = [0] * n, [False] * n
+    chars, linked = [0] * n, [0] * n
     for b in page.blocks:
         words[b.element] += b.words
+        chars[b.element] += len(b.text)
+        linked[b.element] += b.link_chars
     for e in range(n - 1, 0, -1):
         words[parents[e]] += words[e]
+        chars[parents[e]] += chars[e]
+        linked[parents[e]] += linked[e]
         holds[parents[e]] |= holds[e] or (kinds[e] == MAIN and page.tags[e] in ("article", "main"))
     marks = [0] * n  # elements marked as the article in and below an element
     for e in range(n - 1, 0, -1):
         marks[e] += kinds[e] == MAIN
         marks[parents[e]] += marks[e]
+    longest = max((words[e] for e in range(n) if page.tags[e] == "article"), default=0)
+    teaser = [page.tags[e] == "article" and linked[e] > 0 and words[e] < TEASER * longest for e in range(n)]
+    around = [0] * n  # the nearest list, table or container of an element
     level, tag_marked, word_marked, prose = [NO] * n, [False] * n, [False] * n, [False] * n
     tagged, worded = holds[0], False
     for e in range(1, n):
         up, kind, tag = parents[e], kinds[e], page.tags[e]
         large = words[e] > words[0] * (0.5 if tag == "form" else 0.9) and marks[0] == marks[e]
         wrapper = kind in (SIDE, CUT) and tag not in SIDE_TAGS and (holds[e] or large)
-        own = NO if wrapper or kind == MAIN else kind
+        own = NO if wrapper or kind == MAIN else CUT if kind == ADVERT else kind
+        # Within the article a paragraph is cut by its class only if that names an advert.
+        if kind == CUT and tag not in CONTAINERS and tag not in CUT_TAGS and (tag_marked[up] or word_marked[up]):
+            own = NO
         # The header of an article is part of it.
         if tag == "header" and own == SIDE and (tag_marked[up] or word_marked[up]):
             own = NO
+        around[e] = e if tag in CONTAINERS or tag in SIDE_TAGS else around[up]
         prose[e] = tag in PROSE_TAGS or (tag not in CONTAINERS and prose[up])
         level[e] = level[up] or own
-        tag_marked[e] = tag_marked[up] or (kind == MAIN and tag in ("article", "main") and not level[e])
+        tag_marked[e] = not teaser[e] and (tag_marked[up] or (kind == MAIN and tag in ("article", "main") and not level[e]))
         word_marked[e] = word_marked[up] or (kind == MAIN and not level[e])
         worded = worded or word_marked[e]
     inner = any(tag_marked[e] and page.tags[e] == "article" for e in range(n))
     if inner:  # of main and article the article is meant
         tag_marked = [False] * n
         for e in range(1, n):
-            tag_marked[e] = tag_marked[parents[e]] or (kinds[e] == MAIN and page.tags[e] == "article" and not level[e])
+            tag_marked[e] = not teaser[e] and (tag_marked[parents[e]] or (kinds[e] == MAIN and page.tags[e] == "article" and not level[e]))
     tagged = tagged and any(tag_marked)
-    for b in page.blocks:
+    run = _short_runs([b.words for b in page.blocks])
+    for b, short in zip(page.blocks, run, strict=True):
         e = b.element
         inside = tag_marked[e] if tagged else word_marked[e]
         b.cut = level[e] == CUT or (inside and level[e] != NO)
+        box = around[e]
         b.features = tuple(map(float, (
             level[e] == SIDE or level[e] == CUT, level[e] == COMMENT, inside and tagged, inside and not tagged, (tagged or worded) and not inside,
-            prose[e], b.linked, b.words >= 12, 1,
+            prose[e], b.linked, b.words >= LONG, not inside and 2 * linked[box] > chars[box], not inside and short, not inside and b.words <= 3 * LONG and RIGHTS.match(b.text) is not None, 1,
         )))
 
 
+def _short_runs(words: list[int]) -> list[bool]:
+    """Whether each block is one of at least RUN short ones in a row."""
+    out, begin = [False] * len(words), 0
+    for i in range(len(words) + 1):
+        if i == len(words) or words[i] > SHORT:
+            if i - begin >= RUN:
+                out[begin:i] = [True] * (i - begin)
+            begin = i + 1
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with their features."""
     return parse(page).blocks
@@ -315,11 +372,14 @@ def learn(pages=None, *, ridge: float = 0.5, rounds: int = 50) -> Weights:
 
 
 def scores(found: list[Block], weights: Weights) -> np.ndarray:
-    """What the tags before each block and its words add: tags and words by turns. What is cut out adds nothing."""
+    """What the tags before each block and its words add: tags and words by turns. What is cut out adds nothing, nor do the
+    tags before a block of the marked part."""
     if not found:
         return np.zeros(0)
     words = np.array([b.features for b in found]) @ np.array(weights.word) * [b.words for b in found]
     tags = np.array([(b.block_tags, b.inline_tags) for b in found]) @ np.array([weights.block_tag, weights.inline_tag])
+    # Tags are no sign against a part that the page itself calls its article.
+    tags = tags * np.array([not (b.features[FEATURES.index("main_tag")] or b.features[FEATURES.index("main_word")]) for b in found])
     return (np.stack([tags, words], axis=1) * np.array([[not b.cut] for b in found])).ravel()
 
 
@@ -357,7 +417,9 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of each page; the text is empty where nothing scores above zero.
 
     * a null html counts as empty; null ids and urls are kept; repeated rows stay repeated;
-    * broken markup: end tags without a start are ignored, open elements end with the page, unknown tags are blocks;
+    * broken markup: end tags without a start are ignored, open elements end with the page, unknown tags stand within a line;
+    * elements within a line (maths, ruby, pictures too) belong to their block; scripts, drawings, frames and what is on a
+      button are left out without ending it;
     * pages of any length take time in proportion to it; of stretches of equal sum the first counts;
     * an empty table gives an empty result; further columns are ignored.
     """

@@ -7,6 +7,7 @@ after it, and what interrupts it. Words are invented from syllables, so that onl
 from __future__ import annotations
 
 import random
+import re
 
 _SYLLABLES = ("ba", "ri", "to", "len", "mu", "sa", "ke", "vor", "ni", "pal", "dro", "shi", "em", "ulo", "cha", "wi")
 #: How an article may be marked: before it, after it. The last ones are not marked at all.
@@ -56,6 +57,8 @@ def _aside(rng: random.Random, kind: str) -> str:
         "advert": rng.choice((f'<div class="ad">{_words(rng, 4, 25)}</div>', f'<div class="advert-box">{said}</div>', f'<div class="sponsored">{much}</div>')),
         "form": f'<form action="/join"><label>{_words(rng, 1, 3)}</label><input name="e">{said}<button>{_words(rng, 1, 1)}</button></form>',
         "unmarked": rng.choice((much, f"<div>{much}</div>", f"<div>{_words(rng, 2, 12)}</div>")),
+        "bare_menu": rng.choice((f"<ul>{links}</ul>", f"<div>{' '.join(re.findall('<a.*?</a>', links))}</div>", f"<table><tr>{links.replace('li>', 'td>')}</tr></table>", f"<div><p>{_words(rng, 1, 3)}</p><ul>{links}</ul></div>")),
+        "bare_footer": rng.choice((f"<p>© 2024 {_words(rng, 2, 10)}.</p>", f"<div>Copyright {_words(rng, 2, 8)}. All rights reserved.</div>", f"<div><ul>{links}</ul><p>© {_words(rng, 1, 5)}</p></div>", f"<p>{_words(rng, 1, 3)}. All rights reserved.</p>")),
         "comments": rng.choice((f'<section id="comments"><h3>{_words(rng, 1, 2)}</h3><div class="comment">{much}</div></section>', f'<div class="comments-area"><article class="comment-body">{much}</article></div>')),
     }[kind]
 
@@ -68,6 +71,10 @@ def _page(rng: random.Random, frame: int) -> list[tuple[bool, str]]:
     if frame < _MARKED and rng.random() < 0.5:
         before, after = rng.choice(((_aside(rng, "unmarked") + before, after), (before, _aside(rng, "unmarked") + after), (before, after + _aside(rng, "unmarked"))))
     parts = [(False, f"<!DOCTYPE html><html><head><title>{_words(rng, 1, 4)}</title><style>p{{}}</style></head>{body}{before}{opening}")]
+    if rng.random() < 0.5:
+        before += _aside(rng, "bare_menu")
+    if rng.random() < 0.5:
+        after += rng.choice(("", _aside(rng, "bare_menu"))) + _aside(rng, "bare_footer")
     plain = frame >= _MARKED and rng.random() < 0.5
     if not plain and rng.random() < 0.8:
         parts.append((True, f"<h1>{_words(rng, 1, 8)}</h1>"))
