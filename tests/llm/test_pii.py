@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 from collections import defaultdict
 
@@ -13,14 +14,15 @@ from tidemark.llm import pii, queries
 
 
 def plain_scores(edges, rounds=3, trust=0.8, prior=1.0):
+    """edges: (context, instance, belief, neutral)."""
     belief = defaultdict(float)
-    graph = defaultdict(set)
-    for context, instance, b in edges:
+    graph = defaultdict(dict)
+    for context, instance, b, neutral in edges:
         belief[instance] = max(belief[instance], b)
-        graph[context].add(instance)
+        graph[context][instance] = graph[context].get(instance, False) or neutral
     score, standing = dict.fromkeys(belief, 0.0), dict(belief)
     for _ in range(rounds):
-        worth = {c: sum(standing[i] for i in of) / (len(of) + prior) for c, of in graph.items()}
+        worth = {c: sum(standing[i] for i in of) / (sum(standing[i] if neutral else 1 for i, neutral in of.items()) + prior) for c, of in graph.items()}
         wrong = dict.fromkeys(belief, 1.0)
         for c, of in graph.items():
             if worth[c] >= trust:
@@ -31,19 +33,26 @@ def plain_scores(edges, rounds=3, trust=0.8, prior=1.0):
     return {i: s for i, s in score.items() if belief[i] < 1}
 
 
-def plain_found(texts):
-    """What the whole method adds to each text."""
-    edges, seen = [], []
+def plain_found(texts, keys=True):
+    """What the whole method adds to each text, and how much of it is no seed."""
+    edges, seen, lefts = [], [], defaultdict(set)
     for n, text in enumerate(texts):
         for a, b, belief in pii.met(text or "")[1]:
-            edges += [(p, text[a:b].lower(), belief) for p in pii.patterns(text, a, b)]
+            token, (left, *others) = text[a:b].lower(), pii.patterns(text, a, b)
+            edges += [(left, token, belief, False), *((p, token, belief, any(c == "@" or c.isalpha() for c in token)) for p in others)]
             seen.append((n, a, b, belief))
-    scores = plain_scores(edges)
-    found = defaultdict(set)
+            if belief < 1 and pii.key_like(text[a:b]):
+                lefts[left].add(token)
+    families = sorted((c for c in lefts if len(lefts[c]) >= pii.LEAST_SEEDS), key=lambda c: (-len(lefts[c]), pii._number(c)))[: pii.FAMILIES]
+    seeds = {t for c in families for t in sorted(lefts[c], key=pii._number)[: pii.SEEDS]} if keys else set()
+    scores = plain_scores([(c, i, max(b, pii.KEY_BELIEF) if i in seeds else b, neutral) for c, i, b, neutral in edges])
+    found, new = defaultdict(set), defaultdict(set)
     for n, a, b, belief in seen:
         if belief < 1 and scores[texts[n][a:b].lower()] >= 0.8:
             found[n].add((a, b))
-    return [sorted(found[n]) for n in range(len(texts))]
+            if texts[n][a:b].lower() not in seeds:
+                new[n].add((a, b))
+    return [sorted(found[n]) for n in range(len(texts))], [len(new[n]) for n in range(len(texts))]
 
 
 def test_scores_of_the_graph(spark):
@@ -51,7 +60,7 @@ def test_scores_of_the_graph(spark):
     edges = [(c, i, {0: 1.0, 1: 0.9}.get(i % 4, 0.0)) for c in range(40) for i in (rng.sample(range(120), rng.randint(1, 25)) if c % 2 else rng.sample(range(0, 120, 4), rng.randint(1, 25)) + [c])]
     df = spark.createDataFrame([(c, i, b) for c, i, b in edges + edges[:50]], "context long, instance long, belief double")
     got = {r["instance"]: r["score"] for r in pii.confident(df).collect()}
-    assert got == pytest.approx(plain_scores(edges)) and any(s > 0 for s in got.values()) and any(s == 0 for s in got.values())
+    assert got == pytest.approx(plain_scores([(*e, False) for e in edges])) and any(s > 0 for s in got.values()) and any(s == 0 for s in got.values())
     assert pii.confident(df.limit(0)).count() == 0
 
 
@@ -83,7 +92,8 @@ def test_unseen_identifiers_are_found_and_others_left_alone(spark):
     texts, secrets = corpus()
     texts += [None, "", texts[0]]
     got = {r["doc_id"]: r for r in pii.spans(docs_of(spark, texts, extra=True)).collect()}
-    wanted = plain_found(texts)
+    wanted, new = plain_found(texts)
+    assert [got[i]["discovered"] for i in range(len(texts))] == new and sum(new) >= len(secrets) - pii.SEEDS
     assert [[(s["start"], s["end"]) for s in got[i]["found"]] for i in range(len(texts))] == wanted
     assert {i: [texts[i][a:b] for a, b in w] for i, w in enumerate(wanted) if w} == {i: [s] for i, s in (secrets | {402: secrets[0]}).items()}
     masked = {r["doc_id"]: r["text"] for r in pii.masked(docs_of(spark, texts)).collect()}
@@ -124,11 +134,40 @@ def test_the_registered_query(spark, tmp_path):
     texts += [None, "4111 1111 1111 1111 and 1.2.3.4, +1 (017) 555-7713"]
     docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     wanted = {}
-    for i, (text, found) in enumerate(zip(texts, plain_found(texts), strict=True)):
+    for i, (text, found, new) in enumerate(zip(texts, *plain_found(texts), strict=True)):
         base = plain_spans(text or "")
         names = [*pii.KINDS, "context"]
         line = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans))
         every = [*base, *((a, 4, b) for a, b in found)]
-        wanted[i] = (*(sum(k == n for _, k, _ in base) for n in range(4)), hashlib.sha256(line(base).encode()).hexdigest(), line(every), len(every))
+        wanted[i] = (*(sum(k == n for _, k, _ in base) for n in range(4)), hashlib.sha256(line(base).encode()).hexdigest(), line(every), len(every), new)
     got = queries.QUERIES["op4_contextual_pii"](spark, str(tmp_path))
     assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == wanted
+
+
+def test_seeds_of_fixed_patterns_alone(spark):
+    """Without the rule of keys: base spans teach the contexts in which tokens of other shapes are then discovered."""
+    rng = random.Random(3)
+    texts, planted = [], {}
+    for i in range(240):
+        who = f"user{i}@mail{i % 7}.example.com" if i % 3 else f"user{i}@intranet{i}" if i % 2 else "%040x" % rng.getrandbits(160)
+        texts.append(f'some words contact = "{who}" and {rng.randint(1000, 9999)} more, code x{i}y{rng.randint(100, 999)} here')
+        if i % 3 == 0:
+            planted[i] = who
+    got = {r["doc_id"]: r for r in pii.spans(docs_of(spark, texts), keys=False).collect()}
+    wanted, new = plain_found(texts, keys=False)
+    assert [[(s["start"], s["end"]) for s in got[i]["found"]] for i in range(len(texts))] == wanted and [got[i]["discovered"] for i in range(len(texts))] == new
+    found = {i: texts[i][a:b] for i, w in enumerate(wanted) for a, b in w}
+    assert set(found.items()) <= set(planted.items()) and len(found) >= 0.9 * len(planted)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_planted_tokens_of_the_tables(spark, sf):
+    """All planted tokens and nothing else; a bounded list of them are seeds, the others are discovered."""
+    folder = f"/root/testdata/{sf}"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    planted = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    got = pii.spans(spark.read.parquet(f"{folder}/documents.parquet")).where("size(found) > 0").collect()
+    assert {(r["doc_id"], s["start"], s["end"]) for r in got for s in r["found"]} == planted
+    seeds = sorted({texts[i][a:b] for i, a, b in planted}, key=pii._number)[: pii.SEEDS]
+    discovered = sum(texts[i][a:b] not in seeds for i, a, b in planted)
+    assert sum(r["discovered"] for r in got) == discovered > 0 and (sf == "sf0.01" or discovered > 0.9 * len(planted))

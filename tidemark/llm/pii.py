@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and bootstrapped contexts that find identifiers the patterns do not know.
 
-Matches of the fixed patterns are seeds, and so, with less belief, are long tokens that change often between letters and
-digits, as keys do. What stands around seeds and around other identifier-like tokens makes a graph of lexical patterns and
-instances. Spark scores it in rounds, and the instances met in patterns of high confidence are added: a key that no pattern
-confirms is not, and any token that stands where identifiers stand is, whatever its shape.
+Matches of the fixed patterns are seeds, and so are a few tokens that look like keys: at most ``SEEDS`` from each of the
+``FAMILIES`` left contexts in which most such tokens stand. What stands around seeds and around other identifier-like tokens
+makes a graph of lexical patterns and instances. Spark scores it in rounds, and the instances met in patterns of high
+confidence are added: any token that stands where identifiers stand is, whatever its shape, and a key-like one that is no
+seed and that no pattern reaches is not.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
@@ -21,8 +22,10 @@ from tidemark.llm import common
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that only their context gives away.
 FOUND = "context"
-#: The belief in a token that looks like a key, before its contexts are known.
+#: The belief in a seed that only looks like a key; so many of them are taken from each of so many contexts, and from those
+#: only that hold at least LEAST_SEEDS of them.
 KEY_BELIEF = 0.9
+SEEDS, FAMILIES, LEAST_SEEDS = 8, 4, 5
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match starts where a run of digits starts, and takes whole runs: so each digit is looked at once.
@@ -150,7 +153,7 @@ def _number(text: str) -> int:
 
 
 def met(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
-    """The base spans of a text, and (start, end, belief) of these and of all other candidates."""
+    """The base spans of a text, and (start, end, belief) of these and of all other candidates: 1 and 0."""
     if not _MARK.search(text):
         return [], []
     spans = base_spans(text)
@@ -161,21 +164,30 @@ def met(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, flo
         while b <= lo:
             a, b, _ = next(taken)
         if hi <= a:
-            found.append((lo, hi, KEY_BELIEF if key_like(text[lo:hi]) else 0.0))
+            found.append((lo, hi, 0.0))
     return spans, found
 
 
+def lettered(token: str) -> bool:
+    """Whether a token is no mere number: it holds a letter or an "@"."""
+    return "@" in token or any(map(str.isalpha, token))
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines (doc_id, key, base, seen): the base spans, and (start, end, instance, belief, contexts) of all candidates."""
+    """Lines (doc_id, key, base, seen): the base spans, and (start, end, instance, belief, key_like, lettered, contexts) of all
+    candidates."""
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    seen_kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("belief", pa.float64()), ("contexts", pa.list_(pa.int64()))])
+    flags = [(name, pa.bool_()) for name in ("key_like", "lettered")]
+    seen_kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("belief", pa.float64()), *flags, ("contexts", pa.list_(pa.int64()))])
     for batch in batches:
         base, seen = [], []
         for value in batch.column(2):
             text = value.as_py()
             spans, found = met(text)
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            seen.append([{"start": a, "end": b, "instance": _number(text[a:b].lower()), "belief": s, "contexts": list(map(_number, patterns(text, a, b)))} for a, b, s in found])
+            seen.append(
+                [{"start": a, "end": b, "instance": _number(text[a:b].lower()), "belief": s, "key_like": key_like(text[a:b]), "lettered": lettered(text[a:b]), "contexts": list(map(_number, patterns(text, a, b)))} for a, b, s in found]
+            )
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(span)), pa.array(seen, pa.list_(seen_kind))], ["doc_id", "key", "base", "seen"])
 
 
@@ -184,45 +196,73 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
+def key_seeds(edges: DataFrame) -> DataFrame:
+    """(instance) of the key-like tokens that are seeds, from (context, instance) of such tokens in their left contexts.
+
+    At most FAMILIES x SEEDS: of the contexts with most different ones (ties to the smaller hash) those of least hash.
+    """
+    distinct = edges.distinct()
+    families = distinct.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS).orderBy(F.desc("n"), "context").limit(FAMILIES)
+    inside = distinct.join(F.broadcast(families.select("context")), "context")
+    place = F.row_number().over(Window.partitionBy("context").orderBy("instance"))
+    # Spark keeps the first rows of each context only, before the shuffle too.
+    return inside.withColumn("place", place).where(F.col("place") <= SEEDS).select("instance").distinct()
+
+
 def confident(edges: DataFrame, *, rounds: int = 3, trust: float = 0.8, prior: float = 1.0) -> DataFrame:
-    """(instance, score) of the instances that are no base spans, from the graph (context, instance, belief).
+    """(instance, score) of the instances that are no base spans, from the graph (context, instance, belief, neutral).
 
-    A context is worth the summed standing of its distinct instances over their number and a prior. An instance scores the
-    chance that one of its contexts worth ``trust`` at least is right; it stands at that or at its belief, whichever is
-    more. Belief 1 is a base span and stays. The graph has each pair once, so a common instance or context is one line for
-    each of its different partners; sums are taken before the shuffle, and Spark splits what is still skewed.
+    A context is worth the summed standing of its distinct instances over that sum, the other instances and a prior; where
+    an edge is ``neutral`` (all are not, without that column) an instance without any standing is not counted. An instance
+    scores the chance that one of its contexts worth ``trust`` at least is right; it stands at that or at its belief,
+    whichever is more. Belief 1 is a base span and stays. The graph has each pair once, so a common instance or context is
+    one line for each of its different partners; sums are taken before the shuffle, and Spark splits what is still skewed.
     """
-    graph = common.checkpointed(edges.groupBy("context", "instance").agg(F.max("belief").alias("belief")))
+    neutral = F.col("neutral") if "neutral" in edges.columns else F.lit(False)
+    graph = common.checkpointed(edges.groupBy("context", "instance").agg(F.max("belief").alias("belief"), F.max(neutral).alias("neutral")))
     scores = graph.groupBy("instance").agg(F.max("belief").alias("belief")).withColumns({"score": F.lit(0.0), "standing": F.col("belief")})
     for _ in range(rounds):
-        worth = graph.select("context", "instance").join(scores.select("instance", "standing"), "instance")
-        worth = worth.groupBy("context").agg((F.sum("standing") / (F.count("*") + prior)).alias("worth")).where(F.col("worth") >= trust)
+        worth = graph.select("context", "instance", "neutral").join(scores.select("instance", "standing"), "instance")
+        # A neutral instance counts for as much as it stands at, any other for one.
+        weight = F.when(F.col("neutral"), F.col("standing")).otherwise(F.lit(1.0))
+        worth = worth.groupBy("context").agg((F.sum("standing") / (F.sum(weight) + prior)).alias("worth")).where(F.col("worth") >= trust)
         doubt = graph.where("belief < 1").join(worth, "context").groupBy("instance").agg(F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999))))).alias("doubt"))
         scores = scores.select("instance", "belief").join(doubt, "instance", "left").select("instance", "belief", (1 - F.coalesce("doubt", F.lit(1.0))).alias("score"))
         scores = common.checkpointed(scores.withColumn("standing", F.greatest("belief", "score")))
-    return scores.where("belief < 1").select("instance", "score")
+    return scores.where("belief < 1").select("instance", "score", "belief")
 
 
-def spans(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, accept: float = 0.8) -> DataFrame:
-    """(doc_id, key, base, found) for each row: spans array<struct<start, kind, end>> of code points, end exclusive.
+def spans(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, accept: float = 0.8, keys: bool = True) -> DataFrame:
+    """(doc_id, key, base, found, discovered) for each row: spans array<struct<start, kind, end>> of code points, end exclusive.
 
     ``base`` are the matches of the fixed patterns, ``kind`` numbers KINDS; ``found`` are other candidates whose score
-    reaches ``accept``. They never overlap base spans. ``key`` is the hash of the text.
+    reaches ``accept``, ``discovered`` how many of these are no seeds. Without ``keys`` only base spans are seeds. Spans
+    never overlap base spans. ``key`` is the hash of the text.
 
     * a null text counts as empty; a null doc_id is kept; repeated rows stay repeated and have the same spans;
     * texts and tokens of any length are searched whole, in time in proportion to their length;
     * equal scores are treated alike; an empty table gives an empty result; further columns are ignored.
     """
     common.ship(docs.sparkSession)
-    schema = "doc_id long, key long, base array<struct<start: bigint, kind: int, end: bigint>>, seen array<struct<start: bigint, end: bigint, instance: bigint, belief: double, contexts: array<bigint>>>"
-    rows = common.checkpointed(_keyed(docs).mapInArrow(_extract, schema))
+    seen_kind = "start: bigint, end: bigint, instance: bigint, belief: double, key_like: boolean, lettered: boolean, contexts: array<bigint>"
+    rows = common.checkpointed(_keyed(docs).mapInArrow(_extract, f"doc_id long, key long, base array<struct<start: bigint, kind: int, end: bigint>>, seen array<struct<{seen_kind}>>"))
     seen = rows.select("doc_id", "key", F.explode("seen").alias("s")).select("doc_id", "key", "s.*")
-    scores = confident(seen.select(F.explode("contexts").alias("context"), "instance", "belief"), rounds=rounds, trust=trust).where(F.col("score") >= accept)
-    met = seen.where("belief < 1").join(scores.select("instance"), "instance")
-    met = met.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("found"))
+    # The first context is the left one, whatever the shape; in the others, of one shape each, what is no number and no seed
+    # speaks neither for nor against.
+    edges = seen.select(F.posexplode("contexts").alias("place", "context"), "instance", "belief", "lettered")
+    edges = edges.select("context", "instance", "belief", ((F.col("place") > 0) & F.col("lettered")).alias("neutral"))
+    if keys:
+        seeds = key_seeds(seen.where("key_like AND belief < 1").select(F.get("contexts", F.lit(0)).alias("context"), "instance")).withColumnRenamed("instance", "seed")
+        edges = edges.join(F.broadcast(seeds), F.col("instance") == F.col("seed"), "left").withColumn("belief", F.when(F.col("seed").isNull(), F.col("belief")).otherwise(F.greatest("belief", F.lit(KEY_BELIEF)))).drop("seed")
+    scores = confident(edges, rounds=rounds, trust=trust).where(F.col("score") >= accept)
+    met = seen.where("belief < 1").join(scores.select("instance", (F.col("belief") == 0).alias("new")), "instance")
+    met = met.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "new"))).alias("found"))
     met = met.select(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key"), "found")
     same = rows.doc_id.eqNullSafe(met.of_doc) & (rows.key == met.of_key)
-    return rows.join(met, same, "left").select("doc_id", "key", "base", F.coalesce("found", F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>")).alias("found"))
+    plain = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    found = F.coalesce(plain, F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>")).alias("found")
+    discovered = F.coalesce(F.size(F.filter("found", lambda s: s["new"])), F.lit(0)).cast("long").alias("discovered")
+    return rows.join(met, same, "left").select("doc_id", "key", "base", found, F.when(F.col("found").isNull(), 0).otherwise(discovered).cast("long").alias("discovered"))
 
 
 def count_of(column: str, kind: int):

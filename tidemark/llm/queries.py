@@ -27,7 +27,7 @@ def op4_contextual_pii(spark, sf_dir):
     counts = [pii.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     base = F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256")
     every = F.concat("base", "found")
-    return found.select("doc_id", *counts, base, pii.as_text(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
+    return found.select("doc_id", *counts, base, pii.as_text(every).alias("spans"), F.size(every).cast("long").alias("n_spans"), F.col("discovered").alias("n_discovered"))
 
 
 def op5_host_reputation(spark, sf_dir):
