@@ -4,37 +4,30 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Shallow trees and slow steps, as many as still help on rows set aside. Trees of Spark have no ridge; small leaves are refused instead.
-DEPTH, STEP, MOST_TREES, SET_ASIDE, LEAST_GAIN, LEAST_LEAF = 4, 0.03, 600, 0.15, 5e-4, 20
+from tidemark.operators import boosting
+from tidemark.sources.shared import checkpointed
+
+MOST_TREES, SET_ASIDE = boosting.MOST_TREES, 0.15
 #: Rows of a bucket within which a feature is shuffled.
 SHUFFLED = 20_000
 
 
-def pipeline(features: list[str], most_trees: int = MOST_TREES) -> Pipeline:
-    """Missing features are imputed and flagged, since the trees know no missing values. Growing stops when the rows set
-    aside gain too little."""
-    filled = [f"{f}_filled" for f in features]
-    trees = GBTClassifier(labelCol="label", featuresCol="x", maxDepth=DEPTH, stepSize=STEP, maxIter=most_trees, minInstancesPerNode=LEAST_LEAF, validationIndicatorCol="aside", validationTol=LEAST_GAIN, seed=7)
-    return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=[*filled, *[f"{f}_missing" for f in features]], outputCol="x"), trees])
+def flagged(samples: DataFrame) -> DataFrame:
+    """Adds the label, and by a hash of ticker and day the rows set aside."""
+    aside = F.pmod(F.xxhash64("ticker", "d"), F.lit(1000)) < int(SET_ASIDE * 1000)
+    return samples.withColumns({"label": (F.col("rel") > 0).cast("double"), "aside": aside})
 
 
-def flagged(samples: DataFrame, features: list[str]) -> DataFrame:
-    """Adds flags of missing features, the label, and by a hash of ticker and day the rows set aside."""
-    aside = F.pmod(F.xxhash64("ticker", "d"), F.lit(1000)) < int(SET_ASIDE * 1000)
-    return samples.withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in features} | {"label": (F.col("rel") > 0).cast("double"), "aside": aside})
+def role(trained_on):
+    """What a row is to a model that is trained on the rows for which the condition holds."""
+    return F.when(~F.coalesce(trained_on, F.lit(False)), boosting.UNUSED).when(F.col("aside"), boosting.ASIDE).otherwise(boosting.TRAIN)
 
 
 def by_time(samples: DataFrame, parts: int = 6) -> DataFrame:
@@ -49,9 +42,37 @@ def usable(samples: DataFrame, features: Iterable[str], folds: int = 5) -> list[
     return [f for f in features if counts[f] >= 2]
 
 
-def probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Adds p, the probability of the label 1."""
-    return model.transform(rows).withColumn("p", vector_to_array("probability")[1])
+def auc(scored: DataFrame, by: str) -> DataFrame:
+    """(by, auc): the area under the curve of p for the label, ties counted by half; null where only one label is there.
+
+    Rows of equal p are one line; the lines of a fold are summed up in order of p.
+    """
+    lines = scored.groupBy(by, "p").agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros"))
+    below = F.sum("zeros").over(Window.partitionBy(by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    won = F.col("ones") * (F.coalesce(below, F.lit(0.0)) + F.col("zeros") / 2)
+    return lines.withColumn("won", won).groupBy(by).agg(F.try_divide(F.sum("won"), F.sum("ones") * F.sum("zeros")).alias("auc"))
+
+
+def fold_predictions(samples: DataFrame, features: list[str], folds: int = 5, most_trees: int = MOST_TREES) -> DataFrame:
+    """(fold, ticker, d, label, p, n_train) of the rows of each fold's part, by a model of the days before it. All folds grow
+    in the same passes over the rows."""
+    rows = checkpointed(by_time(flagged(samples), folds + 1))
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    models = boosting.fit(rows, features, "label", [role(F.col("part") < k) for k in range(2, folds + 2)], most_trees)
+    out = None
+    for k, model in zip(range(2, folds + 2), models, strict=True):
+        said = boosting.probability(model, rows.where(F.col("part") == k)).select(F.lit(k - 1).alias("fold"), "ticker", "d", "label", "p", F.lit(sum(n for part, n in sizes.items() if part < k)).cast("long").alias("n_train"))
+        out = said if out is None else out.unionByName(said)
+    return checkpointed(out)
+
+
+def metrics(predictions: DataFrame) -> DataFrame:
+    """(fold, n_train, n_test, accuracy, auc) of predictions; fold 0 has the means."""
+    right = F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double"))
+    each = predictions.groupBy("fold").agg(F.max("n_train").alias("n_train"), F.count("*").alias("n_test"), right.alias("accuracy"))
+    each = each.join(auc(predictions, "fold"), "fold")
+    mean = each.agg(F.lit(0).alias("fold"), F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"), F.avg("accuracy").alias("accuracy"), F.avg("auc").alias("auc"))
+    return each.unionByName(mean)
 
 
 def validate(samples: DataFrame, features: list[str], folds: int = 5, most_trees: int = MOST_TREES) -> DataFrame:
@@ -59,25 +80,7 @@ def validate(samples: DataFrame, features: list[str], folds: int = 5, most_trees
 
     The area under the curve is null where only one label is there.
     """
-    rows = by_time(flagged(samples, features), folds + 1).persist()
-    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
-
-    def fold(k: int) -> tuple:
-        model = pipeline(features, most_trees).fit(rows.where(F.col("part") < k))
-        scored = probability(model, rows.where(F.col("part") == k)).select("p", "label", "rawPrediction").persist()
-        right = F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double"))
-        n_test, accuracy, labels = scored.agg(F.count("*"), right, F.countDistinct("label")).first()
-        auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored) if labels > 1 else None
-        scored.unpersist()
-        return k - 1, sum(n for part, n in sizes.items() if part < k), n_test, accuracy, auc
-
-    # The folds know nothing of each other: their jobs run side by side.
-    with ThreadPoolExecutor(folds) as pool:
-        lines = list(pool.map(fold, range(2, folds + 2)))
-    rows.unpersist()
-    known = [x[4] for x in lines if x[4] is not None]
-    mean = (0, sum(x[1] for x in lines), sum(x[2] for x in lines), float(np.mean([x[3] for x in lines])), float(np.mean(known)) if known else None)
-    return samples.sparkSession.createDataFrame([mean, *lines], "fold int, n_train long, n_test long, accuracy double, auc double")
+    return metrics(fold_predictions(samples, features, folds, most_trees))
 
 
 def importances(samples: DataFrame, features: list[str], most_trees: int = MOST_TREES) -> dict[str, float]:
@@ -85,21 +88,19 @@ def importances(samples: DataFrame, features: list[str], most_trees: int = MOST_
 
     Values are shuffled within buckets of rows, so no task holds a whole column.
     """
-    rows = by_time(flagged(samples, features), 5)
-    model = pipeline(features, most_trees).fit(rows.where("part < 5"))
-    test = rows.where("part = 5").select("ticker", "d", "label", *features, *[f"{f}_missing" for f in features]).persist()
+    rows = checkpointed(by_time(flagged(samples), 5))
+    (model,) = boosting.fit(rows, features, "label", [role(F.col("part") < 5)], most_trees)
+    test = rows.where("part = 5").select("ticker", "d", "label", *features).persist()
     buckets = max(1, test.count() // SHUFFLED)
 
     def accuracy(frame: DataFrame) -> float:
-        return probability(model, frame).agg(F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double"))).first()[0] or 0.0
+        return boosting.probability(model, frame).agg(F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double"))).first()[0] or 0.0
 
     def shuffled(feature: str):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["ticker", "d"]).reset_index(drop=True)
             order = np.random.default_rng(len(frame)).permutation(len(frame))
-            for c in (feature, f"{feature}_missing"):
-                frame[c] = frame[c].to_numpy()[order]
-            return frame
+            return frame.assign(**{feature: frame[feature].to_numpy()[order]})
 
         return run
 
@@ -115,7 +116,7 @@ def importances(samples: DataFrame, features: list[str], most_trees: int = MOST_
 class Artifact:
     """A fitted model with what belongs to it."""
 
-    model: PipelineModel
+    model: boosting.Forest
     features: list[str]
     metrics: dict[str, float | None] = field(default_factory=dict)
     importances: dict[str, float] = field(default_factory=dict)
@@ -125,17 +126,18 @@ class Artifact:
 def train(samples: DataFrame, features: list[str], *, label: str = "", report: bool = True, most_trees: int = MOST_TREES) -> Artifact:
     """A model of all samples, with the means of its folds and its importances if they are asked for."""
     features = usable(samples, features)
-    metrics, weights = {}, {}
+    said, weights = {}, {}
     if report:
         mean = validate(samples, features, most_trees=most_trees).where("fold = 0").first()
-        metrics, weights = {"accuracy": mean["accuracy"], "auc": mean["auc"]}, importances(samples, features, most_trees)
-    return Artifact(pipeline(features, most_trees).fit(flagged(samples, features)), features, metrics, weights, label)
+        said, weights = {"accuracy": mean["accuracy"], "auc": mean["auc"]}, importances(samples, features, most_trees)
+    (model,) = boosting.fit(checkpointed(flagged(samples)), features, "label", [role(F.lit(True))], most_trees)
+    return Artifact(model, features, said, weights, label)
 
 
 def save(artifact: Artifact, folder: str) -> None:
     """The model, and one line of JSON with the rest."""
-    artifact.model.write().overwrite().save(f"{folder}/model")
     spark = SparkSession.active()
+    spark.createDataFrame([(artifact.model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model")
     line = json.dumps({"features": artifact.features, "metrics": artifact.metrics, "importances": artifact.importances, "label": artifact.label})
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
 
@@ -148,10 +150,10 @@ def load(spark: SparkSession, folder: str, known: Iterable[str]) -> Artifact | N
     about = json.loads(spark.read.text(f"{folder}/about").first()[0])
     if not about["features"] or not set(about["features"]) <= set(known):
         return None
-    return Artifact(PipelineModel.load(f"{folder}/model"), about["features"], about["metrics"], about["importances"], about["label"])
+    return Artifact(boosting.Forest.from_json(spark.read.text(f"{folder}/model").first()[0]), about["features"], about["metrics"], about["importances"], about["label"])
 
 
 def predict(artifact: Artifact, rows: DataFrame) -> DataFrame:
     """(ticker, d, prediction, probability) of each row: outperform from a half on."""
-    scored = probability(artifact.model, flagged(rows.withColumn("rel", F.lit(None).cast("double")), artifact.features))
+    scored = boosting.probability(artifact.model, rows)
     return scored.select("ticker", "d", F.when(F.col("p") >= 0.5, "outperform").otherwise("underperform").alias("prediction"), F.round("p", 4).alias("probability"))
