@@ -90,8 +90,9 @@ def same(a, b):
     return a == pytest.approx(b, abs=1e-9)
 
 
-@pytest.mark.parametrize(("refresh", "trees"), [(25, 6), (2, 6)])
-def test_trees_as_the_loops_grow_them(spark, monkeypatch, refresh, trees):
+@pytest.mark.parametrize(("refresh", "trees", "few"), [(25, 6, 16), (2, 6, 0)])
+def test_trees_as_the_loops_grow_them(spark, monkeypatch, refresh, trees, few):
+    monkeypatch.setattr(boosting, "FEW_TASKS", few)
     monkeypatch.setattr(boosting, "REFRESH", refresh)
     monkeypatch.setattr(boosting, "LEAST_LEAF", 5)
     monkeypatch.setattr(boosting, "DEPTH", 3)

@@ -31,6 +31,8 @@ DEPTH, STEP, MOST_TREES, RIDGE, LEAST_LEAF, PATIENCE, LEAST_GAIN = 4, 0.03, 600,
 BINS, MISSING = 64, 255
 #: Gradients are summed in units of 2^-26; after so many trees the rows are written with what the trees say so far.
 UNIT, REFRESH = float(1 << 26), 25
+#: Up to so many tasks their sums go to the driver as they are; those of more are summed by Spark first.
+FEW_TASKS = 16
 #: What a row is to a model.
 TRAIN, ASIDE, UNUSED = 0, 1, 2
 
@@ -112,8 +114,9 @@ def _state(batch: pa.RecordBatch, width: int, models: int, pending: dict[int, li
     return x, batch.column("y").to_numpy(), role, raw
 
 
-def _histograms(width: int, models: int, pending: dict[int, list], growing: dict[int, list[Node]], open_nodes: dict[int, list[int]], with_loss: bool):
-    """For a task: sums (model, node, feature, bin, g, h, n) over its rows; node -1 holds the loss of the rows set aside."""
+def _histograms(width: int, models: int, pending: dict[int, list], growing: dict[int, list[Node]], open_nodes: dict[int, list[int]], with_loss: bool, whole: bool):
+    """For a task: sums (model, node, feature, bin, g, h, n) over its rows; node -1 holds the loss of the rows set aside. As
+    ``whole`` (model, node, sums) with the bytes of all sums of a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, np.ndarray] = {}
@@ -140,6 +143,10 @@ def _histograms(width: int, models: int, pending: dict[int, list], growing: dict
                         np.add.at(sums[0, f], b, g[rows])
                         np.add.at(sums[1, f], b, h[rows])
                         sums[2, f] += np.bincount(b, minlength=256)
+        if whole:
+            blobs = [(m, -1, np.array([loss, 0, n]).tobytes()) for m, (loss, n) in lost.items()] + [(m, k, sums.tobytes()) for (m, k), sums in total.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int64()), pa.array([b[1] for b in blobs], pa.int64()), pa.array([b[2] for b in blobs], pa.binary())], ["model", "node", "sums"])
+            return
         lines = [(m, -1, 0, 0, loss, 0, n) for m, (loss, n) in lost.items()]
         for (m, k), sums in total.items():
             f, b = np.nonzero(sums[2])
@@ -199,6 +206,7 @@ def fit(rows: DataFrame, features: list[str], label: str, roles: list[Column], m
 
     packed = "x binary, role binary, y double, raw binary"
     data = checkpointed(rows.select(*(F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)), F.col(label).cast("double").alias("y"), sure.alias("role")).mapInArrow(pack, packed))
+    tasks = data.rdd.getNumPartitions()
     pending: dict[int, list] = {m: [] for m in range(models)}
     losses: dict[int, list[float]] = {m: [] for m in range(models)}
     active = [m for m in range(models) if 0 < ones[m] < n[m]]
@@ -208,14 +216,26 @@ def fit(rows: DataFrame, features: list[str], label: str, roles: list[Column], m
         return len(past) > PATIENCE and not any(v < past[-PATIENCE - 1] - LEAST_GAIN for v in past[-PATIENCE:])
 
     def summed(growing: dict, open_nodes: dict, with_loss: bool) -> dict[tuple, np.ndarray]:
-        lines = data.mapInArrow(_histograms(width, models, pending, growing, open_nodes, with_loss), "model long, node long, feature long, bin long, g long, h long, n long")
+        few = tasks <= FEW_TASKS
+        kind = "model long, node long, sums binary" if few else "model long, node long, feature long, bin long, g long, h long, n long"
+        lines = data.mapInArrow(_histograms(width, models, pending, growing, open_nodes, with_loss, few), kind)
         found: dict[tuple, np.ndarray] = {}
-        # As many lines as there are open nodes, features and bins.
-        for m, k, f, b, *sums in lines.groupBy("model", "node", "feature", "bin").agg(F.sum("g"), F.sum("h"), F.sum("n")).collect():
-            if k < 0:
-                losses[m].append(sums[0] / UNIT / sums[2])
-            else:
-                found.setdefault((m, k), np.zeros((3, width, 256), dtype=np.int64))[:, f, b] = sums
+        lost = np.zeros((models, 3), dtype=np.int64)
+        if few:
+            for m, k, blob in lines.collect():
+                sums = np.frombuffer(blob, dtype=np.int64)
+                if k < 0:
+                    lost[m] += sums
+                else:
+                    found[m, k] = found.get((m, k), 0) + sums.reshape(3, width, 256)
+        else:  # as many lines as there are open nodes, features and bins
+            for m, k, f, b, *sums in lines.groupBy("model", "node", "feature", "bin").agg(*(F.sum(c) for c in "ghn")).collect():
+                if k < 0:
+                    lost[m] += np.array(sums)
+                else:
+                    found.setdefault((m, k), np.zeros((3, width, 256), dtype=np.int64))[:, f, b] = sums
+        for m in np.flatnonzero(lost[:, 2]):
+            losses[m].append(lost[m, 0] / UNIT / lost[m, 2])
         return found
 
     for grown in range(most_trees):

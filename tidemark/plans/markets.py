@@ -11,7 +11,7 @@ from tidemark.operators import markets as O
 from tidemark.plans.sql import define, twin
 from tidemark.plans.technical import momentum, rounded, snapshot
 from tidemark.sources import tables as T
-from tidemark.sources.shared import removed, scratch
+from tidemark.sources.shared import checkpointed, removed, scratch
 from tidemark.streaming import events as S
 from tidemark.streaming import state as K
 
@@ -501,6 +501,8 @@ def win28(spark, sf_dir):
 
 
 _FEATURES = ["r20", "r60", "from_high", "vol20", "volume_ratio"]
+#: Trees of the registered queries: each takes four passes over the samples, a job each.
+_TREES = 25
 
 
 def labelled(spark, sf_dir):
@@ -512,8 +514,8 @@ def mlp01(spark, sf_dir):
     """What each feature is worth to boosted trees, trained on the days before the newest fifth and asked on these."""
     from tidemark.operators import ml
 
-    rows = labelled(spark, sf_dir)
-    found = ml.importances(rows, ml.usable(rows, _FEATURES))
+    rows = checkpointed(labelled(spark, sf_dir))
+    found = ml.importances(rows, ml.usable(rows, _FEATURES), _TREES)
     return spark.createDataFrame(list(found.items()), "feature string, importance double")
 
 
@@ -522,8 +524,8 @@ def agg38(spark, sf_dir):
     """Accuracy and area under the curve of five folds, each trained on the days before it, and their means as fold 0."""
     from tidemark.operators import ml
 
-    rows = labelled(spark, sf_dir)
-    return rounded(ml.validate(rows, ml.usable(rows, _FEATURES)), 4)
+    rows = checkpointed(labelled(spark, sf_dir))
+    return rounded(ml.validate(rows, ml.usable(rows, _FEATURES), most_trees=_TREES), 4)
 
 
 _ARTIFACTS: dict[tuple[str, str], str] = {}
@@ -531,15 +533,12 @@ _ARTIFACTS: dict[tuple[str, str], str] = {}
 
 def artifact_folder(spark, sf_dir):
     """Where this application has written its model of the tables, trained when it is first asked for."""
-    from uuid import uuid4
-
     from tidemark.operators import ml
-    from tidemark.sources.shared import shared_folder
 
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _ARTIFACTS:
-        folder = f"{shared_folder(spark)}/model-{uuid4().hex}"
-        ml.save(ml.train(labelled(spark, sf_dir), _FEATURES, label="beats the mean of its day over 60 bars", report=False), folder)
+        folder = scratch(spark, "model")
+        ml.save(ml.train(checkpointed(labelled(spark, sf_dir)), _FEATURES, label="beats the mean of its day over 60 bars", report=False, most_trees=_TREES), folder)
         _ARTIFACTS[key] = folder
     return _ARTIFACTS[key]
 
