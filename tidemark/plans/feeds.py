@@ -5,6 +5,8 @@ The lines are made from the star schema here, so that parsing runs on whole tabl
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tidemark.plans import scalars, technical
 from tidemark.plans.sql import define, twin
 from tidemark.plans.technical import rounded
 from tidemark.sources import files
+from tidemark.sources import paged as P
 from tidemark.sources import tables as T
 from tidemark.sources.shared import checkpointed, removed, scratch
 from tidemark.sources.store import KeyedStore
@@ -110,6 +113,35 @@ def src10(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
+PAGED = "event_id long, event_type string, value double"
+
+
+def paged(spark, sf_dir):
+    """The events as the pages of a feed; the folder."""
+    folder = scratch(spark, "feed")
+    e = T.read(spark, sf_dir, "events").select(F.to_date("ts").alias("on"), "event_id", "event_type", "value")
+    P.record(e, folder, "on", ["event_id"])
+    return folder
+
+
+@register("src10_paged_range", "SELECT event_type, count(*) AS n, min(event_id) AS first, CAST(min(ts) AS DATE) AS from_day FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-19' AND event_type IN ('purchase', 'signup') GROUP BY event_type")
+def src10_paged(spark, sf_dir):
+    """A range of days of a feed in pages: no page of another day is opened."""
+    folder = paged(spark, sf_dir)
+    rows = P.read(spark, folder, PAGED, date(2024, 1, 5), date(2024, 1, 19)).where("event_type IN ('purchase', 'signup')")
+    return settled(spark, rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.min("day").alias("from_day")), folder)
+
+
+@register("src09_paged_stream", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def src09_paged(spark, sf_dir):
+    """The same feed as a stream of its pages."""
+    folder = paged(spark, sf_dir)
+    daily = P.stream(spark, folder, PAGED).groupBy("day", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    done = S.drain(spark, daily)
+    removed(spark, folder)
+    return rounded(done, 4)
+
+
 @register("src11_nested_sentiment", "SELECT doc_id, round(score, 4) AS score, sentiment FROM t_articles WHERE score IS NOT NULL")
 def src11(spark, sf_dir):
     """A list of sentiments per article is searched for the article's own ticker; five labels become three."""
