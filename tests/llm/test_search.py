@@ -79,3 +79,18 @@ def test_registered_queries(spark, name):
         assert recall_of(got, x, 20, 20) >= 0.9
     else:
         assert recall_of(got, np.floor(256 * x), 50, 5) == 1
+
+
+def test_a_query_in_a_small_part_still_has_k_neighbours(spark, monkeypatch):
+    """Every query visits one part only, and some parts hold fewer rows than are asked for."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.05, (n, 6)) + 3 * np.eye(6)[k] for k, n in enumerate((300, 250, 6, 5, 130))])
+    monkeypatch.setattr(ann, "visits_for", lambda *args: 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = lambda i: (i % 20 == 0) | (i >= 550)
+    got = ann.learned_partition_search(df, asked, 20, rows_per_part=16).toPandas()
+    wanted = [i for i in range(len(x)) if i % 20 == 0 or i >= 550]
+    assert sorted(set(got.query_id)) == wanted
+    for q, lines in got.sort_values("rank").groupby("query_id"):
+        assert list(lines["rank"]) == list(range(1, 21)) and q not in set(lines.vec_id) and lines.vec_id.is_unique
+        assert np.allclose(lines.score, x[lines.vec_id] @ x[q]) and list(lines.score) == sorted(lines.score, reverse=True)

@@ -229,7 +229,7 @@ def learned_partition_search(
     The networks are fitted on the driver from at most ``sample_rows`` vectors (by id hash); the next
     ``held_rows`` tell how many parts a query must visit to meet the ``target`` share of its neighbours. Every row is
     indexed. There are about rows / ``rows_per_part`` parts, ``max_parts`` and sample_rows / 16 at most. Parts of any size
-    are searched tile by tile. Returns (query_id, rank, vec_id, score).
+    are searched tile by tile; a query whose parts hold fewer than k rows asks all rows. Returns (query_id, rank, vec_id, score).
 
     * null ids, null or empty vectors, null or non-finite components, zero vectors: the row takes no part;
     * vectors of different dimension never meet: each dimension with enough sampled rows has its own networks;
@@ -267,4 +267,13 @@ def learned_partition_search(
     schema = "g int, vec_id long, v array<double>"
     placed = rows.mapInArrow(_route(indexes, None), schema)
     sought = rows.where(asked).mapInArrow(_route(indexes, visits), schema)
-    return tiles.tiled_top_k(placed, sought, k, sizes, (asked_bytes or 0) * most)
+    found = common.checkpointed(tiles.tiled_top_k(placed, sought, k, sizes, (asked_bytes or 0) * most))
+    # Queries whose parts held fewer than k rows are few, unless the table has no more: they ask all rows.
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = rows.where(asked).join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select(F.lit(0).alias("g"), "vec_id", "v")
+    short = common.checkpointed(short)
+    size = short.agg(F.sum(8.0 * F.size("v"))).first()[0]
+    if size is None:
+        return found
+    again = tiles.tiled_top_k(rows.select(F.lit(0).alias("g"), "vec_id", "v"), short, k, {0: total}, size)
+    return found.join(full.select("query_id"), "query_id", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(again)

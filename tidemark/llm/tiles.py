@@ -206,6 +206,8 @@ def _merge(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 #: Bytes of query vectors that are sent to every executor at most; beyond it they are shuffled to the rows' buckets.
 SENT_BYTES = 32 << 20
+#: Row tiles of a bucket: few where its queries are sent, many where each bucket gets a copy of them.
+BUCKET_TILES, SHUFFLED_BUCKET_TILES = 2, 64
 
 
 def tiled_top_k(rows: DataFrame, queries: DataFrame, k: int, sizes: dict[int, float], asked_bytes: float, *, whole: bool = False) -> DataFrame:
@@ -219,8 +221,9 @@ def tiled_top_k(rows: DataFrame, queries: DataFrame, k: int, sizes: dict[int, fl
     ``whole`` the components are whole numbers and the scores exact 64-bit integers.
     """
     spark = rows.sparkSession
+    few = asked_bytes <= SENT_BYTES
     # One line per group; groups are bounded by the caller.
-    lines = [(int(g), max(1, -(-int(n) // (2 * ROW_TILE)))) for g, n in sizes.items()]
+    lines = [(int(g), max(1, -(-int(n) // ((BUCKET_TILES if few else SHUFFLED_BUCKET_TILES) * ROW_TILE)))) for g, n in sizes.items()]
     grid = F.broadcast(spark.createDataFrame(lines, "of int, rb int"))
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -230,7 +233,6 @@ def tiled_top_k(rows: DataFrame, queries: DataFrame, k: int, sizes: dict[int, fl
     cell = "g int, b int, dim int, ids binary, vectors binary"
     left = dealt(rows).drop("rb").repartition("g", "b").mapInArrow(_pack(ROW_TILE), cell)
     right = queries.select("g", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int").alias("b"), F.size("v").alias("dim"), "vec_id", "v")
-    few = asked_bytes <= SENT_BYTES
     # Queries that are sent are few: those of a group are packed into full tiles.
     packed = (right.withColumn("b", F.lit(0)) if few else right).repartition("g", "b").mapInArrow(_pack(QUERY_TILE), cell)
     if few:
