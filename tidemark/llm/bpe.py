@@ -275,6 +275,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, **cuts: int) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text: encoded, and decoded again, in the same worker."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text: encoded, and decoded again, in the same worker.
+
+    Null texts, null and repeated ids, empty tables and further columns as for ``encode``; of merges of equal rank, which a
+    vocabulary does not have at one place, the leftmost comes first.
+    """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return encode(docs, ranks_path, pattern, finish=(_digests(_sent(docs.sparkSession, ranks_path)), schema), **cuts)

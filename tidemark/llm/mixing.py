@@ -167,6 +167,9 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, *, block: int
 
 
 def in_mix_order(mix: DataFrame) -> DataFrame:
-    """The documents of a mix in order of mix_position, without the mix_* columns: each partition is a stretch of it."""
+    """The documents of a mix in order of mix_position, without the mix_* columns: each partition is a stretch of it.
+
+    Positions are unique, so there are no ties; rows of null and of repeated ids have one each; an empty mix stays empty.
+    """
     ordered = mix.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
     return ordered.drop("mix_source", "mix_block", "mix_slot", "mix_position")

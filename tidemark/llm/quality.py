@@ -184,7 +184,11 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, most_lines: int = 300) -> LineField:
     """Fit on the driver from a bounded sample: at most ``sample_rows`` labelled documents that are not held out (those of
     smallest id hash) with at most ``most_lines`` lines. Where ids repeat, at most twice as many rows by the hashes of id and
-    text: the same rows whatever their order, so that the same input gives the same model."""
+    text: the same rows whatever their order, so that the same input gives the same model.
+
+    Null ids and labels other than 0 and 1 are not learned from; a null text is an empty one; without labelled rows, as of
+    empty tables, the model is the one that knows nothing; further columns, of whatever names, are not read.
+    """
     common.ship(docs.sparkSession)
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out())
     chosen = usable.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col("quality").cast("int").alias("label"))
@@ -232,7 +236,12 @@ def score(docs: DataFrame, field: LineField, *, with_lines: bool = False) -> Dat
 
 
 def accepted(docs: DataFrame, field: LineField, keep_from: float) -> DataFrame:
-    """The rows, with all their columns, whose text scores ``keep_from`` or more."""
+    """The rows, with all their columns, whose text scores ``keep_from`` or more.
+
+    * a null text counts as empty, and empty texts have a score like any other; null and repeated ids are nothing special;
+    * texts of any length are scored whole; a score of just ``keep_from`` is kept; equal texts are kept or rejected alike;
+    * an empty table gives an empty result; columns keep their names, whatever these are.
+    """
     common.ship(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.string_or_empty("text").alias("text"))
     kind = packed.select("row", F.lit(0.0).alias("score")).schema

@@ -133,7 +133,9 @@ def hexadecimal(fp):
 def first_of_group(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest doc_id, with all its columns.
 
-    Rows of a null doc_id stay, as does every row of the id kept. Only ids and fingerprints are shuffled before the join.
+    Rows of a null doc_id stay, as does every row of the id kept. Texts without words share the fingerprint zero, so of these
+    one id stays; a null text counts as empty; very long texts are one fingerprint like any other; an empty table gives an
+    empty result; columns keep their names. Only ids and fingerprints are shuffled before the join.
     """
     groups = near_duplicates(docs, radius=radius, width=width, seed=seed)
     gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
