@@ -16,23 +16,27 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts, with all their columns: those of ``KEEP_FROM`` or more. Null texts are scored as
+    empty ones; null and repeated ids are rows like others; an empty table stays empty."""
     field = quality.train(docs, common.table(spark, sf_dir, "labels"))
     return quality.accepted(docs, field, KEEP_FROM)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id."""
+    """Of each group of near duplicates the document of smallest id, with all its columns. Rows of a null id stay, and all rows
+    of the id that stays; texts without words are one group; an empty table stays empty."""
     return simhash.first_of_group(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind, in texts of any length; a null text becomes an empty one. All rows and columns
+    stay, whatever their ids and names; an empty table stays empty."""
     return pii.masked(docs)
 
 
 def in_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mix of their sources."""
+    """The documents in the order of the mix of their sources; a null source is one of its own. Every row has its place, rows
+    of null and of repeated ids and equal rows too; an empty table stays empty."""
     return mixing.in_mix_order(mixing.mixed(docs))
 
 
@@ -48,7 +52,8 @@ def placed(docs: DataFrame) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, checked by decoding, and its place in the mix."""
+    """Token ids of each document, checked by decoding, and its place in the mix: one line a row, whatever its id. A null text
+    has no ids; an empty table gives no line; further columns are not read."""
     docs = placed(docs)
     # Places are unique, ids need not be.
     digests = bpe.digests(docs.select(F.col("mix_position").alias("doc_id"), "text"), RANKS, public_tokenizers.PATTERN)
@@ -66,7 +71,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents. What lies between them is written to the shared folder of checkpoints, and
+    """All stages over the whole documents, whose nulls, repeated ids, empty and long texts and further columns each stage
+    treats as it says. What lies between them is written to the shared folder of checkpoints, and
     deleted as soon as the stage after it is written; the mix, from which the result is read, stays."""
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid4().hex}"
