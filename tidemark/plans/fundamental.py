@@ -146,7 +146,8 @@ def composites(spark, sf_dir):
 
 @register("agg23_composite", "SELECT ticker, CAST(technical AS INTEGER) AS technical, CAST(fundamental AS INTEGER) AS fundamental, CAST(news AS INTEGER) AS news, CAST(risk AS INTEGER) AS risk, round(composite, 6) AS composite, round(coverage, 6) AS coverage, conviction FROM t_comp")
 def agg23(spark, sf_dir):
-    c = composites(spark, sf_dir)
+    with T.bars_once(spark, sf_dir):
+        c = composites(spark, sf_dir)
     return rounded(c.select("ticker", *[F.col(x).cast("int").alias(x) for x in signals.COMPOSITE], "composite", "coverage", "conviction"))
 
 

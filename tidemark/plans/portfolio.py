@@ -78,8 +78,9 @@ def mth06(spark, sf_dir):
     SELECT ticker, sector, market, round(sum(weight), 8) AS weight FROM t_book GROUP BY GROUPING SETS ((ticker), (sector), (market), ())""")
 def agg03(spark, sf_dir):
     """By name, sector, market and in all, in one aggregation."""
-    T.book(spark, sf_dir).createOrReplaceTempView("_book")
-    return rounded(spark.sql("SELECT ticker, sector, market, sum(weight) AS weight FROM _book GROUP BY GROUPING SETS ((ticker), (sector), (market), ())"), 8)
+    by = ["ticker", "sector", "market"]
+    sets = [*([F.col(c)] for c in by), []]
+    return rounded(T.book(spark, sf_dir).groupingSets(sets, *by).agg(F.sum("weight").alias("weight")), 8)
 
 
 define("t_weights", "SELECT account, ticker, value / sum(value) OVER (PARTITION BY account) AS weight FROM t_valued")
@@ -342,10 +343,11 @@ _SECTOR_SQL = """SELECT least(greatest(0, 100 * (1 - greatest(max(w) - 0.3, 0) /
             FROM (SELECT max(weight) AS top, sum(weight) FILTER (k <= 5) AS top5, 1 / sum(weight * weight) AS e FROM (SELECT weight, row_number() OVER (ORDER BY weight DESC, ticker) AS k FROM t_book)))""")
 def agg30r(spark, sf_dir):
     """The dimensions of the book's health, one line each; the composite is the mean of those that have a score."""
-    book = T.book(spark, sf_dir)
-    sectors = book.groupBy("sector").agg(F.sum("weight").alias("w")).agg(F.max("w").alias("largest")).select(F.lit("sector_balance").alias("dimension"), cap_score(F.col("largest"), O.MAX_SECTOR, 0.3).alias("score"))
-    posture = book.join(betas(spark, sf_dir), "ticker").agg((F.sum(F.col("weight") * F.col("beta")) / F.sum("weight")).alias("b")).select(F.lit("risk_posture").alias("dimension"), band_score(F.col("b"), 0.7, 1.05, 0.5).alias("score"))
-    conc = O.health_scores(O.concentration(book.withColumn("of", F.lit("book")), "of")).select(F.lit("concentration").alias("dimension"), "score")
+    with T.bars_once(spark, sf_dir):
+        book = T.book(spark, sf_dir)
+        sectors = book.groupBy("sector").agg(F.sum("weight").alias("w")).agg(F.max("w").alias("largest")).select(F.lit("sector_balance").alias("dimension"), cap_score(F.col("largest"), O.MAX_SECTOR, 0.3).alias("score"))
+        posture = book.join(betas(spark, sf_dir), "ticker").agg((F.sum(F.col("weight") * F.col("beta")) / F.sum("weight")).alias("b")).select(F.lit("risk_posture").alias("dimension"), band_score(F.col("b"), 0.7, 1.05, 0.5).alias("score"))
+        conc = O.health_scores(O.concentration(book.withColumn("of", F.lit("book")), "of")).select(F.lit("concentration").alias("dimension"), "score")
     return rounded(sectors.unionByName(posture).unionByName(conc), 4)
 
 

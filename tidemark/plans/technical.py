@@ -237,7 +237,9 @@ for _key, _name in {
 @register("agg22_strategy_panel", """
     SELECT ticker, round(avg(score), 1) AS net_score, count(*) FILTER (score > 0) AS bull, count(*) FILTER (score < 0) AS bear, count(*) AS n FROM t_verdicts GROUP BY ticker""")
 def agg22(spark, sf_dir):
-    return strategies.panel(verdicts(spark, sf_dir)).withColumn("net_score", F.round("net_score", 1))
+    with T.bars_once(spark, sf_dir):
+        found = verdicts(spark, sf_dir)
+    return strategies.panel(found).withColumn("net_score", F.round("net_score", 1))
 
 
 define("t_events0", """

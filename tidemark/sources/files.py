@@ -106,6 +106,6 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 def portfolio_lines(holdings: DataFrame) -> DataFrame:
     """Markdown rows per currency with a subtotal each: (currency, ord, line)."""
-    holdings.createOrReplaceTempView("_held")
-    grouped = holdings.sparkSession.sql("SELECT currency, ticker, sum(quantity) AS q, sum(quantity * cost_price) AS cost, grouping(ticker) AS ord FROM _held GROUP BY GROUPING SETS ((currency, ticker), (currency))")
+    sets = [[F.col("currency"), F.col("ticker")], [F.col("currency")]]
+    grouped = holdings.groupingSets(sets, "currency", "ticker").agg(F.sum("quantity").alias("q"), F.sum(F.col("quantity") * F.col("cost_price")).alias("cost"), F.grouping("ticker").alias("ord"))
     return grouped.select("currency", F.col("ord").cast("int").alias("ord"), F.concat_ws(" | ", F.coalesce("ticker", F.lit("total")), F.format_number("q", 2), F.format_number("cost", 2)).alias("line"))

@@ -5,11 +5,14 @@ Every function takes (spark, dir) and returns a lazy DataFrame; Spark prunes col
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import checkpointed
+
 #: USD for one unit of a currency, used where no live rate is known.
 STATIC_FX = {"USD": 1.0, "SGD": 0.779, "HKD": 0.128, "JPY": 0.0065, "KRW": 0.00072, "CNY": 0.139, "EUR": 1.08, "GBP": 1.27}
 #: Markets, their currencies and ticker suffixes.
@@ -39,8 +42,27 @@ def trades(spark: SparkSession, sf_dir: str, ticker: str = "p_brand") -> DataFra
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("ticker", "d", "px", "v", "key")
 
 
+#: Bars that the parts of one query share while it is put together.
+_shared: dict[str, DataFrame] = {}
+
+
+@contextmanager
+def bars_once(spark: SparkSession, sf_dir: str):
+    """Within, all that asks for the daily bars of a folder gets one checkpoint of them, so that a query of several branches
+    reads the trades for its bars once."""
+    outer = _shared.get(sf_dir)
+    _shared[sf_dir] = outer if outer is not None else checkpointed(bars(spark, sf_dir))
+    try:
+        yield
+    finally:
+        if outer is None:
+            del _shared[sf_dir]
+
+
 def bars(spark: SparkSession, sf_dir: str, ticker: str = "p_brand", least: int = 5) -> DataFrame:
     """Daily bars (ticker, d, o, h, l, c, v), aggregated before the shuffle; tickers of fewer than ``least`` bars go."""
+    if (ticker, least) == ("p_brand", 5) and sf_dir in _shared:
+        return _shared[sf_dir]
     daily = trades(spark, sf_dir, ticker).groupBy("ticker", "d").agg(
         F.min_by("px", "key").alias("o"), F.max("px").alias("h"), F.min("px").alias("l"), F.max_by("px", "key").alias("c"), F.sum("v").alias("v")
     )
