@@ -283,7 +283,15 @@ _GREEDY = """
             SELECT n.i, n.ticker, f.seen, CASE WHEN list_contains(f.seen, n.ticker) THEN [] ELSE list_concat([n.ticker], list_filter(coalesce(n.near, []), lambda x: NOT list_contains(f.seen, x))) END AS taken FROM fold f JOIN named n ON n.i = f.i + 1) g),
     groups AS (SELECT seed, array_to_string(taken, ',') AS names, round((SELECT sum(weight) FROM named WHERE list_contains(taken, ticker)), 6) AS weight FROM fold WHERE len(taken) > 1)
     """
-_GREEDY = twin("SELECT 1 FROM t_book, t_corr").rsplit("SELECT 1 FROM t_book, t_corr", 1)[0].rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + _GREEDY
+
+
+def recursive(names: str, body: str) -> str:
+    """A recursive query that begins with the common tables of these names."""
+    return twin(f"SELECT 1 FROM {names}").rsplit("SELECT 1 FROM", 1)[0].rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + body
+
+
+_GREEDY_TABLES = _GREEDY
+_GREEDY = recursive("t_book, t_corr", _GREEDY)
 
 
 @register("agg31_correlated_clusters")
@@ -300,6 +308,31 @@ ORACLE_SQL["top07_largest_clusters"] = _GREEDY + "SELECT seed, names, weight FRO
 define("t_cov_n", "SELECT ticker, count(*) AS n FROM t_year GROUP BY ticker HAVING count(*) >= 60")
 define("t_cov_x", "SELECT ticker, rn_desc, r - avg(r) OVER (PARTITION BY ticker) AS x FROM (SELECT * FROM t_year WHERE ticker IN (SELECT ticker FROM t_cov_n) AND rn_desc <= (SELECT min(n) FROM t_cov_n) AND (SELECT count(*) FROM t_cov_n) >= 3)")
 define("t_cov_raw", "SELECT a.ticker AS a, b.ticker AS b, sum(a.x * b.x) / count(*) AS s FROM t_cov_x a JOIN t_cov_x b USING (rn_desc) GROUP BY 1, 2")
+define("t_cov_shrunk", """
+    SELECT a, b, (1 - shrink) * s + CASE WHEN a = b THEN shrink * mu ELSE 0 END AS cov FROM t_cov_raw, (
+        SELECT mu, CASE WHEN spread > 0 THEN least(noise, spread) / spread ELSE 1 END AS shrink FROM (
+            SELECT trace / names AS mu, squares - trace * trace / names AS spread, (fourth - squares) / t AS noise FROM
+                (SELECT sum(s * s) AS squares, sum(s) FILTER (a = b) AS trace, count(DISTINCT a) AS names FROM t_cov_raw), (SELECT sum(q * q) / count(*) AS fourth, count(*) AS t FROM (SELECT rn_desc, sum(x * x) AS q FROM t_cov_x GROUP BY rn_desc))))""")
+
+
+# The inverse times ones by elimination, a column of the matrix a step; then weights above the cap are set to it, a round a step.
+ORACLE_SQL["agg36_minimum_variance"] = recursive("t_cov_shrunk", """
+    , names AS MATERIALIZED (SELECT a, row_number() OVER (ORDER BY a) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT a FROM t_cov_shrunk)),
+    system AS MATERIALIZED (SELECT x.i, y.i AS j, cov AS v FROM t_cov_shrunk c JOIN names x ON x.a = c.a JOIN names y ON y.a = c.b UNION ALL SELECT i, n + 1, 1.0 FROM names),
+    steps AS (
+        SELECT CAST(0 AS BIGINT) AS k, i, j, v FROM system
+        UNION ALL
+        SELECT s.k + 1, s.i, s.j, CASE WHEN s.i = s.k + 1 THEN s.v / corner.v ELSE s.v - own.v * top.v / corner.v END
+        FROM steps s JOIN steps own ON own.i = s.i AND own.j = s.k + 1 JOIN steps top ON top.i = s.k + 1 AND top.j = s.j JOIN steps corner ON corner.i = s.k + 1 AND corner.j = s.k + 1
+        WHERE s.k < (SELECT max(n) FROM names)),
+    raw AS (SELECT i, greatest(v, 0) AS w FROM steps WHERE k = (SELECT max(n) FROM names) AND j = k + 1),
+    rounds AS (
+        SELECT CAST(0 AS BIGINT) AS k, i, w / (SELECT sum(w) FROM raw) AS w FROM raw WHERE (SELECT sum(w) FROM raw) > 0 AND 0.3 * (SELECT count(*) FROM raw) >= 1
+        UNION ALL
+        SELECT k + 1, i, CASE WHEN w > 0.3 + 1e-12 THEN 0.3 WHEN w < 0.3 - 1e-12 THEN w + extra * CASE WHEN room > 0 THEN w / room ELSE 1 / below END ELSE w END
+        FROM (SELECT *, sum(w - 0.3) FILTER (w > 0.3 + 1e-12) OVER () AS extra, sum(w) FILTER (w < 0.3 - 1e-12) OVER () AS room, count(*) FILTER (w < 0.3 - 1e-12) OVER () AS below FROM rounds) r
+        WHERE extra > 0)
+    SELECT a AS ticker, round(w, 6) AS weight FROM rounds JOIN names USING (i) WHERE k = (SELECT max(k) FROM rounds)""")
 
 
 @register("agg36_minimum_variance")
@@ -307,17 +340,29 @@ def agg36(spark, sf_dir):
     return rounded(O.minimum_variance(year_returns(spark, sf_dir)))
 
 
-@register("uda02_ledoit_wolf", """
-    SELECT a, b, round(((1 - shrink) * s + CASE WHEN a = b THEN shrink * mu ELSE 0 END) * 1000000, 4) AS cov FROM t_cov_raw, (
-        SELECT mu, CASE WHEN spread > 0 THEN least(noise, spread) / spread ELSE 1 END AS shrink FROM (
-            SELECT trace / names AS mu, squares - trace * trace / names AS spread, (fourth - squares) / t AS noise FROM
-                (SELECT sum(s * s) AS squares, sum(s) FILTER (a = b) AS trace, count(DISTINCT a) AS names FROM t_cov_raw), (SELECT sum(q * q) / count(*) AS fourth, count(*) AS t FROM (SELECT rn_desc, sum(x * x) AS q FROM t_cov_x GROUP BY rn_desc))))""")
+@register("uda02_ledoit_wolf", "SELECT a, b, round(cov * 1000000, 4) AS cov FROM t_cov_shrunk")
 def uda02(spark, sf_dir):
     """The covariance of the year's returns, in millionths, shrunk as its noise says."""
     cov = O.shrunk_covariance(year_returns(spark, sf_dir).select(F.lit(0).alias("book"), "ticker", "rn_desc", "r"))
     return cov.select("a", "b", F.round(F.col("cov") * 1_000_000, 4).alias("cov"))
 
 
+# The same in each account.
+ORACLE_SQL["agg31_clusters_by_account"] = recursive("t_weights, t_corr", """
+    , near_of AS MATERIALIZED (SELECT a, list(b ORDER BY b) AS near FROM (SELECT a, b FROM t_corr WHERE corr >= 0.1 UNION ALL SELECT b, a FROM t_corr WHERE corr >= 0.1) GROUP BY a),
+    held AS MATERIALIZED (SELECT account, ticker, sum(weight) AS weight FROM t_weights GROUP BY account, ticker),
+    own AS (SELECT account, list(ticker) AS names FROM held GROUP BY account),
+    named AS MATERIALIZED (SELECT account, ticker, row_number() OVER (PARTITION BY account ORDER BY ticker) AS i, list_filter(coalesce(near, []), lambda x: list_contains(names, x)) AS near FROM held JOIN own USING (account) LEFT JOIN near_of ON a = ticker),
+    fold AS (
+        SELECT account, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR) AS seed, CAST([] AS VARCHAR[]) AS taken FROM own
+        UNION ALL
+        SELECT account, i, CASE WHEN len(taken) > 1 THEN list_concat(seen, taken) ELSE seen END, ticker, taken FROM (
+            SELECT n.account, n.i, n.ticker, f.seen, CASE WHEN list_contains(f.seen, n.ticker) THEN [] ELSE list_concat([n.ticker], list_filter(n.near, lambda x: NOT list_contains(f.seen, x))) END AS taken
+            FROM fold f JOIN named n ON n.account = f.account AND n.i = f.i + 1) g),
+    members AS (SELECT account, seed, taken, unnest(taken) AS ticker FROM fold WHERE len(taken) > 1)
+    SELECT account, seed, array_to_string(any_value(taken), ',') AS names, round(sum(weight), 6) AS weight FROM members JOIN held USING (account, ticker) GROUP BY account, seed""")
+
+
 @register("agg31_clusters_by_account")
 def agg31_accounts(spark, sf_dir):
     """The greedy groups within each account."""
@@ -389,6 +434,14 @@ def agg30_dimensions(spark, sf_dir):
     return O.health_dimensions(O.health_inputs(held, beta, None)).select("dimension", "score", "grade")
 
 
+ORACLE_SQL["agg30_health_with_clusters"] = recursive("t_dims, t_book, t_corr", _GREEDY_TABLES + """
+    , worst AS (SELECT coalesce(max(weight), 0) AS w FROM (SELECT (SELECT sum(weight) FROM named WHERE list_contains(taken, ticker)) AS weight FROM fold WHERE len(taken) > 1)),
+    scores AS (SELECT dimension, round_even(score, 1) AS score FROM t_dims UNION ALL SELECT 'correlation', round_even(greatest(0, 100 * (1 - greatest(w - 0.35, 0) / 0.35)), 1) FROM worst),
+    mean AS (SELECT round_even(avg(score), 1) AS s FROM scores)
+    SELECT dimension, score, CAST(NULL AS VARCHAR) AS grade FROM scores
+    UNION ALL SELECT 'composite', s, CASE WHEN s >= 85 THEN 'A' WHEN s >= 70 THEN 'B' WHEN s >= 55 THEN 'C' WHEN s >= 40 THEN 'D' ELSE 'F' END FROM mean""")
+
+
 @register("agg30_health_with_clusters")
 def agg30_clusters(spark, sf_dir):
     """With the groups that move together: all six dimensions."""
