@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_search, html, mixing, pii, quality, simhash, substrings, urls
+from tidemark.llm import ann, bpe, common, exact_search, html, mixing, pii, quality, simhash, substrings, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -181,6 +181,19 @@ def test_links_connect_all_within_the_radius(spark):
         assert same(roots) == same(mine)
 
 
+@pytest.mark.parametrize("share", [4, 2_000])
+def test_simhash_where_a_third_are_copies(spark, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghijkl") * 3 for _ in range(12)) for _ in range(60)]
+    texts += [texts[0]] * 70 + [None, " "] * 40 + texts[5:15]
+    rng.shuffle(texts)
+    found = simhash.near_duplicates(docs_of(spark, texts).repartition(6)).collect()
+    prints = {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+    assert len(found) == len(texts)
+    assert {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in found} == {i: (prints[i], g) for i, g in plain_groups(prints).items()}
+
+
 def test_simhash_nulls_and_nothing(spark):
     df = docs_of(spark, ["a b c d", "a b c d", None, ""], [None, 4, None, 2])
     rows = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(df).collect()}

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.llm import queries, urls
+from tidemark.llm import common, queries, urls
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +75,18 @@ def test_the_posterior_is_the_beta_binomial_one(spark):
     mu_x = (8 + k_suffix * mu_suffix) / (16 + k_suffix)
     assert (rows["a.x.net"]["alpha"], rows["a.x.net"]["beta"]) == pytest.approx((8 + k_x * mu_x, k_x * (1 - mu_x)))
     assert tuple(anywhere.first()) == pytest.approx((0.5, 2.0))
+
+
+@pytest.mark.parametrize("share", [3, 2_000])
+def test_a_third_of_the_pages_on_one_host_and_a_third_without_any(spark, monkeypatch, share):
+    """Hosts that are sent and hosts that are joined get the verdicts of a plain loop."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    urls_of = ["http://big.bad.net/x"] * 300 + [None, "no scheme"] * 150 + [f"http://h{i % 60}.good.net/" for i in range(180)] + [f"http://s{i % 40}.bad.net/" for i in range(120)]
+    pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string").repartition(7)
+    outcomes = spark.createDataFrame([(i, int(".bad." in u)) for i, u in enumerate(urls_of) if u and "://" in u], "page_id long, bad int")
+    rows = {r["page_id"]: r for r in urls.judge(pages, outcomes).collect()}
+    assert len(rows) == len(urls_of)
+    assert {i: (r["host"], r["verdict"], r["n_labelled"] > 0) for i, r in rows.items()} == {
+        i: ("", "allow", False) if not u or "://" not in u else (u.split("/")[2], "block" if ".bad." in u else "allow", True) for i, u in enumerate(urls_of)
+    }
+    assert rows[0]["n_labelled"] == rows[0]["n_bad"] == 300

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.shared import checkpointed, removed, shared_folder  # noqa: F401
 
+#: A key is common if over one in so many rows has it: there are fewer such keys than this.
+HOT_SHARE = 2_000
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,6 +33,19 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
+def joined_by_key(rows: DataFrame, groups: DataFrame, key: str, size: str = "n") -> DataFrame:
+    """``rows`` with the line of ``groups`` that has their key; ``groups`` has one line for each key and its number of rows.
+
+    The lines of common keys, fewer than HOT_SHARE, are sent to the rows, so that a key of any share of the rows is in no one
+    task; the others are joined by key. Rows of a null key, and of keys without a line, go. Both are read more than once and
+    ``groups`` is summed at once, so they are best tables or checkpoints.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot, cold = groups.where(F.col(size) * HOT_SHARE > total), groups.where(F.col(size) * HOT_SHARE <= total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def string_or_empty(name: str):
     """The text column with null as the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -139,9 +139,14 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, *, block: int
     per_bucket = max(256, rows // 65_536)
     buckets = spark.createDataFrame([(s, max(1, n // per_bucket)) for s, n in counts.items()], "bucket_source string, buckets int")
     # Fewer than HOT_SHARE lines by construction.
-    hot = packed.groupBy("h").count().where(F.col("count") > max(per_bucket, rows // HOT_SHARE)).select(F.col("h").alias("hot"))
-    hashed = packed.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")
-    hashed = hashed.withColumn("h", F.when(F.col("hot").isNotNull(), F.xxhash64("h", F.spark_partition_id())).otherwise(F.col("h"))).drop("hot")
+    hot = common.checkpointed(packed.groupBy("h").count().where(F.col("count") > max(per_bucket, rows // HOT_SHARE)).select(F.col("h").alias("hot")))
+    if hot.isEmpty():
+        hashed = packed
+    else:
+        # Written with the partition, so that every reader of a row sees the same one.
+        packed = common.checkpointed(packed.withColumn("dealt", F.spark_partition_id()))
+        hashed = packed.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")
+        hashed = hashed.withColumn("h", F.when(F.col("hot").isNotNull(), F.xxhash64("h", "dealt")).otherwise(F.col("h"))).drop("hot", "dealt")
     hashed = hashed.join(F.broadcast(buckets), F.col("mix_source") == F.col("bucket_source"))
     hashed = hashed.withColumn("b", F.floor(F.shiftrightunsigned("h", 33) * F.col("buckets") / F.lit(2**31)).cast("int")).drop("bucket_source", "buckets")
     filled = hashed.groupBy("mix_source", "b").agg(F.count("*").alias("n"))

@@ -109,7 +109,8 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: i
 
     Texts are lower-cased (A-Z) and cut into words; the fingerprint is the bitwise majority of the XXH64 of their shingles
     of ``width`` words, repeats included. Fingerprints link at ``radius`` or fewer differing bits; component_id is the
-    smallest doc_id reachable. Rows of one fingerprint are one class, so copies are never paired.
+    smallest doc_id reachable. Rows of one fingerprint are one class, so copies are never paired; a class of any share of all
+    rows is in no one task.
 
     * null and empty texts have fingerprint zero and are linked like any other;
     * a null doc_id stays null and never is a component's id unless all ids of the component are null;
@@ -117,12 +118,12 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: i
       is the smallest of the ids; an empty table gives an empty result; further columns are ignored.
     """
     prints = common.checkpointed(fingerprints(docs, width=width, seed=seed))
-    classes = common.checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    classes = common.checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(classes.select("fp"), radius))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = named.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return prints.join(members, prints.fp == members.class_fp).select("doc_id", "fp", "component_id")
+    members = common.checkpointed(named.join(least, "root").select("fp", "n", "component_id"))
+    return common.joined_by_key(prints, members, "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values: (verdict, host, path prefix).
@@ -111,7 +113,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, rules=RULES, block_above: fl
     * null outcomes and outcomes of null or unknown pages do not count; several outcomes of a page count each;
     * repeated pages stay repeated and count each; an empty table gives an empty result; further columns of pages are
       ignored; a bound that equals ``block_above`` does not block; urls of any length are read whole.
-    * ports are no part of the domain; a host of four numbers is its own domain, of the suffix "ip".
+    * ports are no part of the domain; a host of four numbers is its own domain, of the suffix "ip";
+    * of suffixes of several labels only those of SECOND_LEVELS below a country are known: names under others, as of a
+      hosting service or a town, are one domain. A host of any share of all pages is in no one task.
     """
     parts = with_parts(pages.select("page_id", "url"))
     labelled = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").select(F.col("page_id").alias("labelled_id"), "bad")
@@ -120,15 +124,15 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, rules=RULES, block_above: fl
     mean = F.col("alpha") / total
     bound = mean - z * F.sqrt(mean * (1 - mean) / (total + 1))
     found, by_domain, by_suffix, anywhere = reputation(known)
-    hosts = with_domains(parts.where("host <> ''").select("host").distinct()).join(found, "host", "left")
+    hosts = with_domains(parts.groupBy("host").agg(F.count("*").alias("n_pages"))).join(found, "host", "left")
     for level, prior in (("domain", by_domain), ("suffix", by_suffix)):
         hosts = hosts.join(prior.select(level, F.col("mu").alias(f"{level}_mu"), F.col("k").alias(f"{level}_k")), level, "left")
     hosts = hosts.join(F.broadcast(anywhere.select(F.col("mu").alias("any_mu"), F.col("k").alias("any_k"))), how="left")  # one line
     mu, k = (F.coalesce(f"domain_{x}", f"suffix_{x}", f"any_{x}") for x in ("mu", "k"))
     hosts = hosts.withColumns({"alpha": F.coalesce("alpha", k * mu), "beta": F.coalesce("beta", k * (1 - mu))})
-    hosts = hosts.select(F.col("host").alias("known_host"), "n", "bad", (bound > block_above).alias("blocked"))
+    hosts = common.checkpointed(hosts.select("host", "n_pages", "n", "bad", F.when(F.col("host") != "", bound > block_above).alias("blocked")))
     rule, verdict = rule_of(rules)
-    judged = parts.join(hosts, F.col("host") == F.col("known_host"), "left")
+    judged = common.joined_by_key(parts, hosts, "host", "n_pages")
     return judged.select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_labelled"), F.coalesce("bad", F.lit(0)).cast("long").alias("n_bad"),
