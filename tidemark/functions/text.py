@@ -64,3 +64,13 @@ def html_escaped(text: Column) -> Column:
     for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
     return text
+
+
+def printf(template: str, *values: Column) -> Column:
+    """C's printf, null where a value is: a double is rounded by its exact value and ties go to the even digit, while
+    ``format_string`` rounds its shortest decimal half up (0.125 and 1.005 to two digits: 0.12 and 1.00, not 0.13 and 1.01)."""
+
+    def filled(*row):
+        return None if None in row else template % row
+
+    return F.udf(filled, "string", useArrow=True)(*values)

@@ -359,7 +359,7 @@ def snk09(spark, sf_dir):
 
 @register("snk12_text_lines", "SELECT ticker, ticker || ' closed at ' || printf('%.2f', price) || ' (' || printf('%+.1f%%', change_pct) || ')' AS line FROM t_quotes WHERE change_pct IS NOT NULL")
 def snk12(spark, sf_dir):
-    line = F.format_string("%s closed at %.2f (%+.1f%%)", F.col("ticker"), F.col("price"), F.col("change_pct"))
+    line = text.printf("%s closed at %.2f (%+.1f%%)", F.col("ticker"), F.col("price"), F.col("change_pct"))
     return T.quotes(spark, sf_dir).where("change_pct IS NOT NULL").select("ticker", line.alias("line"))
 
 
