@@ -164,3 +164,32 @@ def test_report_index(spark, tmp_path):
         files.write_report(rows, str(tmp_path / "store"), run)
     lines = files.reports(spark, str(tmp_path / "store"), "ticker string, price double")
     assert sorted(map(tuple, files.report_index(lines).collect())) == [("r1", 2, 2), ("r2", 1, 1)]
+
+
+def test_clusters_of_many_books(spark):
+    """Against the plain fold; a task takes books by the batch, so the groups of many come from few calls of Python."""
+    rng, names = random.Random(9), [f"N{i:02d}" for i in range(12)]
+    close = {(a, b) for a in names for b in names if a < b and rng.random() < 0.3}
+    held = {k: {n: rng.randint(1, 9) / 8 for n in rng.sample(names, rng.randint(0, 12))} for k in range(3000)}
+    wanted = []
+    for k, own in held.items():
+        seen = set()
+        for seed in sorted(own):
+            group = [] if seed in seen else [seed, *(n for n in sorted(own) if n != seed and n not in seen and ((seed, n) in close or (n, seed) in close))]
+            if len(group) > 1:
+                seen.update(group)
+                wanted.append((k, seed, ",".join(group), sum(own[n] for n in group)))
+    book = spark.createDataFrame([(k, n, w) for k, own in held.items() for n, w in own.items()], "book long, ticker string, weight double")
+    # Pairs come in either order.
+    corr = spark.createDataFrame([(a, b, 0.8) if i % 2 else (b, a, 0.8) for i, (a, b) in enumerate(sorted(close))], "a string, b string, corr double")
+    found = portfolio.clusters(book, corr)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_clusters_of_names_held_twice(spark):
+    book = spark.createDataFrame([(None, "A", 0.25), (None, "A", 0.25), (None, "B", 0.5), (2, "A", None), (2, "B", 0.5), (2, None, 0.5), (3, "A", None), (3, "B", None)], "book long, ticker string, weight double")
+    corr = spark.createDataFrame([("A", "B", 0.9)], "a string, b string, corr double")
+    got = {r["book"]: tuple(r)[1:] for r in portfolio.clusters(book, corr).collect()}
+    assert got == {None: ("A", "A,B", 1.0), 2: ("A", "A,B", 0.5), 3: ("A", "A,B", None)}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,28 +158,43 @@ def clusters(book: DataFrame, corr: DataFrame, threshold: float = CLUSTER_CORR)
     """Greedy groups of names that move with a seed, seeds in order of the names: (seed, names, weight), largest groups by
     weight; with a column ``book`` (an account, say) for each book apart, and that column first.
 
-    The order matters, so the names of one book are one group: its size is that of a book, not of the data.
+    The order matters, so the names of one book are one line: its size is that of a book, not of the data. A name that a book
+    holds twice counts with both weights, a weight that is null with none.
     """
     many = "book" in book.columns
     held = book.select(F.col("book") if many else F.lit(0).alias("book"), "ticker", "weight")
-    close = corr.where(F.col("corr") >= threshold)
-    pairs = close.select("a", "b").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = pairs.groupBy(F.col("a").alias("ticker")).agg(F.collect_set("b").alias("near"))
-    rows = held.join(near, "ticker", "left")
-
-    def greedy(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ticker")
-        weight, seen, out = dict(zip(frame.ticker, frame.weight, strict=True)), set(), []
-        for seed, near in zip(frame.ticker, frame.near, strict=True):
-            if seed in seen or near is None:
+    kind = held.schema["book"].dataType.simpleString()
+    # A name that comes before a seed and is near it has a group by then, or took the seed into its own: only later ones count.
+    later = corr.where(F.col("corr") >= threshold).groupBy(F.least("a", "b").alias("ticker")).agg(F.collect_set(F.greatest("a", "b")).alias("near"))
+    names = held.join(later, "ticker", "left").groupBy("book").agg(F.collect_list(F.struct("ticker", "weight", "near")).alias("v"))
+    rows = names.select("book", *(F.col(f"v.{c}").alias(c) for c in ("ticker", "weight", "near")))
+
+    def greedy(tickers: list, weights: list, nears: list) -> Iterator[tuple[str, str, float | None]]:
+        weight: dict[str, list[float]] = {}
+        for t, w in zip(tickers, weights, strict=True):
+            weight.setdefault(t, []).extend([] if w is None else [w])
+        seen: set[str] = set()
+        for seed, near in sorted((t, n) for t, n in zip(tickers, nears, strict=True) if n is not None):
+            if seed in seen:
                 continue
-            group = [seed, *sorted((set(near) & weight.keys()) - seen - {seed})]
+            group = [seed, *sorted(n for n in near if n in weight and n not in seen and n != seed)]
             if len(group) > 1:
                 seen.update(group)
-                out.append((key[0], seed, ",".join(group), float(sum(weight[g] for g in group))))
-        return pd.DataFrame(out, columns=["book", "seed", "names", "weight"])
-
-    found = rows.groupBy("book").applyInPandas(greedy, f"book {held.schema['book'].dataType.simpleString()}, seed string, names string, weight double")
+                known = [w for g in group for w in weight[g]]
+                yield seed, ",".join(group), sum(known) if known else None
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch holds the books of many accounts, a line each."""
+        for batch in batches:
+            of, found = [], []
+            for i, book in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ticker", "weight", "near")), strict=True)):
+                for group in greedy(*book):
+                    of.append(i)
+                    found.append(group)
+            seeds, members, sums = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("book").take(pa.array(of, pa.int64())), pa.array(seeds, pa.string()), pa.array(members, pa.string()), pa.array(sums, pa.float64())], ["book", "seed", "names", "weight"])
+
+    found = rows.mapInArrow(groups, f"book {kind}, seed string, names string, weight double")
     return found if many else found.drop("book")
 
 
