@@ -193,3 +193,20 @@ def test_clusters_of_names_held_twice(spark):
     corr = spark.createDataFrame([("A", "B", 0.9)], "a string, b string, corr double")
     got = {r["book"]: tuple(r)[1:] for r in portfolio.clusters(book, corr).collect()}
     assert got == {None: ("A", "A,B", 1.0), 2: ("A", "A,B", 0.5), 3: ("A", "A,B", None)}
+
+
+def test_concentration_of_values(spark):
+    """Shares are made on the way: also of a book that owes more than it has, of nulls and of ties; one sort, without the names."""
+    rng = random.Random(5)
+    books = {"long": [rng.randint(1, 9) for _ in range(30)], "ties": [2] * 9, "few": [1, 3], "short": [5, -7, -9, 2, -4, -1, 1, -8], "gaps": [4, None, 3, None, 2, 1, 1, 1]}
+    rows = spark.createDataFrame([(b, f"T{i}", None if v is None else float(v)) for b, values in books.items() for i, v in enumerate(values)], "account string, ticker string, value double")
+    found = portfolio.concentration(rows, "account", "value")
+    got = {r["account"]: r for r in found.collect()}
+    for b, values in books.items():
+        known = [v for v in values if v is not None]
+        shares = sorted((v / sum(known) for v in known), reverse=True)
+        r = got[b]
+        assert r["n"] == len(values) and r["hhi"] == pytest.approx(sum(s * s for s in shares)) and r["top"] == pytest.approx(shares[0])
+        assert r["top5"] == pytest.approx(sum(shares[:5])) and r["effective_n"] == pytest.approx(1 / r["hhi"])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 1 and "ticker" not in plan.split("LogicalRDD")[0].split("Scan")[0]

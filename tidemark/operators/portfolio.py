@@ -39,10 +39,19 @@ def summary(lines: DataFrame) -> DataFrame:
     return lines.groupBy("account").agg(F.count("*").alias("n"), F.sum("value").alias("value"), F.sum("cost").alias("cost"), F.sum("pnl").alias("pnl"), F.sum("day").alias("day"))
 
 
-def concentration(weights: DataFrame, by: str) -> DataFrame:
-    """Sum of squared weights, effective number and share of the five largest, per book."""
-    ranked = weights.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("weight"), "ticker")))
-    out = ranked.groupBy(by).agg(F.sum(F.col("weight") * F.col("weight")).alias("hhi"), F.sum(F.when(F.col("k") <= 5, F.col("weight"))).alias("top5"), F.max("weight").alias("top"), F.count("*").alias("n"))
+def concentration(weights: DataFrame, by: str, value: str | None = None) -> DataFrame:
+    """Sum of squared weights, effective number and share of the five largest, per book; with ``value`` weights are the
+    shares of that column in its sum over the book. One narrow sort of books and their values serves for all."""
+    rows = weights.select(by, F.col(value or "weight").alias("x"))
+    w = Window.partitionBy(by).orderBy(F.desc("x"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = rows.withColumn("k", F.row_number().over(w))
+    if value:
+        ranked = ranked.withColumns({"total": F.sum("x").over(whole), "known": F.count("x").over(whole)})
+        # Where the sum is negative the largest weights are those of the smallest values.
+        ranked = ranked.select(by, (F.col("x") / F.col("total")).alias("x"), F.when(F.col("total") < 0, F.col("known") - F.col("k") + 1).otherwise(F.col("k")).alias("k"))
+    x = F.col("x")
+    out = ranked.groupBy(by).agg(F.sum(x * x).alias("hhi"), F.sum(F.when(F.col("k") <= 5, x)).alias("top5"), F.max(x).alias("top"), F.count("*").alias("n"))
     return out.withColumn("effective_n", F.try_divide(F.lit(1.0), F.when(F.col("hhi") != 0, F.col("hhi"))))
 
 

@@ -90,8 +90,7 @@ define("t_conc", """
 
 
 def concentration(spark, sf_dir):
-    weights = lines(spark, sf_dir).withColumn("weight", F.col("value") / F.sum("value").over(Window.partitionBy("account")))
-    return O.concentration(weights, "account")
+    return O.concentration(lines(spark, sf_dir), "account", "value")
 
 
 @register("agg04_concentration", "SELECT account, round(hhi, 8) AS hhi, round(effective_n, 6) AS effective_n, round(top5, 8) AS top5, n FROM t_conc")
