@@ -210,3 +210,11 @@ def test_concentration_of_values(spark):
         assert r["top5"] == pytest.approx(sum(shares[:5])) and r["effective_n"] == pytest.approx(1 / r["hhi"])
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Window [") == 1 and "ticker" not in plan.split("LogicalRDD")[0].split("Scan")[0]
+
+
+def test_holdings_are_aggregated_once(spark):
+    """From the lines to the merged positions in one aggregation, customers joined to the orders."""
+    from tidemark.sources import tables
+
+    plan = tables.holdings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1

@@ -112,25 +112,29 @@ def fx(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(STATIC_FX.items()), "ccy string, usd_per double")
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions (account, broker, ticker, quantity, paid, currency): line items by customer, brand and broker.
+def held(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """Quantity and sum paid of the line items by some of account, broker, ticker and currency, in one aggregation.
 
-    The currency is that of the customer's region. Partial sums are taken before the joins with the small dimensions.
+    The currency is that of the customer's region; it is put to the orders, which are fewer and narrower than what is held.
     """
-    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("account"))
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_linenumber") % 3).alias("broker"), "l_quantity", "l_extendedprice")
-    held = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    held = held.groupBy("account", "broker", "ticker").agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("paid"))
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     currency = F.element_at(F.array(*[F.lit(c) for c in CURRENCIES]), F.col("n_regionkey") + 1)
-    return held.join(customer, F.col("account") == F.col("c_custkey")).select("account", "broker", "ticker", "quantity", "paid", currency.alias("currency"))
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", currency.alias("currency"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("account")).join(customer, F.col("account") == F.col("c_custkey"))
+    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_linenumber") % 3).alias("broker"), "l_quantity", "l_extendedprice")
+    lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.groupBy(*by).agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("paid"))
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions (account, broker, ticker, quantity, paid, currency): line items by customer, brand and broker."""
+    return held(spark, sf_dir, "account", "broker", "ticker", "currency").select("account", "broker", "ticker", "quantity", "paid", "currency")
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged positions (account, ticker, quantity, cost_price, currency): quantities summed, cost weighted by them."""
-    merged = positions(spark, sf_dir).groupBy("account", "ticker", "currency").agg(F.sum("quantity").alias("quantity"), F.sum("paid").alias("paid"))
+    merged = held(spark, sf_dir, "account", "ticker", "currency")
     return merged.select("account", "ticker", "quantity", F.coalesce(F.try_divide("paid", "quantity"), F.lit(0.0)).alias("cost_price"), "currency")
 
 
