@@ -1,6 +1,7 @@
 """Feeds in pages: the range of days reaches the reader, batch and stream agree, a stream goes on where it stopped."""
 
 import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +76,24 @@ def test_stream_goes_on_with_new_pages(spark, folder, tmp_path):
     second = S.run(paged.stream(spark, folder, SCHEMA), str(tmp_path / "out"), "append")
     assert second.agg(F.min("day"), F.count("*")).first() == (datetime.date(2024, 1, 10), 50)
     assert S.run(paged.stream(spark, folder, SCHEMA), str(tmp_path / "out"), "append") is None
+
+
+def files(folder):
+    return sorted(str(f.parent.relative_to(folder)) for f in Path(folder).rglob("*.json"))
+
+
+def test_pages_share_files(spark, tmp_path):
+    """As many files as the items need: one for the three pages of a day, or one for each run of two."""
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    paged.record(items(spark, 1, 9), one, "on", ["id"], page_size=10)
+    paged.record(items(spark, 1, 9), two, "on", ["id"], page_size=10, run=2)
+    assert files(one) == [f"day=2024-01-0{d}/page=00000/last=00002" for d in range(1, 10)]
+    assert files(two) == sorted(f"day=2024-01-0{d}/page={p}" for d in range(1, 10) for p in ("00000/last=00001", "00002/last=00002"))
+    assert paged.pages(one) == paged.pages(two) and said(paged.read(spark, one, SCHEMA)) == said(paged.read(spark, two, SCHEMA))
+
+
+def test_lines_end_with_a_line_feed_only(spark, tmp_path):
+    kinds = ["a\u2028b", "c\u0085d", "e\nf", "g\r\nh"]
+    rows = spark.createDataFrame([(datetime.date(2024, 1, 1), i, k, None) for i, k in enumerate(kinds)], f"on date, {SCHEMA}")
+    paged.record(rows, str(tmp_path / "feed"), "on", ["id"])
+    assert [r.kind for r in paged.read(spark, str(tmp_path / "feed"), SCHEMA).orderBy("id").collect()] == kinds

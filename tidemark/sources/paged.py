@@ -1,8 +1,10 @@
 """Feeds that come in pages, one window of a day after the other, as a data source: in batches and as a stream.
 
-What a feed has answered lies in a folder, a page in ``day=2024-01-05/page=00000``, as JSON lines. A batch read has a task for
-each day; the range of days that is asked for reaches the reader, which opens no page of other days. A stream goes on after
-the last page that it has taken.
+What a feed has answered lies in a folder as JSON lines, a run of pages of a day to a file: ``day=2024-01-05/page=00000/last=00999``
+holds the first thousand, and each line says its page. (Files in ``page=00000`` itself are of that page.) So there are as many
+files as the items need, not one a page. A batch read has a task for each day, or several for a day of many pages; the range
+of days that is asked for reaches the reader, which opens no page of other days. A stream goes on after the last page that it
+has taken.
 
 The range is given to ``read``. The reader also takes filters on the day that Spark pushes down, if the session has
 spark.sql.python.filterPushdown.enabled; this library does not set it, since Spark 4.1 then keeps a filter for later queries
@@ -12,6 +14,7 @@ of the same DataFrame.
 from __future__ import annotations
 
 import datetime
+import io
 import json
 import sys
 from collections.abc import Iterator
@@ -28,12 +31,21 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NAME = "tidemark_pages"
 
 
-def record(items: DataFrame, folder: str, day: str, order: list[str], page_size: int = 100) -> None:
-    """Write items as the pages of a feed: those of a day in their order, ``page_size`` to a page. Items without a day go."""
-    place = F.row_number().over(Window.partitionBy(day).orderBy(*order))
-    page = F.lpad(F.floor((place - 1) / page_size).cast("string"), 5, "0")
-    rows = items.where(F.col(day).isNotNull()).withColumn("page", page)
-    rows.withColumnRenamed(day, "day").repartition("day", "page").sortWithinPartitions("day", "page", *order).write.mode("append").partitionBy("day", "page").json(folder)
+#: Pages of a file that is written, and of a task that reads.
+RUN = 1000
+
+
+def record(items: DataFrame, folder: str, day: str, order: list[str], page_size: int = 100, run: int = RUN) -> None:
+    """Write items as the pages of a feed: those of a day in their order, ``page_size`` to a page and ``run`` pages to a file.
+    Items without a day go."""
+    by = Window.partitionBy(day).orderBy(*order)
+    place, items_of_day = F.row_number().over(by), F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = items.where(F.col(day).isNotNull()).withColumns({"_page": F.floor((place - 1) / page_size), "last": F.floor((items_of_day - 1) / page_size)})
+    first = F.floor(F.col("_page") / run) * run
+    # Five digits at least.
+    text = lambda n: F.when(n < 100_000, F.lpad(n.cast("string"), 5, "0")).otherwise(n.cast("string"))
+    rows = placed.withColumns({"page": text(first), "last": text(F.least(F.col("last"), first + run - 1)), "_page": text(F.col("_page"))}).withColumnRenamed(day, "day")
+    rows.repartition("day", "page").sortWithinPartitions("day", "page", "last", "_page", *order).write.mode("append").partitionBy("day", "page", "last").json(folder)
 
 
 def _files(folder: str):
@@ -43,29 +55,54 @@ def _files(folder: str):
     return FileSystem.from_uri(folder) if ":" in folder else FileSystem.from_uri(f"file://{folder}")
 
 
-def pages(folder: str, first: str | None = None, last: str | None = None) -> list[tuple[str, str]]:
-    """(day, page) of the pages that are there, in order; the pages of days out of the range are not even listed."""
+def _place(day: str, page: str) -> tuple[str, int, str]:
+    """What pages are ordered by: a number of six digits comes after those of five."""
+    return day, len(page), page
+
+
+def runs(folder: str, first: str | None = None, last: str | None = None) -> list[tuple[str, str, str]]:
+    """(day, first page, last page) of the files that are there, in order; those of days out of the range are not even
+    listed."""
     from pyarrow.fs import FileSelector, FileType
 
     system, path = _files(folder)
-    named = lambda p, key: sorted(i.base_name.removeprefix(key) for i in system.get_file_info(FileSelector(p, allow_not_found=True)) if i.type == FileType.Directory and i.base_name.startswith(key))
+    named = lambda p, key: sorted((i.base_name.removeprefix(key) for i in system.get_file_info(FileSelector(p, allow_not_found=True)) if i.type == FileType.Directory and i.base_name.startswith(key)), key=lambda n: (len(n), n))
     days = [d for d in named(path, "day=") if (first is None or d >= first) and (last is None or d <= last)]
-    return [(d, p) for d in days for p in named(f"{path}/day={d}", "page=")]
+    return [(d, p, (named(f"{path}/day={d}/page={p}", "last=") or [p])[-1]) for d in days for p in named(f"{path}/day={d}", "page=")]
+
+
+def _numbers(first: str, last: str) -> list[str]:
+    return [f"{n:05d}" for n in range(int(first), int(last) + 1)]
+
+
+def pages(folder: str, first: str | None = None, last: str | None = None) -> list[tuple[str, str]]:
+    """(day, page) of the pages that are there, in order."""
+    return [(day, page) for day, low, high in runs(folder, first, last) for page in _numbers(low, high)]
 
 
 class Pages(InputPartition):
-    """Some pages of a day."""
+    """Some pages of a day, by the file (its first page) that holds them."""
+
+    def __init__(self, day: str, files: dict[str, list[str]]) -> None:
+        super().__init__((day, files))
+        self.day, self.files = day, files
 
-    def __init__(self, day: str, numbers: list[str]) -> None:
-        super().__init__((day, numbers))
-        self.day, self.numbers = day, numbers
+    @property
+    def numbers(self) -> list[str]:
+        return [page for wanted in self.files.values() for page in wanted]
 
 
-def by_day(found: list[tuple[str, str]]) -> list[Pages]:
-    days: dict[str, list[str]] = {}
-    for day, page in found:
-        days.setdefault(day, []).append(page)
-    return [Pages(day, numbers) for day, numbers in days.items()]
+def by_day(found: list[tuple[str, str, str]], above: tuple = (), to: tuple | None = None) -> list[Pages]:
+    """The pages of these files that come after ``above`` and not after ``to``, a day and at most about ``RUN`` of them to a
+    task."""
+    out: list[Pages] = []
+    for day, low, high in found:
+        wanted = [p for p in _numbers(low, high) if _place(day, p) > above and (to is None or _place(day, p) <= to)]
+        if wanted and out and out[-1].day == day and len(out[-1].numbers) + len(wanted) <= RUN:
+            out[-1].files[low] = wanted
+        elif wanted:
+            out.append(Pages(day, {low: wanted}))
+    return out
 
 
 def _read(folder: str, schema: StructType, part: Pages) -> Iterator[tuple]:
@@ -74,14 +111,19 @@ def _read(folder: str, schema: StructType, part: Pages) -> Iterator[tuple]:
     system, path = _files(folder)
     parsers = {"date": datetime.date.fromisoformat, "timestamp": datetime.datetime.fromisoformat, "timestamp_ntz": lambda v: datetime.datetime.fromisoformat(v).replace(tzinfo=None)}
     fields = [(f.name, parsers.get(f.dataType.simpleString(), lambda v: v)) for f in schema.fields]
-    for page in part.numbers:
-        for info in sorted(system.get_file_info(FileSelector(f"{path}/day={part.day}/page={page}")), key=lambda i: i.base_name):
+    for first, numbers in part.files.items():
+        wanted = set(numbers)
+        for info in sorted(system.get_file_info(FileSelector(f"{path}/day={part.day}/page={first}", recursive=True)), key=lambda i: i.path):
             if not info.base_name.endswith(".json"):
                 continue
-            with system.open_input_stream(info.path) as said:
-                for line in said.read().decode().splitlines():
-                    item = json.loads(line) | {"day": part.day, "page": page}
-                    yield tuple(None if item.get(name) is None else parse(item[name]) for name, parse in fields)
+            # Only a line feed ends an item: texts may hold other line separators.
+            with system.open_input_stream(info.path) as said, io.TextIOWrapper(said, "utf-8", newline="\n") as lines:
+                for line in lines:
+                    item = json.loads(line)
+                    page = item.pop("_page", first)
+                    if page in wanted:
+                        item |= {"day": part.day, "page": page}
+                        yield tuple(None if item.get(name) is None else parse(item[name]) for name, parse in fields)
 
 
 class PagedReader(DataSourceReader):
@@ -89,7 +131,7 @@ class PagedReader(DataSourceReader):
         self.folder, self.schema, self.first, self.last = folder, schema, first, last
 
     def partitions(self) -> list[Pages]:
-        return by_day(pages(self.folder, self.first, self.last)) or [Pages("", [])]
+        return by_day(runs(self.folder, self.first, self.last)) or [Pages("", {})]
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         return _read(self.folder, self.schema, partition)
@@ -125,21 +167,20 @@ class PagedStream(DataSourceStreamReader):
         return {"day": "", "page": ""}
 
     def latestOffset(self) -> dict:
-        new = [p for p in pages(self.folder, self.seen["day"] or None) if p > (self.seen["day"], self.seen["page"])]
-        if new:
-            self.seen = dict(zip(("day", "page"), new[-1], strict=True))
+        found = runs(self.folder, self.seen["day"] or None)
+        if found and _place(found[-1][0], found[-1][2]) > _place(**self.seen):
+            self.seen = {"day": found[-1][0], "page": found[-1][2]}
         return self.seen
 
     def partitions(self, start: dict, end: dict) -> list[Pages]:
-        low, high = ((o["day"], o["page"]) for o in (start, end))
-        self.seen = max(self.seen, end, key=lambda o: (o["day"], o["page"]))
-        return by_day([p for p in pages(self.folder, low[0] or None, high[0] or None) if low < p <= high])
+        self.seen = max(self.seen, end, key=lambda o: _place(**o))
+        return by_day(runs(self.folder, start["day"] or None, end["day"] or None), _place(**start), _place(**end))
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         return _read(self.folder, self.schema, partition)
 
     def commit(self, end: dict) -> None:
-        self.seen = max(self.seen, end, key=lambda o: (o["day"], o["page"]))
+        self.seen = max(self.seen, end, key=lambda o: _place(**o))
 
 
 class PagedFeed(DataSource):
