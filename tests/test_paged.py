@@ -92,6 +92,18 @@ def test_pages_share_files(spark, tmp_path):
     assert paged.pages(one) == paged.pages(two) and said(paged.read(spark, one, SCHEMA)) == said(paged.read(spark, two, SCHEMA))
 
 
+def test_a_stream_that_stopped_within_a_file(tmp_path):
+    """Offsets name pages: those of a file up to the offset are not taken again, and 100000 comes after 99999."""
+    line = lambda p: f'{{"_page": "{p}", "id": {int(p)}}}\n'
+    for first, last in (("99998", "99999"), ("100000", "100002")):
+        (tmp_path / "day=2024-01-01" / f"page={first}" / f"last={last}").mkdir(parents=True)
+        (tmp_path / "day=2024-01-01" / f"page={first}" / f"last={last}" / "x.json").write_text("".join(line(f"{n:05d}") for n in range(int(first), int(last) + 1)))
+    source = paged.PagedStream(str(tmp_path), StructType.fromDDL("day date, page string, id long"))
+    assert source.latestOffset() == {"day": "2024-01-01", "page": "100002"}
+    parts = source.partitions({"day": "2024-01-01", "page": "99998"}, {"day": "2024-01-01", "page": "100001"})
+    assert [r[2] for p in parts for r in source.read(p)] == [99999, 100000, 100001]
+
+
 def test_lines_end_with_a_line_feed_only(spark, tmp_path):
     kinds = ["a\u2028b", "c\u0085d", "e\nf", "g\r\nh"]
     rows = spark.createDataFrame([(datetime.date(2024, 1, 1), i, k, None) for i, k in enumerate(kinds)], f"on date, {SCHEMA}")
