@@ -1,6 +1,7 @@
 """Feeds in pages: the range of days reaches the reader, batch and stream agree, a stream goes on where it stopped."""
 
 import datetime
+import pickle
 from pathlib import Path
 
 import pytest
@@ -109,3 +110,46 @@ def test_lines_end_with_a_line_feed_only(spark, tmp_path):
     rows = spark.createDataFrame([(datetime.date(2024, 1, 1), i, k, None) for i, k in enumerate(kinds)], f"on date, {SCHEMA}")
     paged.record(rows, str(tmp_path / "feed"), "on", ["id"])
     assert [r.kind for r in paged.read(spark, str(tmp_path / "feed"), SCHEMA).orderBy("id").collect()] == kinds
+
+
+def most_read(spark, group, work):
+    """Most rows that one task of this work reads from a shuffle."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    store, jobs = sc._jsc.sc().statusStore(), sc.statusTracker()
+    listed = [store.taskList(stage, 0, 100) for job in jobs.getJobIdsForGroup(group) for stage in jobs.getJobInfo(job).stageIds]
+    metrics = [tasks.apply(i).taskMetrics() for tasks in listed for i in range(tasks.size())]
+    return max(m.get().shuffleReadMetrics().recordsRead() for m in metrics if m.isDefined())
+
+
+def test_no_task_takes_a_whole_day(spark, tmp_path):
+    """All items are of one day, in no order; they are dealt over the tasks and numbered through."""
+    n, feed, coalesce = 20_000, str(tmp_path / "feed"), "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = spark.range(n).select(F.expr("DATE'2024-01-01'").alias("on"), (F.col("id") * 7919 % n).alias("id"), F.lit("a").alias("kind"), F.lit(0.5).alias("v"))
+    spark.conf.set(coalesce, "false")
+    try:
+        most = most_read(spark, "one day", lambda: paged.record(rows, feed, "on", ["id"], run=10))
+    finally:
+        spark.conf.unset(coalesce)
+    assert most < 0.6 * n
+    assert len(files(feed)) == 20 and paged.pages(feed) == [("2024-01-01", f"{p:05d}") for p in range(200)]
+    assert [(r.page, r.n, r.low, r.high) for r in paged.read(spark, feed, SCHEMA).groupBy("page").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("page").collect()] == [(f"{p:05d}", 100, 100 * p, 100 * p + 99) for p in range(200)]
+
+
+def test_places_over_days_and_ranges(spark, tmp_path):
+    """Ranges that end within a day, and ones that hold many: places are those of a window over each day."""
+    data = items(spark, 1, 9, each=40).select("*", (-F.col("id")).alias("down"))
+    got = paged.numbered(data, "on", ["down"], str(tmp_path / "laid"))
+    assert sorted((r.on, r.id, r._place, r._all) for r in got.collect()) == sorted((r.on, r.id, 39 - r.id % 100, 40) for r in data.where("on IS NOT NULL").collect())
+
+
+def test_tasks_of_a_stream_name_ranges(spark, tmp_path):
+    """What a task is sent does not grow with its pages."""
+    (tmp_path / "day=2024-01-01" / "page=00000" / "last=00999").mkdir(parents=True)
+    parts = paged.PagedStream(str(tmp_path), StructType.fromDDL("day date, page string")).partitions({"day": "2024-01-01", "page": "00009"}, {"day": "2024-01-01", "page": "00997"})
+    assert len(parts) == 1 and len(parts[0].numbers) == 988 and parts[0].numbers[0] == "00010" and len(pickle.dumps(parts[0].value)) < 100

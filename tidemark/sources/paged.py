@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from tidemark.sources.shared import removed, scratch
+
 # The source goes to the workers by value, so that they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,18 +36,39 @@ NAME = "tidemark_pages"
 #: Pages of a file that is written, and of a task that reads.
 RUN = 1000
 
+#: Characters of lines that are parsed in one go; a longer line is parsed alone.
+PARSED = 1 << 18
+
 
 def record(items: DataFrame, folder: str, day: str, order: list[str], page_size: int = 100, run: int = RUN) -> None:
     """Write items as the pages of a feed: those of a day in their order, ``page_size`` to a page and ``run`` pages to a file.
     Items without a day go."""
-    by = Window.partitionBy(day).orderBy(*order)
-    place, items_of_day = F.row_number().over(by), F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    placed = items.where(F.col(day).isNotNull()).withColumns({"_page": F.floor((place - 1) / page_size), "last": F.floor((items_of_day - 1) / page_size)})
+    spark, laid = items.sparkSession, scratch(items.sparkSession, "items")
+    placed = numbered(items, day, order, laid).withColumns({"_page": F.floor(F.col("_place") / page_size), "last": F.floor((F.col("_all") - 1) / page_size)}).drop("_place", "_all")
     first = F.floor(F.col("_page") / run) * run
     # Five digits at least.
     text = lambda n: F.when(n < 100_000, F.lpad(n.cast("string"), 5, "0")).otherwise(n.cast("string"))
     rows = placed.withColumns({"page": text(first), "last": text(F.least(F.col("last"), first + run - 1)), "_page": text(F.col("_page"))}).withColumnRenamed(day, "day")
     rows.repartition("day", "page").sortWithinPartitions("day", "page", "last", "_page", *order).write.mode("append").partitionBy("day", "page", "last").json(folder)
+    removed(spark, laid)
+
+
+def numbered(items: DataFrame, day: str, order: list[str], laid: str) -> DataFrame:
+    """The items that have a day, with their place in it (``_place``, from 0) and the number of all of that day (``_all``).
+
+    They are laid down in ranges of day and order, sorted, so a day of any size is dealt over the tasks; a place is that in the
+    range after all of the day in earlier ranges. Only items that are equal in day and order stay in one task.
+    """
+    ranges = items.where(F.col(day).isNotNull()).repartitionByRange(day, *order).sortWithinPartitions(day, *order)
+    ranges.withColumn("_at", F.monotonically_increasing_id()).write.parquet(laid)
+    # The upper bits of the number are the task's.
+    rows = items.sparkSession.read.parquet(laid).withColumn("_task", F.shiftright("_at", 33))
+    of_day = Window.partitionBy(day)
+    before = F.sum("_n").over(of_day.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy(day, "_task").agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(day, "_task", (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_shift"), F.sum("_n").over(of_day).alias("_all"))
+    # A line for each day and one more for each task.
+    return rows.join(F.broadcast(starts), [day, "_task"]).withColumn("_place", F.col("_at") + F.col("_shift")).drop("_at", "_task", "_shift")
 
 
 def _files(folder: str):
@@ -71,59 +94,76 @@ def runs(folder: str, first: str | None = None, last: str | None = None) -> list
     return [(d, p, (named(f"{path}/day={d}/page={p}", "last=") or [p])[-1]) for d in days for p in named(f"{path}/day={d}", "page=")]
 
 
-def _numbers(first: str, last: str) -> list[str]:
-    return [f"{n:05d}" for n in range(int(first), int(last) + 1)]
+def _text(number: int) -> str:
+    return f"{number:05d}"
 
 
 def pages(folder: str, first: str | None = None, last: str | None = None) -> list[tuple[str, str]]:
     """(day, page) of the pages that are there, in order."""
-    return [(day, page) for day, low, high in runs(folder, first, last) for page in _numbers(low, high)]
+    return [(day, _text(n)) for day, low, high in runs(folder, first, last) for n in range(int(low), int(high) + 1)]
 
 
 class Pages(InputPartition):
-    """Some pages of a day, by the file (its first page) that holds them."""
+    """Some pages of a day: by the file (its first page) that holds them, the first and the last number."""
 
-    def __init__(self, day: str, files: dict[str, list[str]]) -> None:
+    def __init__(self, day: str, files: dict[str, tuple[int, int]]) -> None:
         super().__init__((day, files))
         self.day, self.files = day, files
 
+    @property
+    def size(self) -> int:
+        return sum(high - low + 1 for low, high in self.files.values())
+
     @property
     def numbers(self) -> list[str]:
-        return [page for wanted in self.files.values() for page in wanted]
+        return [_text(n) for low, high in self.files.values() for n in range(low, high + 1)]
 
 
-def by_day(found: list[tuple[str, str, str]], above: tuple = (), to: tuple | None = None) -> list[Pages]:
-    """The pages of these files that come after ``above`` and not after ``to``, a day and at most about ``RUN`` of them to a
-    task."""
+def by_day(found: list[tuple[str, str, str]], above: dict | None = None, to: dict | None = None) -> list[Pages]:
+    """The pages of these files that come after ``above`` and not after ``to`` (a day and a page), a day and at most about
+    ``RUN`` of them to a task."""
     out: list[Pages] = []
-    for day, low, high in found:
-        wanted = [p for p in _numbers(low, high) if _place(day, p) > above and (to is None or _place(day, p) <= to)]
-        if wanted and out and out[-1].day == day and len(out[-1].numbers) + len(wanted) <= RUN:
-            out[-1].files[low] = wanted
-        elif wanted:
-            out.append(Pages(day, {low: wanted}))
+    for day, first, last in found:
+        low, high = int(first), int(last)
+        if above and above["day"] == day:
+            low = max(low, int(above["page"]) + 1)
+        if to and to["day"] == day:
+            high = min(high, int(to["page"]))
+        if low > high:
+            continue
+        if out and out[-1].day == day and out[-1].size + high - low + 1 <= RUN:
+            out[-1].files[first] = (low, high)
+        else:
+            out.append(Pages(day, {first: (low, high)}))
     return out
 
 
-def _read(folder: str, schema: StructType, part: Pages) -> Iterator[tuple]:
+def _read(folder: str, schema: StructType, part: Pages) -> Iterator[list]:
     from pyarrow.fs import FileSelector
 
     system, path = _files(folder)
     parsers = {"date": datetime.date.fromisoformat, "timestamp": datetime.datetime.fromisoformat, "timestamp_ntz": lambda v: datetime.datetime.fromisoformat(v).replace(tzinfo=None)}
-    fields = [(f.name, parsers.get(f.dataType.simpleString(), lambda v: v)) for f in schema.fields]
-    for first, numbers in part.files.items():
-        wanted = set(numbers)
+    names = [f.name for f in schema.fields]
+    parsed = [(at, parsers[f.dataType.simpleString()]) for at, f in enumerate(schema.fields) if f.dataType.simpleString() in parsers]
+    for first, (low, high) in part.files.items():
         for info in sorted(system.get_file_info(FileSelector(f"{path}/day={part.day}/page={first}", recursive=True)), key=lambda i: i.path):
             if not info.base_name.endswith(".json"):
                 continue
             # Only a line feed ends an item: texts may hold other line separators.
             with system.open_input_stream(info.path) as said, io.TextIOWrapper(said, "utf-8", newline="\n") as lines:
-                for line in lines:
-                    item = json.loads(line)
-                    page = item.pop("_page", first)
-                    if page in wanted:
-                        item |= {"day": part.day, "page": page}
-                        yield tuple(None if item.get(name) is None else parse(item[name]) for name, parse in fields)
+                while some := lines.readlines(PARSED):
+                    items = json.loads(f"[{','.join(some)}]")
+                    if len(items) != len(some):
+                        raise ValueError(f"not an item a line: {info.path}")
+                    for item in items:
+                        page = item.pop("_page", first)
+                        if low <= int(page) <= high:
+                            item["day"], item["page"] = part.day, page
+                            row = [item.get(name) for name in names]
+                            for at, parse in parsed:
+                                if row[at] is not None:
+                                    row[at] = parse(row[at])
+                            yield row
 
 
 class PagedReader(DataSourceReader):
@@ -133,7 +173,7 @@ class PagedReader(DataSourceReader):
     def partitions(self) -> list[Pages]:
         return by_day(runs(self.folder, self.first, self.last)) or [Pages("", {})]
 
-    def read(self, partition: Pages) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[list]:
         return _read(self.folder, self.schema, partition)
 
 
@@ -174,9 +214,9 @@ class PagedStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Pages]:
         self.seen = max(self.seen, end, key=lambda o: _place(**o))
-        return by_day(runs(self.folder, start["day"] or None, end["day"] or None), _place(**start), _place(**end))
+        return by_day(runs(self.folder, start["day"] or None, end["day"] or None), start, end)
 
-    def read(self, partition: Pages) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[list]:
         return _read(self.folder, self.schema, partition)
 
     def commit(self, end: dict) -> None:
